@@ -1,6 +1,506 @@
-def queries():
-    return {}
+"""One query for each operator family on the driver's tables, each with the SQL that DuckDB runs on the same tables."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import digest, paths, text
+from ..operators import fold, graph, label, store, tree
+from ..operators.common import numbered
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as objects: id, size and what they came from."""
+    return store.identified(table(spark, sf_dir, "documents"), "text")
+
+
+@query("""
+SELECT sha256(text) AS object_id, substr(sha256(text), 1, 2) || '/' || substr(sha256(text), 3) AS object_path, count(*) AS copies, min(doc_id) AS first_doc,
+       CAST(max(octet_length(encode(text))) AS BIGINT) AS size, CAST((count(*) - 1) * max(octet_length(encode(text))) AS BIGINT) AS saved_bytes
+FROM documents GROUP BY 1, 2""")
+def content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = objects(spark, sf_dir).groupBy("object_id").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"), F.max("size").alias("size"))
+    return rows.select("object_id", digest.object_path(F.col("object_id")).alias("object_path"), "copies", "first_doc", "size", ((F.col("copies") - 1) * F.col("size")).alias("saved_bytes"))
+
+
+@query("SELECT DISTINCT substr(sha256(text), 1, 2) || '/' || substr(sha256(text), 3) AS object_path, 'sha256:' || sha256(text) AS id, sha256(text) AS back FROM documents")
+def object_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = objects(spark, sf_dir).select("object_id").distinct()
+    path = digest.object_path(F.col("object_id"))
+    return ids.select(path.alias("object_path"), digest.display_id(F.col("object_id")).alias("id"), digest.from_object_path(path).alias("back"))
+
+
+@query("""
+SELECT CASE WHEN octet_length(encode(p_name)) + octet_length(encode(p_type)) <= 15 THEN 'inline' ELSE 'external' END AS class, count(*) AS n,
+       CAST(sum(octet_length(encode(p_name)) + octet_length(encode(p_type))) AS BIGINT) AS bytes FROM part GROUP BY 1
+UNION ALL SELECT 'text ' || CASE WHEN octet_length(encode(text)) <= 64 THEN 'inline' ELSE 'external' END, count(*), CAST(sum(octet_length(encode(text))) AS BIGINT) FROM documents GROUP BY 1""")
+def inline_external_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select(F.concat("p_name", "p_type").alias("data"))
+    docs = table(spark, sf_dir, "documents").select(F.col("text").alias("data"))
+    grouped = lambda rows, name: rows.groupBy(name.alias("class")).agg(F.count("*").alias("n"), F.sum(F.octet_length("data")).alias("bytes"))
+    return grouped(parts, store.storage_class(F.col("data"), 15)).unionAll(grouped(docs, F.concat(F.lit("text "), store.storage_class(F.col("data")))))
+
+
+_METHODS = "SELECT source, octet_length(encode(text)) AS size, doc_id = min(doc_id) OVER (PARTITION BY sha256(text)) AS is_new FROM documents"
+_STATS = """count(*) FILTER (WHERE is_new) AS new_objects, CAST(coalesce(sum(size) FILTER (WHERE is_new), 0) AS BIGINT) AS new_bytes,
+            count(*) FILTER (WHERE NOT is_new) AS present_objects, count(*) AS total_objects"""
+
+
+@query(f"SELECT source, {_STATS} FROM ({_METHODS}) GROUP BY source")
+def import_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = objects(spark, sf_dir).select("doc_id", "source", "object_id", "size")
+    return store.import_stats(store.import_methods(rows, "doc_id"), "source")
+
+
+@query(f"SELECT {_STATS} FROM ({_METHODS})")
+def stats_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.merged_stats(import_stats(spark, sf_dir))
+
+
+@query("""
+WITH x AS (SELECT 'lang' AS name, lang AS value FROM documents UNION ALL SELECT 'source', source FROM documents UNION ALL SELECT 'n_chars', CAST(n_chars AS VARCHAR) FROM documents),
+u AS (SELECT name, value, count(*) AS uses FROM x GROUP BY ALL HAVING count(*) > 1)
+SELECT name, value, uses, row_number() OVER (ORDER BY name, value) - 1 AS idx FROM u""")
+def xattr_sharing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("lang", "source", F.col("n_chars").cast("string"))
+    pairs = docs.unpivot([], ["lang", "source", "n_chars"], "name", "value")
+    return tree.shared_values(pairs, ["name", "value"])
+
+
+@query("SELECT event_type, first_seq, row_number() OVER (ORDER BY first_seq) - 1 AS idx FROM (SELECT event_type, min(event_id) AS first_seq FROM events GROUP BY 1)")
+def dictionary_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.dictionary(table(spark, sf_dir, "events"), "event_type", "event_id")
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, event_type, event_type IN ('purchase', 'signup') AS ext FROM events),
+s AS (SELECT *, CASE WHEN ext OR coalesce(lag(ext) OVER w, true) THEN 1 ELSE 0 END AS st FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+r AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM s)
+SELECT user_id, CAST(run AS BIGINT) AS run, min(event_id) AS first_seq, max(event_id) AS last_seq, max(CASE WHEN ext THEN event_type END) AS object_id,
+       CASE WHEN NOT bool_or(ext) THEN string_agg(event_type, '' ORDER BY event_id) END AS inline
+FROM r GROUP BY ALL""")
+def coalesce_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    external = F.col("event_type").isin("purchase", "signup")
+    chunks = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(~external, F.col("event_type").cast("binary")).alias("inline"), F.when(external, F.col("event_type")).alias("object_id"))
+    rows = store.coalesced(chunks, "user_id", "event_id")
+    return rows.withColumn("inline", F.col("inline").cast("string")).withColumn("run", F.col("run").cast("long"))
+
+
+@query("SELECT conv_id, count(*) AS chunks, CAST(sum(octet_length(encode(text))) AS BIGINT) AS size, sha256(string_agg(text, '' ORDER BY turn)) AS object_id FROM conversations GROUP BY 1")
+def stream_reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    chunks = turns.select("conv_id", "turn", F.when(F.octet_length("text") <= 64, F.col("text").cast("binary")).alias("inline"), digest.content_id(F.col("text")).alias("object_id"))
+    large = turns.filter(F.octet_length("text") > 64)
+    held = large.select(digest.content_id(F.col("text")).alias("object_id"), F.col("text").cast("binary").alias("data")).dropDuplicates(["object_id"])
+    whole = store.reassembled(chunks, held, "conv_id", "turn")
+    counts = turns.groupBy("conv_id").agg(F.count("*").alias("chunks"))
+    return whole.join(counts, "conv_id").select("conv_id", "chunks", F.octet_length("data").cast("long").alias("size"), digest.content_id(F.col("data")).alias("object_id"))
+
+
+def geography(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions, nations and customers as directories, orders as their files: (path, kind)."""
+    region, nation, customer = (table(spark, sf_dir, x) for x in ("region", "nation", "customer"))
+    r = F.concat(F.lit("/"), "r_name")
+    n = F.concat(r, F.lit("/"), "n_name")
+    named = F.broadcast(nation.join(region, nation["n_regionkey"] == region["r_regionkey"]))
+    customers = customer.join(named, customer["c_nationkey"] == named["n_nationkey"])
+    rows = spark.range(1).select(F.lit("/").alias("path")).unionAll(region.select(r)).unionAll(named.select(n)).unionAll(customers.select(F.concat(n, F.lit("/"), "c_name")))
+    return rows.select("path", F.lit("dir").alias("kind"))
+
+
+_GEO = """SELECT '/' AS path UNION ALL SELECT '/' || r_name FROM region
+  UNION ALL SELECT '/' || r_name || '/' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT '/' || r_name || '/' || n_name || '/' || c_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
+
+
+@query(f"""
+WITH g AS ({_GEO}), p AS (SELECT path, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM g)
+SELECT path, len(parts) AS depth, row_number() OVER (ORDER BY parts) - 1 AS ordinal FROM p""")
+def tree_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tree.ordered(geography(spark, sf_dir))
+    return rows.select("path", F.size(paths.parts(F.col("path"))).cast("long").alias("depth"), "ordinal")
+
+
+@query(f"""
+WITH g AS ({_GEO}), up AS (SELECT CASE WHEN regexp_extract(path, '^(.*)/[^/]*$', 1) = '' THEN '/' ELSE regexp_extract(path, '^(.*)/[^/]*$', 1) END AS path FROM g WHERE path <> '/')
+SELECT g.path, 2 + count(up.path) AS nlink FROM g LEFT JOIN up USING (path) GROUP BY 1""")
+def dir_nlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.dir_links(geography(spark, sf_dir))
+
+
+@query("SELECT c_custkey AS leaf_id, c_name, count(o_orderkey) AS nlink FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL")
+def leaf_nlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaves = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("leaf_id"), "c_name")
+    return tree.leaf_links(leaves, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("leaf_id")))
+
+
+@query("""
+WITH x AS (SELECT '/' || r_name AS a, '/' || r_name || '/' || n_name AS b, '/' || r_name || '/' || n_name || '/' || c_name AS c, epoch_us(o_orderdate) // 1000000 AS t
+           FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT coalesce(c, b, a, '/') AS path, CAST(max(t) AS BIGINT) AS newest FROM x GROUP BY ROLLUP (a, b, c)""")
+def newest_in_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    region, nation, customer, orders = (table(spark, sf_dir, x) for x in ("region", "nation", "customer", "orders"))
+    # Orders first shrink to one row for each customer.
+    latest = orders.groupBy("o_custkey").agg(F.max(F.floor(text.micros(F.col("o_orderdate")) / 1_000_000)).alias("mtime"))
+    named = F.broadcast(nation.join(region, nation["n_regionkey"] == region["r_regionkey"]))
+    rows = latest.join(customer, latest["o_custkey"] == customer["c_custkey"]).join(named, customer["c_nationkey"] == named["n_nationkey"])
+    files = rows.select(F.concat_ws("/", F.lit(""), "r_name", "n_name", "c_name", F.lit("orders")).alias("path"), F.lit("reg").alias("kind"), "mtime")
+    return tree.newest(files)
+
+
+def layer_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as changes to /user/kind: errors are opaque marks, signups whiteouts of the user's view, the rest are files."""
+    user = F.concat(F.lit("/u"), "user_id")
+    kind = F.col("event_type")
+    path = F.when(kind == "error", F.concat(user, F.lit("/.wh..wh..opq"))).when(kind == "signup", F.concat(user, F.lit("/.wh.view"))).otherwise(F.concat(user, F.lit("/"), kind))
+    return table(spark, sf_dir, "events").select(
+        F.datediff("ts", F.lit("2024-01-01")).alias("layer_idx"), F.col("event_id").alias("entry_idx"), path.alias("path"), F.lit("leaf").alias("item"), F.lit(None).cast("string").alias("target"), "value"
+    )
+
+
+@query("""
+WITH e AS (SELECT '/u' || user_id AS d, event_type AS k, value, (datediff('day', TIMESTAMP '2024-01-01', ts), event_id) AS seq FROM events),
+put AS (SELECT d, k, max(seq) AS seq, arg_max(value, seq) AS value FROM e WHERE k IN ('view', 'click', 'purchase') GROUP BY 1, 2),
+opq AS (SELECT d, max(seq) AS seq FROM e WHERE k = 'error' GROUP BY 1),
+wh AS (SELECT d, max(seq) AS seq FROM e WHERE k = 'signup' GROUP BY 1)
+SELECT put.d || '/' || k AS path, value FROM put LEFT JOIN opq USING (d) LEFT JOIN wh USING (d)
+WHERE (opq.seq IS NULL OR put.seq > opq.seq) AND (k <> 'view' OR wh.seq IS NULL OR put.seq > wh.seq)""")
+def layer_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold.folded(layer_entries(spark, sf_dir)).select("path", "value")
+
+
+@query("""
+WITH e AS (SELECT *, epoch_us(ts) AS us FROM events)
+SELECT p.event_id, p.user_id, max(e.event_id) AS target_id FROM e p
+LEFT JOIN e ON e.user_id = p.user_id AND e.us = (SELECT max(x.us) FROM e x WHERE x.user_id = p.user_id AND x.us < p.us)
+WHERE p.event_type = 'purchase' GROUP BY 1, 2""")
+def hardlink_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest event of the user before each purchase. One pass over each user's events in order of time."""
+    earlier = Window.partitionBy("user_id").orderBy(text.micros(F.col("ts"))).rangeBetween(Window.unboundedPreceding, -1)
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+    rows = rows.withColumn("before", F.max(F.struct("ts", "event_id")).over(earlier))
+    return rows.filter("event_type = 'purchase'").select("event_id", "user_id", F.col("before.event_id").alias("target_id"))
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, max(event_id) FILTER (WHERE event_type = 'error') OVER (PARTITION BY user_id) AS mark FROM events) WHERE mark IS NULL OR event_id > mark")
+def opaque_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    marks = events.filter("event_type = 'error'").groupBy("user_id").agg(F.max("event_id").alias("mark"))
+    return events.join(marks, "user_id", "left").filter("mark is null or event_id > mark").drop("mark")
+
+
+def reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Foreign keys from the region down to the orders."""
+    pair = lambda t, a, x, b, y: table(spark, sf_dir, t).select(F.concat(F.lit(a), x).alias("src"), F.concat(F.lit(b), y).alias("dst"))
+    return pair("nation", "r", "n_regionkey", "n", "n_nationkey").unionAll(pair("customer", "n", "c_nationkey", "c", "c_custkey")).unionAll(pair("orders", "c", "o_custkey", "o", "o_orderkey"))
+
+
+_EDGES = """e(src, dst) AS (SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer
+  UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders)"""
+_LIVE = f"{_EDGES}, live(node) AS (SELECT 'r0' UNION SELECT dst FROM live JOIN e ON src = node)"
+
+
+@query(f"WITH RECURSIVE {_LIVE} SELECT node FROM live")
+def gc_live_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.closure(reference_edges(spark, sf_dir), spark.createDataFrame([("r0",)], "node string")).select("node")
+
+
+@query(f"""
+WITH RECURSIVE {_LIVE}, o AS (SELECT 'region' AS category, 'r' || r_regionkey AS node, length(r_name) AS bytes FROM region UNION ALL SELECT 'nation', 'n' || n_nationkey, length(n_name) FROM nation
+  UNION ALL SELECT 'customer', 'c' || c_custkey, length(c_name) FROM customer UNION ALL SELECT 'orders', 'o' || o_orderkey, length(o_orderpriority) FROM orders)
+SELECT category, count(*) AS objects_removed, CAST(sum(bytes) AS BIGINT) AS objects_bytes FROM o WHERE node NOT IN (SELECT node FROM live) GROUP BY 1""")
+def gc_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda t, a, key, text_of: table(spark, sf_dir, t).select(F.lit(t).alias("category"), F.concat(F.lit(a), key).alias("node"), F.length(text_of).cast("long").alias("bytes"))
+    every = of("region", "r", "r_regionkey", "r_name").unionAll(of("nation", "n", "n_nationkey", "n_name")).unionAll(of("customer", "c", "c_custkey", "c_name")).unionAll(of("orders", "o", "o_orderkey", "o_orderpriority"))
+    return graph.sweep(every, gc_live_set(spark, sf_dir)).groupBy("category").agg(F.count("*").alias("objects_removed"), F.sum("bytes").alias("objects_bytes"))
+
+
+@query("""
+SELECT 'document' AS kind, doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL SELECT 'order', o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT 'customer', c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+def dangling_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels, orders, customer = (table(spark, sf_dir, x) for x in ("documents", "labels", "orders", "customer"))
+    missing = lambda kind, links, targets, a, b, key: graph.dangling(links, targets, a, b).select(F.lit(kind).alias("kind"), F.col(key).alias("id"))
+    return missing("document", docs.select("doc_id"), labels, "doc_id", "doc_id", "doc_id").unionAll(missing("order", orders, customer, "o_custkey", "c_custkey", "o_orderkey")).unionAll(missing("customer", customer, orders, "c_custkey", "o_custkey", "c_custkey"))
+
+
+@query("SELECT c_name AS name, c_mktsegment = 'BUILDING' AS is_container, count(DISTINCT o_orderpriority) AS layer_count, count(o_orderkey) AS referrer_count FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL")
+def referrer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.size(F.collect_set("o_orderpriority")).cast("long").alias("layer_count"), F.count("*").alias("referrer_count"))
+    rows = table(spark, sf_dir, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return rows.select(F.col("c_name").alias("name"), (F.col("c_mktsegment") == "BUILDING").alias("is_container"), F.coalesce("layer_count", F.lit(0)).alias("layer_count"), F.coalesce("referrer_count", F.lit(0)).alias("referrer_count"))
+
+
+@query("SELECT l_suppkey AS subject_of, count(*) AS removed FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) l WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size > 10) GROUP BY 1")
+def cleanup_orphan_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    kept = table(spark, sf_dir, "part").filter("p_size > 10")
+    return graph.dangling(edges, kept, "l_partkey", "p_partkey").groupBy(F.col("l_suppkey").alias("subject_of")).agg(F.count("*").alias("removed"))
+
+
+@query("SELECT CASE WHEN lang <> 'en' THEN 'skipped' WHEN l.doc_id IS NULL THEN 'upgraded' ELSE 'already' END AS outcome, count(*) AS n FROM documents LEFT JOIN labels l USING (doc_id) GROUP BY 1")
+def upgrade_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("has")), "doc_id", "left")
+    outcome = F.when(F.col("lang") != "en", "skipped").when(F.col("has").isNull(), "upgraded").otherwise("already")
+    return rows.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT 'negative balance' AS type, 'customer/' || c_custkey AS path FROM customer WHERE c_acctbal < 0
+UNION ALL SELECT 'negative balance', 'supplier/' || s_suppkey FROM supplier WHERE s_acctbal < 0
+UNION ALL SELECT 'length differs', 'documents/' || doc_id FROM documents WHERE n_chars <> length(text)
+UNION ALL SELECT 'missing label', 'documents/' || doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL SELECT 'shipped before ordered', 'orders/' || l_orderkey || '/' || l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate""")
+def fsck_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer, supplier, docs, labels, orders, items = (table(spark, sf_dir, x) for x in ("customer", "supplier", "documents", "labels", "orders", "lineitem"))
+    error = lambda rows, kind, *name: rows.select(F.lit(kind).alias("type"), F.concat(*name).alias("path"))
+    shipped = items.join(orders.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey")).filter("l_shipdate < o_orderdate")
+    found = (
+        error(customer.filter("c_acctbal < 0"), "negative balance", F.lit("customer/"), "c_custkey"),
+        error(supplier.filter("s_acctbal < 0"), "negative balance", F.lit("supplier/"), "s_suppkey"),
+        error(docs.filter(F.col("n_chars") != F.length("text")), "length differs", F.lit("documents/"), "doc_id"),
+        error(graph.dangling(docs.select("doc_id"), labels, "doc_id", "doc_id"), "missing label", F.lit("documents/"), "doc_id"),
+        error(shipped, "shipped before ordered", F.lit("orders/"), "l_orderkey", F.lit("/"), "l_linenumber"),
+    )
+    out = found[0]
+    for rows in found[1:]:
+        out = out.unionAll(rows)
+    return out
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN c.c_custkey IS NULL THEN 'customer missing' WHEN c_acctbal < 0 THEN 'customer balance' WHEN coalesce(n, 0) = 0 THEN 'no lines'
+       WHEN worst >= 0.1 THEN 'discount' ELSE 'ok' END AS stage
+FROM orders LEFT JOIN customer c ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n, max(l_discount) AS worst FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
+def staged_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.max("l_discount").alias("worst"))
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    stages = (F.when(F.col("c_custkey").isNull(), "customer missing"), F.when(F.col("c_acctbal") < 0, "customer balance"), F.when(F.coalesce("n", F.lit(0)) == 0, "no lines"), F.when(F.col("worst") >= 0.1, "discount"))
+    return rows.select("o_orderkey", F.coalesce(*stages, F.lit("ok")).alias("stage"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey, c_name, n_name, r_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def resolve_ref_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, orders, customer, nation, region = (table(spark, sf_dir, x) for x in ("lineitem", "orders", "customer", "nation", "region"))
+    named = F.broadcast(nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).select("n_nationkey", "n_name", "r_name"))
+    who = customer.join(named, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_name", "n_name", "r_name")
+    of = orders.select("o_orderkey", "o_custkey").join(who, F.col("o_custkey") == F.col("c_custkey"))
+    return items.select("l_orderkey", "l_linenumber", "l_partkey").join(of, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "l_partkey", "c_name", "n_name", "r_name")
+
+
+@query("""
+WITH s AS (SELECT n_nationkey, coalesce((SELECT min(s_name) FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000), NULL) AS a,
+  (SELECT min(c_name) FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9900) AS b, (SELECT min(c_name) FROM customer WHERE c_nationkey = n_nationkey) AS c FROM nation)
+SELECT n_nationkey, CASE WHEN a IS NOT NULL THEN 0 WHEN b IS NOT NULL THEN 1 WHEN c IS NOT NULL THEN 2 END AS store_rank, coalesce(a, b, c) AS holder FROM s""")
+def first_store_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    supplier, customer = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
+    held = lambda rows, nation, name: rows.groupBy(F.col(nation).alias("n_nationkey")).agg(F.min(name).alias("holder"))
+    stores = [held(supplier.filter("s_acctbal > 9000"), "s_nationkey", "s_name"), held(customer.filter("c_acctbal > 9900"), "c_nationkey", "c_name"), held(customer, "c_nationkey", "c_name")]
+    return store.first_store_wins(table(spark, sf_dir, "nation").select("n_nationkey"), stores, "n_nationkey", "holder")
+
+
+_ASKED = ("small ring", "bolt", "red", "gear", "nothing")
+
+
+@query(f"""
+WITH q(asked) AS (VALUES {", ".join(f"('{x}')" for x in _ASKED)}),
+m AS (SELECT asked, p_partkey, CASE WHEN p_name = asked THEN 1 WHEN ends_with(p_name, ' ' || asked) THEN 2 WHEN p_name = asked || ' widget' THEN 3 END AS tier FROM q, part)
+SELECT asked, tier, min(p_partkey) AS p_partkey FROM m WHERE tier IS NOT NULL QUALIFY true GROUP BY asked, tier HAVING tier = (SELECT min(tier) FROM m x WHERE x.asked = m.asked)""".replace(" QUALIFY true", ""))
+def name_match_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact name, then a suffix after a space, then the name with its default suffix. The names asked for are few; each tier is an equi-join."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    asked = F.broadcast(spark.createDataFrame([(x,) for x in _ASKED], "asked string"))
+    ends = part.select("p_partkey", F.explode(F.transform(F.sequence(F.lit(2), F.size(F.split("p_name", " "))), lambda i: F.array_join(F.slice(F.split("p_name", " "), i, 100), " "))).alias("asked"))
+    ends = ends.filter(F.size(F.split("asked", " ")) > 0)
+    tiers = (part.select("p_partkey", F.col("p_name").alias("asked"), F.lit(1).alias("tier")), ends.select("p_partkey", "asked", F.lit(2).alias("tier")), part.filter(F.col("p_name").endswith(" widget")).select("p_partkey", F.expr("left(p_name, length(p_name) - 7)").alias("asked"), F.lit(3).alias("tier")))
+    hits = tiers[0].unionAll(tiers[1]).unionAll(tiers[2]).join(asked, "asked", "left_semi")
+    return hits.groupBy("asked").agg(F.min(F.struct("tier", "p_partkey")).alias("best")).select("asked", "best.*")
+
+
+@query("""
+WITH a AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem),
+b AS (SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey) AS pos FROM lineitem)
+SELECT a.l_orderkey, a.pos - 1 AS pos, a.l_partkey, b.l_suppkey FROM a JOIN b ON a.l_orderkey = b.l_orderkey AND a.pos = b.pos""")
+def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("a"), F.sort_array(F.collect_list("l_suppkey")).alias("b"))
+    zipped = rows.select("l_orderkey", F.posexplode(F.arrays_zip(F.col("a.l_partkey").alias("x"), F.col("b").alias("y"))).alias("pos", "z"))
+    return zipped.select("l_orderkey", F.col("pos").cast("long").alias("pos"), F.col("z.x").alias("l_partkey"), F.col("z.y").alias("l_suppkey"))
+
+
+_RULES = ("/.* any_t", "/PROMO(/.*)? promo_t", r"/.*/small\s.* small_t", "/[A-M].*/.*ring -- ring_t", "/ECONOMY/.*bolt <<none>>", "/LARGE/old.* -d old_t")
+_CASES = [(r"/.*.", "any_t"), (r"/PROMO(/.*)?.", "promo_t"), (r"/.*/small .*.", "small_t"), (r"/[A-M].*/.*ring-", "ring_t"), (r"/ECONOMY/.*bolt.", "<<none>>"), (r"/LARGE/old.*d", "old_t")]
+
+
+@query("""
+WITH r(idx, pattern, context) AS (VALUES """ + ", ".join(f"({k}, '{p}', '{c}')" for k, (p, c) in enumerate(_CASES)) + """),
+m AS (SELECT p_partkey, arg_max(context, idx) AS context FROM part JOIN r ON regexp_full_match('/' || p_type || '/' || p_name || '-', pattern) GROUP BY 1)
+SELECT p_partkey, nullif(context, '<<none>>') AS label FROM part LEFT JOIN m USING (p_partkey)""")
+def regex_label_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("/"), "p_type", F.lit("/"), "p_name")
+    return table(spark, sf_dir, "part").select("p_partkey", label.label(path, F.lit("reg"), label.rules(list(_RULES))).alias("label"))
+
+
+@query("""
+WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages), q AS (SELECT page_id, path, string_split(trim(path, '/'), '/') AS s FROM p)
+SELECT page_id, CASE WHEN s[1] = 'en' THEN '/usr/english' || CASE WHEN len(s) > 1 THEN '/' || array_to_string(s[2:], '/') ELSE '' END
+  WHEN s[1] = 'de' THEN '/deutsch' || CASE WHEN len(s) > 1 THEN '/' || array_to_string(s[2:], '/') ELSE '' END
+  ELSE CASE WHEN trim(path, '/') = '' THEN '/' ELSE '/' || array_to_string(s, '/') END END AS path FROM q""")
+def alias_substitution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.regexp_extract("url", r"\A[a-z]+://[^/?#]*([^?#]*)", 1)
+    return table(spark, sf_dir, "pages").select("page_id", label.aliased(path, {"/en": "/usr/english", "/de": "/deutsch"}).alias("path"))
+
+
+@query("SELECT page_id, replace(replace(url, '%', '%25'), '/', '%2F') AS encoded, url AS decoded, NOT starts_with(url, '@') AS valid FROM pages")
+def tag_encode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = text.encode_tag(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", encoded.alias("encoded"), text.decode_tag(encoded).alias("decoded"), text.valid_ref_name(F.col("url")).alias("valid"))
+
+
+@query("""
+WITH p AS (SELECT page_id, '/' || trim(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '/') AS path FROM pages)
+SELECT page_id, path, len(string_split(path, '/')) - 1 AS depth, regexp_extract(path, '([^/]*)$', 1) AS name,
+       CASE WHEN regexp_extract(path, '^(.*)/[^/]*$', 1) = '' THEN '/' ELSE regexp_extract(path, '^(.*)/[^/]*$', 1) END AS parent FROM p""")
+def split_path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select("page_id", paths.absolute(F.regexp_extract("url", r"\A[a-z]+://([^?#]*)", 1)).alias("path"))
+    return rows.select("page_id", "path", F.size(paths.parts(F.col("path"))).cast("long").alias("depth"), paths.name(F.col("path")).alias("name"), paths.parent(F.col("path")).alias("parent"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, coalesce(json_extract_string(props, '$.missing'), 'none') AS other FROM events")
+def key_value_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    props = F.from_json("props", "map<string, string>")
+    return table(spark, sf_dir, "events").select("event_id", text.first_of(props, ["absent", "k"]).cast("long").alias("k"), F.coalesce(props["missing"], F.lit("none")).alias("other"))
+
+
+@query(r"""SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS tokens, nullif(regexp_extract(text, '(?:^|[\x20\x09-\x0D])(th[^\x20\x09-\x0D]*)', 1), '') AS value FROM documents""")
+def cmdline_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = text.split_words(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(tokens).cast("long").alias("tokens"), text.first_with_prefix(tokens, "th").alias("value"))
+
+
+@query("SELECT event_type AS segment, count(*) AS n, CAST(sum(length(props)) AS BIGINT) AS bytes, round(100.0 * sum(length(props)) / sum(sum(length(props))) OVER (), 6) AS percent FROM events GROUP BY 1")
+def space_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sums = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("segment")).agg(F.count("*").alias("n"), F.sum(F.length("props")).alias("bytes"))
+    total = sums.agg(F.sum("bytes").alias("total"))
+    return sums.crossJoin(F.broadcast(total)).select("segment", "n", "bytes", F.round(F.lit(100.0) * F.col("bytes") / F.col("total"), 6).alias("percent"))
+
+
+@query("SELECT user_id, event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap_us, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_type FROM events")
+def gap_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    us = text.micros(F.col("ts"))
+    return table(spark, sf_dir, "events").select("user_id", "event_id", (us - F.lag(us).over(order)).alias("gap_us"), F.lag("event_type").over(order).alias("prev_type"))
+
+
+@query("SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents ORDER BY size DESC, doc_id LIMIT 25")
+def size_desc_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("size")).orderBy(F.desc("size"), "doc_id").limit(25)
+
+
+@query("SELECT c_name AS name, c_custkey FROM customer ORDER BY c_name LIMIT 50 OFFSET 100")
+def paged_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), "c_custkey").orderBy("name").offset(100).limit(50)
+
+
+@query("""
+WITH f AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS features FROM events WHERE event_id % 7 = user_id % 7 GROUP BY 1)
+SELECT user_id, CASE WHEN list_contains(features, 'error') THEN 'rejected' WHEN list_contains(features, 'signup') THEN 'read-only' ELSE 'read-write' END AS outcome,
+       array_to_string(list_filter(features, lambda x: x NOT IN ('click', 'view', 'purchase')), ',') AS unknown FROM f""")
+def feature_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose id and user agree modulo 7 stand for a user's feature flags."""
+    flags = table(spark, sf_dir, "events").filter("event_id % 7 = user_id % 7").groupBy("user_id").agg(F.sort_array(F.collect_set("event_type")).alias("features"))
+    known = F.array(*map(F.lit, ("click", "view", "purchase")))
+    unknown = F.array_except("features", known)
+    outcome = F.when(F.array_contains(unknown, "error"), "rejected").when(F.array_contains(unknown, "signup"), "read-only").otherwise("read-write")
+    return flags.select("user_id", outcome.alias("outcome"), F.array_join(unknown, ",").alias("unknown"))
+
+
+@query("""
+SELECT o_orderkey, o_orderstatus AS status, CAST(count(l_linenumber) AS BIGINT) AS n_lines, CAST(coalesce(sum(l_partkey), 0) AS BIGINT) AS parts_sum
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL""")
+def inspect_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order and its lines composed as JSON; what is read back from it is compared."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("lines"))
+    rows = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    made = rows.select("o_orderkey", F.to_json(F.struct(F.struct(F.col("o_orderstatus").alias("status")).alias("manifest"), F.coalesce("lines", F.array()).alias("layers"))).alias("json"))
+    back = F.from_json("json", "manifest struct<status: string>, layers array<struct<l_linenumber: int, l_partkey: bigint>>")
+    read = made.select("o_orderkey", back.alias("x"))
+    return read.select("o_orderkey", F.col("x.manifest.status").alias("status"), F.size("x.layers").cast("long").alias("n_lines"), F.aggregate("x.layers", F.lit(0).cast("long"), lambda a, y: a + y["l_partkey"]).alias("parts_sum"))
+
+
+@query("""
+SELECT l_orderkey AS layer, count(*) AS entry_count, CAST(sum(CASE WHEN l_quantity > 10 THEN l_quantity ELSE 0 END) AS BIGINT) AS external_size,
+       count(DISTINCT CASE WHEN l_quantity > 10 THEN l_partkey END) AS external_objects, CAST(sum(l_quantity) - sum(CASE WHEN l_quantity > 10 THEN l_quantity ELSE 0 END) AS BIGINT) AS inline_size
+FROM lineitem GROUP BY 1""")
+def layer_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    external = F.col("l_quantity") > 10
+    size = F.sum(F.when(external, F.col("l_quantity")).otherwise(0))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("layer"))
+    return rows.agg(F.count("*").alias("entry_count"), size.cast("long").alias("external_size"), F.size(F.collect_set(F.when(external, F.col("l_partkey")))).cast("long").alias("external_objects"), F.greatest(F.sum("l_quantity") - size, F.lit(0)).cast("long").alias("inline_size"))
+
+
+@query()
+def verity_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle digests of all documents, by expressions alone."""
+    return table(spark, sf_dir, "documents").select("doc_id", digest.verity(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("""
+SELECT 1 AS entry_kind, 'text entry' AS name, p_partkey AS id FROM part WHERE ends_with(p_name, 'ring')
+UNION ALL SELECT 2, 'unified image', p_partkey FROM part WHERE starts_with(p_name, 'red ')
+UNION ALL SELECT 3, 'kernel ' || p_type, p_partkey FROM part WHERE p_size = 1""")
+def boot_entry_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    kind = lambda k, rows, name: rows.select(F.lit(k).alias("entry_kind"), name.alias("name"), F.col("p_partkey").alias("id"))
+    return (
+        kind(1, part.filter(F.col("p_name").endswith("ring")), F.lit("text entry"))
+        .unionAll(kind(2, part.filter(F.col("p_name").startswith("red ")), F.lit("unified image")))
+        .unionAll(kind(3, part.filter("p_size = 1"), F.concat(F.lit("kernel "), "p_type")))
+    )
+
+
+@query("SELECT c_nationkey AS node, row_number() OVER (ORDER BY c_nationkey) - 1 AS idx, n FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1)")
+def remap_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids numbered anew without gaps."""
+    rows = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("node")).agg(F.count("*").alias("n"))
+    return numbered(rows, ["node"], "idx")
+
+
+@query("SELECT doc_id, sha256(text) AS object_id FROM documents d WHERE doc_id = (SELECT min(doc_id) FROM documents x WHERE x.text = d.text) AND NOT EXISTS (SELECT 1 FROM documents y JOIN labels USING (doc_id) WHERE y.text = d.text)")
+def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against a store that holds the labelled ones: the first row of each object that the store lacks."""
+    docs = objects(spark, sf_dir).select("doc_id", "object_id")
+    held = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("object_id").distinct()
+    first = docs.groupBy("object_id").agg(F.min("doc_id").alias("doc_id"))
+    return store.absent(first, held).select("doc_id", "object_id")
