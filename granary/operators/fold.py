@@ -25,7 +25,8 @@ def events(entries: DataFrame) -> DataFrame:
     beside = F.when(above == "/", F.concat(F.lit("/"), F.substring(name, 5, 1 << 20))).otherwise(F.concat(above, F.lit("/"), F.substring(name, 5, 1 << 20)))
     kind = F.when(name == OPAQUE, "opaque").when(name.startswith(WHITEOUT), "whiteout").otherwise("put")
     rows = entries.withColumns({"seq": F.struct("layer_idx", "entry_idx"), "event": kind})
-    return rows.withColumn("about", F.when(F.col("event") == "opaque", above).when(F.col("event") == "whiteout", beside).otherwise(F.col("path")))
+    # A bare ".wh." names nothing and so removes nothing.
+    return rows.withColumn("about", F.when(F.col("event") == "opaque", above).when((F.col("event") == "whiteout") & (name != WHITEOUT), beside).otherwise(F.col("path")))
 
 
 def kills(found: DataFrame) -> DataFrame:
