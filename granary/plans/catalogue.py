@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import digest, paths, text
 from ..operators import fold, graph, label, store, tree
 from ..operators.common import numbered
+from ..sources import archive, dumpfile, erofs, splitstream
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -504,3 +507,81 @@ def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("object_id").distinct()
     first = docs.groupBy("object_id").agg(F.min("doc_id").alias("doc_id"))
     return store.absent(first, held).select("doc_id", "object_id")
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS stream_id, CAST(sum(octet_length(encode(text))) AS BIGINT) AS size, sha256(string_agg(text, '' ORDER BY turn)) AS content FROM conversations GROUP BY 1")
+def stream_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as stream files, long turns as objects; decoded and put together again."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("seq"), F.col("text").cast("binary").alias("data"))
+    long = F.octet_length("data") > 64
+    chunks = turns.select("stream_id", "seq", F.when(~long, F.col("data")).alias("inline"), F.when(long, F.sha2("data", 256)).alias("object_id"), F.octet_length("data").cast("long").alias("size"))
+    files = splitstream.encoded(chunks)
+    held = turns.filter(long).select(F.sha2("data", 256).alias("object_id"), "data").dropDuplicates(["object_id"])
+    back = store.reassembled(splitstream.chunk_rows(files.withColumnRenamed("stream_id", "name")), held)
+    sizes = splitstream.headers(files).select("stream_id", F.col("total_size").alias("size"))
+    return back.join(sizes, "stream_id").select("stream_id", "size", F.sha2("data", 256).alias("content"))
+
+
+def customer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, body) of a customer's orders as small files: few for each customer."""
+    orders = table(spark, sf_dir, "orders")
+    body = F.repeat(F.concat("o_orderpriority", F.lit("|")), (F.col("o_orderkey") % 12).cast("int"))
+    return orders.select(F.col("o_custkey").cast("string").alias("image_id"), F.col("o_orderkey").cast("string").alias("name"), body.cast("binary").alias("body"))
+
+
+_FILES = "SELECT CAST(o_custkey AS VARCHAR) AS owner, CAST(o_orderkey AS VARCHAR) AS name, repeat(o_orderpriority || '|', CAST(o_orderkey % 12 AS INTEGER)) AS body FROM orders"
+
+
+def _tar(files: list) -> bytes:
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w", format=tarfile.PAX_FORMAT) as tar:
+        for f in sorted(files, key=lambda f: f.name):
+            member = tarfile.TarInfo(f"orders/{f.name}")
+            member.size = len(f.body)
+            tar.addfile(member, io.BytesIO(bytes(f.body)))
+    return out.getvalue()
+
+
+@query(f"""
+WITH f AS ({_FILES}) SELECT owner AS archive, row_number() OVER (PARTITION BY owner ORDER BY name) - 1 AS entry_idx, '/orders/' || name AS path, 'reg' AS kind, length(body) AS size,
+       CASE WHEN length(body) <= 64 THEN body END AS inline FROM f""")
+def archive_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tar archive of each customer's orders, and its entries read back."""
+    made = customer_files(spark, sf_dir).groupBy("image_id").agg(F.collect_list(F.struct("name", "body")).alias("files"))
+    tars = made.select(F.col("image_id").alias("path"), F.udf(_tar, "binary", useArrow=False)("files").alias("content"))
+    return archive.entry_rows(tars).select("archive", "entry_idx", F.col("path").cast("string").alias("path"), "kind", "size", F.col("inline").cast("string").alias("inline"))
+
+
+@query(f"""
+WITH f AS ({_FILES}) SELECT owner AS image_id, '/' || name AS path, 'reg' AS kind, CASE WHEN length(body) > 64 THEN sha256(body) END AS object_id, length(body) AS size FROM f
+UNION ALL SELECT DISTINCT owner, '/', 'dir', NULL, 0 FROM f""")
+def image_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file system image of each customer's orders, encoded and decoded."""
+    files = customer_files(spark, sf_dir)
+    long = F.octet_length("body") > 64
+    nothing = F.lit(None).cast("binary")
+    stat = [F.lit(0o644).alias("mode"), F.lit(0).cast("long").alias("uid"), F.lit(0).cast("long").alias("gid"), F.lit(1000).cast("long").alias("mtime")]
+    leaves = files.select("image_id", F.concat(F.lit("/"), "name").cast("binary").alias("path"), F.lit("reg").alias("kind"), *stat, F.octet_length("body").cast("long").alias("size"), F.when(~long, F.col("body")).alias("inline"), F.when(long, F.sha2("body", 256)).alias("object_id"))
+    roots = files.select("image_id").distinct().select("image_id", F.lit("/").cast("binary").alias("path"), F.lit("dir").alias("kind"), *stat, F.lit(0).cast("long").alias("size"), nothing.alias("inline"), F.lit(None).cast("string").alias("object_id"))
+    back = erofs.entry_rows(erofs.image_rows(leaves.unionByName(roots)))
+    return back.select("image_id", F.col("path").cast("string").alias("path"), "kind", "object_id", F.when(F.col("inline").isNotNull(), F.octet_length("inline").cast("long")).otherwise(F.col("size")).alias("size"))
+
+
+@query("SELECT p_partkey AS line_no, '/' || p_type || '/' || p_name AS path, p_size AS uid, p_brand || '=x' AS content, 33188 AS mode FROM part")
+def dump_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as dump lines, parsed."""
+    part = table(spark, sf_dir, "part")
+    path = F.replace(F.concat(F.lit("/"), "p_type", F.lit("/"), "p_name"), F.lit(" "), F.lit("\\x20"))
+    lines = part.select(F.col("p_partkey").alias("line_no"), F.concat_ws(" ", path, F.lit("0 100644 1"), "p_size", F.lit("0 0 1000.0 -"), F.concat("p_brand", F.lit("=x")), F.lit("-")).alias("value"))
+    return dumpfile.parsed(lines).filter("error is null").select("line_no", F.col("path").cast("string").alias("path"), F.col("uid").cast("int").alias("uid"), F.col("content").cast("string").alias("content"), "mode")
+
+
+@query("""
+WITH e AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag FROM lineitem)
+SELECT l_returnflag AS kind, count(DISTINCT l_partkey) AS objects, count(*) AS refs FROM e WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 45) GROUP BY 1""")
+def objects_for_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct objects and references by kind, of those that the store holds."""
+    gone = table(spark, sf_dir, "part").filter("p_size > 45").select(F.col("p_partkey").alias("l_partkey"))
+    held = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_partkey").join(gone, "l_partkey", "left_anti")
+    per = held.groupBy("l_returnflag", "l_partkey").agg(F.count("*").alias("n"))
+    return per.groupBy(F.col("l_returnflag").alias("kind")).agg(F.count("*").alias("objects"), F.sum("n").alias("refs"))
