@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.digest import ALGORITHMS, verity
 from ..schemas import META_JSON
+from .common import one_row
 
 COLUMNS = ("type", "path", "object_id", "ref_name", "detail")
 KNOWN_VERSION = 1
@@ -88,7 +89,7 @@ def counts(held: DataFrame, streams: DataFrame, images: DataFrame, found: DataFr
     """One row: how much was checked and how many errors there are; sound where there are none."""
     checked = [held.agg(F.count("*").alias("objects_checked")), streams.agg(F.count("*").alias("streams_checked")), images.agg(F.count("*").alias("images_checked"))]
     wrong = found.agg(F.count("*").alias("errors"), F.count_if(F.col("type").startswith("object ")).alias("objects_corrupted"), F.count_if(F.col("type").startswith("broken")).alias("broken_links"), F.count_if(F.col("type").startswith("missing")).alias("missing_objects"))
-    return reduce(DataFrame.crossJoin, [*checked, wrong]).withColumn("is_ok", F.col("errors") == 0)
+    return one_row([*checked, wrong]).withColumn("is_ok", F.col("errors") == 0)
 
 
 def tagged_images(tags: DataFrame, manifests: DataFrame, configs: DataFrame, known_objects: DataFrame) -> DataFrame:

@@ -35,3 +35,12 @@ def numbered(df: DataFrame, order: list[str | Column], name: str = "idx", start:
         return held.withColumn(name, F.lit(None).cast("long")).drop("_at")
     base = F.element_at(F.create_map(*(F.lit(x).cast("long") for pair in before.items() for x in pair)), part)
     return held.withColumn(name, place + base).drop("_at")
+
+
+def one_row(frames: list[DataFrame]) -> DataFrame:
+    """Frames of one row and different columns as one row."""
+    names = [x for f in frames for x in f.columns]
+    every = frames[0]
+    for f in frames[1:]:
+        every = every.unionByName(f, allowMissingColumns=True)
+    return every.agg(*(F.max(x).alias(x) for x in names))

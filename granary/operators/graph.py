@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, one_row
 
 
 def closure(edges: DataFrame, roots: DataFrame, node: str = "node", depth: int | None = None) -> DataFrame:
@@ -67,7 +67,7 @@ def gc(objects: DataFrame, refs: DataFrame, streams: DataFrame, images: DataFram
     live = cut(live_objects(refs, streams, images, image_objects, extra))
     stays = lambda df: df.join(live, "object_id", "left_semi")
     gone = objects.join(live, "object_id", "left_anti")
-    pruned = lambda df: df.join(live, "object_id", "left_anti").agg(F.count("*"))
-    counts = gone.agg(F.count("*").alias("objects_removed"), F.coalesce(F.sum("size"), F.lit(0)).alias("objects_bytes"))
-    counts = counts.crossJoin(pruned(images).toDF("images_pruned")).crossJoin(pruned(streams).toDF("streams_pruned"))
+    size = lambda df, name: df.join(live, "object_id", "left_anti").agg(F.count("*").alias(name))
+    removed = gone.agg(F.count("*").alias("objects_removed"), F.coalesce(F.sum("size"), F.lit(0)).alias("objects_bytes"))
+    counts = one_row([removed, size(images, "images_pruned"), size(streams, "streams_pruned")])
     return stays(objects), stays(streams), stays(images), counts

@@ -39,14 +39,6 @@ def label(path: Column, kind: Column, found: list[tuple[str, str]]) -> Column:
     return F.nullif(F.coalesce(*hits, F.lit(NONE)), F.lit(NONE))
 
 
-def by_table(rows: DataFrame, specs: DataFrame, subject: str, key: list[str]) -> DataFrame:
-    """Labels by a table of rules (idx, pattern, context), for sets of rules made by queries. The rules go to every task, so the table must be
-    small: ``label`` is the way for rules that were read."""
-    hits = rows.join(F.broadcast(specs), F.expr(f"`{subject}` rlike pattern"), "left")
-    best = hits.groupBy(*key).agg(F.max_by("context", "idx").alias("context"))
-    return best.withColumn("context", F.nullif("context", F.lit(NONE)))
-
-
 def aliased(path: Column, aliases: dict[str, str]) -> Column:
     """A path with exact substitutions at each directory step: what is replaced above carries on below."""
     names = F.filter(F.split(path, "/"), lambda x: x != "")
@@ -61,6 +53,38 @@ def aliased(path: Column, aliases: dict[str, str]) -> Column:
     return F.coalesce(F.nullif(F.aggregate(names, F.lit(""), step), F.lit("")), F.lit("/"))
 
 
+def selinux_type(config: str) -> str | None:
+    """The policy that a configuration's first SELINUXTYPE= names."""
+    for line in config.splitlines():
+        key, found, value = line.partition("=")
+        if found and key.strip().upper() == "SELINUXTYPE":
+            return value.strip()
+    return None
+
+
+def substitutions(lines: list[str]) -> dict[str, str]:
+    """Path aliases, the last of a path counting."""
+    pairs = [x.split() for x in lines if x.strip() and not x.startswith("#")]
+    if any(len(x) != 2 for x in pairs):
+        raise ValueError("an alias of other than two fields")
+    return dict(pairs)
+
+
+def load_policy(tree: DataFrame) -> tuple[list[tuple[str, str]], dict[str, str]] | None:
+    """Rules and aliases of the policy that a tree (path, content) holds; None where it has none. A handful of named files are read."""
+    text_of = lambda *at: {r.path: bytes(r.content).decode() if isinstance(r.content, bytes | bytearray) else r.content for r in tree.filter(F.col("path").isin(*at) & F.col("content").isNotNull()).select("path", "content").collect()}
+    name = selinux_type(text_of("/etc/selinux/config").get("/etc/selinux/config", ""))
+    if name is None:
+        return None
+    base = f"/etc/selinux/{name}/contexts/files/file_contexts"
+    files = text_of(*(base + x for x in ("", ".local", ".homedirs", ".subs", ".subs_dist")))
+    if base not in files:
+        return None
+    lines = [y for x in ("", ".local", ".homedirs") for y in files.get(base + x, "").splitlines()]
+    aliases = [y for x in (".subs", ".subs_dist") for y in files.get(base + x, "").splitlines()]
+    return rules(lines), substitutions(aliases)
+
+
 def relabelled(entries: DataFrame, found: list[tuple[str, str]] | None, aliases: dict[str, str] | None = None, xattr: str = "security.selinux") -> DataFrame:
     """entries with the label in xattrs (string keys and values), or without any label where there are no rules. A leaf with
     several paths has the label of its last path in tree order."""

@@ -79,7 +79,7 @@ def cleared(entries: DataFrame, dirs: list[str]) -> DataFrame:
 
 
 def taken_from(entries: DataFrame, of: str, to: list[str], fields: list[str]) -> DataFrame:
-    """Stat fields of the named rows replaced by those of one row, such as the root's by those of /usr. One row is looked up."""
+    """Stat fields of the named rows replaced by those of one row, such as the root's by those of /usr. One row is looked up, and goes to every task."""
     source = entries.filter(F.col("path") == of).select(*(F.col(x).alias(f"_{x}") for x in fields)).limit(1)
     rows = entries.join(F.broadcast(source), how="left")
     return rows.withColumns({x: F.when(F.col("path").isin(to), F.coalesce(f"_{x}", x)).otherwise(F.col(x)) for x in fields}).drop(*(f"_{x}" for x in fields))

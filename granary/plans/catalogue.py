@@ -415,8 +415,9 @@ def cmdline_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type AS segment, count(*) AS n, CAST(sum(length(props)) AS BIGINT) AS bytes, round(100.0 * sum(length(props)) / sum(sum(length(props))) OVER (), 6) AS percent FROM events GROUP BY 1")
 def space_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("segment")).agg(F.count("*").alias("n"), F.sum(F.length("props")).alias("bytes"))
-    total = sums.agg(F.sum("bytes").alias("total"))
-    return sums.crossJoin(F.broadcast(total)).select("segment", "n", "bytes", F.round(F.lit(100.0) * F.col("bytes") / F.col("total"), 6).alias("percent"))
+    # One row for each segment kind is left by now, so a sum over all of them is small.
+    total = F.sum("bytes").over(Window.partitionBy())
+    return sums.withColumn("total", total).select("segment", "n", "bytes", F.round(F.lit(100.0) * F.col("bytes") / F.col("total"), 6).alias("percent"))
 
 
 @query("SELECT user_id, event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap_us, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_type FROM events")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from . import schemas
 from .functions.digest import verity_bytes
 from .operators import boot, catalog, check, fold, graph, store, tree
-from .sources import archive, dumpfile, erofs, splitstream
+from .sources import archive, dumpfile, erofs, oci, splitstream
 
 ORDER = ("objects", "streams", "images", "manifests", "configs", "referrers", "refs")
 SCHEMAS = {
@@ -268,6 +268,25 @@ class Repository:
         self._commit(tables)
         return digest
 
+    def pull_layout(self, path: str, name: str | None = None) -> str:
+        """Imports an image from a layout in a folder, under its tag there."""
+        manifest, config, layers = oci.image(self.spark, path, name)
+        return self.pull(manifest, config, layers, name)
+
+    def upgrade(self) -> dict[str, int]:
+        """Makes the file system images that tagged images lack; how many were made, were there, or are no images."""
+        found = catalog.upgrade_outcomes(self.table("refs"), self.table("manifests"), self.table("configs"))
+        counts = {r.outcome: r.n for r in found.groupBy("outcome").agg(F.count("*").alias("n")).collect()}
+        for row in found.filter("outcome = 'upgraded'").select("digest").collect():
+            self.mount_image("@" + row.digest)
+        return counts
+
+    def remove_boot_image(self, reference: str) -> None:
+        """Takes the boot image's name from the image's configuration; garbage collection takes the rest."""
+        manifest = catalog.resolve(self.table("refs"), self.table("manifests"), reference).first()
+        gone = self.spark.createDataFrame([(manifest.config_digest, None)], "digest string, image_id string")
+        self._commit({"configs": catalog.with_image(self.table("configs"), gone, boot=True)})
+
     def oci_images(self) -> DataFrame:
         return catalog.images(self.table("refs"), self.table("manifests"), self.table("configs"), self.table("referrers"))
 
