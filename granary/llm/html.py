@@ -47,8 +47,11 @@ OUT = frozenset("nav footer aside form button select dialog menu".split())
 HINTS = frozenset(
     """ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr notice notices notification popup modal overlay
     newsletter subscribe subscription signup nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer header masthead toolbar share sharing social comment comments commentlist respond
-    reply replies discussion disqus related recommended recommendations widget widgets login search pagination pager copyright skip contentinfo complementary alert""".split()
+    reply replies discussion disqus related recommended recommendations widget widgets login search pagination pager copyright skip contentinfo complementary alert announcement disclaimer paywall rail
+    promoted adsbygoogle adslot adbox outbrain taboola""".split()
 )
+#: Words of class and id that mark the text where a page has no article.
+CONTENT = frozenset("content post entry article story".split())
 #: Of these, an article within frees itself: such names often stand on wrappers of the whole page.
 SOFT = frozenset("header banner sidebar menu nav widget search login notice ads ad overlay modal social share footer".split())
 NEVER_HINTED = frozenset("html body main article".split())
@@ -56,7 +59,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*"[^"]*"|=\s*'[^']*'|=)*+)(>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 _NAMED = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _WORD = re.compile(r"[^\W\d_]+")
 _ENDS = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for x in RAW}
 
@@ -64,7 +67,7 @@ _ENDS = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for x in RAW}
 class Block:
     __slots__ = ("chars", "heading", "inside", "kind", "links", "out", "text", "words")
 
-    def __init__(self, text: str, links: int, out: bool, inside: bool, heading: bool):
+    def __init__(self, text: str, links: int, out: bool, inside: int, heading: bool):
         self.text, self.links, self.out, self.inside, self.heading = text, links, out, inside, heading
         self.chars = len(text)
         self.kind = ""
@@ -84,8 +87,8 @@ def hints(attributes: str) -> set[str]:
 
 def blocks(html: str) -> Iterator[Block]:
     """The blocks of a page in its order."""
-    # Open elements: name, boilerplate ("" or why), within an article, link.
-    stack: list[tuple[str, str, bool, bool]] = []
+    # Open elements: name, boilerplate ("" or why), within an article (2) or something named like one (1), link.
+    stack: list[tuple[str, str, int, bool]] = []
     pieces: list[str] = []
     links = 0
 
@@ -96,9 +99,9 @@ def blocks(html: str) -> Iterator[Block]:
         pieces.clear()
         if not text:
             return None
-        _, out, inside, _ = stack[-1] if stack else ("", "", False, False)
+        _, out, inside, _ = stack[-1] if stack else ("", "", 0, False)
         heading = any(x[0] in HEADINGS for x in stack)
-        return Block(text, n, bool(out) and not (out == "header" and inside and heading), inside, heading)
+        return Block(text, n, bool(out) and not (out == "header" and inside == 2 and heading), inside, heading)
 
     at, size = 0, len(html)
     while at < size:
@@ -144,12 +147,14 @@ def blocks(html: str) -> Iterator[Block]:
                     break
         if name in VOID:
             continue
-        _, out, inside, link = stack[-1] if stack else ("", "", False, False)
+        _, out, inside, link = stack[-1] if stack else ("", "", 0, False)
         said = hints(token[3]) if token[3] else set()
         if name in ("article", "main") or "main" in said and name in ("div", "section") and not said & HINTS:
             if out in SOFT and not said & HINTS:
                 out = ""
-            inside = inside or not out
+            inside = inside if out else 2
+        elif said & CONTENT and not said & HINTS and name in ("div", "section", "td") and not out:
+            inside = max(inside, 1)
         if "hidden" in said:
             out = "hidden"
         elif not out:
@@ -166,7 +171,8 @@ def blocks(html: str) -> Iterator[Block]:
 
 def classify(found: list[Block]) -> list[Block]:
     """Labels every block good or bad and returns the good ones."""
-    has_article = any(b.inside and not b.out for b in found)
+    # Where a page has an article, what is named like one does not count.
+    level = max((b.inside for b in found if not b.out), default=0)
     common = 0
     for b in found:
         if not b.out:
@@ -175,7 +181,7 @@ def classify(found: list[Block]) -> list[Block]:
             common += b.words[1]
     # First pass.
     for b in found:
-        if b.out or (has_article and not b.inside):
+        if b.out or b.inside < level:
             b.kind = "out"
             continue
         density = b.links / max(1, len(b.text.replace(" ", "")))

@@ -33,6 +33,12 @@ def test_an_article_needs_no_stop_words():
     assert html.main_text("<nav>menu</nav><article><header><h1>Xyz</h1><p>by someone</p></header><p>qwr plk</p><p>" + "xkcd " * 40 + "</p></article><p>" + ARTICLE) == "Xyz\nqwr plk\n" + ("xkcd " * 40).strip()
 
 
+def test_a_named_container_counts_where_there_is_no_article():
+    body = "<div class='pageHeader'>Site</div><p>Outside. " + ARTICLE + "</p><div id='postContent'><h1>Title</h1><p>a | b | c</p><div class='AD'>buy</div></div>"
+    assert html.main_text(body) == "Title\na | b | c"
+    assert html.main_text(f"<div class=content><p>{ARTICLE}</p><article><p>inner</p></article></div>") == "inner"
+
+
 def test_second_pass_takes_the_nearest_label():
     bad = "<p><a href=1>links and more links and more of the links that go on</a></p>"
     short = "<p>undecided</p>"
