@@ -97,6 +97,15 @@ def resources(tree: DataFrame) -> DataFrame:
     return one.unionAll(two).unionAll(kernels(tree).select(F.lit(3), "kernel_version"))
 
 
+def kernel_entries(found: DataFrame, entry_id: str | None = None, options: str = "") -> DataFrame:
+    """Kernels as text entries: (entry_id, text). Those without an initramfs are left out."""
+    name = F.lit(entry_id) if entry_id else F.col("kernel_version")
+    title = F.coalesce(os_release("os_release")["label"], F.concat(F.lit("Linux "), "kernel_version"))
+    folder = F.concat(F.lit("/"), name, F.lit("/"))
+    lines = [F.concat(F.lit("title "), title), F.concat(F.lit("version "), "kernel_version"), F.concat(F.lit("linux "), folder, F.lit("vmlinuz")), F.concat(F.lit("initrd "), folder, F.lit("initramfs.img")), F.lit(f"options {options}".rstrip())]
+    return found.filter("initramfs is not null").select(name.alias("entry_id"), F.concat(F.array_join(F.array(*lines), "\n"), F.lit("\n")).alias("text"))
+
+
 def with_argument(options: Column, argument: str) -> Column:
     """Kernel options with an argument in place of one of the same key, or at the end."""
     tokens = text.split_cmdline(options)

@@ -86,12 +86,13 @@ def load_policy(tree: DataFrame) -> tuple[list[tuple[str, str]], dict[str, str]]
 
 
 def relabelled(entries: DataFrame, found: list[tuple[str, str]] | None, aliases: dict[str, str] | None = None, xattr: str = "security.selinux") -> DataFrame:
-    """entries with the label in xattrs (string keys and values), or without any label where there are no rules. A leaf with
-    several paths has the label of its last path in tree order."""
-    bare = F.map_filter("xattrs", lambda k, v: k != xattr)
+    """entries with the label in xattrs (string or binary keys and values), or without any label where there are no rules. A leaf
+    with several paths has the label of its last path in tree order."""
+    bare = F.map_filter("xattrs", lambda k, v: k.cast("string") != xattr)
+    kind = entries.schema["xattrs"].dataType
     if found is None:
         return entries.withColumn("xattrs", bare)
     rows = entries.withColumn("_label", label(aliased(F.col("path"), aliases or {}), F.col("kind"), found))
     last = rows.filter("leaf_id is not null").groupBy("leaf_id").agg(F.max_by(F.struct("_label"), F.filter(F.split("path", "/"), lambda x: x != "")).alias("_last"))
     rows = rows.join(last, "leaf_id", "left").withColumn("_label", F.when(F.col("_last").isNotNull(), F.col("_last._label")).otherwise(F.col("_label")))
-    return rows.withColumn("xattrs", F.when(F.col("_label").isNull(), bare).otherwise(F.map_concat(bare, F.create_map(F.lit(xattr), F.col("_label"))))).drop("_label", "_last")
+    return rows.withColumn("xattrs", F.when(F.col("_label").isNull(), bare).otherwise(F.map_concat(bare, F.create_map(F.lit(xattr).cast(kind.keyType), F.col("_label").cast(kind.valueType))))).drop("_label", "_last")

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from . import schemas
 from .functions.digest import verity_bytes
-from .operators import boot, catalog, check, fold, graph, store, tree
-from .sources import archive, dumpfile, erofs, oci, splitstream
+from .operators import boot, catalog, check, fold, graph, label, store, tree
+from .sources import archive, dumpfile, erofs, filesystem, oci, splitstream
 
 ORDER = ("objects", "streams", "images", "manifests", "configs", "referrers", "refs")
 SCHEMAS = {
@@ -99,6 +99,16 @@ class Repository:
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{self.versions[name]}")
 
+    def metadata_json(self) -> str:
+        """The metadata as it is shown."""
+        return json.dumps(self.meta, indent=2) + "\n"
+
+    def write_to_path(self, image_id: str, path: str) -> int:
+        """An image's tree as files in a folder that the executors share: directories first, then files, each by the task that has its
+        row. Hard links become files of their own. How many files were written."""
+        rows = self.entries(image_id).join(self.table("objects").select("object_id", "data"), "object_id", "left")
+        return filesystem.write_rows(rows.withColumn("content", F.coalesce("inline", "data")), path)
+
     @property
     def algorithm(self) -> str:
         return self.meta["algorithm"].split("-")[1]
@@ -189,7 +199,10 @@ class Repository:
             flat = flat.unionByName(usr)
         flat = tree.transform_for_oci(flat)
         if for_boot:
-            flat = tree.emptied_for_boot(flat)
+            # Labels come from the policy in the tree itself; without one, all labels go.
+            known = flat.join(self.table("objects").select("object_id", "data"), "object_id", "left").select("path", F.coalesce("inline", "data").alias("content"))
+            policy = label.load_policy(known)
+            flat = label.relabelled(tree.emptied_for_boot(flat), *(policy or (None,)))
         made = flat.select(F.lit("image").alias("image_id"), F.col("path").cast("binary").alias("path"), "leaf_id", *(F.col(x).alias("target") if x == "target_bytes" else F.col(x) for x in values))
         return bytes(erofs.image_rows(made, self.algorithm).first().content)
 

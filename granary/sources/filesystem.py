@@ -12,6 +12,8 @@ import os
 import stat
 from collections.abc import Iterator
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.digest import verity_bytes
@@ -77,3 +79,29 @@ class TreeSource(DataSource):
 
     def reader(self, schema) -> TreeReader:  # noqa: ANN001
         return TreeReader(self.options["path"], int(self.options.get("partitions", 8)))
+
+
+def write_rows(rows: DataFrame, path: str) -> int:
+    """rows (path, kind, mode, target, content) as a tree below a folder that every executor shares; the number of files. Devices and
+    sockets, which need privileges, are left out. A task that runs again writes the same files."""
+    root = os.fsencode(path.removeprefix("file://").rstrip("/"))
+
+    def write(part: Iterator) -> None:  # noqa: ANN001
+        for r in part:
+            at = root + bytes(r.path).rstrip(b"/")
+            if r.kind == "dir":
+                os.makedirs(at, exist_ok=True)
+            elif r.kind == "reg":
+                draft = at + b".draft-%d" % os.getpid()
+                with open(draft, "wb") as f:
+                    f.write(bytes(r.content or b""))
+                os.chmod(draft, r.mode & 0o777)
+                os.replace(draft, at)
+            elif r.kind == "lnk" and not os.path.lexists(at):
+                os.symlink(bytes(r.target), at)
+
+    dirs = rows.filter("kind = 'dir'")
+    dirs.select("path", "kind").foreachPartition(write)
+    files = rows.filter(F.col("kind").isin("reg", "lnk")).select("path", "kind", "mode", "target", "content")
+    files.foreachPartition(write)
+    return files.count()

@@ -5,7 +5,7 @@ import pytest
 from test_sources import FILES, tar_of
 import tarfile
 
-from granary.operators import catalog
+from granary.operators import boot, catalog
 from granary.repository import Repository, RepositoryError, dump_lines
 from granary.sources.erofs import Node
 
@@ -51,6 +51,9 @@ def test_from_layers_to_image_and_back(spark, tmp_path):
     with pytest.raises(RepositoryError):
         again.dump_files(image_id, ["/nothing"])
     assert [(r.entry_kind, r.name) for r in again.boot_resources(image_id).collect()] == [(3, "6.1")]
+    assert again.write_to_path(image_id, f"file://{tmp_path}/tree") == 6
+    assert (tmp_path / "tree/etc/new").read_bytes() == b"n" * 65 and (tmp_path / "tree/usr/lib/os-release").is_symlink()
+    assert json.loads(again.metadata_json())["algorithm"] == "fsverity-sha256-12"
     assert again.fsck().count() == 0
     assert json.loads(again.inspect("app/one:1").first().json)["config"]["os"] == "linux"
     assert again.gc(dry_run=True).first().objects_removed == 0
@@ -65,6 +68,24 @@ def test_from_layers_to_image_and_back(spark, tmp_path):
         stale.tag("late", digest)
 
 
+def test_boot_entries_and_labels(spark, tmp_path):
+    repo = Repository.init(spark, f"file://{tmp_path}/repo")
+    policy = [("etc/selinux", DIR, b""), ("etc/selinux/config", REG, b"SELINUXTYPE=p\n"), *((f"etc/selinux/p{x}", DIR, b"") for x in ("", "/contexts", "/contexts/files")), ("etc/selinux/p/contexts/files/file_contexts", REG, b"/.* any_t\n/usr/bin/.* -- bin_t\n")]
+    extra = [("usr/lib/modules/6.1/initramfs.img", REG, b"i"), ("boot", DIR, b""), ("boot/loader", DIR, b""), ("boot/loader/entries", DIR, b""), ("boot/loader/entries/x.conf", REG, b"title A b\nlinux /v\n# no\ninitrd /i1\ninitrd /i2\n"), ("boot/v", REG, b"v"), ("sysroot", DIR, b"")]
+    image(spark, repo, "app", [BASE, TOP + policy + extra])
+    plain = repo.mount_image("app")
+    assert [tuple(r) for r in repo.boot_resources(plain).collect()] == [(1, "x"), (3, "6.1")]
+    rows = {r.path: r for r in repo.entries(repo.mount_image("app", for_boot=True)).selectExpr("cast(path as string) path", "kind", "xattrs").collect()}
+    assert "/boot/loader" not in rows and rows["/boot"].kind == "dir"
+    assert {rows[p].xattrs[b"security.selinux"] for p in ("/usr/bin/a", "/usr/bin/b")} == {b"bin_t"} and rows["/etc"].xattrs[b"security.selinux"] == b"any_t"
+    tree = repo.entries(plain).selectExpr("cast(path as string) path", "kind", "inline as content")
+    entries = boot.text_entries(tree)
+    assert [(r.key, r.value) for r in entries.orderBy("position").collect()] == [("title", "A b"), ("linux", "/v"), ("initrd", "/i1"), ("initrd", "/i2")]
+    assert {r.path: r.kind for r in boot.entry_files(entries, tree).collect()} == {"/boot/v": "reg", "/boot/i1": None, "/boot/i2": None}
+    made = boot.kernel_entries(boot.kernels(tree), options="quiet").first()
+    assert made.entry_id == "6.1" and made.text.split("\n")[1:] == ["version 6.1", "linux /6.1/vmlinuz", "initrd /6.1/initramfs.img", "options quiet", ""]
+
+
 def test_images_and_garbage(spark, tmp_path):
     repo = Repository.init(spark, f"file://{tmp_path}/repo")
     root = Node("dir", 0o755, children={b"f": Node("reg", object_id="ab" * 32, size=9), b"g": Node("reg", inline=b"hi")})
