@@ -438,12 +438,12 @@ def paged_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH f AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS features FROM events WHERE event_id % 7 = user_id % 7 GROUP BY 1)
+WITH f AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS features FROM events WHERE value >= 200 GROUP BY 1)
 SELECT user_id, CASE WHEN list_contains(features, 'error') THEN 'rejected' WHEN list_contains(features, 'signup') THEN 'read-only' ELSE 'read-write' END AS outcome,
        array_to_string(list_filter(features, lambda x: x NOT IN ('click', 'view', 'purchase')), ',') AS unknown FROM f""")
 def feature_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events whose id and user agree modulo 7 stand for a user's feature flags."""
-    flags = table(spark, sf_dir, "events").filter("event_id % 7 = user_id % 7").groupBy("user_id").agg(F.sort_array(F.collect_set("event_type")).alias("features"))
+    """The kinds of a user's events of a high value stand for feature flags."""
+    flags = table(spark, sf_dir, "events").filter("value >= 200").groupBy("user_id").agg(F.sort_array(F.collect_set("event_type")).alias("features"))
     known = F.array(*map(F.lit, ("click", "view", "purchase")))
     unknown = F.array_except("features", known)
     outcome = F.when(F.array_contains(unknown, "error"), "rejected").when(F.array_contains(unknown, "signup"), "read-only").otherwise("read-write")
