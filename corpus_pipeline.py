@@ -20,8 +20,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return simhash.deduplicated(docs)
+    """One document of each group of near duplicates stays: fingerprints within three bits, or five-word shingles alike to 0.8."""
+    return simhash.deduplicated(docs, similar=simhash.SIMILAR)
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

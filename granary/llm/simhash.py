@@ -12,6 +12,9 @@ component. The index finds every such link:
 * Two groups are compared only if the bits that both share differ in max_bits places or fewer; the differences accumulated so far
   prune a whole pair of groups at once, blocks first, then leaves.
 
+For texts that are alike but not so close, ``deduplicated`` takes ``similar``: the same index with sampled masks gives pairs of
+up to REACH bits, and those whose five-word shingles are alike enough link too.
+
 A node of any size spreads over tasks, as rows are dealt by ranges of (mask, pattern, Gray rank) rather than by node. Tasks emit a
 spanning forest of the links they find rather than all pairs of a group.
 
@@ -22,6 +25,8 @@ pass through ``deduplicated`` untouched.
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +41,9 @@ from .common import hash128, partitions, remove, small_batches, text_of, written
 
 BITS, MAX_BITS, SHINGLE, SEED = 64, 3, 3, 42
 LEAF, BLOCK = 64, 4096
+#: Similar texts: Jaccard similarity of shingles of so many words; fingerprints of such texts differ in REACH bits at most, nearly
+#: always. SAMPLED masks meet nine of ten such pairs and more (measured in the tests); members of a node look for their nearest among NEAREST.
+SIMILAR, SIMILAR_WORDS, REACH, SAMPLED, NEAREST = 0.8, 5, 12, 64, 1024
 
 _FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -74,6 +82,11 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def code_of(rank: np.ndarray) -> np.ndarray:
+    """The code at a place in the sequence of Gray codes."""
+    return rank ^ (rank >> np.uint64(1))
+
+
 def far_apart(and_a, or_a, and_b, or_b):  # noqa: ANN001, ANN201
     """Bits that all members of one group have set and no member of the other has: differences of every pair between them."""
     return np.bitwise_count((and_a & ~or_b) | (and_b & ~or_a))
@@ -115,10 +128,9 @@ def masks(max_bits: int) -> list[int]:
     return [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:], strict=False)]
 
 
-def links(codes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Links between the distinct fingerprints in column ``code``: rows (a, b) that connect what all links connect."""
-    spark, parts = codes.sparkSession, partitions(codes.sparkSession)
-    keep = masks(max_bits)
+def nodes(codes: DataFrame, keep: list[int]) -> DataFrame:
+    """A row (mask, pattern, gray) for each code under each mask, dealt by ranges and sorted: a node's members are neighbours, in
+    Gray order, and a node of any size may spread over tasks."""
 
     def upper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,20 +138,42 @@ def links(codes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             # The order of signed integers is that of the ranks with the top bit turned.
             rank = (gray_rank(x) ^ np.uint64(1 << 63)).view(np.int64)
             for k, m in enumerate(keep):
-                pattern = (x & np.uint64(m)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), pa.array(pattern), pa.array(rank), pa.array(x.view(np.int64))], ["mask", "pattern", "gray", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), pa.array((x & np.uint64(m)).view(np.int64)), pa.array(rank)], ["mask", "pattern", "gray"])
+
+    rows = codes.select("code").mapInArrow(upper, "mask int, pattern long, gray long")
+    return rows.repartitionByRange(partitions(codes.sparkSession), "mask", "pattern", "gray").sortWithinPartitions("mask", "pattern", "gray")
+
+
+MEMBER = np.dtype([("mask", "i4"), ("pattern", "i8"), ("code", "u8")])
+
+
+def members(batch: pa.RecordBatch) -> np.ndarray:
+    new = np.empty(batch.num_rows, MEMBER)
+    new["mask"], new["pattern"] = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+    new["code"] = code_of(batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64) ^ np.uint64(1 << 63))
+    return new
+
+
+def changes(rows: np.ndarray) -> np.ndarray:
+    """The places at which another node begins."""
+    return np.flatnonzero((rows["pattern"][1:] != rows["pattern"][:-1]) | (rows["mask"][1:] != rows["mask"][:-1])) + 1
+
+
+def links(codes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Links between the distinct fingerprints in column ``code``: rows (a, b) that connect what all links connect."""
+    spark = codes.sparkSession
 
     def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted rows in, and for each block: the forest of its links, and its summary and members if the node may go on in
         another block."""
-        held = np.zeros(0, dtype=[("mask", "i4"), ("pattern", "i8"), ("code", "u8")])
+        held = np.zeros(0, MEMBER)
         first = True
 
         def close(rows: np.ndarray, last: bool) -> list[tuple]:
             nonlocal first
             out: list[tuple] = []
             if len(rows) > 1 or last:
-                change = np.flatnonzero((rows["pattern"][1:] != rows["pattern"][:-1]) | (rows["mask"][1:] != rows["mask"][:-1])) + 1
+                change = changes(rows)
                 starts, ends = np.concatenate(([0], change)), np.concatenate((change, [len(rows)]))
                 large = np.zeros(len(rows), bool)
                 for lo, hi in zip(starts[ends - starts > 8].tolist(), ends[ends - starts > 8].tolist(), strict=True):
@@ -169,13 +203,10 @@ def links(codes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["a", "b", "mask", "pattern", "bits_all", "bits_any", "codes"])
 
         for batch in batches:
-            new = np.empty(batch.num_rows, held.dtype)
-            new["mask"], new["pattern"] = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            new["code"] = batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64)
-            held = np.concatenate((held, new))
+            held = np.concatenate((held, members(batch)))
             # All whole nodes but the last leave, and whole blocks of it.
-            change = np.flatnonzero((held["pattern"][1:] != held["pattern"][:-1]) | (held["mask"][1:] != held["mask"][:-1]))
-            cut = int(change[-1]) + 1 if len(change) else 0
+            change = changes(held)
+            cut = int(change[-1]) if len(change) else 0
             if cut >= BLOCK or (cut and len(held) > 4 * BLOCK):
                 yield batch_of(close(held[:cut], False))
                 held = held[cut:]
@@ -186,19 +217,15 @@ def links(codes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         if len(held):
             yield batch_of(close(held, True))
 
-    rows = codes.select("code").mapInArrow(upper, "mask int, pattern long, gray long, code long")
-    found = written(
-        rows.repartitionByRange(parts, "mask", "pattern", "gray").sortWithinPartitions("mask", "pattern", "gray").mapInArrow(block_rows, "a long, b long, mask int, pattern long, bits_all long, bits_any long, codes binary"),
-        "simhash-blocks",
-    )
+    found = written(nodes(codes, masks(max_bits)).mapInArrow(block_rows, "a long, b long, mask int, pattern long, bits_all long, bits_any long, codes binary"), "simhash-blocks")
     # Blocks of one node that lie in other tasks or that are too large for one: pairs of summaries first, pruned by what they share.
     blocks = found.filter("mask is not null").select("mask", "pattern", "bits_all", "bits_any", "codes").withColumn("block", F.xxhash64("codes"))
     left = blocks.select("mask", "pattern", F.col("bits_all").alias("all_a"), F.col("bits_any").alias("any_a"), F.col("block").alias("block_a"))
     right = blocks.select("mask", "pattern", F.col("bits_all").alias("all_b"), F.col("bits_any").alias("any_b"), F.col("block").alias("block_b"))
     apart = F.bit_count(F.expr("(all_a & ~any_b) | (all_b & ~any_a)"))
     pairs = left.join(right, ["mask", "pattern"]).filter((F.col("block_a") < F.col("block_b")) & (apart <= max_bits)).select("block_a", "block_b")
-    members = blocks.select("block", "codes").dropDuplicates(["block"])
-    full = pairs.join(members.select(F.col("block").alias("block_a"), F.col("codes").alias("codes_a")), "block_a").join(members.select(F.col("block").alias("block_b"), F.col("codes").alias("codes_b")), "block_b")
+    contents = blocks.select("block", "codes").dropDuplicates(["block"])
+    full = pairs.join(contents.select(F.col("block").alias("block_a"), F.col("codes").alias("codes_a")), "block_a").join(contents.select(F.col("block").alias("block_b"), F.col("codes").alias("codes_b")), "block_b")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,6 +239,101 @@ def links(codes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return found.filter("a is not null").select("a", "b").union(full.select("codes_a", "codes_b").mapInArrow(across, "a long, b long"))
 
 
+def sampled_masks(count: int, bits: int, seed: int = 7) -> list[int]:
+    """Masks of so many bits each, drawn at random but always the same."""
+    rnd = random.Random(seed)
+    return [sum(1 << b for b in rnd.sample(range(BITS), bits)) for _ in range(count)]
+
+
+def near_pairs(codes: DataFrame, reach: int = REACH, beyond: int = MAX_BITS, count: int = SAMPLED) -> DataFrame:
+    """Pairs (a, b) of codes that differ in more than ``beyond`` and at most ``reach`` bits, for an exact check to follow. Upper nodes are
+    patterns under sampled masks; nodes of a few members give all such pairs, larger ones each member's nearest in its block, so the pairs grow with
+    the members rather than with their square. The masks' bits grow with the logarithm of the number of codes, which keeps nodes of
+    unrelated codes small."""
+    n = max(2, codes.count())
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, MEMBER)
+
+        def close(rows: np.ndarray) -> pa.RecordBatch:
+            found = []
+            change = changes(rows)
+            starts, ends = np.concatenate(([0], change)), np.concatenate((change, [len(rows)]))
+            large = np.zeros(len(rows), bool)
+            for lo, hi in zip(starts[ends - starts > 8].tolist(), ends[ends - starts > 8].tolist(), strict=True):
+                large[lo:hi] = True
+                for at in range(lo, hi, NEAREST):
+                    x = rows["code"][at : min(hi, at + NEAREST)]
+                    apart = np.bitwise_count(x[:, None] ^ x[None, :])
+                    apart[apart <= beyond] = BITS + 1
+                    best = apart.argmin(axis=1)
+                    hit = np.flatnonzero(apart[np.arange(len(x)), best] <= reach)
+                    found.append((x[hit], x[best[hit]]))
+            for k in range(1, 8):
+                same = (rows["pattern"][k:] == rows["pattern"][:-k]) & (rows["mask"][k:] == rows["mask"][:-k]) & ~large[k:]
+                if not same.any():
+                    break
+                apart = np.bitwise_count(rows["code"][k:] ^ rows["code"][:-k])
+                hit = np.flatnonzero(same & (apart > beyond) & (apart <= reach))
+                found.append((rows["code"][hit], rows["code"][hit + k]))
+            both = np.concatenate([np.stack(p, axis=1) for p in found]) if found else np.zeros((0, 2), np.uint64)
+            both = np.unique(np.sort(both.view(np.int64), axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            held = np.concatenate((held, members(batch)))
+            change = changes(held)
+            cut = int(change[-1]) if len(change) else 0
+            if cut >= BLOCK:
+                yield close(held[:cut])
+                held = held[cut:]
+            elif len(held) > 4 * BLOCK:
+                # One large node: its blocks stand alone.
+                yield close(held[: 4 * BLOCK])
+                held = held[4 * BLOCK :]
+        if len(held):
+            yield close(held)
+
+    bits = min(40, max(12, math.ceil(math.log2(n))))
+    return nodes(codes, sampled_masks(count, bits)).mapInArrow(work, "a long, b long").distinct()
+
+
+def shingle_set(text: str | None, shingle: int = SIMILAR_WORDS) -> np.ndarray:
+    """The sorted hashes of a text's word shingles, each once."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    n = max(1, len(words) - shingle + 1)
+    joined = map(b" ".join, zip(*(words[k : k + n] for k in range(shingle)), strict=True)) if len(words) >= shingle else [b" ".join(words)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in joined), np.uint64, n))
+
+
+def similar_links(pairs: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """Of the pairs (a, b) those whose texts (code, text) share at least so much of their word shingles, by Jaccard similarity. Only
+    texts that a pair names become sets."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shingle_set(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in made], pa.int64()), pa.array([x.tobytes() for x in made], pa.binary())], ["code", "n", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                shared = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(shared >= least * (len(p) + len(q) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    made = written(texts.select("code", text_of("text").alias("text")).mapInArrow(sets, "code long, n long, shingles binary"), "shingles")
+    first = made.select(F.col("code").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("x"))
+    second = made.select(F.col("code").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("y"))
+    # Sets whose lengths alone hold them apart are never compared.
+    fits = F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")
+    return pairs.join(first, "a").join(second, "b").filter(fits).select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, least): for every node of the edges (a, b), the least node that it is connected with, nodes ordered as integers. Each
     round hooks every node to the least root in its neighbourhood and then shortens all paths; rounds are written to the shared folder. Edges
@@ -249,13 +371,23 @@ def connected(edges: DataFrame) -> DataFrame:
     return out
 
 
-def _rooted(docs: DataFrame, doc_id: str, text: str, max_bits: int) -> DataFrame:
-    """For each row: doc_id, two hashes of the text, fingerprint, and the code that stands for its component."""
+def _rooted(docs: DataFrame, doc_id: str, text: str, max_bits: int, similar: float | None = None) -> DataFrame:
+    """For each row: doc_id, two hashes of the text, fingerprint, and the code that stands for its component. similar: texts that are
+    so alike link too, beyond max_bits."""
     small_batches(docs.sparkSession)
     h1, h2 = hash128(text_of(text))
     prints = written(docs.select(F.col(doc_id).alias("doc_id"), h1.alias("h1"), h2.alias("h2"), fingerprints(text_of(text)).alias("fingerprint")), "fingerprints")
-    codes = written(prints.groupBy(F.col("fingerprint").alias("code")).agg(F.min("doc_id").alias("least_id")), "codes")
-    roots = connected(links(codes, max_bits))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h1", "h2"))
+    codes = written(prints.groupBy(F.col("fingerprint").alias("code")).agg(F.min("doc_id").alias("least_id"), first.alias("first")), "codes")
+    edges = links(codes, max_bits)
+    if similar is not None:
+        pairs = written(near_pairs(codes, beyond=max_bits), "near-pairs")
+        named = pairs.select(F.col("a").alias("code")).union(pairs.select("b")).distinct()
+        wanted = codes.join(named, "code", "left_semi").select("code", *(F.col(f"first.{x}").alias(x) for x in ("no_id", "id", "h1", "h2")))
+        own = docs.select(F.col(doc_id).isNull().alias("no_id"), F.coalesce(F.col(doc_id), F.lit(0)).alias("id"), h1.alias("h1"), h2.alias("h2"), F.col(text).alias("text"))
+        texts = own.join(wanted, ["no_id", "id", "h1", "h2"]).select("code", "text").dropDuplicates(["code"])
+        edges = edges.unionAll(similar_links(pairs, texts, similar))
+    roots = connected(edges)
     of = codes.join(roots.withColumnRenamed("node", "code"), "code", "left").select("code", "least_id", F.coalesce("least", "code").alias("root"))
     least = of.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_code = of.select("code", "root").join(least, "root")
@@ -267,11 +399,11 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_
     return _rooted(docs, doc_id, text, max_bits).select("doc_id", "fingerprint", "component_id")
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS, similar: float | None = None) -> DataFrame:
     """One row of each component, that of the smallest doc_id (nulls last; ties: the smallest text hashes; of rows alike in both,
     any one); all columns as they were."""
     key = [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h1", "h2"]
-    first = _rooted(docs, doc_id, text, max_bits).groupBy("root").agg(F.min(F.struct(*key)).alias("first")).select("first.*")
+    first = _rooted(docs, doc_id, text, max_bits, similar).groupBy("root").agg(F.min(F.struct(*key)).alias("first")).select("first.*")
     names = {x: f"_keep_{x}" for x in ("no_id", "id", "h1", "h2")}
     h1, h2 = hash128(text_of(text))
     own = {"_keep_no_id": F.col(doc_id).isNull(), "_keep_id": F.coalesce(F.col(doc_id), F.lit(0)), "_keep_h1": h1, "_keep_h2": h2}

@@ -23,11 +23,10 @@ def test_stages(spark, docs):
             left = {d: t for d, _, _, t in test_linededup.brute([(r["doc_id"], r["text"]) for r in want])}
             want = [r | {"text": left[r["doc_id"]], "n_chars": len(left[r["doc_id"]])} for r in want]
         elif name == "simhash near-dedup":
-            prints = {r["doc_id"]: test_simhash.brute_print(r["text"]) for r in want}
-            roots = test_simhash.brute_groups(set(prints.values()))
+            groups = test_simhash.brute_similar_groups([r["text"] for r in want])
             best = {}
             for r in want:
-                best.setdefault(roots[prints[r["doc_id"]]], r)
+                best.setdefault(groups[r["text"]], r)
             want = sorted(best.values(), key=lambda r: r["doc_id"])
         else:
             plan = {r.doc_id for r in mixing.mixed(spark.createDataFrame(want, docs.schema)).collect() if r.sampled}

@@ -33,6 +33,34 @@ def brute_groups(codes):
     return {c: root(c) for c in codes}
 
 
+def brute_sets(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return {" ".join(words[k : k + 5]) for k in range(len(words) - 4)} or ({" ".join(words)} if words else set())
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def brute_similar_groups(texts):
+    """text -> a name of its group, by fingerprints within three bits or shingles alike to 0.8."""
+    texts = sorted(set(texts))
+    prints, sets = [brute_print(t) for t in texts], [brute_sets(t) for t in texts]
+    up = list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 3 or (sets[i] and sets[j] and alike(sets[i], sets[j])):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    return {t: root(k) for k, t in enumerate(texts)}
+
+
 def check(frame):
     rows = simhash.components(frame).collect()
     texts = {}
@@ -106,3 +134,48 @@ def test_one_row_of_each_component_stays(odd, docs, empty):
         every = brute_groups({brute_print(r.text) for r in frame.collect()})
         assert sorted(every[p] for p in prints) == sorted(set(every.values()))
     assert simhash.deduplicated(empty).count() == 0
+
+
+def test_similar_texts_link(spark, odd):
+    """Copies edited until their five-word shingles are alike to 0.8 or more, among texts that have nothing in common."""
+    rnd = random.Random(12)
+    words = [f"w{k}" for k in range(5000)]
+    rows, base = [], {}
+    for k in range(300):
+        text = [rnd.choice(words) for _ in range(rnd.randrange(60, 400))]
+        rows.append((10 * k, " ".join(text)))
+        for n in range(rnd.randrange(4) if k < 100 else 0):
+            edited = list(text)
+            while rnd.random() < 0.97:
+                more = list(edited)
+                more[rnd.randrange(len(more))] = rnd.choice(words)
+                if not alike(brute_sets(" ".join(text)), brute_sets(" ".join(more))):
+                    break
+                edited = more
+            rows.append((10 * k + n + 1, " ".join(edited)))
+            base[10 * k + n + 1] = 10 * k
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.deduplicated(frame, similar=0.8).collect()}
+    assert {10 * k for k in range(300)} <= kept
+    caught = sum(d not in kept for d in base)
+    assert len(base) > 100 and caught >= 0.9 * len(base)
+    # Only three bits find far fewer of them: the second way is needed.
+    assert simhash.deduplicated(frame).count() > len(kept)
+    kept = [r.text for r in simhash.deduplicated(odd, similar=0.8).collect()]
+    groups = brute_similar_groups([r.text or "" for r in odd.collect()])
+    assert sorted(groups[t or ""] for t in kept) == sorted(set(groups.values()))
+    assert simhash.deduplicated(odd.limit(0), similar=0.8).count() == 0
+
+
+def test_large_nodes_give_each_member_its_nearest(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "NEAREST", 32)
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    rnd = random.Random(3)
+    base = rnd.getrandbits(64)
+    codes = {base ^ sum(1 << b for b in rnd.sample(range(64), 4)) for _ in range(300)} | {rnd.getrandbits(64) for _ in range(300)}
+    signed = [np.uint64(c).astype(np.int64).item() for c in codes]
+    pairs = simhash.near_pairs(spark.createDataFrame([(c,) for c in signed], "code long")).collect()
+    assert all(3 < ((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= simhash.REACH for r in pairs)
+    assert len(pairs) < simhash.SAMPLED * len(codes)
+    near = {x & (1 << 64) - 1 for r in pairs for x in (r.a, r.b)}
+    assert len(near & {c for c in codes if (c ^ base).bit_count() <= 4}) >= 290
