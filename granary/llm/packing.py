@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -29,8 +30,9 @@ from pyspark.sql import functions as F
 from .common import small_batches, text_of, written
 
 CAPACITY, END, TASK_PIECES = 2048, 0, 65_536
-#: Words whose ids a worker remembers; beyond, it starts anew. It affects speed alone.
-REMEMBERED = 600_000
+#: Words whose ids a worker remembers, in each of two generations: when the younger is full it becomes the older, and words that come
+#: again move back. It affects speed and memory alone.
+REMEMBERED = 400_000
 
 #: Texts of these characters alone are split here just as the tokenizer's own rules split them; others go to it whole.
 _PLAIN = re.compile(r"[\x09-\x0d\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-\xff]*").fullmatch
@@ -45,6 +47,7 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         rules = json.loads(self.tokenizer.to_str())
         steps = [x.get("type") for x in (rules.get("normalizer") or {}).get("normalizers", [])]
@@ -57,9 +60,13 @@ class WordIds(dict):
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        tokens = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-        ids = self[word] = np.array([x.id for x in tokens], "<u4").tobytes()
+        ids = self.older.get(word)
+        if ids is None:
+            tokens = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+            ids = struct.pack(f"<{len(tokens)}I", *(x.id for x in tokens))
+        self[word] = ids
         return ids
 
     def ids(self, text: str) -> bytes:
