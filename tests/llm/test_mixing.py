@@ -41,3 +41,42 @@ def test_sampled_shares_come_near_the_targets(spark):
     for lang, share in mixing.LANGUAGES.items():
         assert abs(drawn[lang] - share) < 0.07
     assert (rows.sampled == mixing.mixed(docs, budget_share=0.3).select("sampled").toPandas().sampled).all()
+
+
+def test_query_equals_brute_force(spark, docs):
+    """Tokens, cells, raking, calibration and draws once more, in plain Python."""
+    import hashlib
+    import re
+
+    from granary.llm import queries
+
+    rows = docs.collect()
+    tokens = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in rows}
+    kind = lambda n: "long" if n >= 8000 else "article" if n >= 800 else "note"
+    cell_of = {r.doc_id: (r.source if r.source in mixing.SOURCES else "*", r.lang if r.lang in mixing.LANGUAGES else "*", kind(len(r.text or ""))) for r in rows}
+    cells = {}
+    for d, c in cell_of.items():
+        cells[c] = cells.get(c, 0) + tokens[d]
+    total = sum(cells.values())
+    fit = {c: n / total for c, n in cells.items() if n}
+    goals = []
+    for axis, named in enumerate((mixing.SOURCES, mixing.LANGUAGES, mixing.TOPICS)):
+        there = {c[axis] for c in fit}
+        goals.append({k: v / sum(named[x] for x in there) for k, v in named.items() if k in there})
+    for _ in range(300):
+        for axis, goal in enumerate(goals):
+            now = {}
+            for c, v in fit.items():
+                now[c[axis]] = now.get(c[axis], 0) + v
+            fit = {c: v * goal[c[axis]] / now[c[axis]] for c, v in fit.items()}
+    weight = {c: min(mixing.MAX_RATIO, v * total / cells[c]) for c, v in fit.items()}
+    lo, hi = 0.0, 1e9
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(1, mid * w) * cells[c] for c, w in weight.items()) < 0.6 * total else (lo, mid)
+    for r in queries.op10_mixing(spark, "/root/testdata/sf0.001").collect():
+        c = cell_of[r.doc_id]
+        assert (r.tokens, r.mix_source, r.mix_lang, r.topic) == (tokens[r.doc_id], *c)
+        assert abs(r.weight - weight[c]) < 1e-3 and abs(r.probability - min(1, lo * weight[c])) < 1e-3
+        u = int(hashlib.md5(f"42/{r.doc_id}".encode()).hexdigest()[:13], 16) / 2**52
+        assert r.sampled == (u < r.probability)
