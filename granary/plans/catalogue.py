@@ -474,7 +474,12 @@ def layer_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("entry_count"), size.cast("long").alias("external_size"), F.size(F.collect_set(F.when(external, F.col("l_partkey")))).cast("long").alias("external_objects"), F.greatest(F.sum("l_quantity") - size, F.lit(0)).cast("long").alias("inline_size"))
 
 
-@query()
+@query(r"""
+WITH d AS (SELECT doc_id, encode(text) AS b, octet_length(encode(text)) AS n FROM documents),
+a AS (SELECT doc_id, n, list_transform(range(0, (n + 4095) // 4096), lambda i: sha256(b[i * 4096 + 1 : least(n, (i + 1) * 4096)] || repeat('\x00'::BLOB, greatest(0, (i + 1) * 4096 - n)))) AS one FROM d),
+e AS (SELECT doc_id, n, CASE WHEN n = 0 THEN repeat('00', 32) WHEN len(one) = 1 THEN one[1]
+      ELSE sha256(unhex(array_to_string(one, '')) || repeat('\x00'::BLOB, 4096 - 32 * len(one))) END AS root FROM a)
+SELECT doc_id, sha256(unhex('01010c0000000000' || array_to_string(list_transform(range(7, -1, -1), lambda k: substr(lpad(lower(hex(n)), 16, '0'), CAST(2 * k + 1 AS INTEGER), 2)), '') || root || repeat('00', 32 + 176))) AS digest FROM e""")
 def verity_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle digests of all documents, by expressions alone."""
     return table(spark, sf_dir, "documents").select("doc_id", digest.verity(F.col("text").cast("binary")).alias("digest"))
