@@ -15,9 +15,8 @@ are judged alike; an empty table or rule list is fine; extra columns pass throug
 from __future__ import annotations
 
 import hashlib
-import tempfile
+import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -131,14 +130,17 @@ def shipped(spark: SparkSession, rules: list[tuple[str, str]] | tuple) -> str:
     body = index_bytes(rules)
     name = f"granary-urls-{hashlib.sha256(body).hexdigest()[:32]}.bin"
     to = f"{shared_dir(spark)}/granary/{name}"
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(to)
-    with tempfile.TemporaryDirectory() as here:  # the driver's own, only until it is copied
-        (Path(here) / name).write_bytes(body)
-        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        files.mkdirs(path.getParent())
-        files.copyFromLocalFile(False, True, jvm.org.apache.hadoop.fs.Path(f"file://{here}/{name}"), path)
-    spark.sparkContext.addFile(path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString())
+    path, draft = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (to, f"{to}.{uuid.uuid4().hex}"))
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        out = files.create(draft, True)
+        for at in range(0, len(body), 1 << 20):
+            out.write(bytearray(body[at : at + (1 << 20)]))
+        out.close()
+        # Its name tells its content, so whoever comes first has written the same.
+        if not files.rename(draft, path):
+            files.delete(draft, False)
+    spark.sparkContext.addFile(files.makeQualified(path).toString())
     return name
 
 
