@@ -12,8 +12,9 @@ component. The index finds every such link:
 * Two groups are compared only if the bits that both share differ in max_bits places or fewer; the differences accumulated so far
   prune a whole pair of groups at once, blocks first, then leaves.
 
-For texts that are alike but not so close, ``deduplicated`` takes ``similar``: the same index with sampled masks gives pairs of
-up to REACH bits, and those whose five-word shingles are alike enough link too.
+For texts that are alike but not so close, ``deduplicated`` takes ``similar``: texts whose five-word shingles are alike to that link too.
+The same index with sampled masks finds many of them by pairs of up to REACH bits. That is a first way which joins most groups early;
+all that it misses is found by a prefix filter on the sets of shingles, whatever the number of texts and of differing bits.
 
 A node of any size spreads over tasks, as rows are dealt by ranges of (mask, pattern, Gray rank) rather than by node. Tasks emit a
 spanning forest of the links they find rather than all pairs of a group.
@@ -41,9 +42,12 @@ from .common import hash128, partitions, remove, small_batches, text_of, written
 
 BITS, MAX_BITS, SHINGLE, SEED = 64, 3, 3, 42
 LEAF, BLOCK = 64, 4096
-#: Similar texts: Jaccard similarity of shingles of so many words; fingerprints of such texts differ in REACH bits at most, nearly
-#: always. SAMPLED masks meet nine of ten such pairs and more (measured in the tests); members of a node look for their nearest among NEAREST.
+#: Similar texts: Jaccard similarity of shingles of so many words. The first way to them looks for fingerprints that differ in REACH bits
+#: at most under SAMPLED masks; members of a node look for their nearest among NEAREST.
 SIMILAR, SIMILAR_WORDS, REACH, SAMPLED, NEAREST = 0.8, 5, 12, 64, 1024
+#: Shingles that COMMON_AT or more of about COMMON_OF texts hold come last in the order of the prefix filter, at most COMMON of them. This
+#: is for speed alone: any order finds all pairs.
+COMMON_OF, COMMON_AT, COMMON = 10_000, 8, 1 << 16
 
 _FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -334,6 +338,63 @@ def similar_links(pairs: DataFrame, texts: DataFrame, least: float = SIMILAR) ->
     return pairs.join(first, "a").join(second, "b").filter(fits).select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def common_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that many texts of a sample hold, sorted, and how many hold each."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(1).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x).view(np.int64))], ["s"])
+
+    texts = docs.select(F.xxhash64(text_of(text)).alias("h"), text_of(text).alias("text"))
+    sample = texts.filter(F.pmod("h", F.lit(max(1, docs.count() // COMMON_OF))) == 0).dropDuplicates(["h"])
+    rows = sample.mapInArrow(each, "s long").groupBy("s").count().filter(F.col("count") >= COMMON_AT).orderBy(F.desc("count"), "s").limit(COMMON).collect()
+    known, held = np.array([r["s"] for r in rows], np.int64).view(np.uint64), np.array([r["count"] for r in rows], np.int64)
+    order = np.argsort(known)
+    return known[order], held[order]
+
+
+def prefix(found: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The first shingles of a set in the order (texts of the sample that hold it, hash), so many that two sets alike to ``least`` share one."""
+    known, held = common
+    if not len(found):
+        return found
+    weight = np.zeros(len(found), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+        weight = np.where(known[at] == found, held[at], 0)
+    return found[np.argsort(weight, kind="stable")[: len(found) - math.ceil(least * len(found) - 1e-9) + 1]]
+
+
+def prefixes(texts: Column, common: tuple[np.ndarray, np.ndarray], least: float) -> Column:
+    """A text's number of shingles and its prefix."""
+
+    @F.pandas_udf("n int, prefix array<long>")
+    def made(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            sets = [shingle_set(x) for x in batch]
+            yield pd.DataFrame({"n": np.array([len(x) for x in sets], np.int32), "prefix": [prefix(x, common, least).view(np.int64) for x in sets]})
+
+    return made(texts)
+
+
+def prefix_pairs(texts: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """Of texts (code, h1, h2, n, prefix) all pairs (code_a, h1_a, h2_a, code_b, h1_b, h2_b) that may be alike to ``least`` and whose codes no links
+    of ``roots`` (node, least) connect so far: they share a shingle of their prefixes, and their lengths and its places leave room for enough."""
+    key = ["code", "h1", "h2"]
+    each = texts.select(*key, "n", F.posexplode("prefix").alias("place", "s"))
+    shared = each.withColumn("held", F.count("*").over(Window.partitionBy("s"))).filter("held > 1").drop("held")
+    shared = written(shared.join(roots.withColumnRenamed("node", "code"), "code", "left").withColumn("root", F.coalesce("least", "code")).drop("least"), "prefixes")
+    # Shingles of one component alone name no pair.
+    own = Window.partitionBy("s")
+    met = shared.withColumns({"_lo": F.min("root").over(own), "_hi": F.max("root").over(own)}).filter("_lo < _hi").drop("_lo", "_hi")
+    a, b = (met.select("s", *(F.col(x).alias(f"{x}_{side}") for x in (*key, "n", "place", "root"))) for side in "ab")
+    longer = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("root_a") < F.col("root_b")))
+    room = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    fits = (F.col("n_b") >= least * F.col("n_a") - 1e-9) & (room >= least / (1 + least) * (F.col("n_a") + F.col("n_b")) - 1e-6)
+    return a.join(b, "s").filter((F.col("root_a") != F.col("root_b")) & longer & fits).select(*(f"{x}_{side}" for side in "ab" for x in key)).distinct()
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, least): for every node of the edges (a, b), the least node that it is connected with, nodes ordered as integers. Each
     round hooks every node to the least root in its neighbourhood and then shortens all paths; rounds are written to the shared folder. Edges
@@ -376,7 +437,10 @@ def _rooted(docs: DataFrame, doc_id: str, text: str, max_bits: int, similar: flo
     so alike link too, beyond max_bits."""
     small_batches(docs.sparkSession)
     h1, h2 = hash128(text_of(text))
-    prints = written(docs.select(F.col(doc_id).alias("doc_id"), h1.alias("h1"), h2.alias("h2"), fingerprints(text_of(text)).alias("fingerprint")), "fingerprints")
+    own = [F.col(doc_id).alias("doc_id"), h1.alias("h1"), h2.alias("h2"), fingerprints(text_of(text)).alias("fingerprint")]
+    if similar is not None:
+        own.append(prefixes(text_of(text), common_shingles(docs, text), similar).alias("shingles"))
+    prints = written(docs.select(*own), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h1", "h2"))
     codes = written(prints.groupBy(F.col("fingerprint").alias("code")).agg(F.min("doc_id").alias("least_id"), first.alias("first")), "codes")
     edges = links(codes, max_bits)
@@ -388,12 +452,38 @@ def _rooted(docs: DataFrame, doc_id: str, text: str, max_bits: int, similar: flo
         texts = own.join(wanted, ["no_id", "id", "h1", "h2"]).select("code", "text").dropDuplicates(["code"])
         edges = edges.unionAll(similar_links(pairs, texts, similar))
     roots = connected(edges)
+    if similar is not None:
+        roots = _completed(docs, text, prints, codes, roots, similar)
     of = codes.join(roots.withColumnRenamed("node", "code"), "code", "left").select("code", "least_id", F.coalesce("least", "code").alias("root"))
     least = of.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_code = of.select("code", "root").join(least, "root")
     return prints.join(by_code, F.col("fingerprint") == F.col("code")).drop("code")
 
 
+def _completed(docs: DataFrame, text: str, prints: DataFrame, codes: DataFrame, roots: DataFrame, similar: float) -> DataFrame:
+    """roots (node, least) with the links of all texts alike to ``similar`` that they lack."""
+    roots = written(roots, "roots")
+    key = ["code", "h1", "h2"]
+    one = codes.select("code", "first.h1", "first.h2")
+    texts = prints.select(F.col("fingerprint").alias("code"), "h1", "h2", "shingles.n", "shingles.prefix").join(one, key, "left_semi").dropDuplicates(key)
+    pairs = written(prefix_pairs(texts, roots, similar), "prefix-pairs")
+    # Pairs of texts, each named by a number of its own.
+    sides = [pairs.select(*(F.col(f"{x}_{side}").alias(x) for x in key)) for side in "ab"]
+    named = written(sides[0].union(sides[1]).distinct().withColumn("number", F.monotonically_increasing_id()), "named")
+    of = {side: named.select(*(F.col(x).alias(f"{x}_{side}") for x in key), F.col("number").alias(side)) for side in "ab"}
+    numbered = pairs.join(of["a"], [f"{x}_a" for x in key]).join(of["b"], [f"{x}_b" for x in key]).select("a", "b")
+    h1, h2 = hash128(text_of(text))
+    wanted = docs.select(h1.alias("h1"), h2.alias("h2"), F.col(text).alias("text")).join(named.select("h1", "h2", "number"), ["h1", "h2"]).select(F.col("number").alias("code"), "text").dropDuplicates(["code"])
+    alike = similar_links(numbered, wanted, similar)
+    # Links between the roots: few, as what was connected before stays out.
+    root_of = named.join(roots.withColumnRenamed("node", "code"), "code", "left").select("number", F.coalesce("least", "code").alias("root"))
+    more = alike.join(root_of.select(F.col("number").alias("a"), F.col("root").alias("x")), "a").join(root_of.select(F.col("number").alias("b"), F.col("root").alias("y")), "b")
+    joined = written(connected(more.select(F.col("x").alias("a"), F.col("y").alias("b"))), "joined-roots")
+    moved = roots.alias("r").join(joined.alias("j"), F.col("r.least") == F.col("j.node"), "left").select("r.node", F.coalesce("j.least", "r.least").alias("least"))
+    # A root of before has no row of its own.
+    return moved.union(joined)
+
+
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fingerprint (64 bits in a long) and component_id: the smallest doc_id that links reach, its own included."""
     return _rooted(docs, doc_id, text, max_bits).select("doc_id", "fingerprint", "component_id")

@@ -179,3 +179,32 @@ def test_large_nodes_give_each_member_its_nearest(spark, monkeypatch):
     assert len(pairs) < simhash.SAMPLED * len(codes)
     near = {x & (1 << 64) - 1 for r in pairs for x in (r.a, r.b)}
     assert len(near & {c for c in codes if (c ^ base).bit_count() <= 4}) >= 290
+
+
+def edited_copies(rnd, words, text, count):
+    """Copies of a text edited at random places for as long as they are alike to 0.8 with it."""
+    out = []
+    for _ in range(count):
+        edited = list(text)
+        while True:
+            more = list(edited)
+            more[rnd.randrange(len(more))] = rnd.choice(words)
+            if not alike(brute_sets(" ".join(text)), brute_sets(" ".join(more))):
+                break
+            edited = more
+        out.append(" ".join(edited))
+    return out
+
+
+def test_similar_texts_link_at_any_size(spark, monkeypatch):
+    """With masks of as many bits as ten million codes take, every text alike to 0.8 with another still links."""
+    masks = simhash.sampled_masks
+    monkeypatch.setattr(simhash, "sampled_masks", lambda count, bits: masks(count, 24))
+    rnd = random.Random(21)
+    words = [f"w{k}" for k in range(5000)]
+    rows = []
+    for k in range(250):
+        text = [rnd.choice(words) for _ in range(rnd.randrange(50, 200))]
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, edited_copies(rnd, words, text, 1)[0])]
+    kept = {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), similar=0.8).collect()}
+    assert kept == {2 * k for k in range(250)}
