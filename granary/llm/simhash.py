@@ -378,21 +378,32 @@ def prefixes(texts: Column, common: tuple[np.ndarray, np.ndarray], least: float)
     return made(texts)
 
 
-def prefix_pairs(texts: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """Of texts (code, h1, h2, n, prefix) all pairs (code_a, h1_a, h2_a, code_b, h1_b, h2_b) that may be alike to ``least`` and whose codes no links
-    of ``roots`` (node, least) connect so far: they share a shingle of their prefixes, and their lengths and its places leave room for enough."""
-    key = ["code", "h1", "h2"]
-    each = texts.select(*key, "n", F.posexplode("prefix").alias("place", "s"))
-    shared = each.withColumn("held", F.count("*").over(Window.partitionBy("s"))).filter("held > 1").drop("held")
-    shared = written(shared.join(roots.withColumnRenamed("node", "code"), "code", "left").withColumn("root", F.coalesce("least", "code")).drop("least"), "prefixes")
-    # Shingles of one component alone name no pair.
+def prefix_rows(texts: DataFrame) -> DataFrame:
+    """A row (code, h1, h2, n, place, s) for each shingle in the prefixes of texts (code, h1, h2, n, prefix) that others have too."""
+    each = texts.select("code", "h1", "h2", "n", F.posexplode("prefix").alias("place", "s"))
+    return each.withColumn("_held", F.count("*").over(Window.partitionBy("s"))).filter("_held > 1").drop("_held")
+
+
+def prefix_pairs(shared: DataFrame, roots: DataFrame, least: float, neighbours: bool) -> DataFrame:
+    """Of the prefix rows all pairs of texts (code_a, h1_a, h2_a, code_b, h1_b, h2_b) that may be alike to ``least`` and whose codes no links of
+    ``roots`` (node, least) connect so far: they share a shingle of their prefixes, and their lengths and its places leave room for enough.
+    neighbours: only those that follow each other by length among the texts with one shingle, so no more pairs than rows."""
+    rows = shared.join(roots.withColumnRenamed("node", "code"), "code", "left").withColumn("root", F.coalesce("least", "code")).drop("least")
+    names = ("code", "h1", "h2", "n", "place", "root")
     own = Window.partitionBy("s")
-    met = shared.withColumns({"_lo": F.min("root").over(own), "_hi": F.max("root").over(own)}).filter("_lo < _hi").drop("_lo", "_hi")
-    a, b = (met.select("s", *(F.col(x).alias(f"{x}_{side}") for x in (*key, "n", "place", "root"))) for side in "ab")
-    longer = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("root_a") < F.col("root_b")))
+    if neighbours:
+        after = F.lead(F.struct(*names)).over(own.orderBy(F.desc("n"), "code", "h1", "h2"))
+        rows = rows.withColumn("after", after).select(*(F.col(x).alias(f"{x}_a") for x in names), *(F.col(f"after.{x}").alias(f"{x}_b") for x in names))
+        longer = F.col("root_b").isNotNull()
+    else:
+        # Shingles of one component alone name no pair.
+        met = rows.withColumns({"_lo": F.min("root").over(own), "_hi": F.max("root").over(own)}).filter("_lo < _hi").drop("_lo", "_hi")
+        a, b = (met.select("s", *(F.col(x).alias(f"{x}_{side}") for x in names)) for side in "ab")
+        rows = a.join(b, "s")
+        longer = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("root_a") < F.col("root_b")))
     room = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
     fits = (F.col("n_b") >= least * F.col("n_a") - 1e-9) & (room >= least / (1 + least) * (F.col("n_a") + F.col("n_b")) - 1e-6)
-    return a.join(b, "s").filter((F.col("root_a") != F.col("root_b")) & longer & fits).select(*(f"{x}_{side}" for side in "ab" for x in key)).distinct()
+    return rows.filter((F.col("root_a") != F.col("root_b")) & longer & fits).select(*(f"{x}_{side}" for side in "ab" for x in names[:3])).distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -461,13 +472,22 @@ def _rooted(docs: DataFrame, doc_id: str, text: str, max_bits: int, similar: flo
 
 
 def _completed(docs: DataFrame, text: str, prints: DataFrame, codes: DataFrame, roots: DataFrame, similar: float) -> DataFrame:
-    """roots (node, least) with the links of all texts alike to ``similar`` that they lack."""
-    roots = written(roots, "roots")
+    """roots (node, least) with the links of all texts alike to ``similar`` that they lack. Neighbours come first: they join large groups
+    by few pairs, and then only pairs between what is still apart are left."""
     key = ["code", "h1", "h2"]
     one = codes.select("code", "first.h1", "first.h2")
     texts = prints.select(F.col("fingerprint").alias("code"), "h1", "h2", "shingles.n", "shingles.prefix").join(one, key, "left_semi").dropDuplicates(key)
-    pairs = written(prefix_pairs(texts, roots, similar), "prefix-pairs")
-    # Pairs of texts, each named by a number of its own.
+    shared = written(prefix_rows(texts), "prefixes")
+    for neighbours in (True, False):
+        roots = written(roots, "roots")
+        roots = _joined(docs, text, roots, written(prefix_pairs(shared, roots, similar, neighbours), "prefix-pairs"), similar)
+    return roots
+
+
+def _joined(docs: DataFrame, text: str, roots: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
+    """roots (node, least) with the links of those pairs of texts that are alike to ``similar``."""
+    key = ["code", "h1", "h2"]
+    # Each text is named by a number of its own.
     sides = [pairs.select(*(F.col(f"{x}_{side}").alias(x) for x in key)) for side in "ab"]
     named = written(sides[0].union(sides[1]).distinct().withColumn("number", F.monotonically_increasing_id()), "named")
     of = {side: named.select(*(F.col(x).alias(f"{x}_{side}") for x in key), F.col("number").alias(side)) for side in "ab"}

@@ -208,3 +208,18 @@ def test_similar_texts_link_at_any_size(spark, monkeypatch):
         rows += [(2 * k, " ".join(text)), (2 * k + 1, edited_copies(rnd, words, text, 1)[0])]
     kept = {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), similar=0.8).collect()}
     assert kept == {2 * k for k in range(250)}
+
+
+def test_large_groups_of_edited_copies_leave_one(spark, monkeypatch):
+    """Groups of edited copies, of which many share each node, whose nearest need not be alike: one of each group stays."""
+    monkeypatch.setattr(simhash, "NEAREST", 16)
+    rnd = random.Random(22)
+    words = [f"w{k}" for k in range(3000)]
+    texts = []
+    for _ in range(5):
+        text = [rnd.choice(words) for _ in range(rnd.randrange(50, 150))]
+        texts += [" ".join(text), *edited_copies(rnd, words, text, 40)]
+    kept = [r.text for r in simhash.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), similar=0.8).collect()]
+    groups = brute_similar_groups(texts)
+    assert len(set(groups.values())) == 5
+    assert sorted(groups[t] for t in kept) == sorted(set(groups.values()))
