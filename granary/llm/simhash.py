@@ -464,19 +464,19 @@ def _rooted(docs: DataFrame, doc_id: str, text: str, max_bits: int, similar: flo
         edges = edges.unionAll(similar_links(pairs, texts, similar))
     roots = connected(edges)
     if similar is not None:
-        roots = _completed(docs, text, prints, codes, roots, similar)
+        roots = _completed(docs, text, prints, roots, similar)
     of = codes.join(roots.withColumnRenamed("node", "code"), "code", "left").select("code", "least_id", F.coalesce("least", "code").alias("root"))
     least = of.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_code = of.select("code", "root").join(least, "root")
     return prints.join(by_code, F.col("fingerprint") == F.col("code")).drop("code")
 
 
-def _completed(docs: DataFrame, text: str, prints: DataFrame, codes: DataFrame, roots: DataFrame, similar: float) -> DataFrame:
+def _completed(docs: DataFrame, text: str, prints: DataFrame, roots: DataFrame, similar: float) -> DataFrame:
     """roots (node, least) with the links of all texts alike to ``similar`` that they lack. Neighbours come first: they join large groups
     by few pairs, and then only pairs between what is still apart are left."""
     key = ["code", "h1", "h2"]
-    one = codes.select("code", "first.h1", "first.h2")
-    texts = prints.select(F.col("fingerprint").alias("code"), "h1", "h2", "shingles.n", "shingles.prefix").join(one, key, "left_semi").dropDuplicates(key)
+    # Each distinct text, of those that share a fingerprint too.
+    texts = prints.select(F.col("fingerprint").alias("code"), "h1", "h2", "shingles.n", "shingles.prefix").dropDuplicates(key)
     shared = written(prefix_rows(texts), "prefixes")
     for neighbours in (True, False):
         roots = written(roots, "roots")

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import xxhash
 
 from granary.llm import simhash
@@ -223,3 +224,20 @@ def test_large_groups_of_edited_copies_leave_one(spark, monkeypatch):
     groups = brute_similar_groups(texts)
     assert len(set(groups.values())) == 5
     assert sorted(groups[t] for t in kept) == sorted(set(groups.values()))
+
+
+def test_every_text_of_a_fingerprint_is_compared(spark, monkeypatch):
+    """Texts that share a fingerprint: the last is alike to the second alone, which doesn't stand for the fingerprint."""
+    words = [f"w{k}" for k in range(100)]
+    first, second = " ".join(words), " ".join([*words[:90], *(f"x{k}" for k in range(10))])
+    third = " ".join([*(f"y{k}" for k in range(9)), *second.split()[9:]])
+    assert alike(brute_sets(second), brute_sets(third)) and not alike(brute_sets(first), brute_sets(third))
+    code = {first: 0, second: 0, third: (1 << 40) - 1}
+
+    @simhash.F.pandas_udf("long")
+    def fixed(texts: pd.Series) -> pd.Series:
+        return texts.map(code)
+
+    monkeypatch.setattr(simhash, "fingerprints", fixed)
+    frame = spark.createDataFrame([(1, first), (2, second), (3, third)], "doc_id long, text string")
+    assert [r.doc_id for r in simhash.deduplicated(frame, similar=0.8).collect()] == [1]
