@@ -3,7 +3,8 @@
 The corpus is a table of tokens by cell: source x language x topic. Raking scales all cells of one margin's value so that their
 sum meets that value's target, margin after margin, until every margin is met. A cell's fitted tokens over its present tokens are its
 ratio; a document is kept with a probability in proportion to its cell's ratio. The scale is the largest at which the expected
-tokens meet the budget, or, without a budget, at which the largest ratio stands for certain keeping.
+tokens meet the budget, or, without a budget, at which the largest ratio stands for certain keeping. That is the largest sample that
+meets all targets; a larger budget stops probabilities at 1, and margins() tells what its sample misses.
 
 The margins' values are those that the targets name; all others of a margin share the value OTHER, so the driver holds at most
 (sources + 1) x (languages + 1) x (topics + 1) cells, however many rows, documents or hosts there are.
@@ -15,6 +16,7 @@ the id 'null'; rows of equal doc_id share one draw; an empty table gives an empt
 
 from __future__ import annotations
 
+import math
 from itertools import product
 
 import numpy as np
@@ -25,8 +27,8 @@ from .common import WORD, text_of
 
 OTHER = "*"
 ROUNDS, TOLERANCE = 200, 1e-9
-#: No ratio exceeds so many times the corpus's mean ratio; what a margin misses by that is in the report.
-MAX_RATIO = 4.0
+#: Ratios have no upper bound: one would make the margins miss their targets. What they miss as probabilities stop at 1 is in margins().
+MAX_RATIO = math.inf
 
 #: Shares of tokens. Values not named share what OTHER gets; without OTHER they keep their present share.
 SOURCES = {f"src{k}": 0.05 for k in range(20)}
@@ -114,18 +116,43 @@ def draw(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+def counted(docs: DataFrame, named: list[dict[str, float]], text: str, source: str, lang: str) -> tuple[DataFrame, dict[tuple, float]]:
+    """docs with their cells and tokens, and the tokens of each cell."""
+    own = {"_mix_source": value(source, named[0]), "_mix_lang": value(lang, named[1]), "_topic": topic(text_of(text)), "_tokens": tokens(text_of(text))}
+    rows = docs.withColumns(own)
+    rows = rows.withColumn("_topic", value("_topic", named[2]))
+    return rows, {tuple(r[:3]): float(r[3] or 0) for r in rows.groupBy("_mix_source", "_mix_lang", "_topic").agg(F.sum("_tokens")).collect()}
+
+
+def margins(
+    docs: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", sources: dict | None = None, languages: dict | None = None, topics: dict | None = None, budget_share: float | None = 0.6
+) -> list[tuple[str, str, float, float]]:
+    """(margin, value, target share, expected share of the sample's tokens) for the sample that ``mixed`` draws."""
+    named = [sources or SOURCES, languages or LANGUAGES, topics or TOPICS]
+    _, cells = counted(docs, named, text, source, lang)
+    plan = calibrated(cells, named, None if budget_share is None else budget_share * sum(cells.values()))
+    kept = {cell: cells[cell] * plan[cell][1] for cell in cells}
+    total, out = sum(kept.values()), []
+    for axis, margin in enumerate(("source", "language", "topic")):
+        present: dict[str, float] = {}
+        expected: dict[str, float] = {}
+        for cell, n in cells.items():
+            present[cell[axis]] = present.get(cell[axis], 0) + n
+            expected[cell[axis]] = expected.get(cell[axis], 0) + kept[cell]
+        if total:
+            goal = shares(named[axis], present)
+            out += [(margin, x, goal.get(x, 0.0), expected[x] / total) for x in sorted(present)]
+    return out
+
+
 def mixed(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", sources: dict | None = None, languages: dict | None = None, topics: dict | None = None, budget_share: float | None = 0.6, seed: int = 42, details: bool = True
 ) -> DataFrame:
     """docs with mix_source, mix_lang, topic, tokens, weight, probability and sampled; without details, the sampled rows and their
     own columns alone. budget_share: the share of the corpus's tokens to expect."""
     named = [sources or SOURCES, languages or LANGUAGES, topics or TOPICS]
-    own = {"_mix_source": value(source, named[0]), "_mix_lang": value(lang, named[1]), "_topic": topic(text_of(text)), "_tokens": tokens(text_of(text))}
-    rows = docs.withColumns(own)
-    rows = rows.withColumn("_topic", value("_topic", named[2]))
-    cells = {tuple(r[:3]): float(r[3] or 0) for r in rows.groupBy("_mix_source", "_mix_lang", "_topic").agg(F.sum("_tokens")).collect()}
-    total = sum(cells.values())
-    plan = calibrated(cells, named, None if budget_share is None else budget_share * total)
+    rows, cells = counted(docs, named, text, source, lang)
+    plan = calibrated(cells, named, None if budget_share is None else budget_share * sum(cells.values()))
     key = F.concat_ws("\x00", "_mix_source", "_mix_lang", "_topic")
     look_up = lambda k: F.element_at(F.create_map(*(F.lit(x) for cell, got in plan.items() for x in ("\x00".join(cell), got[k]))), key) if plan else F.lit(1.0)
     probability = F.coalesce(look_up(1), F.lit(1.0))

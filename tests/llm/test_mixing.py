@@ -80,3 +80,22 @@ def test_query_equals_brute_force(spark, docs):
         assert abs(r.weight - weight[c]) < 1e-3 and abs(r.probability - min(1, lo * weight[c])) < 1e-3
         u = int(hashlib.md5(f"42/{r.doc_id}".encode()).hexdigest()[:13], 16) / 2**52
         assert r.sampled == (u < r.probability)
+
+
+def test_all_margins_meet_their_targets(spark):
+    """At the largest budget without a probability over 1, each margin is met; at the query's default, margins() gives the misses."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    met = mixing.margins(docs, budget_share=None)
+    assert {m for m, *_ in met} == {"source", "language", "topic"}
+    assert all(abs(target - expected) < 1e-6 for _, _, target, expected in met)
+    rows = mixing.mixed(docs, budget_share=None).select("mix_source", "mix_lang", "topic", "tokens", "probability").toPandas()
+    kept = rows.tokens * rows.probability
+    for margin, column in (("source", "mix_source"), ("language", "mix_lang"), ("topic", "topic")):
+        got = kept.groupby(rows[column]).sum() / kept.sum()
+        assert all(abs(got[x] - target) < 1e-6 for m, x, target, _ in met if m == margin)
+    missed = {(m, x): (target, expected) for m, x, target, expected in mixing.margins(docs)}
+    rows = mixing.mixed(docs).select("mix_source", "mix_lang", "topic", "tokens", "probability").toPandas()
+    kept = rows.tokens * rows.probability
+    for margin, column in (("source", "mix_source"), ("language", "mix_lang"), ("topic", "topic")):
+        got = kept.groupby(rows[column]).sum() / kept.sum()
+        assert all(abs(got[x] - missed[margin, x][1]) < 1e-6 for x in got.index)
