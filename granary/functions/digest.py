@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,19 +32,40 @@ def verity_bytes(data: bytes, algorithm: str = "sha256") -> bytes:
     return hashed(bytes([1, number, 12, 0]) + bytes(4) + len(data).to_bytes(8, "little") + root.ljust(64, b"\0") + bytes(DESCRIPTOR_TAIL))
 
 
+#: No binary value is larger.
+LARGEST = (1 << 31) - 1
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _level(data: Column, bits: int) -> Column:
-    blocks = F.sequence(F.lit(0), F.ceil(F.octet_length(data) / BLOCK).cast("int") - 1)
     zero = F.unhex(F.lit("00"))
-    part = lambda i: F.rpad(F.substring(data, i * BLOCK + 1, F.lit(BLOCK)), F.lit(BLOCK), zero)
-    return F.unhex(F.array_join(F.transform(blocks, lambda i: F.sha2(part(i), bits)), ""))
+
+    def hashed(data: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.ceil(F.octet_length(data) / BLOCK).cast("int") - 1)
+        part = lambda i: F.rpad(F.substring(data, i * BLOCK + 1, F.lit(BLOCK)), F.lit(BLOCK), zero)
+        return F.unhex(F.array_join(F.transform(blocks, lambda i: F.sha2(part(i), bits)), ""))
+
+    return _once(data, hashed)
+
+
+def levels_of(algorithm: str) -> int:
+    """How many levels cover every size that a binary value can have."""
+    fan, levels = BLOCK // ALGORITHMS[algorithm][1], 1
+    while BLOCK * fan ** (levels - 1) < LARGEST:
+        levels += 1
+    return levels
 
 
-def verity(data: Column, algorithm: str = "sha256", levels: int = 3) -> Column:
-    """Digest of a binary column as lower-case hex; null beyond the size that so many levels cover (64 MiB for sha256)."""
+def verity(data: Column, algorithm: str = "sha256") -> Column:
+    """Digest of a binary column as lower-case hex."""
     number, size, bits = ALGORITHMS[algorithm]
     one, fan = F.octet_length(data), BLOCK // size
     root, level = F.when(one == 0, F.unhex(F.lit("00" * size))), data
-    for depth in range(levels):
+    for depth in range(levels_of(algorithm)):
         level = _level(level, bits)
         root = root.when(one <= BLOCK * fan**depth, level)
     big_endian = F.unhex(F.lpad(F.hex(one.cast("long")), 16, "0"))

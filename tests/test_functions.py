@@ -96,3 +96,12 @@ def test_pe_sections():
     image[88:96], image[96:112] = b".osrel\0\0", struct.pack("<IIII", 5, 0, 16, 300)
     image[300:305] = b"ID=a\n"
     assert boot.pe_section(bytes(image), ".osrel") == b"ID=a\n" and boot.pe_section(bytes(image), ".cmdline") is None
+
+
+def test_verity_has_no_limit_of_size(spark):
+    """Just beyond what three levels cover: 64 MiB for sha256 and 16 MiB for sha512."""
+    assert [digest.levels_of(x) for x in ("sha256", "sha512")] == [4, 5]
+    for algorithm, size in (("sha256", (64 << 20) + 1), ("sha512", (16 << 20) + 1)):
+        frame = spark.range(1).select(F.repeat(F.lit("0123456789abcdef"), size // 16 + 1).substr(1, size).cast("binary").alias("data"))
+        want = digest.verity_bytes((b"0123456789abcdef" * (size // 16 + 1))[:size], algorithm).hex()
+        assert [r.digest for r in frame.select(digest.verity(F.col("data"), algorithm).alias("digest")).collect()] == [want]
