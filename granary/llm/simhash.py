@@ -176,7 +176,7 @@ def links(codes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         def close(rows: np.ndarray, last: bool) -> list[tuple]:
             nonlocal first
             out: list[tuple] = []
-            if len(rows) > 1 or last:
+            if len(rows) > 1 or last or first:
                 change = changes(rows)
                 starts, ends = np.concatenate(([0], change)), np.concatenate((change, [len(rows)]))
                 large = np.zeros(len(rows), bool)

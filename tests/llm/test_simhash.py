@@ -241,3 +241,17 @@ def test_every_text_of_a_fingerprint_is_compared(spark, monkeypatch):
     monkeypatch.setattr(simhash, "fingerprints", fixed)
     frame = spark.createDataFrame([(1, first), (2, second), (3, third)], "doc_id long, text string")
     assert [r.doc_id for r in simhash.deduplicated(frame, similar=0.8).collect()] == [1]
+
+
+def test_a_range_may_begin_with_the_last_member_of_a_node(spark, monkeypatch):
+    """One task ends with a node, the next begins with one more member of it, and a very large node follows."""
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    rnd = random.Random(23)
+    gray = lambda codes: sorted((simhash.gray_rank(np.array(codes, np.uint64)) ^ np.uint64(1 << 63)).view(np.int64).tolist())
+    large = [(0, 8, g) for g in gray([rnd.getrandbits(64) for _ in range(100)])]
+    parts = [[(0, 7, gray([0])[0])], [(0, 7, gray([1])[0]), *large]]
+    rows = spark.sparkContext.parallelize(parts, 2).flatMap(lambda x: x)
+    frame = spark.createDataFrame(rows, "mask int, pattern long, gray long")
+    monkeypatch.setattr(simhash, "nodes", lambda codes, keep: frame)
+    found = simhash.links(spark.createDataFrame([(0,)], "code long")).collect()
+    assert (0, 1) in {tuple(sorted((r.a, r.b))) for r in found}
