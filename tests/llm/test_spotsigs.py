@@ -95,3 +95,11 @@ def test_pairs_equal_brute_force(spark):
     want = {frozenset((a, b)) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
     got = [frozenset((r.a, r.b)) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_nested_sets_alike_to_exactly_the_threshold(spark):
+    """28 signatures within 35: 28 are needed and 28 shared."""
+    words = [f"w{k}" for k in range(37)]
+    frame = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:30]))], "doc_id long, text string")
+    assert [len(r.signatures) for r in spotsigs.signed(frame).orderBy("doc_id").collect()] == [35, 28]
+    assert [(r.a, r.b, r.similarity) for r in spotsigs.pairs(frame)[0].collect()] == [(1, 2, 0.8)]
