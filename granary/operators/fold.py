@@ -76,14 +76,15 @@ def kills_by_path(found: DataFrame) -> DataFrame:
     return each.join(kill, "about").filter((F.col("about") != F.col("path")) | F.col("self")).select("path", "seq").distinct()
 
 
-def origins(entries: DataFrame, limit: int = 64) -> DataFrame:
+def origins(entries: DataFrame) -> DataFrame:
     """(layer_idx, entry_idx, origin_layer, origin_entry) for each hard link: the leaf put that its target was when the link's turn
-    came, through other links. Each round resolves one more link of all chains at once."""
+    came, through other links. Each round resolves one more link of all chains at once; as
+    each link leads to an earlier put, the rounds end."""
     puts = events(entries).filter("event = 'put'").select("path", "seq", "item", "target")
     open_links = puts.filter("item = 'hardlink'").select(F.col("seq").alias("link"), "target", F.col("seq").alias("before"))
     leaves = puts.select(F.col("path").alias("target"), F.col("seq").alias("at"), "item", F.col("target").alias("next"))
     done = None
-    for _ in range(limit):
+    while True:
         step = open_links.join(leaves, "target").filter(F.col("at") < F.col("before")).groupBy("link").agg(F.max_by(F.struct("at", "item", "next"), F.col("at")).alias("hit"))
         step = cut(step)
         found = step.filter("hit.item = 'leaf'").select("link", F.col("hit.at").alias("origin"))

@@ -115,3 +115,9 @@ def test_invalid_entries_are_found(spark):
     rows = [(0, 0, "/a", "leaf", None), (0, 1, "/a/b", "leaf", None), (0, 2, "/c", "dir", None), (0, 3, "/.wh.c", "leaf", None), (1, 0, "/c/d", "leaf", None), (1, 1, "/", "leaf", None)]
     frame = spark.createDataFrame(rows, "layer_idx int, entry_idx long, path string, item string, target string")
     assert sorted((r.layer_idx, r.entry_idx) for r in fold.invalid(frame).collect()) == [(0, 1), (1, 0), (1, 1)]
+
+
+def test_origins_of_long_chains_of_links(spark):
+    rows = [(0, 0, "/f", "leaf", None)] + [(0, k, f"/l{k}", "hardlink", f"/l{k - 1}" if k > 1 else "/f") for k in range(1, 67)]
+    found = fold.origins(spark.createDataFrame(rows, "layer_idx int, entry_idx long, path string, item string, target string")).collect()
+    assert {(r.entry_idx, r.origin_entry) for r in found} == {(k, 0) for k in range(1, 67)}
