@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches
+from .common import partitions
+
 
 NAMES = {"system": "System", "user": "User", "assistant": "Assistant"}
 ROLES = {v: k for k, v in NAMES.items()}
@@ -108,7 +109,6 @@ def formatted(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", ro
             spans = [(len(header(r)), len(w) - len(TAIL)) if r == loss_role else (None, None) for r, w in zip(roles, whole, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(whole, pa.string()), pa.array([x for x, _ in spans], pa.int64()), pa.array([x for _, x in spans], pa.int64())], ["conv_id", "turn", "role", "text", "rendered", "loss_start", "loss_end"])
 
-    small_batches(turns.sparkSession)
     rows = turns.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.mapInArrow(work, "conv_id long, turn long, role string, text string, rendered string, loss_start long, loss_end long")
 
@@ -157,7 +157,6 @@ def read_back(rows: DataFrame) -> DataFrame:
         if reader is not None:
             yield result([row()])
 
-    small_batches(rows.sparkSession)
     order = rows.repartition(partitions(rows.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "rendered", "loss_start", "loss_end")
     return order.mapInArrow(work, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 

@@ -54,9 +54,16 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bounds the rows of an Arrow batch, so that batches of long texts fit in a Python worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for inner columns that none of df's columns has, in any case of letters."""
+    taken, out = {x.lower() for x in df.columns}, []
+    for name in names:
+        k = f"_{name}"
+        while k.lower() in taken:
+            k = "_" + k
+        taken.add(k.lower())
+        out.append(k)
+    return out
 
 
 def text_of(column: str | Column) -> Column:

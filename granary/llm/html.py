@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
 
 #: Lengths in code points, densities in words.
 SHORT, LONG = 70, 200
@@ -231,5 +230,4 @@ def main_texts(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def extracted(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:
     """pages with the main text in a column."""
-    small_batches(pages.sparkSession, 256)
     return pages.withColumn(into, main_texts(F.col(html)))

@@ -27,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_of, written
+from .common import free_names, text_of, written
+
 
 CAPACITY, END, TASK_PIECES = 2048, 0, 65_536
 #: Words whose ids a worker remembers, in each of two generations: when the younger is full it becomes the older, and words that come
@@ -99,7 +100,6 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names[: 5 + with_ids])
 
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     return rows.mapInArrow(cut, PIECES + ", ids binary" * with_ids)
 

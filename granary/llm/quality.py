@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
 
 SYMBOLS = "#*$%&|<>"
 #: A text fails if words inside repeated windows of so many words hold more than this share of its word characters. Widely used
@@ -147,12 +146,10 @@ def quality(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def judged(df: DataFrame, text: str = "text", into: str = "quality") -> DataFrame:
     """df with a struct column of all measures."""
-    small_batches(df.sparkSession)
     return df.withColumn(into, quality(F.col(text)))
 
 
 def keep(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows whose text passes; all columns as they were. Only the text goes to Python."""
-    small_batches(df.sparkSession)
     passes: Column = quality(F.col(text))["kept"]
     return df.filter(passes)

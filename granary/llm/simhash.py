@@ -1,34 +1,25 @@
 """Near duplicates by SimHash and a Gray-order hierarchical index.
 
 A fingerprint has 64 bits; two documents link if theirs differ in ``max_bits`` or fewer, and documents that links connect form a
-component. The index finds every such link:
+component. Equal fingerprints are one node, so a group of copies costs one row. The index (``grayindex``) finds every such link: its upper
+nodes are masked bit patterns. The bits are cut into max_bits + r pieces, and a mask is any r of them; two fingerprints that differ in
+max_bits or fewer have r pieces in common at least, so they agree under one of the masks. r grows with the number of fingerprints, from 4
+masks of 16 bits to 10 of 25, 20 of 32 and on, so that nodes of unrelated fingerprints stay small; every r finds every link. Below a
+node, members lie in Gray order, and groups are pruned by the differences of the bits that they share. Tasks emit a spanning forest of
+the links that they find rather than all pairs of a group.
 
-* Equal fingerprints are one node, so a group of copies costs one row.
-* Upper nodes are masked bit patterns. The 64 bits split into max_bits + 1 masks; two fingerprints that differ in max_bits or
-  fewer agree under one of them at least. A node holds all fingerprints that share the pattern under a mask.
-* Below a node, fingerprints are sorted by Gray rank, which puts those that differ in few bits side by side, and cut into leaves
-  of ``LEAF``; leaves into blocks of ``BLOCK``. Each leaf and each block keeps the bits that all its members share (the AND and
-  the OR of its members).
-* Two groups are compared only if the bits that both share differ in max_bits places or fewer; the differences accumulated so far
-  prune a whole pair of groups at once, blocks first, then leaves.
-
-For texts that are alike but not so close, ``deduplicated`` takes ``similar``: texts whose five-word shingles are alike to that link too.
-The same index with sampled masks finds many of them by pairs of up to REACH bits. That is a first way which joins most groups early;
-all that it misses is found by a prefix filter on the sets of shingles, whatever the number of texts and of differing bits.
-
-A node of any size spreads over tasks, as rows are dealt by ranges of (mask, pattern, Gray rank) rather than by node. Tasks emit a
-spanning forest of the links they find rather than all pairs of a group.
+For texts that are alike but not so close, ``deduplicated`` takes ``similar``: texts whose five-word shingles are alike to that link too;
+they meet in the same index under masks of a longer signature (``similar``).
 
 Defined cases: a text without words has the fingerprint zero, which links like any other; null doc_ids get the component of their
-fingerprint and are never the smallest; repeated rows are equal fingerprints; an empty table gives an empty result; extra columns
-pass through ``deduplicated`` untouched.
+fingerprint and are never the smallest; repeated rows are equal fingerprints; an empty table gives an empty result; extra columns of any
+name pass through ``deduplicated`` untouched.
 """
 
 from __future__ import annotations
 
-import math
-import random
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -38,16 +29,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash128, partitions, remove, small_batches, text_of, written, written_at
+from . import similar as alike
+from .common import free_names, hash128, text_of, written
+from .components import connected
+from .grayindex import dealt, pairs, signed_rank
 
 BITS, MAX_BITS, SHINGLE, SEED = 64, 3, 3, 42
-LEAF, BLOCK = 64, 4096
-#: Similar texts: Jaccard similarity of shingles of so many words. The first way to them looks for fingerprints that differ in REACH bits
-#: at most under SAMPLED masks; members of a node look for their nearest among NEAREST.
-SIMILAR, SIMILAR_WORDS, REACH, SAMPLED, NEAREST = 0.8, 5, 12, 64, 1024
-#: Shingles that COMMON_AT or more of about COMMON_OF texts hold come last in the order of the prefix filter, at most COMMON of them. This
-#: is for speed alone: any order finds all pairs.
-COMMON_OF, COMMON_AT, COMMON = 10_000, 8, 1 << 16
+SIMILAR = alike.LEAST
+#: A node holds about so many unrelated fingerprints at most, as a power of two.
+NODE_BITS = 6
 
 _FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -78,430 +68,53 @@ def as_hex(bits: Column) -> Column:
     return F.lower(F.lpad(F.hex(bits), 16, "0"))
 
 
-def gray_rank(x: np.ndarray) -> np.ndarray:
-    """The place of each code in the sequence of 64-bit Gray codes."""
-    x = x.copy()
-    for k in (1, 2, 4, 8, 16, 32):
-        x ^= x >> np.uint64(k)
-    return x
-
-
-def code_of(rank: np.ndarray) -> np.ndarray:
-    """The code at a place in the sequence of Gray codes."""
-    return rank ^ (rank >> np.uint64(1))
-
-
-def far_apart(and_a, or_a, and_b, or_b):  # noqa: ANN001, ANN201
-    """Bits that all members of one group have set and no member of the other has: differences of every pair between them."""
-    return np.bitwise_count((and_a & ~or_b) | (and_b & ~or_a))
-
-
-def leaves(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.bitwise_and.reduceat(codes, starts), np.bitwise_or.reduceat(codes, starts)
-
-
-def linked(a: np.ndarray, b: np.ndarray | None, max_bits: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links within a Gray-sorted block, or between two: pairs of positions, those of b after those of a.
-    Leaves are pruned by the bits they share before their members are compared."""
-    other = a if b is None else b
-    sa, sb = np.arange(0, len(a), LEAF), np.arange(0, len(other), LEAF)
-    (and_a, or_a), (and_b, or_b) = leaves(a, sa), leaves(other, sb)
-    near = far_apart(and_a[:, None], or_a[:, None], and_b[None, :], or_b[None, :]) <= max_bits
-    if b is None:
-        near = np.triu(near)
-    shift, out = (0 if b is None else len(a)), []
-    group = np.arange(len(a) + (0 if b is None else len(b)))
-    for i, j in zip(*np.nonzero(near), strict=True):
-        x, y = a[sa[i] : sa[i] + LEAF], other[sb[j] : sb[j] + LEAF]
-        hits = np.bitwise_count(x[:, None] ^ y[None, :]) <= max_bits
-        p, q = np.nonzero(np.triu(hits, 1) if b is None and i == j else hits)
-        p, q = p + sa[i], q + sb[j] + shift
-        while True:
-            fresh = group[p] != group[q]
-            if not fresh.any():
-                break
-            p, q = p[fresh], q[fresh]
-            out.append((int(p[0]), int(q[0])))
-            group[group == group[q[0]]] = group[p[0]]
-    return out
-
-
-def masks(max_bits: int) -> list[int]:
-    """max_bits + 1 disjoint masks that cover all bits."""
-    edges = [round(k * BITS / (max_bits + 1)) for k in range(max_bits + 2)]
-    return [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:], strict=False)]
+def masks(max_bits: int, count: int = 1) -> list[int]:
+    """Masks of so many bits each that ``count`` random codes leave nodes of 2 ** NODE_BITS at most: two codes that differ in max_bits or fewer
+    agree under one of them."""
+    r = 1
+    while BITS * r // (max_bits + r) + NODE_BITS < count.bit_length() and r < 8:
+        r += 1
+    edges = [round(k * BITS / (max_bits + r)) for k in range(max_bits + r + 1)]
+    pieces = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:], strict=False)]
+    return [sum(x) for x in combinations(pieces, r)]
 
 
 def nodes(codes: DataFrame, keep: list[int]) -> DataFrame:
-    """A row (mask, pattern, gray) for each code under each mask, dealt by ranges and sorted: a node's members are neighbours, in
-    Gray order, and a node of any size may spread over tasks."""
+    """A row (key, gray) for each code under each mask; the key names mask and pattern."""
 
     def upper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            # The order of signed integers is that of the ranks with the top bit turned.
-            rank = (gray_rank(x) ^ np.uint64(1 << 63)).view(np.int64)
+            rank = signed_rank(x)
             for k, m in enumerate(keep):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), pa.array((x & np.uint64(m)).view(np.int64)), pa.array(rank)], ["mask", "pattern", "gray"])
 
     rows = codes.select("code").mapInArrow(upper, "mask int, pattern long, gray long")
-    return rows.repartitionByRange(partitions(codes.sparkSession), "mask", "pattern", "gray").sortWithinPartitions("mask", "pattern", "gray")
-
-
-MEMBER = np.dtype([("mask", "i4"), ("pattern", "i8"), ("code", "u8")])
-
-
-def members(batch: pa.RecordBatch) -> np.ndarray:
-    new = np.empty(batch.num_rows, MEMBER)
-    new["mask"], new["pattern"] = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-    new["code"] = code_of(batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64) ^ np.uint64(1 << 63))
-    return new
-
-
-def changes(rows: np.ndarray) -> np.ndarray:
-    """The places at which another node begins."""
-    return np.flatnonzero((rows["pattern"][1:] != rows["pattern"][:-1]) | (rows["mask"][1:] != rows["mask"][:-1])) + 1
+    return dealt(rows.select(F.xxhash64("mask", "pattern").alias("key"), "gray"))
 
 
 def links(codes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Links between the distinct fingerprints in column ``code``: rows (a, b) that connect what all links connect."""
-    spark = codes.sparkSession
-
-    def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted rows in, and for each block: the forest of its links, and its summary and members if the node may go on in
-        another block."""
-        held = np.zeros(0, MEMBER)
-        first = True
-
-        def close(rows: np.ndarray, last: bool) -> list[tuple]:
-            nonlocal first
-            out: list[tuple] = []
-            if len(rows) > 1 or last or first:
-                change = changes(rows)
-                starts, ends = np.concatenate(([0], change)), np.concatenate((change, [len(rows)]))
-                large = np.zeros(len(rows), bool)
-                for lo, hi in zip(starts[ends - starts > 8].tolist(), ends[ends - starts > 8].tolist(), strict=True):
-                    large[lo:hi] = True
-                    for at in range(lo, hi, BLOCK):
-                        x = rows["code"][at : min(hi, at + BLOCK)]
-                        out += [(int(x[p].astype(np.int64)), int(x[q].astype(np.int64)), None, None, None, None, None) for p, q in linked(x, None, max_bits)]
-                # Nodes of a few members: all at once, each row with the k-th after it.
-                for k in range(1, 8):
-                    same = (rows["pattern"][k:] == rows["pattern"][:-k]) & (rows["mask"][k:] == rows["mask"][:-k]) & ~large[k:]
-                    if not same.any():
-                        break
-                    hit = np.flatnonzero(same & (np.bitwise_count(rows["code"][k:] ^ rows["code"][:-k]) <= max_bits))
-                    a, b = rows["code"][hit].view(np.int64).tolist(), rows["code"][hit + k].view(np.int64).tolist()
-                    out += [(p, q, None, None, None, None, None) for p, q in zip(a, b, strict=True)]
-                for n, (lo, hi) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-                    if hi - lo > BLOCK or (first and n == 0) or (last and hi == len(rows)):
-                        for at in range(lo, hi, BLOCK):
-                            x = rows["code"][at : min(hi, at + BLOCK)]
-                            out.append((None, None, int(rows["mask"][at]), int(rows["pattern"][at]), int(np.bitwise_and.reduce(x).view(np.int64)), int(np.bitwise_or.reduce(x).view(np.int64)), x.tobytes()))
-                first = False
-            return out
-
-        def batch_of(out: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            cols = list(zip(*out, strict=True)) or [()] * 7
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["a", "b", "mask", "pattern", "bits_all", "bits_any", "codes"])
-
-        for batch in batches:
-            held = np.concatenate((held, members(batch)))
-            # All whole nodes but the last leave, and whole blocks of it.
-            change = changes(held)
-            cut = int(change[-1]) if len(change) else 0
-            if cut >= BLOCK or (cut and len(held) > 4 * BLOCK):
-                yield batch_of(close(held[:cut], False))
-                held = held[cut:]
-            while len(held) > 2 * BLOCK and held["pattern"][0] == held["pattern"][2 * BLOCK - 1] and held["mask"][0] == held["mask"][2 * BLOCK - 1]:
-                first = True  # the node goes on: its block is a summary too
-                yield batch_of(close(held[:BLOCK], True))
-                held, first = held[BLOCK:], True
-        if len(held):
-            yield batch_of(close(held, True))
-
-    found = written(nodes(codes, masks(max_bits)).mapInArrow(block_rows, "a long, b long, mask int, pattern long, bits_all long, bits_any long, codes binary"), "simhash-blocks")
-    # Blocks of one node that lie in other tasks or that are too large for one: pairs of summaries first, pruned by what they share.
-    blocks = found.filter("mask is not null").select("mask", "pattern", "bits_all", "bits_any", "codes").withColumn("block", F.xxhash64("codes"))
-    left = blocks.select("mask", "pattern", F.col("bits_all").alias("all_a"), F.col("bits_any").alias("any_a"), F.col("block").alias("block_a"))
-    right = blocks.select("mask", "pattern", F.col("bits_all").alias("all_b"), F.col("bits_any").alias("any_b"), F.col("block").alias("block_b"))
-    apart = F.bit_count(F.expr("(all_a & ~any_b) | (all_b & ~any_a)"))
-    pairs = left.join(right, ["mask", "pattern"]).filter((F.col("block_a") < F.col("block_b")) & (apart <= max_bits)).select("block_a", "block_b")
-    contents = blocks.select("block", "codes").dropDuplicates(["block"])
-    full = pairs.join(contents.select(F.col("block").alias("block_a"), F.col("codes").alias("codes_a")), "block_a").join(contents.select(F.col("block").alias("block_b"), F.col("codes").alias("codes_b")), "block_b")
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x, y in zip(batch.column(0), batch.column(1), strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = np.concatenate((p, q)).view(np.int64)
-                hits = np.array(linked(p, q, max_bits), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(both[hits[:, 0]]), pa.array(both[hits[:, 1]])], ["a", "b"])
-
-    small_batches(spark)
-    return found.filter("a is not null").select("a", "b").union(full.select("codes_a", "codes_b").mapInArrow(across, "a long, b long"))
-
-
-def sampled_masks(count: int, bits: int, seed: int = 7) -> list[int]:
-    """Masks of so many bits each, drawn at random but always the same."""
-    rnd = random.Random(seed)
-    return [sum(1 << b for b in rnd.sample(range(BITS), bits)) for _ in range(count)]
-
-
-def near_pairs(codes: DataFrame, reach: int = REACH, beyond: int = MAX_BITS, count: int = SAMPLED) -> DataFrame:
-    """Pairs (a, b) of codes that differ in more than ``beyond`` and at most ``reach`` bits, for an exact check to follow. Upper nodes are
-    patterns under sampled masks; nodes of a few members give all such pairs, larger ones each member's nearest in its block, so the pairs grow with
-    the members rather than with their square. The masks' bits grow with the logarithm of the number of codes, which keeps nodes of
-    unrelated codes small."""
-    n = max(2, codes.count())
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(0, MEMBER)
-
-        def close(rows: np.ndarray) -> pa.RecordBatch:
-            found = []
-            change = changes(rows)
-            starts, ends = np.concatenate(([0], change)), np.concatenate((change, [len(rows)]))
-            large = np.zeros(len(rows), bool)
-            for lo, hi in zip(starts[ends - starts > 8].tolist(), ends[ends - starts > 8].tolist(), strict=True):
-                large[lo:hi] = True
-                for at in range(lo, hi, NEAREST):
-                    x = rows["code"][at : min(hi, at + NEAREST)]
-                    apart = np.bitwise_count(x[:, None] ^ x[None, :])
-                    apart[apart <= beyond] = BITS + 1
-                    best = apart.argmin(axis=1)
-                    hit = np.flatnonzero(apart[np.arange(len(x)), best] <= reach)
-                    found.append((x[hit], x[best[hit]]))
-            for k in range(1, 8):
-                same = (rows["pattern"][k:] == rows["pattern"][:-k]) & (rows["mask"][k:] == rows["mask"][:-k]) & ~large[k:]
-                if not same.any():
-                    break
-                apart = np.bitwise_count(rows["code"][k:] ^ rows["code"][:-k])
-                hit = np.flatnonzero(same & (apart > beyond) & (apart <= reach))
-                found.append((rows["code"][hit], rows["code"][hit + k]))
-            both = np.concatenate([np.stack(p, axis=1) for p in found]) if found else np.zeros((0, 2), np.uint64)
-            both = np.unique(np.sort(both.view(np.int64), axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-        for batch in batches:
-            held = np.concatenate((held, members(batch)))
-            change = changes(held)
-            cut = int(change[-1]) if len(change) else 0
-            if cut >= BLOCK:
-                yield close(held[:cut])
-                held = held[cut:]
-            elif len(held) > 4 * BLOCK:
-                # One large node: its blocks stand alone.
-                yield close(held[: 4 * BLOCK])
-                held = held[4 * BLOCK :]
-        if len(held):
-            yield close(held)
-
-    bits = min(40, max(12, math.ceil(math.log2(n))))
-    return nodes(codes, sampled_masks(count, bits)).mapInArrow(work, "a long, b long").distinct()
+    hit = lambda x, y: np.bitwise_count(x["code"] ^ y["code"]) <= max_bits
+    return pairs(nodes(codes, masks(max_bits, codes.count())), {}, max_bits, hit, True, "code")
 
 
-def shingle_set(text: str | None, shingle: int = SIMILAR_WORDS) -> np.ndarray:
-    """The sorted hashes of a text's word shingles, each once."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    n = max(1, len(words) - shingle + 1)
-    joined = map(b" ".join, zip(*(words[k : k + n] for k in range(shingle)), strict=True)) if len(words) >= shingle else [b" ".join(words)]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in joined), np.uint64, n))
-
-
-def similar_links(pairs: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """Of the pairs (a, b) those whose texts (code, text) share at least so much of their word shingles, by Jaccard similarity. Only
-    texts that a pair names become sets."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [shingle_set(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in made], pa.int64()), pa.array([x.tobytes() for x in made], pa.binary())], ["code", "n", "shingles"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                shared = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(shared >= least * (len(p) + len(q) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    made = written(texts.select("code", text_of("text").alias("text")).mapInArrow(sets, "code long, n long, shingles binary"), "shingles")
-    first = made.select(F.col("code").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("x"))
-    second = made.select(F.col("code").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("y"))
-    # Sets whose lengths alone hold them apart are never compared.
-    fits = F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")
-    return pairs.join(first, "a").join(second, "b").filter(fits).select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
-
-
-def common_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that many texts of a sample hold, sorted, and how many hold each."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.column(1).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x).view(np.int64))], ["s"])
-
-    texts = docs.select(F.xxhash64(text_of(text)).alias("h"), text_of(text).alias("text"))
-    sample = texts.filter(F.pmod("h", F.lit(max(1, docs.count() // COMMON_OF))) == 0).dropDuplicates(["h"])
-    rows = sample.mapInArrow(each, "s long").groupBy("s").count().filter(F.col("count") >= COMMON_AT).orderBy(F.desc("count"), "s").limit(COMMON).collect()
-    known, held = np.array([r["s"] for r in rows], np.int64).view(np.uint64), np.array([r["count"] for r in rows], np.int64)
-    order = np.argsort(known)
-    return known[order], held[order]
-
-
-def prefix(found: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
-    """The first shingles of a set in the order (texts of the sample that hold it, hash), so many that two sets alike to ``least`` share one."""
-    known, held = common
-    if not len(found):
-        return found
-    weight = np.zeros(len(found), np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-        weight = np.where(known[at] == found, held[at], 0)
-    return found[np.argsort(weight, kind="stable")[: len(found) - math.ceil(least * len(found) - 1e-9) + 1]]
-
-
-def prefixes(texts: Column, common: tuple[np.ndarray, np.ndarray], least: float) -> Column:
-    """A text's number of shingles and its prefix."""
-
-    @F.pandas_udf("n int, prefix array<long>")
-    def made(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            sets = [shingle_set(x) for x in batch]
-            yield pd.DataFrame({"n": np.array([len(x) for x in sets], np.int32), "prefix": [prefix(x, common, least).view(np.int64) for x in sets]})
-
-    return made(texts)
-
-
-def prefix_rows(texts: DataFrame) -> DataFrame:
-    """A row (code, h1, h2, n, place, s) for each shingle in the prefixes of texts (code, h1, h2, n, prefix) that others have too."""
-    each = texts.select("code", "h1", "h2", "n", F.posexplode("prefix").alias("place", "s"))
-    return each.withColumn("_held", F.count("*").over(Window.partitionBy("s"))).filter("_held > 1").drop("_held")
-
-
-def prefix_pairs(shared: DataFrame, roots: DataFrame, least: float, neighbours: bool) -> DataFrame:
-    """Of the prefix rows all pairs of texts (code_a, h1_a, h2_a, code_b, h1_b, h2_b) that may be alike to ``least`` and whose codes no links of
-    ``roots`` (node, least) connect so far: they share a shingle of their prefixes, and their lengths and its places leave room for enough.
-    neighbours: only those that follow each other by length among the texts with one shingle, so no more pairs than rows."""
-    rows = shared.join(roots.withColumnRenamed("node", "code"), "code", "left").withColumn("root", F.coalesce("least", "code")).drop("least")
-    names = ("code", "h1", "h2", "n", "place", "root")
-    own = Window.partitionBy("s")
-    if neighbours:
-        after = F.lead(F.struct(*names)).over(own.orderBy(F.desc("n"), "code", "h1", "h2"))
-        rows = rows.withColumn("after", after).select(*(F.col(x).alias(f"{x}_a") for x in names), *(F.col(f"after.{x}").alias(f"{x}_b") for x in names))
-        longer = F.col("root_b").isNotNull()
-    else:
-        # Shingles of one component alone name no pair.
-        met = rows.withColumns({"_lo": F.min("root").over(own), "_hi": F.max("root").over(own)}).filter("_lo < _hi").drop("_lo", "_hi")
-        a, b = (met.select("s", *(F.col(x).alias(f"{x}_{side}") for x in names)) for side in "ab")
-        rows = a.join(b, "s")
-        longer = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("root_a") < F.col("root_b")))
-    room = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    fits = (F.col("n_b") >= least * F.col("n_a") - 1e-9) & (room >= least / (1 + least) * (F.col("n_a") + F.col("n_b")) - 1e-6)
-    return rows.filter((F.col("root_a") != F.col("root_b")) & longer & fits).select(*(f"{x}_{side}" for side in "ab" for x in names[:3])).distinct()
-
-
-def connected(edges: DataFrame) -> DataFrame:
-    """(node, least): for every node of the edges (a, b), the least node that it is connected with, nodes ordered as integers. Each
-    round hooks every node to the least root in its neighbourhood and then shortens all paths; rounds are written to the shared folder. Edges
-    inside a component found so far leave, so the rounds get smaller."""
-    spark = edges.sparkSession
-    live, live_at = written_at(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    done: list[DataFrame] = []  # (node, least) of each round; node is no root any more
-    while not live.isEmpty():
-        both = live.union(live.select("b", "a"))
-        # The least neighbour, where it is less than the node itself: trees without cycles, as every step goes down.
-        hooks, at = written_at(both.filter("b < a").groupBy("a").agg(F.min("b").alias("up")).withColumnRenamed("a", "node"), "hooks")
-        while True:
-            # Paths shorten by half.
-            nxt = hooks.alias("h").join(hooks.alias("g"), F.col("h.up") == F.col("g.node"), "left").select(F.col("h.node").alias("node"), F.coalesce("g.up", "h.up").alias("up"), F.col("g.up").isNotNull().alias("moved"))
-            shorter, new_at = written_at(nxt, "hooks")
-            moved = not shorter.filter("moved").isEmpty()
-            remove(spark, at)
-            hooks, at = shorter.select("node", "up"), new_at
-            if not moved:
-                break
-        done.append(hooks.withColumnRenamed("up", "least"))
-        root = lambda name: F.coalesce(F.col(f"{name}.up"), F.col(f"e.{name}"))
-        moved_edges = (
-            live.alias("e").join(hooks.withColumnRenamed("node", "node_a").alias("a"), F.col("e.a") == F.col("node_a"), "left").join(hooks.withColumnRenamed("node", "node_b").alias("b"), F.col("e.b") == F.col("node_b"), "left")
-        ).select(F.least(root("a"), root("b")).alias("a"), F.greatest(root("a"), root("b")).alias("b"))
-        nxt_live, nxt_at = written_at(moved_edges.filter("a <> b").distinct(), "edges")
-        remove(spark, live_at)
-        live, live_at = nxt_live, nxt_at
-    if not done:
-        return spark.createDataFrame([], "node long, least long")
-    out = done[0]
-    for later in done[1:]:
-        # A root of an earlier round may have got a root since.
-        out = out.alias("x").join(later.alias("y"), F.col("x.least") == F.col("y.node"), "left").select("x.node", F.coalesce("y.least", "x.least").alias("least")).union(later)
-    return out
-
-
-def _rooted(docs: DataFrame, doc_id: str, text: str, max_bits: int, similar: float | None = None) -> DataFrame:
+def _rooted(docs: DataFrame, doc_id: str, text: str, max_bits: int, similar: float | None = None, exact: bool = False) -> DataFrame:
     """For each row: doc_id, two hashes of the text, fingerprint, and the code that stands for its component. similar: texts that are
     so alike link too, beyond max_bits."""
-    small_batches(docs.sparkSession)
     h1, h2 = hash128(text_of(text))
     own = [F.col(doc_id).alias("doc_id"), h1.alias("h1"), h2.alias("h2"), fingerprints(text_of(text)).alias("fingerprint")]
     if similar is not None:
-        own.append(prefixes(text_of(text), common_shingles(docs, text), similar).alias("shingles"))
+        own.append(alike.sketch(text_of(text)).alias("sketch"))
     prints = written(docs.select(*own), "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h1", "h2"))
-    codes = written(prints.groupBy(F.col("fingerprint").alias("code")).agg(F.min("doc_id").alias("least_id"), first.alias("first")), "codes")
-    edges = links(codes, max_bits)
+    codes = written(prints.groupBy(F.col("fingerprint").alias("code")).agg(F.min("doc_id").alias("least_id")), "codes")
+    roots = connected(links(codes, max_bits))
     if similar is not None:
-        pairs = written(near_pairs(codes, beyond=max_bits), "near-pairs")
-        named = pairs.select(F.col("a").alias("code")).union(pairs.select("b")).distinct()
-        wanted = codes.join(named, "code", "left_semi").select("code", *(F.col(f"first.{x}").alias(x) for x in ("no_id", "id", "h1", "h2")))
-        own = docs.select(F.col(doc_id).isNull().alias("no_id"), F.coalesce(F.col(doc_id), F.lit(0)).alias("id"), h1.alias("h1"), h2.alias("h2"), F.col(text).alias("text"))
-        texts = own.join(wanted, ["no_id", "id", "h1", "h2"]).select("code", "text").dropDuplicates(["code"])
-        edges = edges.unionAll(similar_links(pairs, texts, similar))
-    roots = connected(edges)
-    if similar is not None:
-        roots = _completed(docs, text, prints, roots, similar)
+        roots = alike.completed(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")), "_text", prints, roots, similar, exact=exact)
     of = codes.join(roots.withColumnRenamed("node", "code"), "code", "left").select("code", "least_id", F.coalesce("least", "code").alias("root"))
     least = of.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_code = of.select("code", "root").join(least, "root")
-    return prints.join(by_code, F.col("fingerprint") == F.col("code")).drop("code")
-
-
-def _completed(docs: DataFrame, text: str, prints: DataFrame, roots: DataFrame, similar: float) -> DataFrame:
-    """roots (node, least) with the links of all texts alike to ``similar`` that they lack. Neighbours come first: they join large groups
-    by few pairs, and then only pairs between what is still apart are left."""
-    key = ["code", "h1", "h2"]
-    # Each distinct text, of those that share a fingerprint too.
-    texts = prints.select(F.col("fingerprint").alias("code"), "h1", "h2", "shingles.n", "shingles.prefix").dropDuplicates(key)
-    shared = written(prefix_rows(texts), "prefixes")
-    for neighbours in (True, False):
-        roots = written(roots, "roots")
-        roots = _joined(docs, text, roots, written(prefix_pairs(shared, roots, similar, neighbours), "prefix-pairs"), similar)
-    return roots
-
-
-def _joined(docs: DataFrame, text: str, roots: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
-    """roots (node, least) with the links of those pairs of texts that are alike to ``similar``."""
-    key = ["code", "h1", "h2"]
-    # Each text is named by a number of its own.
-    sides = [pairs.select(*(F.col(f"{x}_{side}").alias(x) for x in key)) for side in "ab"]
-    named = written(sides[0].union(sides[1]).distinct().withColumn("number", F.monotonically_increasing_id()), "named")
-    of = {side: named.select(*(F.col(x).alias(f"{x}_{side}") for x in key), F.col("number").alias(side)) for side in "ab"}
-    numbered = pairs.join(of["a"], [f"{x}_a" for x in key]).join(of["b"], [f"{x}_b" for x in key]).select("a", "b")
-    h1, h2 = hash128(text_of(text))
-    wanted = docs.select(h1.alias("h1"), h2.alias("h2"), F.col(text).alias("text")).join(named.select("h1", "h2", "number"), ["h1", "h2"]).select(F.col("number").alias("code"), "text").dropDuplicates(["code"])
-    alike = similar_links(numbered, wanted, similar)
-    # Links between the roots: few, as what was connected before stays out.
-    root_of = named.join(roots.withColumnRenamed("node", "code"), "code", "left").select("number", F.coalesce("least", "code").alias("root"))
-    more = alike.join(root_of.select(F.col("number").alias("a"), F.col("root").alias("x")), "a").join(root_of.select(F.col("number").alias("b"), F.col("root").alias("y")), "b")
-    joined = written(connected(more.select(F.col("x").alias("a"), F.col("y").alias("b"))), "joined-roots")
-    moved = roots.alias("r").join(joined.alias("j"), F.col("r.least") == F.col("j.node"), "left").select("r.node", F.coalesce("j.least", "r.least").alias("least"))
-    # A root of before has no row of its own.
-    return moved.union(joined)
+    return prints.drop("sketch").join(by_code, F.col("fingerprint") == F.col("code")).drop("code")
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
@@ -509,13 +122,14 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_
     return _rooted(docs, doc_id, text, max_bits).select("doc_id", "fingerprint", "component_id")
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS, similar: float | None = None) -> DataFrame:
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS, similar: float | None = None, exact: bool = False) -> DataFrame:
     """One row of each component, that of the smallest doc_id (nulls last; ties: the smallest text hashes; of rows alike in both,
-    any one); all columns as they were."""
+    any one); all columns as they were. similar: five-word shingles so alike link too; exact: also the few that the index leaves out."""
     key = [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h1", "h2"]
-    first = _rooted(docs, doc_id, text, max_bits, similar).groupBy("root").agg(F.min(F.struct(*key)).alias("first")).select("first.*")
-    names = {x: f"_keep_{x}" for x in ("no_id", "id", "h1", "h2")}
+    first = _rooted(docs, doc_id, text, max_bits, similar, exact).groupBy("root").agg(F.min(F.struct(*key)).alias("first")).select("first.*")
+    no_id, own_id, one, two, row = free_names(docs, "no_id", "id", "h1", "h2", "row")
     h1, h2 = hash128(text_of(text))
-    own = {"_keep_no_id": F.col(doc_id).isNull(), "_keep_id": F.coalesce(F.col(doc_id), F.lit(0)), "_keep_h1": h1, "_keep_h2": h2}
-    kept = docs.withColumns(own).join(first.withColumnsRenamed(names), list(names.values()), "left_semi")
-    return kept.withColumn("_keep_row", F.row_number().over(Window.partitionBy(*names.values()).orderBy("_keep_h2"))).filter("_keep_row = 1").drop("_keep_row", *names.values())
+    named = docs.withColumns({no_id: F.col(doc_id).isNull(), own_id: F.coalesce(F.col(doc_id), F.lit(0)), one: h1, two: h2})
+    names = [no_id, own_id, one, two]
+    kept = named.join(first.toDF(*names), names, "left_semi")
+    return kept.withColumn(row, F.row_number().over(Window.partitionBy(*names).orderBy(two))).filter(F.col(row) == 1).select(*docs.columns)

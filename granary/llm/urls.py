@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import UPPER, LOWER, shared_dir, small_batches
+from .common import LOWER, UPPER, shared_dir
+
 
 SEED, MAGIC = 42, b"GRURLS01"
 DEFAULT = "allow"
@@ -155,7 +156,6 @@ def filtered(df: DataFrame, url: str = "url", rules: list[tuple[str, str]] | tup
         for batch in urls:
             yield pd.DataFrame(judge(index, batch.tolist(), default), columns=["host", "path", "rule", "verdict"], dtype=object)
 
-    small_batches(df.sparkSession, 4096)
     return df.withColumn(into, verdicts(F.col(url)))
 
 

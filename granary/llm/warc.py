@@ -26,7 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, partitions, small_batches, text_of
+from .common import new_path, partitions, text_of
+
 
 REVISIT_MIN, ROLL, READ, LEVEL = 100, 256 << 20, 1 << 16, 5
 VERSION = b"WARC/1.1\r\n"
@@ -187,7 +188,6 @@ def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: st
             finish()
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in made], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["path", "records", "bytes"])
 
-    small_batches(spark, 256)
     listed = due.mapInArrow(work, "path string, records long, bytes long")
     listed.write.parquet(f"{root}/archives.parquet")
     return spark.read.schema("path string, records long, bytes long").parquet(f"{root}/archives.parquet")

@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 
-from granary.llm import simhash
+from granary.llm import components, grayindex, similar, simhash
 
 
 def brute_print(text):
@@ -98,7 +98,7 @@ def test_links_find_every_near_pair(spark):
     edges = simhash.links(frame)
     for a, b in edges.collect():
         assert ((a ^ b) & (1 << 64) - 1).bit_count() <= 3
-    found = {r.node: r.least for r in simhash.connected(edges).collect()}
+    found = {r.node: r.least for r in components.connected(edges).collect()}
     want = brute_groups(codes)
     groups = {}
     for c, s in zip(codes, signed, strict=True):
@@ -108,13 +108,13 @@ def test_links_find_every_near_pair(spark):
 
 
 def test_a_node_may_span_blocks_and_tasks(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK", 64)
-    monkeypatch.setattr(simhash, "LEAF", 8)
+    monkeypatch.setattr(grayindex, "BLOCK", 64)
+    monkeypatch.setattr(grayindex, "LEAF", 8)
     rnd = random.Random(2)
     codes = {rnd.getrandbits(44) << 20 & ((1 << 64) - 1) | 0x12345 for _ in range(900)}
     codes |= {c ^ (1 << rnd.randrange(20, 64)) for c in list(codes)[:300]}
     signed = [np.uint64(c).astype(np.int64).item() for c in codes]
-    found = {r.node: r.least for r in simhash.connected(simhash.links(spark.createDataFrame([(c,) for c in signed], "code long"))).collect()}
+    found = {r.node: r.least for r in components.connected(simhash.links(spark.createDataFrame([(c,) for c in signed], "code long"))).collect()}
     want = brute_groups(codes)
     named = {}
     for c, s in zip(codes, signed, strict=True):
@@ -124,7 +124,7 @@ def test_a_node_may_span_blocks_and_tasks(spark, monkeypatch):
 
 def test_gray_rank():
     x = np.arange(4096, dtype=np.uint64)
-    assert (simhash.gray_rank(x ^ (x >> np.uint64(1))) == x).all()
+    assert (grayindex.gray_rank(x ^ (x >> np.uint64(1))) == x).all()
 
 
 def test_one_row_of_each_component_stays(odd, docs, empty):
@@ -137,7 +137,7 @@ def test_one_row_of_each_component_stays(odd, docs, empty):
     assert simhash.deduplicated(empty).count() == 0
 
 
-def test_similar_texts_link(spark, odd):
+def test_edited_copies_link(spark, odd):
     """Copies edited until their five-word shingles are alike to 0.8 or more, among texts that have nothing in common."""
     rnd = random.Random(12)
     words = [f"w{k}" for k in range(5000)]
@@ -168,20 +168,6 @@ def test_similar_texts_link(spark, odd):
     assert simhash.deduplicated(odd.limit(0), similar=0.8).count() == 0
 
 
-def test_large_nodes_give_each_member_its_nearest(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "NEAREST", 32)
-    monkeypatch.setattr(simhash, "BLOCK", 16)
-    rnd = random.Random(3)
-    base = rnd.getrandbits(64)
-    codes = {base ^ sum(1 << b for b in rnd.sample(range(64), 4)) for _ in range(300)} | {rnd.getrandbits(64) for _ in range(300)}
-    signed = [np.uint64(c).astype(np.int64).item() for c in codes]
-    pairs = simhash.near_pairs(spark.createDataFrame([(c,) for c in signed], "code long")).collect()
-    assert all(3 < ((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= simhash.REACH for r in pairs)
-    assert len(pairs) < simhash.SAMPLED * len(codes)
-    near = {x & (1 << 64) - 1 for r in pairs for x in (r.a, r.b)}
-    assert len(near & {c for c in codes if (c ^ base).bit_count() <= 4}) >= 290
-
-
 def edited_copies(rnd, words, text, count):
     """Copies of a text edited at random places for as long as they are alike to 0.8 with it."""
     out = []
@@ -197,23 +183,51 @@ def edited_copies(rnd, words, text, count):
     return out
 
 
-def test_similar_texts_link_at_any_size(spark, monkeypatch):
-    """With masks of as many bits as ten million codes take, every text alike to 0.8 with another still links."""
-    masks = simhash.sampled_masks
-    monkeypatch.setattr(simhash, "sampled_masks", lambda count, bits: masks(count, 24))
+def test_similar_texts_link(spark):
+    """Every text alike to 0.8 with another links, if not by the bands then by the exact way."""
     rnd = random.Random(21)
     words = [f"w{k}" for k in range(5000)]
     rows = []
     for k in range(250):
         text = [rnd.choice(words) for _ in range(rnd.randrange(50, 200))]
         rows += [(2 * k, " ".join(text)), (2 * k + 1, edited_copies(rnd, words, text, 1)[0])]
-    kept = {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), similar=0.8).collect()}
-    assert kept == {2 * k for k in range(250)}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.deduplicated(frame, similar=0.8).collect()}
+    assert {2 * k for k in range(250)} <= kept and len(kept) <= 252
+    assert {r.doc_id for r in simhash.deduplicated(frame, similar=0.8, exact=True).collect()} == {2 * k for k in range(250)}
+
+
+def test_the_exact_way_finds_what_the_bands_leave_out(spark, monkeypatch):
+    monkeypatch.setattr(similar, "sketch", lambda text: similar.signatures(1, 20)(text))
+    rnd = random.Random(24)
+    words = [f"w{k}" for k in range(5000)]
+    rows = []
+    for k in range(60):
+        text = [rnd.choice(words) for _ in range(rnd.randrange(50, 200))]
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, edited_copies(rnd, words, text, 1)[0])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert simhash.deduplicated(frame, similar=0.8).count() > 100
+    assert {r.doc_id for r in simhash.deduplicated(frame, similar=0.8, exact=True).collect()} == {2 * k for k in range(60)}
+
+
+def test_chance_to_meet_does_not_depend_on_the_number_of_texts():
+    chance = lambda s: 1 - (1 - s**similar.ROWS) ** similar.BANDS
+    assert chance(0.8) > 0.999
+    rnd = random.Random(25)
+    words = [f"w{k}" for k in range(5000)]
+    met = 0
+    for _ in range(400):
+        text = [rnd.choice(words) for _ in range(rnd.randrange(50, 200))]
+        x, y = similar.signature(" ".join(text)), similar.signature(edited_copies(rnd, words, text, 1)[0])
+        met += bool(set(x[2].tolist()) & set(y[2].tolist()))
+    assert met >= 396
 
 
 def test_large_groups_of_edited_copies_leave_one(spark, monkeypatch):
-    """Groups of edited copies, of which many share each node, whose nearest need not be alike: one of each group stays."""
-    monkeypatch.setattr(simhash, "NEAREST", 16)
+    """Groups of edited copies, of which many share each node, whose nearest need not be alike: one of each group stays. Small blocks
+    spread a node over blocks and tasks."""
+    monkeypatch.setattr(grayindex, "BLOCK", 16)
+    monkeypatch.setattr(grayindex, "LEAF", 4)
     rnd = random.Random(22)
     words = [f"w{k}" for k in range(3000)]
     texts = []
@@ -226,6 +240,15 @@ def test_large_groups_of_edited_copies_leave_one(spark, monkeypatch):
     assert sorted(groups[t] for t in kept) == sorted(set(groups.values()))
 
 
+def test_similar_groups_equal_brute_force_on_a_table(spark):
+    """All groups of the sf0.01 documents, by the bands and by the exact way."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    groups = brute_similar_groups([r.text or "" for r in docs.collect()])
+    for exact in (False, True):
+        kept = [r.text or "" for r in simhash.deduplicated(docs, similar=0.8, exact=exact).collect()]
+        assert sorted(groups[t] for t in kept) == sorted(set(groups.values()))
+
+
 def test_every_text_of_a_fingerprint_is_compared(spark, monkeypatch):
     """Texts that share a fingerprint: the last is alike to the second alone, which doesn't stand for the fingerprint."""
     words = [f"w{k}" for k in range(100)]
@@ -245,13 +268,24 @@ def test_every_text_of_a_fingerprint_is_compared(spark, monkeypatch):
 
 def test_a_range_may_begin_with_the_last_member_of_a_node(spark, monkeypatch):
     """One task ends with a node, the next begins with one more member of it, and a very large node follows."""
-    monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(grayindex, "BLOCK", 16)
     rnd = random.Random(23)
-    gray = lambda codes: sorted((simhash.gray_rank(np.array(codes, np.uint64)) ^ np.uint64(1 << 63)).view(np.int64).tolist())
-    large = [(0, 8, g) for g in gray([rnd.getrandbits(64) for _ in range(100)])]
-    parts = [[(0, 7, gray([0])[0])], [(0, 7, gray([1])[0]), *large]]
+    gray = lambda codes: sorted(grayindex.signed_rank(np.array(codes, np.uint64)).tolist())
+    large = [(8, g) for g in gray([rnd.getrandbits(64) for _ in range(100)])]
+    parts = [[(7, gray([0])[0])], [(7, gray([1])[0]), *large]]
     rows = spark.sparkContext.parallelize(parts, 2).flatMap(lambda x: x)
-    frame = spark.createDataFrame(rows, "mask int, pattern long, gray long")
+    frame = spark.createDataFrame(rows, "key long, gray long")
     monkeypatch.setattr(simhash, "nodes", lambda codes, keep: frame)
     found = simhash.links(spark.createDataFrame([(0,)], "code long")).collect()
     assert (0, 1) in {tuple(sorted((r.a, r.b))) for r in found}
+
+
+def test_masks_meet_every_pair_at_any_number():
+    rnd = random.Random(26)
+    for count in (1, 10**6, 10**9, 10**13):
+        keep = simhash.masks(3, count)
+        for _ in range(200):
+            code = rnd.getrandbits(64)
+            other = code ^ sum(1 << b for b in rnd.sample(range(64), 3))
+            assert any((code ^ other) & m == 0 for m in keep)
+        assert min(m.bit_count() for m in keep) + simhash.NODE_BITS + 1 >= count.bit_length()
