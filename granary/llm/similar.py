@@ -7,8 +7,10 @@ Within a node, members lie in the Gray order of their codes.
 
 Members of a node are compared in two rounds, exactly, by their shingles. The first takes each member with its neighbour in Gray order and
 with the node's most central member, the one that meets most others over all its nodes: so many pairs as members, which join large
-groups of edited copies. The second takes every pair of a node that is not connected by then and whose codes differ in ``REACH``
-bits at most (0.8 means 10 of 64 in the mean; reach=64 takes all), with groups of members pruned by the bits they share.
+groups of edited copies. The second takes every pair of a node that is not connected by then, unless its codes differ in more than
+``REACH`` bits (0.8 means 10 of 64 in the mean; groups of members are pruned by the bits they share) or four bits of each of the least
+values differ for more than ``STRAY`` of them (0.8 means 19 of 100, with a deviation of 4): that leaves out 0.0006 of the pairs
+alike to just 0.8, fewer of others.
 
 ``exact`` adds what the bands left out, by a prefix filter on the sets of shingles: any two texts so alike share one of the first
 shingles of their sets in a fixed order. It costs several times as much.
@@ -32,7 +34,7 @@ from .components import connected
 from .grayindex import arrays, dealt, pairs, signed_rank
 
 LEAST, WORDS, SEED = 0.8, 5, 42
-BANDS, ROWS, REACH = 20, 5, 24
+BANDS, ROWS, REACH, STRAY = 20, 5, 24, 32
 _FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Hash functions of the form a * x + b modulo 2^64, fixed by a seed.
 _MULTIPLY, _ADD = np.random.default_rng(2024).integers(0, 1 << 63, (2, 4096), np.uint64)
@@ -49,11 +51,17 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in joined), np.uint64, n))
 
 
-def signature(text: str | None, bands: int = BANDS, rows: int = ROWS) -> tuple[int, int, np.ndarray]:
-    """Number of shingles, Gray rank of their SimHash and names of the bands; a text without words has no bands."""
+def words_of(count: int) -> int:
+    """64-bit words that hold four bits of so many values."""
+    return -(-count // 16)
+
+
+def signature(text: str | None, bands: int = BANDS, rows: int = ROWS) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Number of shingles, Gray rank of their SimHash, names of the bands, and four bits of each least value; a text without words has no
+    bands."""
     found = shingle_set(text)
     if not len(found):
-        return 0, 0, np.zeros(0, np.int64)
+        return 0, 0, np.zeros(0, np.int64), np.zeros(words_of(bands * rows), np.int64)
     ones, low = np.zeros(64, np.int64), np.full(bands * rows, ~np.uint64(0))
     for at in range(0, len(found), 4096):
         part = found[at : at + 4096]
@@ -62,14 +70,26 @@ def signature(text: str | None, bands: int = BANDS, rows: int = ROWS) -> tuple[i
     code = np.packbits(2 * ones > len(found)).view(">u8").astype(np.uint64)
     # A band's name holds its number.
     names = [xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(low.reshape(bands, rows))]
-    return len(found), int(signed_rank(code)[0]), np.array(names, np.uint64).view(np.int64)
+    four = np.zeros(16 * words_of(bands * rows), np.uint8)
+    four[: len(low)] = low & np.uint64(15)
+    return len(found), int(signed_rank(code)[0]), np.array(names, np.uint64).view(np.int64), (four[::2] | four[1::2] << 4).view(np.int64)
+
+
+def stray(x: np.ndarray, y: np.ndarray, words: int) -> np.ndarray:
+    """Of how many least values the four bits differ, for members with columns m0, m1 and on."""
+    out = 0
+    for k in range(words):
+        off = x[f"m{k}"] ^ y[f"m{k}"]
+        off = off | off >> np.uint64(1)
+        out = out + np.bitwise_count((off | off >> np.uint64(2)) & np.uint64(0x1111111111111111))
+    return out
 
 
 def signatures(bands: int = BANDS, rows: int = ROWS):  # noqa: ANN201
-    @F.pandas_udf("n int, gray long, bands array<long>")
+    @F.pandas_udf("n int, gray long, bands array<long>, least array<long>")
     def made(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            yield pd.DataFrame([signature(x, bands, rows) for x in batch], columns=["n", "gray", "bands"])
+            yield pd.DataFrame([signature(x, bands, rows) for x in batch], columns=["n", "gray", "bands", "least"])
 
     return made
 
@@ -167,9 +187,9 @@ def rooted(named: DataFrame, roots: DataFrame) -> DataFrame:
     return named.drop("root").join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("least", "fingerprint")).drop("least")
 
 
-def completed(docs: DataFrame, text: str, prints: DataFrame, roots: DataFrame, least: float = LEAST, reach: int = REACH, exact: bool = False) -> DataFrame:
+def completed(docs: DataFrame, text: str, prints: DataFrame, roots: DataFrame, least: float = LEAST, reach: int = REACH, most: int = STRAY, exact: bool = False) -> DataFrame:
     """roots (node, least) over fingerprints, with the links of all texts alike to ``least``. docs: a column _id and the text; prints: rows
-    (doc_id, h1, h2, fingerprint, sketch: n, gray, bands) of the same documents. Texts of one fingerprint are connected as it is."""
+    (doc_id, h1, h2, fingerprint, sketch) of the same documents. Texts of one fingerprint are connected as it is."""
     spark = docs.sparkSession
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"))).alias("first")
     # Each distinct text, of those that share a fingerprint too, has a number of its own.
@@ -198,13 +218,16 @@ def completed(docs: DataFrame, text: str, prints: DataFrame, roots: DataFrame, l
     roots = joined(docs, text, named, near.union(edges).union(stars), roots, least)
     # Second round: what is still apart.
     named = rooted(each, roots)
-    now = members.select("key", "gray", "no", "n").distinct().join(named.select("no", "root"), "no")
-    now = now.join(open_keys(now), "key", "left_semi").select("key", "gray", "no", "n", "root")
+    words = words_of(BANDS * ROWS)
+    four = [F.get("sketch.least", F.lit(k)).alias(f"m{k}") for k in range(words)]
+    now = members.select("key", "gray", "no", "n").distinct().join(named.select("no", "root", *four), "no")
+    now = now.join(open_keys(now), "key", "left_semi").select("key", "gray", "no", "n", "root", *(f"m{k}" for k in range(words)))
 
     def hit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return (np.bitwise_count(x["code"] ^ y["code"]) <= reach) & (x["root"] != y["root"]) & fits(x["n"], y["n"], least)
+        near = (np.bitwise_count(x["code"] ^ y["code"]) <= reach) & (x["root"] != y["root"]) & fits(x["n"], y["n"], least)
+        return near & (stray(x, y, words) <= most)
 
-    rest = pairs(dealt(now), {"no": "i8", "n": "i4", "root": "i8"}, reach, hit, False, "no")
+    rest = pairs(dealt(now), {"no": "i8", "n": "i4", "root": "i8"} | {f"m{k}": "u8" for k in range(words)}, reach, hit, False, "no")
     roots = joined(docs, text, named, rest, roots, least)
     remove(spark, met_at)
     if exact:

@@ -198,7 +198,7 @@ def test_similar_texts_link(spark):
 
 
 def test_the_exact_way_finds_what_the_bands_leave_out(spark, monkeypatch):
-    monkeypatch.setattr(similar, "sketch", lambda text: similar.signatures(1, 20)(text))
+    monkeypatch.setattr(similar, "sketch", lambda text: similar.signatures(5, 20)(text))
     rnd = random.Random(24)
     words = [f"w{k}" for k in range(5000)]
     rows = []
@@ -215,12 +215,14 @@ def test_chance_to_meet_does_not_depend_on_the_number_of_texts():
     assert chance(0.8) > 0.999
     rnd = random.Random(25)
     words = [f"w{k}" for k in range(5000)]
-    met = 0
+    met, stay = 0, 0
     for _ in range(400):
         text = [rnd.choice(words) for _ in range(rnd.randrange(50, 200))]
         x, y = similar.signature(" ".join(text)), similar.signature(edited_copies(rnd, words, text, 1)[0])
         met += bool(set(x[2].tolist()) & set(y[2].tolist()))
-    assert met >= 396
+        least = [np.array([tuple(s[3].view(np.uint64).tolist())], [(f"m{k}", "u8") for k in range(7)]) for s in (x, y)]
+        stay += bool(similar.stray(*least, 7)[0] <= similar.STRAY)
+    assert met >= 396 and stay >= 396
 
 
 def test_large_groups_of_edited_copies_leave_one(spark, monkeypatch):
