@@ -66,6 +66,21 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def aside(df: DataFrame, results: list[str], read: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """df without columns of the names of results: such a column is called ``<name>_before`` instead, with as many underscores in front as
+    make the name new. Also the present names of the columns in read."""
+    moved: dict[str, str] = {}
+    taken = {x.lower() for x in [*df.columns, *results]}
+    for name in df.columns:
+        if name.lower() in {x.lower() for x in results}:
+            new = f"{name.lower()}_before"
+            while new.lower() in taken:
+                new = "_" + new
+            taken.add(new.lower())
+            moved[name] = new
+    return df.withColumnsRenamed(moved) if moved else df, [next((v for k, v in moved.items() if k.lower() == x.lower()), x) for x in read or []]
+
+
 def text_of(column: str | Column) -> Column:
     """Null counts as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
@@ -82,3 +97,31 @@ def hash128(column: Column) -> tuple[Column, Column]:
 
 def partitions(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+#: Bytes of an Arrow batch in the queries and the pipeline.
+BATCH_BYTES = 8 << 20
+
+
+def session(spark: SparkSession) -> SparkSession:
+    """The session with a bound on the bytes of an Arrow batch, unless it has one of its own: batches of long texts have to fit in Python
+    workers. Operators leave the session's settings as they are; only queries and the pipeline call this."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("64MB", "67108864", "67108864b"):
+        spark.conf.set(key, str(BATCH_BYTES))
+    return spark
+
+
+#: A key is hot if it holds more than one in so many rows: so many keys are at most, which is what a join broadcasts of them.
+HOT = 4096
+
+
+def met_by_key(rows: DataFrame, keyed: DataFrame, on: list[str], held: str) -> DataFrame:
+    """The inner join of rows with keyed, whose keys are unique and which says in column ``held`` how many rows have each key at least. The
+    few keys that hold many rows are broadcast, HOT of them at most, so that their rows stay where they are; the others are shuffled, and none
+    of them fills a task. rows and keyed are read twice."""
+    total = rows.count()
+    hot = F.col(held) * HOT > total
+    few = F.broadcast(keyed.filter(hot))
+    rest = rows.join(few.select(*on), on, "left_anti").join(keyed.filter(~hot), on)
+    return rows.join(few, on).unionByName(rest)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, text_of, written
+from .common import aside, text_of, written
 
 
 CAPACITY, END, TASK_PIECES = 2048, 0, 65_536
@@ -134,9 +134,11 @@ class Bins:
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY, task_pieces: int = TASK_PIECES) -> DataFrame:
-    """parts with sequence_id and offset. Its columns must include doc_id, piece and length; parts is read twice."""
+    """parts with sequence_id and offset. Its columns must include doc_id, piece and length; parts is read twice. Other columns pass through,
+    those of the results' names under others (``aside``)."""
     n = max(1, -(-parts.count() // task_pieces))
-    names = [x for x in parts.columns if x not in ("sequence_id", "offset")]
+    parts, _ = aside(parts, ["sequence_id", "offset"])
+    names = parts.columns
     kinds = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in parts.select(*names).schema)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

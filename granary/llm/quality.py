@@ -6,7 +6,7 @@ lines hold decides, window length by window length.
 
 Defined cases: a null or empty text has no words, fails the base rule and is not kept; a text shorter than a window has no such
 windows; rows are judged alone, so repeated rows get the same verdict; an empty table gives an empty result; extra columns of any
-name pass through ``keep`` untouched.
+name pass through ``keep`` untouched, and through ``judged`` too but for one that has the result's name, which gets another (``aside``).
 """
 
 from __future__ import annotations
@@ -14,11 +14,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import WORD, aside
+
 
 SYMBOLS = "#*$%&|<>"
 #: A text fails if words inside repeated windows of so many words hold more than this share of its word characters. Widely used
@@ -138,14 +140,17 @@ def measure(text: str | None) -> tuple:
     return (n, chars, symbols, n_dup, base, base_failed, line_share, dup_chars, symbols / n, *shares.values(), reason, reason is None)
 
 
-@F.pandas_udf(T.StructType([T.StructField(k, v) for k, v in FIELDS.items()]))
-def quality(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+@F.arrow_udf(T.StructType([T.StructField(k, v) for k, v in FIELDS.items()]))
+def quality(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    kinds = {_LONG: pa.int64(), _DOUBLE: pa.float64(), _BOOLEAN: pa.bool_()}
     for batch in texts:
-        yield pd.DataFrame([measure(x) for x in batch], columns=list(FIELDS))
+        rows = [measure(x.as_py()) for x in batch]
+        yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kinds.get(t, pa.string())) for k, t in enumerate(FIELDS.values())], list(FIELDS))
 
 
 def judged(df: DataFrame, text: str = "text", into: str = "quality") -> DataFrame:
     """df with a struct column of all measures."""
+    df, [text] = aside(df, [into], [text])
     return df.withColumn(into, quality(F.col(text)))
 
 
@@ -153,3 +158,29 @@ def keep(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows whose text passes; all columns as they were. Only the text goes to Python."""
     passes: Column = quality(F.col(text))["kept"]
     return df.filter(passes)
+
+
+_WINDOWS = ", ".join(f"string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) AS w{n}" for n in WINDOW_LIMITS)
+#: A window of n words is marked if it is whole and occurs twice; a word is marked if one of the n windows that hold it is.
+_TWICE = ", ".join(f"pos <= n_words - {n - 1} AND count(*) FILTER (WHERE pos <= n_words - {n - 1}) OVER (PARTITION BY doc_id, w{n}) > 1 AS t{n}" for n in WINDOW_LIMITS)
+_MARKED = ", ".join(f"coalesce(bool_or(t{n}) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), false) AS m{n}" for n in WINDOW_LIMITS)
+_SHARES = ", ".join(f"coalesce(CAST(sum(length(word)) FILTER (WHERE m{n}) AS DOUBLE), 0) / sum(length(word)) AS s{n}" for n in WINDOW_LIMITS)
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '{WORD}') AS ws FROM d),
+p AS (SELECT doc_id, len(ws) AS n_words, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+a AS (SELECT *, {_WINDOWS} FROM p), b AS (SELECT *, {_TWICE} FROM a), c AS (SELECT *, {_MARKED} FROM b),
+r AS (SELECT doc_id, count(*) FILTER (WHERE m{BASE_WINDOW}) AS n_repeat_words, {_SHARES} FROM c GROUP BY doc_id),
+l AS (SELECT doc_id, line, count(*) AS n, octet_length(encode(line)) AS size
+      FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{WORD}') GROUP BY doc_id, line),
+g AS (SELECT doc_id, CAST(sum(n - 1) AS BIGINT) AS n_dup_lines, CAST(sum(n - 1) AS DOUBLE) / sum(n) AS lines, CAST(sum((n - 1) * size) AS DOUBLE) / sum(n * size) AS chars
+      FROM l GROUP BY doc_id),
+m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(t, '[^{SYMBOLS}]', '', 'g')) AS BIGINT) AS n_symbols FROM w)
+SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+       n_words < {MIN_WORDS} OR 100 * coalesce(n_repeat_words, 0) > {BASE_PERCENT} * n_words AS base_failed,
+       n_words >= {MIN_WORDS} AND 100 * coalesce(n_repeat_words, 0) <= {BASE_PERCENT} * n_words
+       AND {" AND ".join(f"s{n} <= CAST({limit} AS DOUBLE)" for n, limit in WINDOW_LIMITS.items())}
+       AND lines <= CAST({LINE_LIMIT} AS DOUBLE) AND chars <= CAST({LINE_CHARS_LIMIT} AS DOUBLE) AND CAST(n_symbols AS DOUBLE) / n_words <= CAST({SYMBOL_LIMIT} AS DOUBLE) AS kept
+FROM m LEFT JOIN r USING (doc_id) LEFT JOIN g USING (doc_id)
+"""

@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from . import chat, html, linededup, mixing, packing, quality, simhash, spotsigs, urls, warc
-from .common import table, text_of
+from .common import session, text_of
+from .common import table as read_table
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return read_table(session(spark), sf_dir, name)
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +59,10 @@ def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spotsigs_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.linked(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -65,7 +74,8 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality.*")
+    rows = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", *(f"quality.{x}" for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,9 +87,28 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_chat_formatting, op2_url_filter, op3_best_fit_packing, op4_html_extraction, op5_line_dedup, op6_spotsigs, op7_warc, op8_simhash_near_dedup, op9_quality_rules, op10_mixing, pipeline)
+    every = (
+        op1_chat_formatting,
+        op2_url_filter,
+        op3_best_fit_packing,
+        op4_html_extraction,
+        op5_line_dedup,
+        op6_spotsigs,
+        spotsigs_links,
+        op7_warc,
+        op8_simhash_near_dedup,
+        op9_quality_rules,
+        op10_mixing,
+        pipeline,
+    )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat.ORACLE, "op2_url_filter": urls.ORACLE, "op5_line_dedup": linededup.ORACLE, "op7_warc": warc.ORACLE}
+    return {
+        "op1_chat_formatting": chat.ORACLE,
+        "op2_url_filter": urls.ORACLE,
+        "op5_line_dedup": linededup.ORACLE,
+        "op7_warc": warc.ORACLE,
+        "op9_quality_rules": quality.ORACLE,
+    }

@@ -22,7 +22,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import similar as alike
-from .common import free_names, hash128, text_of, written
+from .common import free_names, hash128, met_by_key, text_of, written
 from .components import connected
 from .grayindex import dealt, pairs, signed_rank
 
@@ -58,10 +57,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n).view(">i8")[0])
 
 
-@F.pandas_udf(T.LongType())
-def fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(T.LongType())
+def fingerprints(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in texts:
-        yield pd.Series([fingerprint(x) for x in batch], dtype="int64")
+        yield pa.array([fingerprint(x.as_py()) for x in batch], pa.int64())
 
 
 def as_hex(bits: Column) -> Column:
@@ -96,7 +95,7 @@ def nodes(codes: DataFrame, keep: list[int]) -> DataFrame:
 def links(codes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Links between the distinct fingerprints in column ``code``: rows (a, b) that connect what all links connect."""
     hit = lambda x, y: np.bitwise_count(x["code"] ^ y["code"]) <= max_bits
-    return pairs(nodes(codes, masks(max_bits, codes.count())), {}, max_bits, hit, True, "code")
+    return pairs(nodes(codes, masks(max_bits, codes.count())), {}, max_bits, hit, "code")
 
 
 def _rooted(docs: DataFrame, doc_id: str, text: str, max_bits: int, similar: float | None = None, exact: bool = False) -> DataFrame:
@@ -107,14 +106,14 @@ def _rooted(docs: DataFrame, doc_id: str, text: str, max_bits: int, similar: flo
     if similar is not None:
         own.append(alike.sketch(text_of(text)).alias("sketch"))
     prints = written(docs.select(*own), "fingerprints")
-    codes = written(prints.groupBy(F.col("fingerprint").alias("code")).agg(F.min("doc_id").alias("least_id")), "codes")
+    codes = written(prints.groupBy(F.col("fingerprint").alias("code")).agg(F.min("doc_id").alias("least_id"), F.count("*").alias("held")), "codes")
     roots = connected(links(codes, max_bits))
     if similar is not None:
         roots = alike.completed(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")), "_text", prints, roots, similar, exact=exact)
-    of = codes.join(roots.withColumnRenamed("node", "code"), "code", "left").select("code", "least_id", F.coalesce("least", "code").alias("root"))
+    of = codes.join(roots.withColumnRenamed("node", "code"), "code", "left").select("code", "least_id", "held", F.coalesce("least", "code").alias("root"))
     least = of.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_code = of.select("code", "root").join(least, "root")
-    return prints.drop("sketch").join(by_code, F.col("fingerprint") == F.col("code")).drop("code")
+    by_code = of.select(F.col("code").alias("fingerprint"), "held", "root").join(least, "root")
+    return met_by_key(prints.drop("sketch"), by_code, ["fingerprint"], "held").drop("held")
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:

@@ -7,7 +7,8 @@ Within a node, members lie in the Gray order of their codes.
 
 Members of a node are compared in two rounds, exactly, by their shingles. The first takes each member with its neighbour in Gray order and
 with the node's most central member, the one that meets most others over all its nodes: so many pairs as members, which join large
-groups of edited copies. The second takes every pair of a node that is not connected by then, unless its codes differ in more than
+groups of edited copies. The second brings the shingles of members that are still apart into their nodes, and compares there every pair that
+nothing connects by then, so that no more links leave a node than it has members. A pair is left out if its codes differ in more than
 ``REACH`` bits (0.8 means 10 of 64 in the mean; groups of members are pruned by the bits they share) or four bits of each of the least
 values differ for more than ``STRAY`` of them (0.8 means 19 of 100, with a deviation of 4): that leaves out 0.0006 of the pairs
 alike to just 0.8, fewer of others.
@@ -18,11 +19,9 @@ shingles of their sets in a fixed order. It costs several times as much.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -35,6 +34,8 @@ from .grayindex import arrays, dealt, pairs, signed_rank
 
 LEAST, WORDS, SEED = 0.8, 5, 42
 BANDS, ROWS, REACH, STRAY = 20, 5, 24, 32
+#: Members of a block that carries shingles.
+SET_BLOCK = 256
 _FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Hash functions of the form a * x + b modulo 2^64, fixed by a seed.
 _MULTIPLY, _ADD = np.random.default_rng(2024).integers(0, 1 << 63, (2, 4096), np.uint64)
@@ -86,10 +87,14 @@ def stray(x: np.ndarray, y: np.ndarray, words: int) -> np.ndarray:
 
 
 def signatures(bands: int = BANDS, rows: int = ROWS):  # noqa: ANN201
-    @F.pandas_udf("n int, gray long, bands array<long>, least array<long>")
-    def made(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    kind = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("gray", T.LongType()), *(T.StructField(x, T.ArrayType(T.LongType())) for x in ("bands", "least"))])
+
+    @F.arrow_udf(kind)
+    def made(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            yield pd.DataFrame([signature(x, bands, rows) for x in batch], columns=["n", "gray", "bands", "least"])
+            n, gray, names, four = zip(*(signature(x.as_py(), bands, rows) for x in batch), strict=True) if len(batch) else ((),) * 4
+            whole = pa.list_(pa.int64())
+            yield pa.StructArray.from_arrays([pa.array(n, pa.int32()), pa.array(gray, pa.int64()), pa.array(names, whole), pa.array(four, whole)], ["n", "gray", "bands", "least"])
 
     return made
 
@@ -158,30 +163,36 @@ def alike(found: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long")
 
 
-def joined(docs: DataFrame, text: str, named: DataFrame, found: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """roots (node, least) with the links of those pairs (a, b) that are alike. named: (no, no_id, id, h1, h2, root) of every text,
-    by a row that holds it."""
-    spark = docs.sparkSession
-    found, found_at = written_at(ordered(found), "similar-pairs")
-    asked = found.select(F.col("a").alias("no")).union(found.select("b")).distinct()
-    key = ["no_id", "id", "h1", "h2"]
-    wanted = named.join(asked, "no", "left_semi").select("no", *key)
+def texts_of(docs: DataFrame, text: str, named: DataFrame) -> DataFrame:
+    """(no, text) for named: (no, no_id, id, h1, h2). Each text is taken from the one row that names it, so that of a group of copies only
+    that one meets another table."""
     h1, h2 = hash128(text_of(text))
-    # Each text is taken from the one row that names it, so that of a group of copies only that one meets another table.
     own = docs.select(F.col("_id").isNull().alias("no_id"), F.coalesce("_id", F.lit(0)).alias("id"), h1.alias("h1"), h2.alias("h2"), text_of(text).alias("text"))
-    texts, texts_at = written_at(own.join(wanted, key).select("no", "text").dropDuplicates(["no"]), "similar-texts")
-    links = alike(found, texts, least)
+    return own.join(named.select("no", "no_id", "id", "h1", "h2"), ["no_id", "id", "h1", "h2"]).select("no", "text").dropDuplicates(["no"])
+
+
+def joined(links: DataFrame, named: DataFrame, roots: DataFrame) -> DataFrame:
+    """roots (node, least) with links between texts (a, b) of named: (no, root)."""
     of = named.select("no", "root")
     more = links.join(of.select(F.col("no").alias("a"), F.col("root").alias("x")), "a").join(of.select(F.col("no").alias("b"), F.col("root").alias("y")), "b")
     # Links between roots: what was connected before is one node.
     fresh = written(connected(more.select(F.col("x").alias("a"), F.col("y").alias("b"))), "similar-roots")
-    for path in (found_at, texts_at):
-        remove(spark, path)
     moved = roots.alias("r").join(fresh.alias("j"), F.col("r.least") == F.col("j.node"), "left").select("r.node", F.coalesce("j.least", "r.least").alias("least"))
     # A root of before has no row of its own.
     return written(moved.union(fresh), "roots")
 
 
+def checked(docs: DataFrame, text: str, named: DataFrame, found: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """roots with the links of those pairs (a, b) whose texts are alike."""
+    found, found_at = written_at(ordered(found), "similar-pairs")
+    asked = found.select(F.col("a").alias("no")).union(found.select("b")).distinct()
+    texts, texts_at = written_at(texts_of(docs, text, named.join(asked, "no", "left_semi")), "similar-texts")
+    roots = joined(alike(found, texts, least), named, roots)
+    for path in (found_at, texts_at):
+        remove(docs.sparkSession, path)
+    return roots
+
+
 def rooted(named: DataFrame, roots: DataFrame) -> DataFrame:
     """named with the root that its fingerprint has by now."""
     return named.drop("root").join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("least", "fingerprint")).drop("least")
@@ -215,8 +226,8 @@ def completed(docs: DataFrame, text: str, prints: DataFrame, roots: DataFrame, l
     can = F.least("n", "n_b") >= least * F.greatest("n", "n_b") - 1e-9
     stars = sized.join(middle, "key").filter((F.col("root") != F.col("root_b")) & can).select(F.col("no").alias("a"), "b")
     near = members.filter("near is not null").select(F.col("no").alias("a"), F.col("near").alias("b"))
-    roots = joined(docs, text, named, near.union(edges).union(stars), roots, least)
-    # Second round: what is still apart.
+    roots = checked(docs, text, named, near.union(edges).union(stars), roots, least)
+    # Second round: what is still apart, with its shingles.
     named = rooted(each, roots)
     words = words_of(BANDS * ROWS)
     four = [F.get("sketch.least", F.lit(k)).alias(f"m{k}") for k in range(words)]
@@ -227,26 +238,42 @@ def completed(docs: DataFrame, text: str, prints: DataFrame, roots: DataFrame, l
         near = (np.bitwise_count(x["code"] ^ y["code"]) <= reach) & (x["root"] != y["root"]) & fits(x["n"], y["n"], least)
         return near & (stray(x, y, words) <= most)
 
-    rest = pairs(dealt(now), {"no": "i8", "n": "i4", "root": "i8"} | {f"m{k}": "u8" for k in range(words)}, reach, hit, False, "no")
-    roots = joined(docs, text, named, rest, roots, least)
-    remove(spark, met_at)
+    def same(x: bytes, y: bytes) -> bool:
+        mine, other = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        shared = len(np.intersect1d(mine, other, assume_unique=True))
+        return shared >= least * (len(mine) + len(other) - shared)
+
+    now, now_at = written_at(now, "similar-open")
+    sets = texts_of(docs, text, named.join(now.select("no").distinct(), "no", "left_semi")).select("no", set_bytes()("text").alias("shingles"))
+    sets, sets_at = written_at(sets, "similar-sets")
+    extra = {"no": "i8", "n": "i4", "root": "i8"} | {f"m{k}": "u8" for k in range(words)}
+    roots = joined(pairs(dealt(now.join(sets, "no")), extra, reach, hit, "no", same, SET_BLOCK), named, roots)
+    for path in (met_at, now_at, sets_at):
+        remove(spark, path)
     if exact:
         for near_only in (True, False):
             named = rooted(each, roots)
-            roots = joined(docs, text, named, prefix_pairs(docs, text, named, least, near_only), roots, least)
+            roots = checked(docs, text, named, prefix_pairs(docs, text, named, least, near_only), roots, least)
     remove(spark, each_at)
     return roots
 
 
-def prefix(found: np.ndarray, least: float) -> np.ndarray:
-    """The first shingles of a set in the order of their hashes, so many that two sets alike to ``least`` share one."""
-    return found[: len(found) - math.ceil(least * len(found) - 1e-9) + 1] if len(found) else found
+def set_bytes():  # noqa: ANN201
+    @F.arrow_udf(T.BinaryType())
+    def made(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            yield pa.array([shingle_set(x.as_py()).tobytes() for x in batch], pa.binary())
+
+    return made
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _sets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in texts:
-        yield pd.Series([shingle_set(x).view(np.int64) for x in batch])
+def sets():  # noqa: ANN201
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def made(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            yield pa.array([shingle_set(x.as_py()).view(np.int64) for x in batch], pa.list_(pa.int64()))
+
+    return made
 
 
 def prefix_pairs(docs: DataFrame, text: str, named: DataFrame, least: float, near_only: bool) -> DataFrame:
@@ -254,7 +281,7 @@ def prefix_pairs(docs: DataFrame, text: str, named: DataFrame, least: float, nea
     and its places leave room for enough. Sets are ordered by how many texts hold a shingle, rare ones first. near_only: only those that
     follow each other by length among the texts with one shingle, so no more pairs than rows."""
     h1, h2 = hash128(text_of(text))
-    own = docs.select(F.col("_id").isNull().alias("no_id"), F.coalesce("_id", F.lit(0)).alias("id"), h1.alias("h1"), h2.alias("h2"), _sets(text_of(text)).alias("sets"))
+    own = docs.select(F.col("_id").isNull().alias("no_id"), F.coalesce("_id", F.lit(0)).alias("id"), h1.alias("h1"), h2.alias("h2"), sets()(text_of(text)).alias("sets"))
     every = own.join(named.select("no_id", "id", "h1", "h2", "no", "root"), ["no_id", "id", "h1", "h2"]).dropDuplicates(["no"])
     rows = every.select("no", "root", F.size("sets").alias("n"), F.explode("sets").alias("s"))
     held = rows.groupBy("s").agg(F.count("*").alias("held"))

@@ -9,7 +9,7 @@ must equal the candidate, so colliding keys cannot give a wrong answer. Urls nev
 
 Defined cases: a null url, or one without "://", has an empty host and path and fits no rule; a url that no rule fits is allowed;
 of the rules that fit, the longest wins, and of equal strings the last one given; equal strings differ in nothing but the verdict; repeated rows
-are judged alike; an empty table or rule list is fine; extra columns pass through.
+are judged alike; an empty table or rule list is fine; extra columns pass through, one that has the result's name under another (``aside``).
 """
 
 from __future__ import annotations
@@ -19,14 +19,14 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, shared_dir
+from .common import LOWER, UPPER, aside, shared_dir
 
 
 SEED, MAGIC = 42, b"GRURLS01"
@@ -147,14 +147,16 @@ def shipped(spark: SparkSession, rules: list[tuple[str, str]] | tuple) -> str:
 
 def filtered(df: DataFrame, url: str = "url", rules: list[tuple[str, str]] | tuple = RULES, into: str = "judged", default: str = DEFAULT) -> DataFrame:
     """df with a struct column of host, path, rule and verdict."""
+    df, [url] = aside(df, [into], [url])
     name = shipped(df.sparkSession, rules)
     kind = T.StructType([T.StructField(x, T.StringType()) for x in ("host", "path", "rule", "verdict")])
 
-    @F.pandas_udf(kind)
-    def verdicts(urls: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(kind)
+    def verdicts(urls: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = _open.get(name) or _open.setdefault(name, DigestArray(SparkFiles.get(name)))
         for batch in urls:
-            yield pd.DataFrame(judge(index, batch.tolist(), default), columns=["host", "path", "rule", "verdict"], dtype=object)
+            rows = judge(index, batch.to_pylist(), default)
+            yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(4)], ["host", "path", "rule", "verdict"])
 
     return df.withColumn(into, verdicts(F.col(url)))
 

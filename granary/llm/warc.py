@@ -1,8 +1,8 @@
 """WARC archives: written one gzip member per record, read back sequentially.
 
-Writing: each task writes archives of its own, a new one after every ``ROLL`` bytes, under a temporary name in the shared folder,
-and renames them when they are whole; a task that runs again replaces them. A table of the archives, written last, says which
-files count. Payloads of at least ``REVISIT_MIN`` bytes that occur more than once are stored in the record of the smallest page id; the
+Writing: each attempt of a task writes archives of its own in the shared folder, a new one after every ``ROLL`` bytes, under names
+that hold the attempt's number, so no attempt touches what another has written. A table of the archives, written last, lists the
+files of the attempts that counted; others are never read. Payloads of at least ``REVISIT_MIN`` bytes that occur more than once are stored in the record of the smallest page id; the
 others are revisit records that refer to it.
 
 Reading: a task streams its archives front to back in blocks of ``READ`` bytes, inflates member by member, frames each record by
@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, partitions, text_of
+from .common import met_by_key, new_path, partitions, text_of
 
 
 REVISIT_MIN, ROLL, READ, LEVEL = 100, 256 << 20, 1 << 16, 5
@@ -152,8 +152,8 @@ def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: st
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), text_of(html).alias("html"))
     # Ids and digests alone: which payload has which first page. Counts are aggregated before they are shuffled.
     seen = rows.filter(F.octet_length("html") >= REVISIT_MIN).select("page_id", F.sha2("html", 256).alias("digest"))
-    firsts = seen.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = seen.join(firsts, "digest").filter(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "digest", "first").distinct()
+    firsts = seen.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    later = met_by_key(seen, firsts, ["digest"], "n").filter(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "digest", "first").distinct()
     marks = later.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "first")
     due = rows.withColumn("digest", F.sha2("html", 256)).join(marks, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
     due = due.select("page_id", "url", "html", "digest", "first")
@@ -163,22 +163,18 @@ def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: st
         files.create_dir(folder)
         made: list[tuple[str, int, int]] = []
         out, size, n = None, 0, 0
-        name = lambda: f"{folder}/part-{task.partitionId():06d}-{len(made):04d}.warc.gz"
-        draft = f"{folder}/.draft-{task.taskAttemptId()}"
+        name = lambda: f"part-{task.partitionId():06d}-{task.taskAttemptId():010d}-{len(made):04d}.warc.gz"
 
         def finish() -> None:
             nonlocal out, size, n
             out.close()
-            if files.get_file_info(name()).type.name != "NotFound":
-                files.delete_file(name())
-            files.move(draft, name())
-            made.append((f"{root}/{name().rsplit('/', 1)[1]}", n, size))
+            made.append((f"{root}/{name()}", n, size))
             out, size, n = None, 0, 0
 
         for batch in batches:
             for page, address, html_text, digest, first in zip(*batch.columns, strict=True):
                 if out is None:
-                    out = files.open_output_stream(draft, compression=None)
+                    out = files.open_output_stream(f"{folder}/{name()}", compression=None)
                 body = member(record(page.as_py(), address.as_py(), html_text.as_buffer().to_pybytes() if html_text.is_valid else b"", digest.as_py(), first.as_py()))
                 out.write(body)
                 size, n = size + len(body), n + 1

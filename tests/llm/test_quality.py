@@ -26,6 +26,25 @@ def share(words, n):
     return sum(len(words[k]) for k in marked) / sum(map(len, words))
 
 
+def brute_kept(text):
+    """The whole verdict."""
+    n, _, symbols, _, _, failed = brute(text)
+    if failed:
+        return False
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x.encode() for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    again = [x for k, x in enumerate(lines) if x in lines[:k]] if len(lines) < 3000 else [x for x, c in Counter(lines).items() for _ in range(c - 1)]
+    limits = {3: 0.5, 5: 0.45, 7: 0.4, 10: 0.35}
+    long_ago = all(share(words, k) <= limit for k, limit in limits.items())
+    return long_ago and len(again) <= 0.4 * len(lines) and sum(map(len, again)) <= 0.45 * sum(map(len, lines)) and symbols <= 0.3 * n
+
+
+def test_verdict_equals_brute_force(docs, odd):
+    for frame in (docs, odd):
+        for r in quality.judged(frame.select("doc_id", "text")).collect():
+            assert r.quality.kept == brute_kept(r.text), r.doc_id
+
+
 def test_base_values_equal_brute_force(docs, odd):
     for frame in (docs, odd):
         for r in quality.judged(frame.select("doc_id", "text")).collect():
