@@ -1,14 +1,20 @@
 """Main text of web pages by two-pass block rules.
 
-A tokenizer cuts a page into blocks at block-level tags. The first pass looks at each block alone: blocks within navigation, headers,
-footers, sidebars, forms, adverts, notices and comments are boilerplate, as are blocks that consist mostly of links; long blocks with many
-stop words are text; long ones with hardly any are not; short ones stay undecided. The second pass gives undecided blocks the label
-of the nearest decided neighbours. Where a page marks its article, only blocks within it can be text, and a block there needs no
-stop words to count.
+A tokenizer cuts a page into blocks at block-level tags. Blocks within navigation, headers, footers, sidebars, forms, adverts, notices and
+comments are boilerplate by their markup, and where a page marks its article, blocks outside it are; all others are judged by their text:
+
+* The first pass looks at each block alone: at its length, the share of its characters in links, and the share of common words among its
+  words. Long blocks with many common words are text. Blocks of links are not: any of them where a page marks no article, within an
+  article those beside each other, as in a list of links. Long blocks with hardly any common word are no text where no article is marked.
+  All others, the short ones above all, stay undecided.
+* The second pass gives undecided blocks the label of their nearest decided neighbours. The borders of a marked article count as
+  text, and within one, both neighbours must be no text for a block to go: the markup is a prior that the rules can overrule.
 
 Each page is a row of its own, so nothing is shuffled. Defined cases: null or empty html, and pages without text, give the
 empty text; unclosed and misnested tags close as browsers close them; a page cut off within a tag or a reference keeps what comes
-before it; repeated rows give equal texts; an empty table gives an empty result; extra columns pass through.
+before it; what a browser shows only in place of something else (alternatives of canvas, object, audio and video) counts as text,
+drawings and frames don't; repeated rows give equal texts; an empty table gives an empty result; extra columns pass through, one that
+has the result's name under another (``aside``).
 """
 
 from __future__ import annotations
@@ -17,15 +23,19 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import aside
+
 
 #: Lengths in code points, densities in words.
 SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH, MAX_LINKS = 0.15, 0.30, 0.5
+#: Within a marked article a lower share of common words makes a text.
+STOP_INSIDE = 0.1
 
 #: Common words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -40,7 +50,7 @@ BLOCKS = frozenset(
     legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul""".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math title textarea noframes noembed xmp canvas audio video map".split())
+RAW = frozenset("script style template iframe svg title textarea noframes noembed xmp".split())
 OUT = frozenset("nav footer aside form button select dialog menu".split())
 #: Words of class, id and role that mark boilerplate.
 HINTS = frozenset(
@@ -64,7 +74,7 @@ _ENDS = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for x in RAW}
 
 
 class Block:
-    __slots__ = ("chars", "heading", "inside", "kind", "links", "out", "text", "words")
+    __slots__ = ("chars", "heading", "inside", "kind", "links", "out", "text")
 
     def __init__(self, text: str, links: int, out: bool, inside: int, heading: bool):
         self.text, self.links, self.out, self.inside, self.heading = text, links, out, inside, heading
@@ -131,7 +141,7 @@ def blocks(html: str) -> Iterator[Block]:
         if name in RAW:
             end = _ENDS[name].search(html, at)
             at = end.end() if end else size
-            if name in ("iframe", "object", "svg", "canvas", "audio", "video"):
+            if name in ("iframe", "svg"):
                 pieces.append(" ")
             continue
         if name in BLOCKS:
@@ -161,6 +171,8 @@ def blocks(html: str) -> Iterator[Block]:
                 out = f"<{name}>"
             elif name == "header":
                 out = "header"
+            elif name == "noscript" and inside < 2:
+                out = "<noscript>"
             elif said and name not in NEVER_HINTED or name == "article":
                 out = min(said & HINTS, default="")
         stack.append((name, out, inside, link or name == "a"))
@@ -169,33 +181,37 @@ def blocks(html: str) -> Iterator[Block]:
 
 
 def classify(found: list[Block]) -> list[Block]:
-    """Labels every block good or bad and returns the good ones."""
+    """Labels every block and returns the good ones. A block's kind says what decided it: its markup ("out"), the first pass ("good",
+    "bad") or the second ("kept", "dropped")."""
     # Where a page has an article, what is named like one does not count.
     level = max((b.inside for b in found if not b.out), default=0)
-    common = 0
-    for b in found:
-        if not b.out:
-            words = _WORD.findall(b.text.lower())
-            b.words = (len(words), sum(w in STOP_WORDS for w in words))
-            common += b.words[1]
-    # First pass.
+    rows = []
     for b in found:
         if b.out or b.inside < level:
             b.kind = "out"
-            continue
-        density = b.links / max(1, len(b.text.replace(" ", "")))
-        n, stops = b.words
-        stop = stops / n if n else 0.0
-        if density > MAX_LINKS:
-            b.kind = "bad"
+        else:
+            rows.append(b)
+    # First pass.
+    dense, stops, common = [], [], 0
+    for b in rows:
+        words = _WORD.findall(b.text.lower())
+        n = sum(w in STOP_WORDS for w in words)
+        common += n
+        stops.append(n / len(words) if words else 0.0)
+        dense.append(b.links > MAX_LINKS * max(1, len(b.text.replace(" ", ""))))
+    for k, b in enumerate(rows):
+        beside = (k > 0 and dense[k - 1]) or (k + 1 < len(rows) and dense[k + 1])
+        if dense[k]:
+            b.kind = "bad" if beside or not level else "short"
         elif b.chars < SHORT:
-            b.kind = "short" if b.inside or not b.links else "bad"
-        elif b.inside or not common or stop >= STOP_HIGH or (stop >= STOP_LOW and b.chars > LONG):
+            b.kind = "bad" if b.links and not level else "short"
+        elif level:
+            b.kind = "good" if stops[k] >= STOP_INSIDE else "short"
+        elif not common or stops[k] >= STOP_HIGH or (stops[k] >= STOP_LOW and b.chars > LONG):
             b.kind = "good"
         else:
-            b.kind = "short" if stop >= STOP_LOW else "bad"
-    # Second pass.
-    rows = [b for b in found if b.kind != "out"]
+            b.kind = "short" if stops[k] >= STOP_LOW else "bad"
+    # Second pass: the nearest decided block before and after each undecided one.
     decided = [k for k, b in enumerate(rows) if b.kind in ("good", "bad")]
     any_good = any(rows[k].kind == "good" for k in decided)
     nxt = 0
@@ -205,16 +221,17 @@ def classify(found: list[Block]) -> list[Block]:
         while nxt < len(decided) and decided[nxt] < k:
             nxt += 1
         before, after = (decided[nxt - 1] if nxt else None), (decided[nxt] if nxt < len(decided) else None)
-        if b.inside or not any_good:
-            # In an article only links are bad, and a page of short blocks has nothing better.
+        bad = [x is not None and rows[x].kind == "bad" for x in (before, after)]
+        if level:
+            b.kind = "dropped" if all(bad) else "kept"
+        elif not any_good:
+            # A page of short blocks has nothing better.
             b.kind = "kept"
         elif before is None or after is None:
-            b.kind = "kept" if rows[after if before is None else before].kind == "good" else "dropped"
-        elif rows[before].kind == rows[after].kind:
-            b.kind = "kept" if rows[before].kind == "good" else "dropped"
+            b.kind = "dropped" if any(bad) else "kept"
         else:
-            near = after if b.heading or after - k < k - before else before
-            b.kind = "kept" if rows[near].kind == "good" else "dropped"
+            near = bad[1] if b.heading or after - k < k - before else bad[0]
+            b.kind = "dropped" if near else "kept"
     return [b for b in rows if b.kind in ("good", "kept")]
 
 
@@ -222,12 +239,13 @@ def main_text(html: str | None) -> str:
     return "\n".join(b.text for b in classify(list(blocks(html)))) if html else ""
 
 
-@F.pandas_udf(T.StringType())
-def main_texts(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(T.StringType())
+def main_texts(pages: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in pages:
-        yield pd.Series([main_text(x) for x in batch], dtype=object)
+        yield pa.array([main_text(x.as_py()) for x in batch], pa.string())
 
 
 def extracted(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:
     """pages with the main text in a column."""
-    return pages.withColumn(into, main_texts(F.col(html)))
+    kept, [html] = aside(pages, [into], [html])
+    return kept.withColumn(into, main_texts(F.col(html)))
