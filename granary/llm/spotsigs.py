@@ -9,7 +9,8 @@ Two fingerprints are as alike as their sets' Jaccard similarity. A pair whose se
 allows is pruned before its sets are compared.
 
 Defined cases: null and empty texts, and texts without letters or digits, have the empty set, and two empty sets are alike to 1;
-equal texts have equal sets, repeated rows too; an empty table gives an empty result; extra columns pass through ``signed``.
+equal texts have equal sets, repeated rows too; an empty table gives an empty result; extra columns pass through ``signed``, one that has
+the result's name under another (``aside``).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from math import ceil, log, sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import aside, free_names, text_of, written
 
 CHAIN, STRETCH, THRESHOLD = 2, 6, 0.8
 #: Common words of English, German, French and Spanish.
@@ -34,18 +35,20 @@ ANCHORS = tuple(
 def signed(df: DataFrame, text: str = "text", into: str = "signatures", anchors: tuple[str, ...] = ANCHORS, chain: int = CHAIN, stretch: int = STRETCH) -> DataFrame:
     """df with the sorted array of the signatures' hashes. Steps that are used twice are columns of their own, so that each runs
     once."""
+    df, [text] = aside(df, [into], [text])
+    words, marked, both = free_names(df, "words", "marked", "both")
     content, common = r"[^# ][^ ]*+", r"#[^ ]++"
-    df = df.withColumn("_words", F.trim(F.regexp_replace(F.lower(text_of(text)), r"[^\p{L}\p{N}\p{M}]+", " ")))
+    df = df.withColumn(words, F.trim(F.regexp_replace(F.lower(text_of(text)), r"[^\p{L}\p{N}\p{M}]+", " ")))
     # Common words get a # in front: no word has one by now.
-    df = df.withColumn("_marked", F.regexp_replace("_words", rf"(?<![^ ])({'|'.join(anchors)})(?![^ ])", "#$1"))
-    chains = F.regexp_extract_all("_marked", F.lit(rf"(?<![^ ])(?=({common}" + rf"(?: {common})*+ {content}" * chain + "))"), F.lit(1))
+    df = df.withColumn(marked, F.regexp_replace(words, rf"(?<![^ ])({'|'.join(anchors)})(?![^ ])", "#$1"))
+    chains = F.regexp_extract_all(marked, F.lit(rf"(?<![^ ])(?=({common}" + rf"(?: {common})*+ {content}" * chain + "))"), F.lit(1))
     # Anchor and content words; common words between them go.
     anchored = F.transform(chains, lambda x: F.xxhash64(F.regexp_replace(x, rf" {common}", "")))
-    bare = F.regexp_extract_all("_marked", F.lit(rf"(?<![^ ])(?:{content}(?: |$)){{{stretch},}}+"), F.lit(0))
+    bare = F.regexp_extract_all(marked, F.lit(rf"(?<![^ ])(?:{content}(?: |$)){{{stretch},}}+"), F.lit(0))
     lone = F.regexp_extract_all(F.array_join(bare, " # "), F.lit(rf"(?<![^ ])(?=({content}" + rf" {content}" * chain + "))"), F.lit(1))
-    df = df.withColumn("_both", F.array_union(anchored, F.transform(lone, lambda x: F.xxhash64(x))))
-    whole = F.when(F.col("_words") != "", F.array(F.xxhash64("_words"))).otherwise(F.array().cast("array<bigint>"))
-    return df.withColumn(into, F.when(F.size("_both") > 0, F.sort_array("_both")).otherwise(whole)).drop("_words", "_marked", "_both")
+    df = df.withColumn(both, F.array_union(anchored, F.transform(lone, lambda x: F.xxhash64(x))))
+    whole = F.when(F.col(words) != "", F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
+    return df.withColumn(into, F.when(F.size(both) > 0, F.sort_array(both)).otherwise(whole)).drop(words, marked, both)
 
 
 def digest(signed: Column) -> Column:
@@ -61,36 +64,42 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when(F.least(x, y) < least * F.greatest(x, y), F.lit(0.0)).otherwise(full) if least else full
 
 
-def followed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = 500, most: int = 4096) -> DataFrame:
+def bucketed(base: DataFrame, place: str, into: str, rows: int, most: int = 1 << 20) -> DataFrame:
+    """base with a column ``into``: the number of its bucket in the order of ``place``, of about ``rows`` rows each. Quantiles of the whole table
+    and, within each part that they cut, quantiles of the part are what rows are compared with: ``most`` numbers at most, 8 MB, whatever
+    the table's size."""
+    k = min(most, max(1, base.count() // rows))
+    width = ceil(sqrt(k))
+    if width < 2:
+        return base.withColumn(into, F.lit(0).cast("long"))
+    at = [x / width for x in range(1, width)]
+    cuts = sorted(set(base.select(F.percentile_approx(place, at, 10_000)).first()[0] or []))
+    part, inner = free_names(base, "part", "inner")
+    above = lambda edges: F.size(F.filter(edges, lambda x: x <= F.col(place))).cast("long")
+    base = base.withColumn(part, above(F.array(*map(F.lit, cuts))))
+    fine = base.groupBy(part).agg(F.array_distinct(F.percentile_approx(place, at, 10_000)).alias(inner))
+    return base.join(F.broadcast(fine), part).withColumn(into, F.col(part) * width + above(F.col(inner))).drop(part, inner)
+
+
+def followed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = 500) -> DataFrame:
     """doc_id, text (null: empty), signatures, and next_text and next_signatures: those of the next row in the order of doc_id, null ids
     first, ties by text hash; after the last row comes the first. Quantiles of doc_id cut the rows into buckets of about ``rows``
-    rows, ``most`` at the most, so no task orders the whole table. Between buckets only the first row of each is passed on."""
+    rows, so no task orders the whole table. The first row of each bucket goes to the bucket before too, the very first to the last."""
     base = docs.select(F.coalesce(F.col(doc_id), F.lit(-(1 << 63))).alias("place"), F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
-    n = base.count()
-    k = min(most, max(1, n // rows))
-    cuts = base.select(F.percentile_approx("place", [x / k for x in range(1, k)], 100 * most)).first()[0] if k > 1 else []
-    cuts = sorted(set(cuts))
-    width = max(1, ceil(sqrt(len(cuts))))
-    parts = [cuts[x : x + width] for x in range(0, len(cuts), width)]
-    if cuts:
-        # The number of cuts that aren't above: first among every width-th one, then among those that follow it.
-        base = base.withColumn("_coarse", F.size(F.filter(F.array(*(F.lit(x[0]) for x in parts)), lambda x: x <= F.col("place"))))
-        table = F.array(*(F.array(*map(F.lit, x)) for x in parts))
-        fine = F.size(F.filter(F.element_at(table, F.greatest("_coarse", F.lit(1))), lambda x: x <= F.col("place")))
-        base = base.withColumn("bucket", F.when(F.col("_coarse") == 0, F.lit(0)).otherwise((F.col("_coarse") - 1) * width + fine)).drop("_coarse")
-    else:
-        base = base.withColumn("bucket", F.lit(0))
-    # The first row of each bucket, at most ``most`` of them, goes to the bucket before, the very first to the last bucket.
-    starts = sorted((r["bucket"], r["place"]) for r in base.groupBy("bucket").agg(F.min("place").alias("place")).collect())
-    to = [(b, p, starts[x - 1][0]) for x, (b, p) in enumerate(starts)]
-    passing = docs.sparkSession.createDataFrame(to, "bucket int, place long, to_bucket int")
+    base = bucketed(base, "place", "bucket", rows)
+    # One row a bucket, so one task can order them.
+    starts = base.groupBy("bucket").agg(F.min("place").alias("place"))
+    every = Window.partitionBy(F.lit(0)).orderBy("bucket")
+    whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    starts = starts.withColumn("to", F.coalesce(F.lag("bucket").over(every), F.max("bucket").over(whole)))
     tie = Window.partitionBy("bucket").orderBy(F.xxhash64("text"))
-    heads = base.join(F.broadcast(passing), ["bucket", "place"]).withColumn("_row", F.row_number().over(tie)).filter("_row = 1")
-    heads = signed(heads.select(F.col("to_bucket").alias("bucket"), F.col("text").alias("head_text")), "head_text", "head_signatures")
-    order = Window.partitionBy("bucket").orderBy("place", F.xxhash64("text"))
-    ranked = signed(base.withColumn("next_text", F.lead("text").over(order))).withColumn("next_signatures", F.lead("signatures").over(order))
-    both = ranked.join(heads, "bucket", "left")
-    return both.select("doc_id", "text", "signatures", F.coalesce("next_text", "head_text").alias("next_text"), F.coalesce("next_signatures", "head_signatures").alias("next_signatures"))
+    heads = base.join(F.broadcast(starts), ["bucket", "place"]).withColumn("row", F.row_number().over(tie)).filter("row = 1")
+    heads = heads.select(F.col("to").alias("bucket"), "place", "doc_id", "text", F.lit(True).alias("head"))
+    both = base.select("bucket", "place", "doc_id", "text", F.lit(False).alias("head")).unionAll(heads)
+    # Each text is signed once, where it meets the next one.
+    order = Window.partitionBy("bucket").orderBy("head", "place", F.xxhash64("text"))
+    ranked = signed(both.withColumn("next_text", F.lead("text").over(order))).withColumn("next_signatures", F.lead("signatures").over(order))
+    return ranked.filter("not head").select("doc_id", "text", "signatures", "next_text", "next_signatures")
 
 
 def pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -121,3 +130,13 @@ def pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
     sets_b = found.select(F.col("class_id").alias("b"), F.col("signatures").alias("y"))
     scored = met.join(sets_a, "a").join(sets_b, "b").select("a", "b", likeness(F.col("x"), F.col("y"), threshold).alias("similarity"))
     return scored.filter(F.col("similarity") >= threshold), members
+
+
+def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of an equal fingerprint) and n_links, the number of other classes that are near duplicates of its
+    own."""
+    found, members = pairs(docs, doc_id, text, threshold)
+    found = written(found, "spot-pairs")
+    ends = found.select(F.col("a").alias("class_id")).unionAll(found.select("b"))
+    counts = ends.groupBy("class_id").agg(F.count("*").alias("n_links"))
+    return members.join(counts, "class_id", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -13,11 +13,11 @@ def plan_of(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["op5_line_dedup", "op6_spotsigs"])
+@pytest.mark.parametrize("name", ["op5_line_dedup", "op6_spotsigs", "spotsigs_links"])
 def test_native_operators_run_no_python(spark, name):
-    # Enough rows for more than one bucket; within a single one, the first row is joined as the one row it is.
-    plan = plan_of(queries.queries()[name](spark, AT.replace("0.001", "0.01")))
-    assert not re.search("Python|Pandas|Arrow|Cartesian|BroadcastNestedLoop", plan)
+    for at in (AT, AT.replace("0.001", "0.01")):
+        plan = plan_of(queries.queries()[name](spark, at))
+        assert not re.search("Python|Pandas|Arrow|Cartesian|BroadcastNestedLoop", plan)
 
 
 def test_scans_read_what_they_need(spark):

@@ -103,3 +103,30 @@ def test_nested_sets_alike_to_exactly_the_threshold(spark):
     frame = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:30]))], "doc_id long, text string")
     assert [len(r.signatures) for r in spotsigs.signed(frame).orderBy("doc_id").collect()] == [35, 28]
     assert [(r.a, r.b, r.similarity) for r in spotsigs.pairs(frame)[0].collect()] == [(1, 2, 0.8)]
+
+
+def test_links_of_a_table_equal_brute_force(spark, docs):
+    rows = docs.select("doc_id", "text").collect()
+    prints = {r.doc_id: frozenset(brute(r.text)) for r in rows}
+    least = {}
+    for d in sorted(prints):
+        least.setdefault(prints[d], d)
+    near = lambda a, b: bool(a and b) and len(a & b) >= 0.8 * len(a | b)
+    links = {p: sum(near(p, q) for q in least if q != p) for p in least}
+    got = {r.doc_id: (r.class_id, r.n_links) for r in queries.spotsigs_links(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {d: (least[p], links[p]) for d, p in prints.items()} and any(links.values())
+
+
+def test_buckets_of_any_number(spark):
+    frame = spark.range(5000).selectExpr("id * 37 % 5000 as place")
+    for rows in (1, 7, 300, 10_000):
+        got = spotsigs.bucketed(frame, "place", "bucket", rows).groupBy("bucket").agg(spotsigs.F.min("place").alias("lo"), spotsigs.F.max("place").alias("hi"), spotsigs.F.count("*").alias("n")).orderBy("bucket").collect()
+        assert all(a.hi < b.lo for a, b in zip(got, got[1:], strict=False)) and sum(r.n for r in got) == 5000
+        assert max(r.n for r in got) <= 3 * rows + 5
+
+
+def test_names_that_clash(spark):
+    frame = spark.createDataFrame([(1, "the dog ran home", "w", [5])], "doc_id long, text string, _words string, Signatures array<long>")
+    out = spotsigs.signed(frame)
+    assert out.columns == ["doc_id", "text", "_words", "signatures_before", "signatures"]
+    assert [(r["_words"], r.signatures_before) for r in out.collect()] == [("w", [5])]
