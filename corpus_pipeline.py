@@ -6,11 +6,12 @@ from public_tokenizers import path as tokenizer
 from pyspark.sql import DataFrame, SparkSession
 
 from granary.llm import linededup, mixing, packing, quality, simhash
-from granary.llm.common import table, written
+from granary.llm.common import session, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that repeat themselves go."""
+    session(spark)
     return quality.keep(docs)
 
 
@@ -21,6 +22,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: fingerprints within three bits, or five-word shingles alike to 0.8."""
+    session(spark)
     return simhash.deduplicated(docs, similar=simhash.SIMILAR)
 
 
@@ -31,6 +33,7 @@ def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens."""
+    session(spark)
     return packing.packed(docs, tokenizer("word_bpe_49k.json"))
 
 
