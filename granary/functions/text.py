@@ -115,3 +115,8 @@ def micros(time: Column) -> Column:
     """Microseconds since 1970 of a time stamp without time zone, whatever the session's zone."""
     since = (time - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")).cast("interval second")
     return (since.cast("decimal(20, 6)") * 1_000_000).cast("long")
+
+
+def storage_reference(reference: Column, transport: str = "containers-storage:") -> Column:
+    """The reference without the name of its transport; null where it has another."""
+    return F.when(reference.startswith(transport), F.substring(reference, len(transport) + 1, 1 << 20))

@@ -86,8 +86,8 @@ def kernels(tree: DataFrame) -> DataFrame:
     path = F.col("path")
     files = tree.filter(path.startswith(MODULES + "/") & (F.size(paths.parts(path)) == 5) & (F.col("kind") == "reg")).select(F.get(paths.parts(path), 3).alias("kernel_version"), paths.name(path).alias("name"), "path")
     have = lambda name, column: files.filter(F.col("name") == name).select("kernel_version", F.col("path").alias(column))
-    release = tree.filter(path == "/usr/lib/os-release").select(F.col("content").cast("string").alias("os_release"))
-    return have("vmlinuz", "vmlinuz").join(have("initramfs.img", "initramfs"), "kernel_version", "left").join(F.broadcast(release), how="left")
+    release = tree.filter(path == "/usr/lib/os-release").agg(F.first(F.col("content").cast("string"))).scalar()
+    return have("vmlinuz", "vmlinuz").join(have("initramfs.img", "initramfs"), "kernel_version", "left").withColumn("os_release", release)
 
 
 def resources(tree: DataFrame) -> DataFrame:
@@ -155,3 +155,16 @@ def _section_text(image: bytes | None, name: str) -> str | None:
 
 
 section_text = F.udf(_section_text, T.StringType(), useArrow=False)
+
+
+def renamed(path: Column, name: Column | str) -> Column:
+    """A unified image's path with a new name in the same folder."""
+    new = F.lit(name) if isinstance(name, str) else name
+    return F.concat(F.regexp_replace(path, r"[^/]*\z", ""), new, F.lit(".efi"))
+
+
+def writable(images: DataFrame, image_id: str, prefix: str) -> DataFrame:
+    """Of unified images (path, content) those whose embedded command line names this file system image, in an argument of this
+    prefix."""
+    named = text.image_address(section_text(F.col("content"), F.lit(".cmdline")), prefix)
+    return images.filter(named["digest"] == image_id)

@@ -48,6 +48,31 @@ def resolve(refs: DataFrame, manifests: DataFrame, reference: str) -> DataFrame:
     return manifests.join(tags(refs).filter(F.col("name") == reference).select("digest"), "digest", "left_semi")
 
 
+def names_under(refs: DataFrame, category: str, prefix: str = "") -> DataFrame:
+    """(name, target) of refs one level below a prefix, by the part of their name after it; an empty prefix lists the top."""
+    head = prefix.strip("/") + "/" if prefix.strip("/") else ""
+    rest = F.substring("name", len(head) + 1, 1 << 20)
+    return refs.filter((F.col("category") == category) & F.col("name").startswith(head) & (rest != "") & ~rest.contains("/")).select(rest.alias("name"), "target")
+
+
+def known_names(wanted: DataFrame, refs: DataFrame, streams: DataFrame) -> DataFrame:
+    """wanted (name) with known: there is a ref of that name and the stream that it leads to."""
+    sound = refs.filter(F.col("category") == "streams").join(streams.select(F.col("name").alias("target")), "target", "left_semi").select("name", F.lit(True).alias("known")).distinct()
+    return wanted.join(sound, "name", "left").select(*wanted.columns, F.coalesce("known", F.lit(False)).alias("known"))
+
+
+def layer_at(manifests: DataFrame, position: int) -> DataFrame:
+    """(digest, layer_digest, media_type, is_blob) of the layer at a position; a layer that is an archive is no blob. Null where there is none."""
+    layer = F.get(F.from_json("json", "layers array<struct<digest: string, mediaType: string>>")["layers"], position)
+    return manifests.select("digest", layer["digest"].alias("layer_digest"), layer["mediaType"].alias("media_type"), (~text.is_tar_media_type(F.coalesce(layer["mediaType"], F.lit("")))).alias("is_blob"))
+
+
+def rewritten(streams: DataFrame, changes: DataFrame) -> DataFrame:
+    """streams whose named references are those of changes (name, named_refs), although their content stays."""
+    rows = streams.join(changes.withColumnRenamed("named_refs", "_refs"), "name", "left")
+    return rows.withColumn("named_refs", F.coalesce("_refs", "named_refs")).select(*streams.columns)
+
+
 def is_container(config_media_type: Column) -> Column:
     return config_media_type == CONFIG_MEDIA_TYPE
 
@@ -146,3 +171,8 @@ def upgrade_outcomes(refs: DataFrame, manifests: DataFrame, configs: DataFrame)
     rows = tagged.join(have, "digest", "left")
     outcome = F.when(~is_container(F.col("config_media_type")), "skipped").when(F.col("has").isNull(), "upgraded").otherwise("current")
     return rows.select("digest", outcome.alias("outcome"))
+
+
+def page(rows: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
+    """One page of a listing."""
+    return rows.orderBy(*order).offset(offset).limit(limit)

@@ -27,13 +27,18 @@ def union(*found: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionAll, found)
 
 
+def metadata_problem(json: Column, known: tuple[str, ...] = ()) -> Column:
+    """What is wrong with metadata: unreadable, of another version or algorithm, or features that forbid reading; null for none."""
+    m = F.from_json(json, META_JSON)
+    bad_features = F.array_except(F.coalesce(m["features"]["incompatible"], F.array().cast("array<string>")), F.array(*map(F.lit, known)).cast("array<string>"))
+    named = F.regexp_extract(m["algorithm"], r"\Afsverity-(sha256|sha512)-12\z", 1)
+    return F.when(m["version"].isNull(), "unreadable").when(m["version"] != KNOWN_VERSION, "version").when(named == "", "algorithm").when(F.size(bad_features) > 0, "features")
+
+
 def metadata(rows: DataFrame, known: tuple[str, ...] = ()) -> DataFrame:
-    """rows (json): metadata that can't be read, is of another version or algorithm, or has features that forbid reading."""
-    parsed = rows.withColumn("m", F.from_json("json", META_JSON))
-    bad_features = F.array_except(F.coalesce("m.features.incompatible", F.array().cast("array<string>")), F.array(*map(F.lit, known)).cast("array<string>"))
-    named = F.regexp_extract("m.algorithm", r"\Afsverity-(sha256|sha512)-12\z", 1)
-    problem = F.when(F.col("m.version").isNull(), "unreadable").when(F.col("m.version") != KNOWN_VERSION, "version").when(named == "", "algorithm").when(F.size(bad_features) > 0, "features")
-    return errors(parsed.withColumn("problem", problem).filter("problem is not null"), "metadata", path=F.lit("meta.json"), detail="problem")
+    """Errors of metadata in rows (json)."""
+    found = rows.withColumn("problem", metadata_problem(F.col("json"), known)).filter("problem is not null")
+    return errors(found, "metadata", path=F.lit("meta.json"), detail="problem")
 
 
 def write_access(features: Column, known: list[str]) -> Column:
@@ -79,8 +84,13 @@ def image_objects(rows: DataFrame, known_objects: DataFrame) -> DataFrame:
     return errors(rows.join(known_objects.select("object_id"), "object_id", "left_anti"), "missing object", path=F.concat(F.lit("images/"), "name"), object_id="object_id")
 
 
+def unreadable(category: str, rows: DataFrame) -> DataFrame:
+    """rows (name, error) of streams or images that can't be decoded."""
+    return errors(rows, f"unreadable {category.removesuffix('s')}", path=F.concat(F.lit(category + "/"), "name"), detail="error")
+
+
 def repository(held: DataFrame, streams: DataFrame, images: DataFrame, named: DataFrame, all_refs: DataFrame, meta: DataFrame | None = None, algorithm: str = "sha256") -> DataFrame:
-    """All errors of a repository."""
+    """All errors of a repository that its tables show; contents that can't be decoded are ``unreadable``."""
     found = [objects(held, algorithm), links("streams", streams, held), links("images", images, held), refs(all_refs, streams, images), stream_refs(streams, held), image_objects(named, held)]
     return union(*([metadata(meta)] if meta is not None else []), *found)
 
@@ -92,18 +102,32 @@ def counts(held: DataFrame, streams: DataFrame, images: DataFrame, found: DataFr
     return one_row([*checked, wrong]).withColumn("is_ok", F.col("errors") == 0)
 
 
-def tagged_images(tags: DataFrame, manifests: DataFrame, configs: DataFrame, known_objects: DataFrame) -> DataFrame:
-    """(name, stage): the first check that each tag fails: manifest missing, manifest digest, configuration missing, configuration
-    digest, layer missing; null for sound ones."""
-    layers = configs.select(F.col("digest").alias("config_digest"), F.explode(F.map_values("named_refs")).alias("object_id")).join(known_objects.select("object_id"), "object_id", "left_anti").groupBy("config_digest").agg(F.count("*").alias("lost"))
+def tagged_images(tags: DataFrame, manifests: DataFrame, configs: DataFrame, known_objects: DataFrame, name: str | None = None) -> DataFrame:
+    """(name, stage): the first check that each tag, or the one of a name, fails: manifest missing, manifest digest, configuration missing,
+    configuration digest, layer missing; null for sound ones."""
+    tags = tags if name is None else tags.filter(F.col("name") == name)
+    named = configs.select(F.col("digest").alias("config_digest"), F.explode(F.map_values("named_refs")).alias("object_id"))
+    layers = named.join(known_objects.select("object_id"), "object_id", "left_anti").groupBy("config_digest").agg(F.count("*").alias("lost"))
     rows = tags.join(manifests.withColumnRenamed("json", "m_json").withColumn("has_m", F.lit(True)), "digest", "left")
     rows = rows.join(configs.select(F.col("digest").alias("config_digest"), F.col("json").alias("c_json"), F.lit(True).alias("has_c")), "config_digest", "left").join(layers, "config_digest", "left")
     sha = lambda c: F.concat(F.lit("sha256:"), F.sha2(F.col(c).cast("binary"), 256))
-    stage = F.coalesce(
-        F.when(F.col("has_m").isNull(), "manifest missing"),
-        F.when(sha("m_json") != F.col("digest"), "manifest digest"),
-        F.when(F.col("has_c").isNull(), "configuration missing"),
-        F.when(sha("c_json") != F.col("config_digest"), "configuration digest"),
-        F.when(F.col("lost") > 0, "layer missing"),
+    stage = staged(
+        {
+            "manifest missing": F.col("has_m").isNull(),
+            "manifest digest": sha("m_json") != F.col("digest"),
+            "configuration missing": F.col("has_c").isNull(),
+            "configuration digest": sha("c_json") != F.col("config_digest"),
+            "layer missing": F.col("lost") > 0,
+        }
     )
     return rows.select("name", stage.alias("stage"))
+
+
+def staged(stages: dict[str, Column]) -> Column:
+    """The name of the first condition that holds, so that a row counts for one stage alone; null where none does."""
+    return F.coalesce(*(F.when(test, F.lit(name)) for name, test in stages.items()))
+
+
+def stage_counts(rows: DataFrame) -> DataFrame:
+    """(stage, n) of rows with a stage, sound ones under "ok"."""
+    return rows.groupBy(F.coalesce("stage", F.lit("ok")).alias("stage")).agg(F.count("*").alias("n"))

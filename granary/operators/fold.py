@@ -9,7 +9,7 @@ the number of layers.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
@@ -52,18 +52,17 @@ def folded(entries: DataFrame) -> DataFrame:
 
 def invalid(entries: DataFrame) -> DataFrame:
     """Entries whose parent is no directory when their turn comes, and anything but a directory put on the root: the fold's input
-    is valid if there are none."""
+    is valid if there are none. Each entry meets the last thing that happened to its directory before it, in one pass in order."""
     found = events(entries)
-    dead = kills_by_path(found)
-    # The times at which a directory stands: from a put of it to the next event that removes it or puts something else.
     puts = found.filter("event = 'put'").select(F.col("path").alias("dir"), "seq", F.when(F.col("item") == "dir", "dir").otherwise("other").alias("state"))
-    line = puts.unionByName(dead.select(F.col("path").alias("dir"), "seq", F.lit("gone").alias("state")))
-    order = Window.partitionBy("dir").orderBy("seq")
-    spans = line.withColumn("until", F.lead("seq").over(order)).filter("state = 'dir'").select("dir", F.col("seq").alias("since"), "until")
+    line = puts.unionByName(kills_by_path(found).select(F.col("path").alias("dir"), "seq", F.lit("gone").alias("state")))
     # Of a path that names a tombstone, the directory is that of the tombstone.
     need = found.filter("path <> '/'").withColumn("dir", F.coalesce(paths.parent(F.col("path")), F.lit("/"))).filter("dir <> '/'")
-    ok = need.join(spans, "dir").filter((F.col("since") < F.col("seq")) & (F.col("until").isNull() | (F.col("until") > F.col("seq")))).select("layer_idx", "entry_idx").distinct()
-    orphans = need.join(ok, ["layer_idx", "entry_idx"], "left_anti").select("layer_idx", "entry_idx", "path", F.lit("no parent directory").alias("error"))
+    rows = line.withColumn("path", F.lit(None).cast("string")).unionByName(need.select("dir", "seq", F.lit(None).cast("string").alias("state"), "path"))
+    # What an entry does itself comes after it has been looked at.
+    order = Window.partitionBy("dir").orderBy("seq", F.col("path").isNull())
+    seen = rows.withColumn("last", F.last("state", ignorenulls=True).over(order)).filter("path is not null")
+    orphans = seen.filter(F.coalesce("last", F.lit("gone")) != "dir").select("seq.layer_idx", "seq.entry_idx", "path", F.lit("no parent directory").alias("error"))
     root = found.filter("path = '/' and item <> 'dir'").select("layer_idx", "entry_idx", "path", F.lit("the root is a directory").alias("error"))
     return orphans.unionByName(root)
 
@@ -78,18 +77,37 @@ def kills_by_path(found: DataFrame) -> DataFrame:
 
 def origins(entries: DataFrame) -> DataFrame:
     """(layer_idx, entry_idx, origin_layer, origin_entry) for each hard link: the leaf put that its target was when the link's turn
-    came, through other links. Each round resolves one more link of all chains at once; as
-    each link leads to an earlier put, the rounds end."""
+    came, through other links. Each round leads all open links to the last put of their target before them, in one pass over puts and links in
+    order; as each step leads to an earlier put, the rounds end. Links that lead nowhere have no row."""
     puts = events(entries).filter("event = 'put'").select("path", "seq", "item", "target")
-    open_links = puts.filter("item = 'hardlink'").select(F.col("seq").alias("link"), "target", F.col("seq").alias("before"))
-    leaves = puts.select(F.col("path").alias("target"), F.col("seq").alias("at"), "item", F.col("target").alias("next"))
+    open_links = puts.filter("item = 'hardlink'").select(F.col("seq").alias("link"), F.col("target").alias("path"), F.col("seq").alias("before"))
+    leaves = puts.select("path", F.col("seq").alias("before"), F.struct(F.col("seq").alias("at"), "item", F.col("target").alias("next")).alias("put"))
     done = None
     while True:
-        step = open_links.join(leaves, "target").filter(F.col("at") < F.col("before")).groupBy("link").agg(F.max_by(F.struct("at", "item", "next"), F.col("at")).alias("hit"))
-        step = cut(step)
+        rows = leaves.unionByName(open_links, allowMissingColumns=True)
+        # A put at a link's own turn is the link itself.
+        order = Window.partitionBy("path").orderBy("before", F.col("link").isNull())
+        step = rows.withColumn("hit", F.last("put", ignorenulls=True).over(order)).filter("link is not null and hit is not null")
+        step = cut(step.select("link", "hit"))
         found = step.filter("hit.item = 'leaf'").select("link", F.col("hit.at").alias("origin"))
         done = found if done is None else done.unionAll(found)
-        open_links = step.filter("hit.item = 'hardlink'").select("link", F.col("hit.next").alias("target"), F.col("hit.at").alias("before"))
+        open_links = step.filter("hit.item = 'hardlink'").select("link", F.col("hit.next").alias("path"), F.col("hit.at").alias("before"))
         if open_links.isEmpty():
             break
     return done.select("link.layer_idx", "link.entry_idx", F.col("origin.layer_idx").alias("origin_layer"), F.col("origin.entry_idx").alias("origin_entry"))
+
+
+def whiteout(entry_name: Column) -> Column:
+    """A name that takes away the one after its mark."""
+    return entry_name.startswith(WHITEOUT) & ~entry_name.isin(WHITEOUT, OPAQUE)
+
+
+def stored_whiteout(kind: Column, rdev: Column) -> Column:
+    """The form that whiteouts have in a store's folders: a character device of the number zero."""
+    return (kind == "chr") & (rdev == 0)
+
+
+def opaque(xattrs: Column) -> Column:
+    """A stored directory that hides what lies below it: an overlay attribute says y."""
+    said = lambda name: F.coalesce(F.element_at(xattrs, F.lit(name).cast("binary")) == F.lit("y").cast("binary"), F.lit(False))
+    return said("trusted.overlay.opaque") | said("user.overlay.opaque")

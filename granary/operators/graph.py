@@ -41,15 +41,15 @@ def conflicts(names: DataFrame) -> DataFrame:
     return names.groupBy("node").agg(F.array_sort(F.collect_set("name")).alias("names")).filter(F.size("names") > 1)
 
 
-def live_objects(refs: DataFrame, streams: DataFrame, images: DataFrame, image_objects: DataFrame, extra: list[str] | None = None) -> DataFrame:
+def live_objects(refs: DataFrame, streams: DataFrame, images: DataFrame, image_objects: DataFrame, extra: list[str] | DataFrame | None = None) -> DataFrame:
     """object_id of everything that garbage collection keeps.
 
     refs: (category, name, target); streams: (name, object_id, object_refs array, named_refs map); images: (name, object_id);
-    image_objects: (name, object_id) for what an image's metadata names. Roots are the refs' targets and the extra names. An image
+    image_objects: (name, object_id) for what an image's metadata names. Roots are the refs' targets and the extra names, a list or a table (name). An image
     keeps itself and what it names; a stream keeps itself, its object refs and its named refs, and the walk goes on where a named
     ref is a stream."""
     spark = refs.sparkSession
-    named = spark.createDataFrame([(x,) for x in extra or []], "name string")
+    named = extra.select("name") if isinstance(extra, DataFrame) else spark.createDataFrame([(x,) for x in extra or []], "name string")
     roots = lambda kind: refs.filter(F.col("category") == kind).select(F.col("target").alias("name")).union(named).distinct()
     kept_images = images.join(roots("images"), "name", "left_semi")
     of_images = kept_images.select("object_id").union(image_objects.join(kept_images.select("name"), "name", "left_semi").select("object_id"))
@@ -62,7 +62,7 @@ def live_objects(refs: DataFrame, streams: DataFrame, images: DataFrame, image_o
     return of_images.union(of_streams).distinct()
 
 
-def gc(objects: DataFrame, refs: DataFrame, streams: DataFrame, images: DataFrame, image_objects: DataFrame, extra: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def gc(objects: DataFrame, refs: DataFrame, streams: DataFrame, images: DataFrame, image_objects: DataFrame, extra: list[str] | DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Objects, streams and images that stay, and one row of counts. Streams and images whose object goes are pruned."""
     live = cut(live_objects(refs, streams, images, image_objects, extra))
     stays = lambda df: df.join(live, "object_id", "left_semi")
@@ -71,3 +71,11 @@ def gc(objects: DataFrame, refs: DataFrame, streams: DataFrame, images: DataFram
     removed = gone.agg(F.count("*").alias("objects_removed"), F.coalesce(F.sum("size"), F.lit(0)).alias("objects_bytes"))
     counts = one_row([removed, size(images, "images_pruned"), size(streams, "streams_pruned")])
     return stays(objects), stays(streams), stays(images), counts
+
+
+def led_on(rows: DataFrame, hops: list[tuple[DataFrame, str, str]]) -> DataFrame:
+    """rows led on from table to table: each hop is a table, the column that refers to it and the table's key. Rows whose reference leads nowhere
+    leave."""
+    for table, reference, key in hops:
+        rows = rows.join(table, F.col(reference) == F.col(key))
+    return rows

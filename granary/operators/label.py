@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NONE = "<<none>>"
 #: Type characters by rule option and by kind.
@@ -30,13 +34,40 @@ def rules(lines: list[str]) -> list[tuple[str, str]]:
     return out
 
 
+@functools.lru_cache(8)
+def _compiled(found: tuple[tuple[str, str], ...]) -> list[tuple[str, re.Pattern, str]]:
+    """Rules from the last to the first, each with the plain text that its paths begin with."""
+    out = []
+    for pattern, context in reversed(found):
+        inner = pattern[len(r"\A(?s:(") : -len(r")\z")]
+        plain = re.match(r"(?:[\w/ %,:@~=-]|\\[.+\-])*", inner)[0]
+        # The last character may be an optional one, and in an alternative none is sure.
+        stop = inner[len(plain) : len(plain) + 1]
+        sure = "" if "|" in inner else plain[: -2 if plain[-2:-1] == "\\" else -1] if stop in ("*", "?", "{") else plain
+        out.append((sure.replace("\\", ""), re.compile(pattern.removesuffix(r"\z") + r"\Z"), context))
+    return out
+
+
+def context_of(subject: str, found: tuple[tuple[str, str], ...]) -> str | None:
+    """The context of the last rule that matches a path and its type character."""
+    for plain, pattern, context in _compiled(found):
+        if subject.startswith(plain) and pattern.match(subject):
+            return None if context == NONE else context
+    return None
+
+
 def label(path: Column, kind: Column, found: list[tuple[str, str]]) -> Column:
-    """The context of the last rule that matches; null for none and for <<none>>. Rules are a list that was read, so they
-    are one expression over each row: no join, no shuffle."""
+    """The context of the last rule that matches; null for none and for <<none>>. Rules are a list that was read: every worker compiles them
+    once and tries them from the last, only those whose plain beginning fits."""
+    every = tuple(found)
     code = F.coalesce(reduce(lambda a, b: a.when(kind == b[0], b[1]), KINDS.items(), F.when(F.lit(False), "")), F.lit("-"))
-    subject = F.concat(path, code)
-    hits = [F.when(subject.rlike(pattern), F.lit(context)) for pattern, context in reversed(found)]
-    return F.nullif(F.coalesce(*hits, F.lit(NONE)), F.lit(NONE))
+
+    @F.pandas_udf(T.StringType())
+    def of(subjects: pd.Series) -> pd.Series:
+        known = {x: context_of(x, every) for x in subjects.dropna().unique()}
+        return subjects.map(lambda x: None if x is None else known[x]).astype(object)
+
+    return of(F.concat(path, code))
 
 
 def aliased(path: Column, aliases: dict[str, str]) -> Column:

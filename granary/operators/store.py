@@ -70,13 +70,16 @@ def coalesced(chunks: DataFrame, stream: str = "stream_id", seq: str = "seq", in
     # Every external chunk is a run of its own; the inline ones between two are one.
     starts = external | F.coalesce(F.lag(external).over(order), F.lit(True))
     runs = chunks.withColumn("_starts", starts.cast("int")).withColumn("run", F.sum("_starts").over(order))
-    parts = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(inline).alias("bytes"))))
-    rows = runs.groupBy(stream, "run").agg(F.min(seq).alias("first_seq"), F.max(seq).alias("last_seq"), F.first("object_id").alias("object_id"), parts.alias("_parts"))
-    return rows.withColumn(inline, F.when(F.col("object_id").isNull(), F.unhex(F.array_join(F.transform("_parts", lambda x: F.hex(x["bytes"])), "")))).drop("_parts")
+    joined = F.expr(f"listagg(`{inline}`) within group (order by `{seq}`)")
+    return runs.groupBy(stream, "run").agg(F.min(seq).alias("first_seq"), F.max(seq).alias("last_seq"), F.first("object_id").alias("object_id"), joined.alias(inline))
 
 
 def reassembled(chunks: DataFrame, objects: DataFrame, stream: str = "stream_id", seq: str = "seq", inline: str = "inline") -> DataFrame:
     """(stream, data): the chunks' bytes in order, external ones from the objects. Streams are rows, so they fit in one."""
-    full = chunks.join(objects.select("object_id", "data"), "object_id", "left")
-    part = F.struct(F.col(seq).alias("seq"), F.coalesce(F.col(inline), F.col("data")).alias("bytes"))
-    return full.groupBy(stream).agg(F.array_sort(F.collect_list(part)).alias("p")).select(stream, F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["bytes"])), "")).alias("data"))
+    full = chunks.join(objects.select("object_id", "data"), "object_id", "left").withColumn("_bytes", F.coalesce(F.col(inline), F.col("data")))
+    return full.groupBy(stream).agg(F.expr(f"listagg(`_bytes`) within group (order by `{seq}`)").alias("data"))
+
+
+def largest(rows: DataFrame, n: int, size: str = "size", *ties: str) -> DataFrame:
+    """The n largest rows, ties in the order given: each task keeps n, so nothing is sorted as a whole."""
+    return rows.orderBy(F.desc(size), *ties).limit(n)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,10 +81,10 @@ def cleared(entries: DataFrame, dirs: list[str]) -> DataFrame:
 
 
 def taken_from(entries: DataFrame, of: str, to: list[str], fields: list[str]) -> DataFrame:
-    """Stat fields of the named rows replaced by those of one row, such as the root's by those of /usr. One row is looked up, and goes to every task."""
-    source = entries.filter(F.col("path") == of).select(*(F.col(x).alias(f"_{x}") for x in fields)).limit(1)
-    rows = entries.join(F.broadcast(source), how="left")
-    return rows.withColumns({x: F.when(F.col("path").isin(to), F.coalesce(f"_{x}", x)).otherwise(F.col(x)) for x in fields}).drop(*(f"_{x}" for x in fields))
+    """Stat fields of the named rows replaced by those of one row, such as the root's by those of /usr; without that row they stay."""
+    source = entries.filter(F.col("path") == of).agg(F.first(F.struct(*fields)).alias("stat")).scalar()
+    rows = entries.withColumn("_stat", F.when(F.col("path").isin(to), source))
+    return rows.withColumns({x: F.when(F.col("_stat").isNull(), F.col(x)).otherwise(F.col(f"_stat.{x}")) for x in fields}).drop("_stat")
 
 
 def transform_for_oci(entries: DataFrame) -> DataFrame:
@@ -127,3 +129,25 @@ def scanned_once(files: DataFrame) -> DataFrame:
     """Of the rows of an inode (dev, ino) the first path in tree order."""
     order = Window.partitionBy("dev", "ino").orderBy(paths.parts(F.col("path")))
     return files.withColumn("_row", F.row_number().over(order)).filter("_row = 1").drop("_row")
+
+
+def below(entries: DataFrame, path: str) -> DataFrame:
+    """A directory and all in it."""
+    return entries.filter((F.col("path") == path) | F.col("path").startswith(path.rstrip("/") + "/"))
+
+
+def with_stats(entries: DataFrame, **changes: Callable[[Column], Column]) -> DataFrame:
+    """entries with fields of their stat changed by functions of the old value. Rows of one leaf have one stat, so they stay alike."""
+    return entries.withColumns({name: change(F.col(name)) for name, change in changes.items()})
+
+
+def with_regular(entries: DataFrame, **changes: Callable[[Column], Column]) -> DataFrame:
+    """entries with fields of regular files changed; all else stays."""
+    regular = F.col("kind") == "reg"
+    return entries.withColumns({name: F.when(regular, change(F.col(name))).otherwise(F.col(name)) for name, change in changes.items()})
+
+
+def plain_xattrs(entries: DataFrame, column: str = "xattrs") -> DataFrame:
+    """entries without the attribute that marks a directory as one with whiteouts in another form."""
+    marks = ("trusted.overlay.opaque", "user.overlay.opaque")
+    return entries.withColumn(column, F.map_filter(column, lambda k, v: ~(k.cast("string").isin(*marks) & (v.cast("string") == "x"))))

@@ -2,43 +2,24 @@
 
 from __future__ import annotations
 
-import io
-import tarfile
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import digest, paths, text
 from ..operators import fold, graph, label, store, tree
-from ..operators.common import numbered
 from ..sources import archive, dumpfile, erofs, splitstream
+from . import formats, refs, registry, texts, trees
+from .registry import Query, query, table
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
+__all__ = ["oracle_sql", "queries", "refs", "texts", "trees"]
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dict(registry.SQL)
 
 
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,26 +182,6 @@ def layer_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.folded(layer_entries(spark, sf_dir)).select("path", "value")
 
 
-@query("""
-WITH e AS (SELECT *, epoch_us(ts) AS us FROM events)
-SELECT p.event_id, p.user_id, max(e.event_id) AS target_id FROM e p
-LEFT JOIN e ON e.user_id = p.user_id AND e.us = (SELECT max(x.us) FROM e x WHERE x.user_id = p.user_id AND x.us < p.us)
-WHERE p.event_type = 'purchase' GROUP BY 1, 2""")
-def hardlink_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest event of the user before each purchase. One pass over each user's events in order of time."""
-    earlier = Window.partitionBy("user_id").orderBy(text.micros(F.col("ts"))).rangeBetween(Window.unboundedPreceding, -1)
-    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
-    rows = rows.withColumn("before", F.max(F.struct("ts", "event_id")).over(earlier))
-    return rows.filter("event_type = 'purchase'").select("event_id", "user_id", F.col("before.event_id").alias("target_id"))
-
-
-@query("SELECT user_id, event_id, event_type FROM (SELECT *, max(event_id) FILTER (WHERE event_type = 'error') OVER (PARTITION BY user_id) AS mark FROM events) WHERE mark IS NULL OR event_id > mark")
-def opaque_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
-    marks = events.filter("event_type = 'error'").groupBy("user_id").agg(F.max("event_id").alias("mark"))
-    return events.join(marks, "user_id", "left").filter("mark is null or event_id > mark").drop("mark")
-
-
 def reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Foreign keys from the region down to the orders."""
     pair = lambda t, a, x, b, y: table(spark, sf_dir, t).select(F.concat(F.lit(a), x).alias("src"), F.concat(F.lit(b), y).alias("dst"))
@@ -257,72 +218,6 @@ def dangling_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return missing("document", docs.select("doc_id"), labels, "doc_id", "doc_id", "doc_id").unionAll(missing("order", orders, customer, "o_custkey", "c_custkey", "o_orderkey")).unionAll(missing("customer", customer, orders, "c_custkey", "o_custkey", "c_custkey"))
 
 
-@query("SELECT c_name AS name, c_mktsegment = 'BUILDING' AS is_container, count(DISTINCT o_orderpriority) AS layer_count, count(o_orderkey) AS referrer_count FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL")
-def referrer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.size(F.collect_set("o_orderpriority")).cast("long").alias("layer_count"), F.count("*").alias("referrer_count"))
-    rows = table(spark, sf_dir, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return rows.select(F.col("c_name").alias("name"), (F.col("c_mktsegment") == "BUILDING").alias("is_container"), F.coalesce("layer_count", F.lit(0)).alias("layer_count"), F.coalesce("referrer_count", F.lit(0)).alias("referrer_count"))
-
-
-@query("SELECT l_suppkey AS subject_of, count(*) AS removed FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) l WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size > 10) GROUP BY 1")
-def cleanup_orphan_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
-    kept = table(spark, sf_dir, "part").filter("p_size > 10")
-    return graph.dangling(edges, kept, "l_partkey", "p_partkey").groupBy(F.col("l_suppkey").alias("subject_of")).agg(F.count("*").alias("removed"))
-
-
-@query("SELECT CASE WHEN lang <> 'en' THEN 'skipped' WHEN l.doc_id IS NULL THEN 'upgraded' ELSE 'already' END AS outcome, count(*) AS n FROM documents LEFT JOIN labels l USING (doc_id) GROUP BY 1")
-def upgrade_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("has")), "doc_id", "left")
-    outcome = F.when(F.col("lang") != "en", "skipped").when(F.col("has").isNull(), "upgraded").otherwise("already")
-    return rows.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
-
-
-@query("""
-SELECT 'negative balance' AS type, 'customer/' || c_custkey AS path FROM customer WHERE c_acctbal < 0
-UNION ALL SELECT 'negative balance', 'supplier/' || s_suppkey FROM supplier WHERE s_acctbal < 0
-UNION ALL SELECT 'length differs', 'documents/' || doc_id FROM documents WHERE n_chars <> length(text)
-UNION ALL SELECT 'missing label', 'documents/' || doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
-UNION ALL SELECT 'shipped before ordered', 'orders/' || l_orderkey || '/' || l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate""")
-def fsck_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer, supplier, docs, labels, orders, items = (table(spark, sf_dir, x) for x in ("customer", "supplier", "documents", "labels", "orders", "lineitem"))
-    error = lambda rows, kind, *name: rows.select(F.lit(kind).alias("type"), F.concat(*name).alias("path"))
-    shipped = items.join(orders.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey")).filter("l_shipdate < o_orderdate")
-    found = (
-        error(customer.filter("c_acctbal < 0"), "negative balance", F.lit("customer/"), "c_custkey"),
-        error(supplier.filter("s_acctbal < 0"), "negative balance", F.lit("supplier/"), "s_suppkey"),
-        error(docs.filter(F.col("n_chars") != F.length("text")), "length differs", F.lit("documents/"), "doc_id"),
-        error(graph.dangling(docs.select("doc_id"), labels, "doc_id", "doc_id"), "missing label", F.lit("documents/"), "doc_id"),
-        error(shipped, "shipped before ordered", F.lit("orders/"), "l_orderkey", F.lit("/"), "l_linenumber"),
-    )
-    out = found[0]
-    for rows in found[1:]:
-        out = out.unionAll(rows)
-    return out
-
-
-@query("""
-SELECT o_orderkey, CASE WHEN c.c_custkey IS NULL THEN 'customer missing' WHEN c_acctbal < 0 THEN 'customer balance' WHEN coalesce(n, 0) = 0 THEN 'no lines'
-       WHEN worst >= 0.1 THEN 'discount' ELSE 'ok' END AS stage
-FROM orders LEFT JOIN customer c ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n, max(l_discount) AS worst FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
-def staged_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.max("l_discount").alias("worst"))
-    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    stages = (F.when(F.col("c_custkey").isNull(), "customer missing"), F.when(F.col("c_acctbal") < 0, "customer balance"), F.when(F.coalesce("n", F.lit(0)) == 0, "no lines"), F.when(F.col("worst") >= 0.1, "discount"))
-    return rows.select("o_orderkey", F.coalesce(*stages, F.lit("ok")).alias("stage"))
-
-
-@query("""
-SELECT l_orderkey, l_linenumber, l_partkey, c_name, n_name, r_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
-def resolve_ref_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, orders, customer, nation, region = (table(spark, sf_dir, x) for x in ("lineitem", "orders", "customer", "nation", "region"))
-    named = F.broadcast(nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).select("n_nationkey", "n_name", "r_name"))
-    who = customer.join(named, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_name", "n_name", "r_name")
-    of = orders.select("o_orderkey", "o_custkey").join(who, F.col("o_custkey") == F.col("c_custkey"))
-    return items.select("l_orderkey", "l_linenumber", "l_partkey").join(of, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "l_partkey", "c_name", "n_name", "r_name")
-
-
 @query("""
 WITH s AS (SELECT n_nationkey, coalesce((SELECT min(s_name) FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000), NULL) AS a,
   (SELECT min(c_name) FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9900) AS b, (SELECT min(c_name) FROM customer WHERE c_nationkey = n_nationkey) AS c FROM nation)
@@ -334,34 +229,6 @@ def first_store_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.first_store_wins(table(spark, sf_dir, "nation").select("n_nationkey"), stores, "n_nationkey", "holder")
 
 
-_ASKED = ("small ring", "bolt", "red", "gear", "nothing")
-
-
-@query(f"""
-WITH q(asked) AS (VALUES {", ".join(f"('{x}')" for x in _ASKED)}),
-m AS (SELECT asked, p_partkey, CASE WHEN p_name = asked THEN 1 WHEN ends_with(p_name, ' ' || asked) THEN 2 WHEN p_name = asked || ' widget' THEN 3 END AS tier FROM q, part)
-SELECT asked, tier, min(p_partkey) AS p_partkey FROM m WHERE tier IS NOT NULL QUALIFY true GROUP BY asked, tier HAVING tier = (SELECT min(tier) FROM m x WHERE x.asked = m.asked)""".replace(" QUALIFY true", ""))
-def name_match_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact name, then a suffix after a space, then the name with its default suffix. The names asked for are few; each tier is an equi-join."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    asked = F.broadcast(spark.createDataFrame([(x,) for x in _ASKED], "asked string"))
-    ends = part.select("p_partkey", F.explode(F.transform(F.sequence(F.lit(2), F.size(F.split("p_name", " "))), lambda i: F.array_join(F.slice(F.split("p_name", " "), i, 100), " "))).alias("asked"))
-    ends = ends.filter(F.size(F.split("asked", " ")) > 0)
-    tiers = (part.select("p_partkey", F.col("p_name").alias("asked"), F.lit(1).alias("tier")), ends.select("p_partkey", "asked", F.lit(2).alias("tier")), part.filter(F.col("p_name").endswith(" widget")).select("p_partkey", F.expr("left(p_name, length(p_name) - 7)").alias("asked"), F.lit(3).alias("tier")))
-    hits = tiers[0].unionAll(tiers[1]).unionAll(tiers[2]).join(asked, "asked", "left_semi")
-    return hits.groupBy("asked").agg(F.min(F.struct("tier", "p_partkey")).alias("best")).select("asked", "best.*")
-
-
-@query("""
-WITH a AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem),
-b AS (SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey) AS pos FROM lineitem)
-SELECT a.l_orderkey, a.pos - 1 AS pos, a.l_partkey, b.l_suppkey FROM a JOIN b ON a.l_orderkey = b.l_orderkey AND a.pos = b.pos""")
-def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("a"), F.sort_array(F.collect_list("l_suppkey")).alias("b"))
-    zipped = rows.select("l_orderkey", F.posexplode(F.arrays_zip(F.col("a.l_partkey").alias("x"), F.col("b").alias("y"))).alias("pos", "z"))
-    return zipped.select("l_orderkey", F.col("pos").cast("long").alias("pos"), F.col("z.x").alias("l_partkey"), F.col("z.y").alias("l_suppkey"))
-
-
 _RULES = ("/.* any_t", "/PROMO(/.*)? promo_t", r"/.*/small\s.* small_t", "/[A-M].*/.*ring -- ring_t", "/ECONOMY/.*bolt <<none>>", "/LARGE/old.* -d old_t")
 _CASES = [(r"/.*.", "any_t"), (r"/PROMO(/.*)?.", "promo_t"), (r"/.*/small .*.", "small_t"), (r"/[A-M].*/.*ring-", "ring_t"), (r"/ECONOMY/.*bolt.", "<<none>>"), (r"/LARGE/old.*d", "old_t")]
 
@@ -406,74 +273,6 @@ def key_value_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", text.first_of(props, ["absent", "k"]).cast("long").alias("k"), F.coalesce(props["missing"], F.lit("none")).alias("other"))
 
 
-@query(r"""SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS tokens, nullif(regexp_extract(text, '(?:^|[\x20\x09-\x0D])(th[^\x20\x09-\x0D]*)', 1), '') AS value FROM documents""")
-def cmdline_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = text.split_words(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(tokens).cast("long").alias("tokens"), text.first_with_prefix(tokens, "th").alias("value"))
-
-
-@query("SELECT event_type AS segment, count(*) AS n, CAST(sum(length(props)) AS BIGINT) AS bytes, round(100.0 * sum(length(props)) / sum(sum(length(props))) OVER (), 6) AS percent FROM events GROUP BY 1")
-def space_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("segment")).agg(F.count("*").alias("n"), F.sum(F.length("props")).alias("bytes"))
-    # One row for each segment kind is left by now, so a sum over all of them is small.
-    total = F.sum("bytes").over(Window.partitionBy())
-    return sums.withColumn("total", total).select("segment", "n", "bytes", F.round(F.lit(100.0) * F.col("bytes") / F.col("total"), 6).alias("percent"))
-
-
-@query("SELECT user_id, event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap_us, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_type FROM events")
-def gap_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    us = text.micros(F.col("ts"))
-    return table(spark, sf_dir, "events").select("user_id", "event_id", (us - F.lag(us).over(order)).alias("gap_us"), F.lag("event_type").over(order).alias("prev_type"))
-
-
-@query("SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents ORDER BY size DESC, doc_id LIMIT 25")
-def size_desc_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("size")).orderBy(F.desc("size"), "doc_id").limit(25)
-
-
-@query("SELECT c_name AS name, c_custkey FROM customer ORDER BY c_name LIMIT 50 OFFSET 100")
-def paged_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), "c_custkey").orderBy("name").offset(100).limit(50)
-
-
-@query("""
-WITH f AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS features FROM events WHERE value >= 200 GROUP BY 1)
-SELECT user_id, CASE WHEN list_contains(features, 'error') THEN 'rejected' WHEN list_contains(features, 'signup') THEN 'read-only' ELSE 'read-write' END AS outcome,
-       array_to_string(list_filter(features, lambda x: x NOT IN ('click', 'view', 'purchase')), ',') AS unknown FROM f""")
-def feature_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The kinds of a user's events of a high value stand for feature flags."""
-    flags = table(spark, sf_dir, "events").filter("value >= 200").groupBy("user_id").agg(F.sort_array(F.collect_set("event_type")).alias("features"))
-    known = F.array(*map(F.lit, ("click", "view", "purchase")))
-    unknown = F.array_except("features", known)
-    outcome = F.when(F.array_contains(unknown, "error"), "rejected").when(F.array_contains(unknown, "signup"), "read-only").otherwise("read-write")
-    return flags.select("user_id", outcome.alias("outcome"), F.array_join(unknown, ",").alias("unknown"))
-
-
-@query("""
-SELECT o_orderkey, o_orderstatus AS status, CAST(count(l_linenumber) AS BIGINT) AS n_lines, CAST(coalesce(sum(l_partkey), 0) AS BIGINT) AS parts_sum
-FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL""")
-def inspect_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each order and its lines composed as JSON; what is read back from it is compared."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("lines"))
-    rows = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    made = rows.select("o_orderkey", F.to_json(F.struct(F.struct(F.col("o_orderstatus").alias("status")).alias("manifest"), F.coalesce("lines", F.array()).alias("layers"))).alias("json"))
-    back = F.from_json("json", "manifest struct<status: string>, layers array<struct<l_linenumber: int, l_partkey: bigint>>")
-    read = made.select("o_orderkey", back.alias("x"))
-    return read.select("o_orderkey", F.col("x.manifest.status").alias("status"), F.size("x.layers").cast("long").alias("n_lines"), F.aggregate("x.layers", F.lit(0).cast("long"), lambda a, y: a + y["l_partkey"]).alias("parts_sum"))
-
-
-@query("""
-SELECT l_orderkey AS layer, count(*) AS entry_count, CAST(sum(CASE WHEN l_quantity > 10 THEN l_quantity ELSE 0 END) AS BIGINT) AS external_size,
-       count(DISTINCT CASE WHEN l_quantity > 10 THEN l_partkey END) AS external_objects, CAST(sum(l_quantity) - sum(CASE WHEN l_quantity > 10 THEN l_quantity ELSE 0 END) AS BIGINT) AS inline_size
-FROM lineitem GROUP BY 1""")
-def layer_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    external = F.col("l_quantity") > 10
-    size = F.sum(F.when(external, F.col("l_quantity")).otherwise(0))
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("layer"))
-    return rows.agg(F.count("*").alias("entry_count"), size.cast("long").alias("external_size"), F.size(F.collect_set(F.when(external, F.col("l_partkey")))).cast("long").alias("external_objects"), F.greatest(F.sum("l_quantity") - size, F.lit(0)).cast("long").alias("inline_size"))
-
-
 @query(r"""
 WITH d AS (SELECT doc_id, encode(text) AS b, octet_length(encode(text)) AS n FROM documents),
 a AS (SELECT doc_id, n, list_transform(range(0, (n + 4095) // 4096), lambda i: sha256(b[i * 4096 + 1 : least(n, (i + 1) * 4096)] || repeat('\x00'::BLOB, greatest(0, (i + 1) * 4096 - n)))) AS one FROM d),
@@ -485,27 +284,6 @@ def verity_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", digest.verity(F.col("text").cast("binary")).alias("digest"))
 
 
-@query("""
-SELECT 1 AS entry_kind, 'text entry' AS name, p_partkey AS id FROM part WHERE ends_with(p_name, 'ring')
-UNION ALL SELECT 2, 'unified image', p_partkey FROM part WHERE starts_with(p_name, 'red ')
-UNION ALL SELECT 3, 'kernel ' || p_type, p_partkey FROM part WHERE p_size = 1""")
-def boot_entry_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    kind = lambda k, rows, name: rows.select(F.lit(k).alias("entry_kind"), name.alias("name"), F.col("p_partkey").alias("id"))
-    return (
-        kind(1, part.filter(F.col("p_name").endswith("ring")), F.lit("text entry"))
-        .unionAll(kind(2, part.filter(F.col("p_name").startswith("red ")), F.lit("unified image")))
-        .unionAll(kind(3, part.filter("p_size = 1"), F.concat(F.lit("kernel "), "p_type")))
-    )
-
-
-@query("SELECT c_nationkey AS node, row_number() OVER (ORDER BY c_nationkey) - 1 AS idx, n FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1)")
-def remap_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids numbered anew without gaps."""
-    rows = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("node")).agg(F.count("*").alias("n"))
-    return numbered(rows, ["node"], "idx")
-
-
 @query("SELECT doc_id, sha256(text) AS object_id FROM documents d WHERE doc_id = (SELECT min(doc_id) FROM documents x WHERE x.text = d.text) AND NOT EXISTS (SELECT 1 FROM documents y JOIN labels USING (doc_id) WHERE y.text = d.text)")
 def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents against a store that holds the labelled ones: the first row of each object that the store lacks."""
@@ -528,48 +306,21 @@ def stream_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.join(sizes, "stream_id").select("stream_id", "size", F.sha2("data", 256).alias("content"))
 
 
-def customer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(name, body) of a customer's orders as small files: few for each customer."""
-    orders = table(spark, sf_dir, "orders")
-    body = F.repeat(F.concat("o_orderpriority", F.lit("|")), (F.col("o_orderkey") % 12).cast("int"))
-    return orders.select(F.col("o_custkey").cast("string").alias("image_id"), F.col("o_orderkey").cast("string").alias("name"), body.cast("binary").alias("body"))
-
-
-_FILES = "SELECT CAST(o_custkey AS VARCHAR) AS owner, CAST(o_orderkey AS VARCHAR) AS name, repeat(o_orderpriority || '|', CAST(o_orderkey % 12 AS INTEGER)) AS body FROM orders"
-
-
-def _tar(files: list) -> bytes:
-    out = io.BytesIO()
-    with tarfile.open(fileobj=out, mode="w", format=tarfile.PAX_FORMAT) as tar:
-        for f in sorted(files, key=lambda f: f.name):
-            member = tarfile.TarInfo(f"orders/{f.name}")
-            member.size = len(f.body)
-            tar.addfile(member, io.BytesIO(bytes(f.body)))
-    return out.getvalue()
-
-
 @query(f"""
-WITH f AS ({_FILES}) SELECT owner AS archive, row_number() OVER (PARTITION BY owner ORDER BY name) - 1 AS entry_idx, '/orders/' || name AS path, 'reg' AS kind, length(body) AS size,
+WITH f AS ({formats.FILES}) SELECT owner AS archive, row_number() OVER (PARTITION BY owner ORDER BY name) - 1 AS entry_idx, '/orders/' || name AS path, 'reg' AS kind, length(body) AS size,
        CASE WHEN length(body) <= 64 THEN body END AS inline FROM f""")
 def archive_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tar archive of each customer's orders, and its entries read back."""
-    made = customer_files(spark, sf_dir).groupBy("image_id").agg(F.collect_list(F.struct("name", "body")).alias("files"))
-    tars = made.select(F.col("image_id").alias("path"), F.udf(_tar, "binary", useArrow=False)("files").alias("content"))
+    tars = formats.archives(spark, sf_dir)
     return archive.entry_rows(tars).select("archive", "entry_idx", F.col("path").cast("string").alias("path"), "kind", "size", F.col("inline").cast("string").alias("inline"))
 
 
 @query(f"""
-WITH f AS ({_FILES}) SELECT owner AS image_id, '/' || name AS path, 'reg' AS kind, CASE WHEN length(body) > 64 THEN sha256(body) END AS object_id, length(body) AS size FROM f
+WITH f AS ({formats.FILES}) SELECT owner AS image_id, '/' || name AS path, 'reg' AS kind, CASE WHEN length(body) > 64 THEN sha256(body) END AS object_id, length(body) AS size FROM f
 UNION ALL SELECT DISTINCT owner, '/', 'dir', NULL, 0 FROM f""")
 def image_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file system image of each customer's orders, encoded and decoded."""
-    files = customer_files(spark, sf_dir)
-    long = F.octet_length("body") > 64
-    nothing = F.lit(None).cast("binary")
-    stat = [F.lit(0o644).alias("mode"), F.lit(0).cast("long").alias("uid"), F.lit(0).cast("long").alias("gid"), F.lit(1000).cast("long").alias("mtime")]
-    leaves = files.select("image_id", F.concat(F.lit("/"), "name").cast("binary").alias("path"), F.lit("reg").alias("kind"), *stat, F.octet_length("body").cast("long").alias("size"), F.when(~long, F.col("body")).alias("inline"), F.when(long, F.sha2("body", 256)).alias("object_id"))
-    roots = files.select("image_id").distinct().select("image_id", F.lit("/").cast("binary").alias("path"), F.lit("dir").alias("kind"), *stat, F.lit(0).cast("long").alias("size"), nothing.alias("inline"), F.lit(None).cast("string").alias("object_id"))
-    back = erofs.entry_rows(erofs.image_rows(leaves.unionByName(roots)))
+    back = erofs.entry_rows(formats.images(spark, sf_dir))
     return back.select("image_id", F.col("path").cast("string").alias("path"), "kind", "object_id", F.when(F.col("inline").isNotNull(), F.octet_length("inline").cast("long")).otherwise(F.col("size")).alias("size"))
 
 
@@ -582,12 +333,3 @@ def dump_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dumpfile.parsed(lines).filter("error is null").select("line_no", F.col("path").cast("string").alias("path"), F.col("uid").cast("int").alias("uid"), F.col("content").cast("string").alias("content"), "mode")
 
 
-@query("""
-WITH e AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag FROM lineitem)
-SELECT l_returnflag AS kind, count(DISTINCT l_partkey) AS objects, count(*) AS refs FROM e WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 45) GROUP BY 1""")
-def objects_for_image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct objects and references by kind, of those that the store holds."""
-    gone = table(spark, sf_dir, "part").filter("p_size > 45").select(F.col("p_partkey").alias("l_partkey"))
-    held = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_partkey").join(gone, "l_partkey", "left_anti")
-    per = held.groupBy("l_returnflag", "l_partkey").agg(F.count("*").alias("n"))
-    return per.groupBy(F.col("l_returnflag").alias("kind")).agg(F.count("*").alias("objects"), F.sum("n").alias("refs"))

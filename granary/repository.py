@@ -1,8 +1,13 @@
 """A repository in a folder: the command surface as functions that return DataFrames.
 
-Tables are Parquet folders named by version. A commit writes the new versions first, objects before streams and images before refs, and then
-one small file that names the versions of all tables; readers see the last whole commit, and a writer that dies leaves nothing
-that a later commit or reader would see. One writer works at a time.
+A table is a list of Parquet folders, its parts. A commit writes new parts first, objects before streams and images before refs, and then
+one small file that lists the parts of all tables; readers see the last whole commit, and a writer that dies leaves nothing
+that a later commit or reader would see. Objects and streams only grow: an import writes what is new and reads of what is there the names
+alone. Garbage collection writes anew the parts that hold something dead; other parts stay as they are. Small tables, such as refs,
+are written whole.
+
+One writer works at a time. Where a rename refuses a name that is taken, as on HDFS, the second of two writers fails; other file systems
+may let it replace the first one's commit, so there writers have to take turns.
 """
 
 from __future__ import annotations
@@ -10,14 +15,16 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
+from .functions.digest import object_path as digest_path
 from .functions.digest import verity_bytes
 from .operators import boot, catalog, check, fold, graph, label, store, tree
-from .sources import archive, dumpfile, erofs, filesystem, oci, splitstream
+from .sources import archive, dumpfile, erofs, filesystem, oci, splitstream, storage
 
 ORDER = ("objects", "streams", "images", "manifests", "configs", "referrers", "refs")
 SCHEMAS = {
@@ -59,9 +66,30 @@ class Repository:
                 raise RepositoryError("a repository with other metadata is there")
             return old
         new.meta, new.versions, new.number = meta, {}, 0
-        new._commit({})
+        new._commit()
         return new
 
+    @classmethod
+    def open_upgrade(cls, spark: SparkSession, path: str) -> tuple[Repository, bool]:
+        """Opens a repository; one that has objects but no commit, as after a lost ``commits`` folder, gets metadata by the length of its
+        objects' ids. Whether that was done."""
+        new = object.__new__(cls)
+        new.spark, new.path = spark, path.rstrip("/")
+        if new._exists():
+            return cls(spark, path), False
+        fs, folder = new._fs(f"{new.path}/objects")
+        parts = [f"objects/{x.getPath().getName()}" for x in fs.listStatus(folder)] if fs.exists(folder) else []
+        row = new.table("objects", parts).select(F.length("object_id").alias("n")).first() if parts else None
+        if row is None or row.n not in (64, 128):
+            raise RepositoryError("no repository is there")
+        new.meta, new.versions, new.number = {"version": 1, "algorithm": f"fsverity-sha{4 * row.n}-12", "features": {}}, {}, 0
+        new._commit(parts={"objects": parts})
+        return new, True
+
+    def reset(self) -> None:
+        """Drops all streams, images, names and catalog tables; objects stay until they are collected."""
+        self._commit(parts={name: [] for name in ORDER if name != "objects"})
+
     def _exists(self) -> bool:
         fs, p = self._fs(f"{self.path}/commits")
         return bool(fs.exists(p)) and len(fs.listStatus(p)) > 0
@@ -77,27 +105,49 @@ class Repository:
             raise RepositoryError("metadata of another version or algorithm")
         return body["meta"], body["tables"], max(numbers)
 
-    def _commit(self, tables: dict[str, DataFrame]) -> None:
-        versions = dict(self.versions)
+    def _commit(self, whole: dict[str, DataFrame] | None = None, more: dict[str, DataFrame] | None = None, parts: dict[str, list[str]] | None = None) -> None:
+        """Commits tables written whole, rows added to tables, and tables as lists of parts."""
+        versions = dict(self.versions) | (parts or {})
         for name in ORDER:
-            if name in tables:
-                versions[name] = f"{name}/{uuid.uuid4().hex}"
-                tables[name].write.parquet(f"{self.path}/{versions[name]}")
+            if name in (whole or {}):
+                versions[name] = [self._part(name, whole[name])]
+            if name in (more or {}):
+                versions[name] = [*versions.get(name, []), self._part(name, more[name])]
         fs, draft = self._fs(f"{self.path}/drafts/{uuid.uuid4().hex}.json")
         out = fs.create(draft, True)
         out.write(bytearray(json.dumps({"meta": self.meta, "tables": versions}).encode()))
         out.close()
         _, final = self._fs(f"{self.path}/commits/{self.number + 1:012d}.json")
         fs.mkdirs(final.getParent())
-        # A rename succeeds for one of two writers, as the other finds the name taken.
         if fs.exists(final) or not fs.rename(draft, final):
             raise RepositoryError("another writer has committed")
         self.versions, self.number = versions, self.number + 1
 
-    def table(self, name: str) -> DataFrame:
-        if name not in self.versions:
+    def _part(self, name: str, rows: DataFrame) -> str:
+        part = f"{name}/{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{part}")
+        return part
+
+    def table(self, name: str, parts: list[str] | None = None) -> DataFrame:
+        """The rows of a table, or of some of its parts."""
+        parts = self.versions.get(name, []) if parts is None else parts
+        if not parts:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{self.versions[name]}")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*(f"{self.path}/{x}" for x in parts))
+
+    def _without_dead(self, name: str, kept: DataFrame, key: str) -> list[str]:
+        """The parts of a table of which only rows whose key is kept are left. Keys and the names of files are read to find the parts that have
+        others; those alone are written anew."""
+        parts = self.versions.get(name, [])
+        if not parts:
+            return parts
+        part = F.regexp_extract("_metadata.file_path", rf"/({name}/[0-9a-f]{{32}})/", 1)
+        dead = self.table(name).select(key, part.alias("part")).join(kept.select(key), key, "left_anti").select("part").distinct()
+        touched = {r.part for r in dead.collect()}  # at most as many as commits
+        if not touched:
+            return parts
+        left = self.table(name, [x for x in parts if x in touched]).join(kept.select(key), key, "left_semi")
+        return [*(x for x in parts if x not in touched), self._part(name, left)]
 
     def metadata_json(self) -> str:
         """The metadata as it is shown."""
@@ -115,10 +165,10 @@ class Repository:
 
     # Objects and streams.
 
-    def _with_objects(self, rows: DataFrame) -> DataFrame:
-        """The objects with the new ones of rows (data)."""
+    def _new_objects(self, rows: DataFrame) -> DataFrame:
+        """Those objects of rows (data) that the store lacks. Of the store only the ids are read."""
         made = store.identified(rows, "data", self.algorithm).select("object_id", "size", F.col("data").cast("binary").alias("data"))
-        return self.table("objects").unionByName(store.absent(made, self.table("objects")))
+        return store.absent(made, self.table("objects"))
 
     def _bytes(self, object_id: str) -> bytes:
         row = self.table("objects").filter(F.col("object_id") == object_id).select("data").first()
@@ -137,21 +187,70 @@ class Repository:
         counts of what was stored."""
         have = self.table("streams").select("name")
         fresh = files.withColumn("name", F.concat(F.lit("oci-layer-"), "diff_id")).join(have, "name", "left_anti").dropDuplicates(["name"])
-        rows = archive.split_rows(fresh.select("name", "content"), "name").persist()
+        rows = archive.split_rows(fresh.select("name", "content"), "name", algorithm=self.algorithm).persist()
         names = fresh.select(F.col("name").alias("stream_id"), F.lit(LAYER_TYPE).alias("content_type"), F.lit(None).cast("map<string, string>").alias("named_refs"))
         encoded = splitstream.encoded(rows, names, self.algorithm)
-        heads = store.identified(splitstream.headers(encoded), "content", self.algorithm)
+        heads = store.identified(splitstream.headers(encoded), "content", self.algorithm).drop("content").persist()
+        broken = heads.filter("error is not null or object_refs is null").select("stream_id", "error").first()
+        if broken is not None:
+            raise RepositoryError(f"the stream {broken.stream_id} does not read back: {broken.error}")
         new_streams = heads.select(F.col("stream_id").alias("name"), "object_id", "content_type", F.col("total_size"), "object_refs", "named_refs")
         external = rows.filter("kind = 'external'").select("data")
-        objects = self._with_objects(external.unionAll(encoded.select(F.col("content").alias("data"))))
+        objects = self._new_objects(external.unionAll(encoded.select(F.col("content").alias("data"))))
         known = self.table("objects").select("object_id", F.lit(True).alias("there"))
         parts = rows.filter("kind = 'external'").withColumn("seq_in_all", F.struct("stream_id", "seq")).join(known, "object_id", "left")
         methods = store.import_methods(parts, "seq_in_all").withColumn("method", F.when(F.col("there"), "present").otherwise(F.col("method")))
         counts = store.import_stats(methods).toPandas()
-        self._commit({"objects": objects, "streams": self.table("streams").unionByName(new_streams)})
+        self._commit(more={"objects": objects, "streams": new_streams})
         rows.unpersist()
+        heads.unpersist()
         return self.spark.createDataFrame(counts)
 
+    def ensure_stream(self, name: str, content_type: int, make: Callable[[], DataFrame], named_refs: dict[str, str] | None = None) -> str:
+        """The object id of a stream; one that isn't there is made from what ``make`` returns, rows (seq, inline, data): bytes within the stream
+        or objects of their own."""
+        row = self.table("streams").filter(F.col("name") == name).select("object_id").first()
+        if row is not None:
+            return row.object_id
+        made = store.identified(make(), "data", self.algorithm).withColumn("stream_id", F.lit(name))
+        chunks = made.select("stream_id", "seq", "inline", F.when(F.col("inline").isNull(), F.col("object_id")).alias("object_id"), F.coalesce(F.octet_length("inline"), "size").cast("long").alias("size"))
+        refs = self.spark.createDataFrame([(name, content_type, named_refs or {})], "stream_id string, content_type long, named_refs map<string, string>")
+        heads = store.identified(splitstream.headers(splitstream.encoded(chunks, refs, self.algorithm)), "content", self.algorithm)
+        head = heads.first()
+        bodies = made.filter("inline is null").select(F.col("data").cast("binary").alias("data")).unionAll(heads.select(F.col("content").alias("data")))
+        stream = self.spark.createDataFrame([(name, head.object_id, content_type, head.total_size, head.object_refs, named_refs or {})], SCHEMAS["streams"])
+        self._commit(more={"objects": self._new_objects(bodies), "streams": stream})
+        return head.object_id
+
+    def write_blob(self, data: bytes) -> tuple[str, str]:
+        """Stores bytes under their digest; the digest and the object's id. Bytes that are there stay."""
+        digest = archive.sha256_id(data)
+        blob = self.spark.createDataFrame([(0, None, bytearray(data))], "seq long, inline binary, data binary")
+        self.ensure_stream(f"oci-blob-{digest}", splitstream.CONTENT_TYPES["oci_blob"], lambda: blob)
+        return digest, verity_bytes(data, self.algorithm).hex()
+
+    def open_blob(self, digest: str, object_id: str | None = None) -> bytes:
+        """The bytes of a blob: by the id of its object, or by its digest, which must hold then."""
+        if object_id is not None:
+            return self._bytes(object_id)
+        row = self.cat(f"oci-blob-{digest}").first()
+        if row is None or archive.sha256_id(bytes(row.data)) != digest:
+            raise RepositoryError(f"no blob {digest}, or one of another digest")
+        return bytes(row.data)
+
+    def open_layer(self, reference: str, position: int) -> bytes:
+        """The bytes of an artifact's layer; layers that are archives are refused."""
+        row = catalog.layer_at(catalog.resolve(self.table("refs"), self.table("manifests"), reference), position).first()
+        if row is None or row.layer_digest is None or not row.is_blob:
+            raise RepositoryError(f"no layer {position} of {reference}, or an archive")
+        return self.open_blob(row.layer_digest)
+
+    def names_under(self, category: str, prefix: str = "") -> DataFrame:
+        return catalog.names_under(self.table("refs"), category, prefix)
+
+    def has_name(self, name: str) -> bool:
+        return catalog.known_names(self.spark.createDataFrame([(name,)], "name string"), self.table("refs"), self.table("streams")).first().known
+
     def stream(self, name: str) -> DataFrame:
         """The chunks of a stream."""
         row = self.table("streams").filter(F.col("name") == name)
@@ -163,7 +262,33 @@ class Repository:
 
     def ls_layer(self, diff_id: str) -> DataFrame:
         """A layer's entries in its order."""
-        return archive.entry_rows(self.cat(f"oci-layer-{diff_id}").withColumnRenamed("data", "content"), "stream_id").orderBy("entry_idx")
+        whole = self.cat(f"oci-layer-{diff_id}").withColumnRenamed("data", "content")
+        return archive.entry_rows(whole, "stream_id", algorithm=self.algorithm).orderBy("entry_idx")
+
+    def layer_dumpfile(self, diff_id: str) -> DataFrame:
+        """(line_no, value): a layer's entries as dump lines, in its order."""
+        rows = self.ls_layer(diff_id)
+        as_path = F.when(F.octet_length("path") == 0, F.lit("/").cast("binary")).otherwise(F.col("path"))
+        kinds = F.create_map(*(F.lit(x) for kind, (_, bits) in erofs.TYPES.items() for x in (kind, bits)))
+        dumped = rows.select(
+            F.col("entry_idx").alias("line_no"),
+            as_path.alias("path"),
+            F.when(F.col("inline").isNotNull(), F.octet_length("inline")).otherwise(F.col("size")).cast("long").alias("size"),
+            (F.coalesce(F.element_at(kinds, F.col("kind")), F.lit(0)).cast("int") + F.col("mode")).alias("mode"),
+            F.lit(1).cast("long").alias("nlink"),
+            "uid",
+            "gid",
+            "rdev",
+            F.col("mtime").alias("mtime_sec"),
+            F.lit(0).cast("long").alias("mtime_nsec"),
+            F.when(F.col("object_id").isNotNull(), digest_path(F.col("object_id")).cast("binary")).otherwise(F.col("target")).alias("payload"),
+            F.col("inline").alias("content"),
+            F.col("object_id").alias("digest"),
+            "xattrs",
+            (F.col("kind") == "hardlink").alias("hardlink"),
+            F.lit(None).cast("string").alias("error"),
+        )
+        return dumped.select("line_no", dumpfile.lines_of(dumped).alias("value")).orderBy("line_no")
 
     def layer_info(self, diff_id: str) -> DataFrame:
         name = f"oci-layer-{diff_id}"
@@ -217,10 +342,10 @@ class Repository:
         """Stores an image's bytes; with a name, a ref to it."""
         image_id = verity_bytes(data, self.algorithm).hex()
         row = self.spark.createDataFrame([(image_id, image_id)], SCHEMAS["images"])
-        tables = {"objects": self._with_objects(self._one_row(data)), "images": store.upsert(self.table("images"), row, ["name"])}
+        whole = {"images": store.upsert(self.table("images"), row, ["name"])}
         if name:
-            tables["refs"] = store.upsert(self.table("refs"), self.spark.createDataFrame([("images", name, image_id)], SCHEMAS["refs"]), ["category", "name"])
-        self._commit(tables)
+            whole["refs"] = store.upsert(self.table("refs"), self.spark.createDataFrame([("images", name, image_id)], SCHEMAS["refs"]), ["category", "name"])
+        self._commit(whole, {"objects": self._new_objects(self._one_row(data))})
         return image_id
 
     def images(self) -> DataFrame:
@@ -229,10 +354,11 @@ class Repository:
     def image_objects(self, image_id: str | None = None) -> DataFrame:
         """(image_id, object_id) of what images' metadata name."""
         rows = self.images() if image_id is None else self.images().filter(F.col("image_id") == image_id)
-        return erofs.image_objects(rows)
+        return erofs.image_objects(rows, algorithm=self.algorithm)
 
     def entries(self, image_id: str) -> DataFrame:
-        return erofs.entry_rows(self.images().filter(F.col("image_id") == image_id))
+        rows = erofs.entry_rows(self.images().filter(F.col("image_id") == image_id), algorithm=self.algorithm)
+        return rows.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")))).filter("error is null").drop("error")
 
     def create_dumpfile(self, image_id: str) -> list[str]:
         """The lines of an image's tree. One image's tree is what the caller asked to hold."""
@@ -267,20 +393,37 @@ class Repository:
             if missing:
                 raise RepositoryError(f"no layers {missing}")
             refs = {x: known[f"oci-layer-{x}"] for x in ids}
-        objects = self._with_objects(self._one_row(config_json.encode()).unionAll(self._one_row(manifest_json.encode())))
+        objects = self._new_objects(self._one_row(config_json.encode()).unionAll(self._one_row(manifest_json.encode())))
         ids = {s: verity_bytes(s.encode(), self.algorithm).hex() for s in (config_json, manifest_json)}
         config_row = self.spark.createDataFrame([(config_digest, ids[config_json], config_json, refs)], SCHEMAS["configs"])
-        manifest_row = self.spark.createDataFrame([(digest, ids[manifest_json], manifest_json, config_digest, [x["digest"] for x in manifest.get("layers", [])], media)], SCHEMAS["manifests"])
-        stream_rows = [(f"oci-config-{config_digest}", ids[config_json], splitstream.CONTENT_TYPES["ociconfg"], len(config_json.encode()), [], refs), (f"oci-manifest-{digest}", ids[manifest_json], splitstream.CONTENT_TYPES["ocimanif"], len(manifest_json.encode()), [], {f"config:{config_digest}": ids[config_json]})]
-        tables = {"objects": objects, "configs": store.upsert(self.table("configs"), config_row, ["digest"]), "manifests": store.upsert(self.table("manifests"), manifest_row, ["digest"]), "streams": store.upsert(self.table("streams"), self.spark.createDataFrame(stream_rows, SCHEMAS["streams"]), ["name"])}
+        layer_digests = [x["digest"] for x in manifest.get("layers", [])]
+        manifest_row = self.spark.createDataFrame([(digest, ids[manifest_json], manifest_json, config_digest, layer_digests, media)], SCHEMAS["manifests"])
+        kinds = splitstream.CONTENT_TYPES
+        stream_rows = [
+            (f"oci-config-{config_digest}", ids[config_json], kinds["ociconfg"], len(config_json.encode()), [], refs),
+            (f"oci-manifest-{digest}", ids[manifest_json], kinds["ocimanif"], len(manifest_json.encode()), [], {f"config:{config_digest}": ids[config_json]}),
+        ]
+        # A configuration that is there keeps the images that it names.
+        whole = {
+            "configs": store.upsert(config_row, self.table("configs").join(config_row.select("digest"), "digest", "left_semi"), ["digest"]).unionByName(self.table("configs").join(config_row.select("digest"), "digest", "left_anti")),
+            "manifests": store.upsert(self.table("manifests"), manifest_row, ["digest"]),
+        }
+        new_streams = self.spark.createDataFrame(stream_rows, SCHEMAS["streams"]).join(self.table("streams").select("name"), "name", "left_anti")
         subject = manifest.get("subject", {}).get("digest")
         if subject:
-            tables["referrers"] = catalog.add_referrer(self.table("referrers"), subject, digest)
+            whole["referrers"] = catalog.add_referrer(self.table("referrers"), subject, digest)
         if name:
-            tables["refs"] = catalog.tag(self.table("refs"), name, digest)
-        self._commit(tables)
+            whole["refs"] = catalog.tag(self.table("refs"), name, digest)
+        self._commit(whole, {"objects": objects, "streams": new_streams})
         return digest
 
+    def import_storage(self, store_path: str, image: str, name: str | None = None) -> str:
+        """Imports an image, by id or name, from a local container store in a folder that all executors see."""
+        found = storage.image_by_key(storage.images(self.spark, store_path), image).first()
+        if found is None:
+            raise RepositoryError(f"no image {image} in {store_path}")
+        return self.pull(*storage.image_layers(self.spark, store_path, found.id), name)
+
     def pull_layout(self, path: str, name: str | None = None) -> str:
         """Imports an image from a layout in a folder, under its tag there."""
         manifest, config, layers = oci.image(self.spark, path, name)
@@ -297,8 +440,14 @@ class Repository:
     def remove_boot_image(self, reference: str) -> None:
         """Takes the boot image's name from the image's configuration; garbage collection takes the rest."""
         manifest = catalog.resolve(self.table("refs"), self.table("manifests"), reference).first()
-        gone = self.spark.createDataFrame([(manifest.config_digest, None)], "digest string, image_id string")
-        self._commit({"configs": catalog.with_image(self.table("configs"), gone, boot=True)})
+        self._name_image(manifest.config_digest, None, True)
+
+    def _name_image(self, config_digest: str, image_id: str | None, boot: bool) -> None:
+        """Writes an image's name into a configuration, and anew the references of its stream, although their content is the same."""
+        made = self.spark.createDataFrame([(config_digest, image_id)], "digest string, image_id string")
+        configs = catalog.with_image(self.table("configs"), made, boot)
+        changed = configs.filter(F.col("digest") == config_digest).select(F.concat(F.lit("oci-config-"), "digest").alias("name"), "named_refs")
+        self._commit({"configs": configs, "streams": catalog.rewritten(self.table("streams"), changed)})
 
     def oci_images(self) -> DataFrame:
         return catalog.images(self.table("refs"), self.table("manifests"), self.table("configs"), self.table("referrers"))
@@ -324,8 +473,7 @@ class Repository:
         config = self.table("configs").filter(F.col("digest") == manifest.config_digest)
         diff_ids = [r.diff_id for r in catalog.layer_diff_ids(config).orderBy("position").collect()]
         image_id = self.import_image(self.image_of(diff_ids, for_boot))
-        made = self.spark.createDataFrame([(manifest.config_digest, image_id)], "digest string, image_id string")
-        self._commit({"configs": catalog.with_image(self.table("configs"), made, for_boot)})
+        self._name_image(manifest.config_digest, image_id, for_boot)
         return image_id
 
     def boot_resources(self, image_id: str) -> DataFrame:
@@ -338,26 +486,42 @@ class Repository:
 
     def gc(self, extra: list[str] | None = None, dry_run: bool = False) -> DataFrame:
         """Drops what no ref or extra name reaches; the counts. Images that configurations name count as named by their streams."""
-        named_images = self.table("configs").select(F.explode(F.map_filter("named_refs", lambda k, v: k.isin(catalog.IMAGE_REF, catalog.BOOT_REF))).alias("k", "v")).select("v")
+        images = F.map_filter("named_refs", lambda k, v: k.isin(catalog.IMAGE_REF, catalog.BOOT_REF))
+        named = self.table("configs").select(F.explode(F.map_values(images)).alias("name"))
+        named = named.unionAll(self.spark.createDataFrame([(x,) for x in extra or []], "name string"))
         streams = self.table("streams")
-        kept, kept_streams, kept_images, counts = graph.gc(self.table("objects"), self._plain_refs(), streams, self.table("images"), self.image_objects().withColumnRenamed("image_id", "name"), [*(extra or []), *(r.v for r in named_images.collect())])
+        kept, kept_streams, kept_images, counts = graph.gc(self.table("objects"), self._plain_refs(), streams, self.table("images"), self.image_objects().withColumnRenamed("image_id", "name"), named)
         found = counts.toPandas()
         if not dry_run:
-            left = {"objects": kept, "streams": kept_streams, "images": kept_images}
-            manifests = self.table("manifests").join(kept.select("object_id"), "object_id", "left_semi")
-            left |= {"manifests": manifests, "configs": self.table("configs").join(kept.select("object_id"), "object_id", "left_semi"), "referrers": catalog.dangling_referrers(self.table("referrers"), manifests)[0]}
-            self._commit(left)
+            ids = kept.select("object_id")
+            manifests = self.table("manifests").join(ids, "object_id", "left_semi")
+            whole = {
+                "images": kept_images,
+                "manifests": manifests,
+                "configs": self.table("configs").join(ids, "object_id", "left_semi"),
+                "referrers": catalog.dangling_referrers(self.table("referrers"), manifests)[0],
+            }
+            self._commit(whole, parts={"objects": self._without_dead("objects", ids, "object_id"), "streams": self._without_dead("streams", kept_streams, "name")})
         return self.spark.createDataFrame(found)
 
     def _plain_refs(self) -> DataFrame:
         return self.table("refs")
 
-    def fsck(self) -> DataFrame:
-        """All errors: of objects, links, refs, streams and images, and of tagged images."""
+    def fsck(self, name: str | None = None) -> DataFrame:
+        """All errors: of objects, links, refs, streams and images, of streams and images that can't be decoded, and of tagged images; with a name
+        those of that tag alone."""
         held = self.table("objects")
-        found = check.repository(held, self.table("streams"), self.table("images"), self.image_objects().withColumnRenamed("image_id", "name"), self._plain_refs(), algorithm=self.algorithm)
-        staged = check.tagged_images(catalog.tags(self.table("refs")), self.table("manifests"), self.table("configs"), held).filter("stage is not null")
-        return found.unionByName(check.errors(staged, "image", path="name", detail="stage"))
+        staged = check.tagged_images(catalog.tags(self.table("refs")), self.table("manifests"), self.table("configs"), held, name).filter("stage is not null")
+        tagged = check.errors(staged, "image", path="name", detail="stage")
+        if name is not None:
+            return tagged
+        named = self.image_objects().withColumnRenamed("image_id", "name")
+        found = check.repository(held, self.table("streams"), self.table("images"), named, self._plain_refs(), algorithm=self.algorithm)
+        # Manifests and configurations are streams without a frame.
+        plain = splitstream.CONTENT_TYPES["ociconfg"], splitstream.CONTENT_TYPES["ocimanif"]
+        bodies = self.table("streams").filter(~F.col("content_type").isin(*plain)).join(held.select("object_id", F.col("data").alias("content")), "object_id")
+        lost_images = erofs.problems(self.images(), algorithm=self.algorithm).withColumnRenamed("image_id", "name")
+        return check.union(found, check.unreadable("streams", splitstream.problems(bodies)), check.unreadable("images", lost_images), tagged)
 
     def fetch(self, other: Repository, stream: str) -> int:
         """Copies a stream and all that it reaches from another repository; objects that are there stay. How many were new."""
@@ -373,7 +537,8 @@ class Repository:
         if not wrong.isEmpty():
             raise RepositoryError("a fetched object has another digest")
         n = rows.count()
-        self._commit({"objects": self.table("objects").unionByName(rows), "streams": store.upsert(self.table("streams"), wanted.select(*self.table("streams").columns), ["name"])})
+        fresh = wanted.select(*self.table("streams").columns).join(self.table("streams").select("name"), "name", "left_anti")
+        self._commit(more={"objects": rows, "streams": fresh})
         return n
 
 

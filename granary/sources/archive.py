@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import io
 import json
@@ -10,6 +11,7 @@ import os
 import tarfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +49,7 @@ def _stored(m: tarfile.TarInfo) -> bool:
     return m.isreg() and m.size > INLINE_MAX
 
 
-def entries(data: bytes) -> Iterator[dict]:
+def entries(data: bytes, algorithm: str = "sha256") -> Iterator[dict]:
     """Path, kind, stat, content or link of every entry in order."""
     raw = lambda s: os.fsencode(s) if isinstance(s, str) else s
     for n, m in enumerate(_members(data)):
@@ -70,7 +72,7 @@ def entries(data: bytes) -> Iterator[dict]:
             "rdev": os.makedev(m.devmajor, m.devminor) if kind in ("chr", "blk") else 0,
             "target": target,
             "inline": body if body is not None and not _stored(m) else None,
-            "object_id": verity_bytes(body).hex() if body is not None and _stored(m) else None,
+            "object_id": verity_bytes(body, algorithm).hex() if body is not None and _stored(m) else None,
             "xattrs": {raw(k.removeprefix(XATTR)): raw(v) for k, v in m.pax_headers.items() if k.startswith(XATTR)},
         }
 
@@ -97,7 +99,7 @@ def split(data: bytes) -> Iterator[tuple[str, bytes]]:
 ENTRY = "archive string, entry_idx long, path binary, kind string, mode int, uid long, gid long, mtime long, size long, rdev long, target binary, inline binary, object_id string, xattrs map<binary, binary>"
 
 
-def entry_rows(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+def entry_rows(files: DataFrame, key: str = "path", content: str = "content", algorithm: str = "sha256") -> DataFrame:
     """Entries of archives in (key, content)."""
     names = [x.strip().split(" ")[0] for x in ENTRY.replace("map<binary, binary>", "map").split(",")]
     kinds = dict.fromkeys(("archive", "kind", "object_id"), pa.string()) | dict.fromkeys(("path", "target", "inline"), pa.binary()) | {"mode": pa.int32(), "xattrs": pa.map_(pa.binary(), pa.binary())}
@@ -105,21 +107,25 @@ def entry_rows(files: DataFrame, key: str = "path", content: str = "content") ->
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = [e | {"archive": name, "xattrs": list(e["xattrs"].items())} for e in entries(data.as_py())]
+                rows = [e | {"archive": name, "xattrs": list(e["xattrs"].items())} for e in entries(data.as_py(), algorithm)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[x] for r in rows], kinds.get(x, pa.int64())) for x in names], names)
 
     return files.select(F.col(key).cast("string"), content).mapInArrow(work, ENTRY)
 
 
-def split_rows(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+def split_rows(files: DataFrame, key: str = "path", content: str = "content", algorithm: str = "sha256") -> DataFrame:
     """(stream_id, seq, kind, inline, object_id, size, data) of archives in (key, content): data are the bytes of external chunks."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.binary())
+        names = ["stream_id", "seq", "kind", "inline", "object_id", "size", "data"]
         for batch in batches:
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = [(name, k, kind, part if kind == "inline" else None, None if kind == "inline" else verity_bytes(part).hex(), len(part), None if kind == "inline" else part) for k, (kind, part) in enumerate(split(body.as_py()))]
-                kinds = (pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["stream_id", "seq", "kind", "inline", "object_id", "size", "data"])
+                rows = []
+                for k, (kind, part) in enumerate(split(body.as_py())):
+                    inner = kind == "inline"
+                    rows.append((name, k, kind, part if inner else None, None if inner else verity_bytes(part, algorithm).hex(), len(part), None if inner else part))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
     return files.select(F.col(key).cast("string"), content).mapInArrow(work, "stream_id string, seq long, kind string, inline binary, object_id string, size long, data binary")
 
@@ -139,14 +145,43 @@ def _crc_table() -> list[int]:
     return out
 
 
-_CRC = _crc_table()
+_CRC = np.array(_crc_table(), np.uint64)
+#: Bytes of a lane: as many lanes as a content has are worked on at once.
+_LANE = 1024
+
+
+def _steps(state: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """The states of lanes after one byte of each column more."""
+    for column in columns:
+        state = _CRC[((state ^ column) & np.uint64(255)).astype(np.intp)] ^ (state >> np.uint64(8))
+    return state
+
+
+@functools.cache
+def _lane_of_zeros() -> np.ndarray:
+    """What a lane of zeros makes of a state, by the state's eight bytes: 8 x 256 words whose sum without carry is the new state."""
+    bits = _steps(np.uint64(1) << np.arange(64, dtype=np.uint64), np.zeros((_LANE, 1), np.uint64))
+    table = np.zeros((8, 256), np.uint64)
+    for k in range(64):
+        table[k // 8, (np.arange(256) >> k % 8 & 1).astype(bool)] ^= bits[k]
+    return table
 
 
 def crc64(data: bytes) -> int:
-    crc = _ONES
+    whole = len(data) // _LANE
+    state = _ONES
+    if whole > 1:
+        lanes = np.frombuffer(data, np.uint8, whole * _LANE).reshape(whole, _LANE).T.astype(np.uint64)
+        table = _lane_of_zeros()
+        # A checksum is linear: that of all that came before, led through a lane of zeros, and that of the lane alone add up.
+        for part in _steps(np.zeros(whole, np.uint64), lanes).tolist():
+            for k in range(8):
+                part ^= int(table[k, state >> 8 * k & 255])
+            state = part
+        data = data[whole * _LANE :]
     for byte in data:
-        crc = _CRC[(crc ^ byte) & 255] ^ crc >> 8
-    return crc ^ _ONES
+        state = int(_CRC[(state ^ byte) & 255]) ^ state >> 8
+    return state ^ _ONES
 
 
 def crc64_matches(data: bytes, expected: str) -> bool:

@@ -446,29 +446,40 @@ def tree_of(rows: Iterator[dict]) -> Node:
     return nodes[b"/"]
 
 
-ENTRY = "image_id string, path binary, kind string, leaf_id long, mode int, uid long, gid long, mtime long, size long, rdev long, target binary, inline binary, object_id string, xattrs map<binary, binary>"
+ENTRY = "image_id string, path binary, kind string, leaf_id long, mode int, uid long, gid long, mtime long, size long, rdev long, target binary, inline binary, object_id string, xattrs map<binary, binary>, error string"
 
 
-def entry_rows(images: DataFrame, key: str = "image_id", content: str = "content") -> DataFrame:
-    """The entries of images in (key, content)."""
+def entry_rows(images: DataFrame, key: str = "image_id", content: str = "content", algorithm: str = "sha256") -> DataFrame:
+    """The entries of images in (key, content). An image that can't be read is one row with an error."""
     names = [x.strip().split(" ")[0] for x in ENTRY.replace("map<binary, binary>", "map").split(",")]
-    kinds = dict.fromkeys(("image_id", "kind", "object_id"), pa.string()) | dict.fromkeys(("path", "target", "inline"), pa.binary()) | {"mode": pa.int32(), "xattrs": pa.map_(pa.binary(), pa.binary())}
+    kinds = dict.fromkeys(("image_id", "kind", "object_id", "error"), pa.string()) | dict.fromkeys(("path", "target", "inline"), pa.binary()) | {"mode": pa.int32(), "xattrs": pa.map_(pa.binary(), pa.binary())}
+
+    plain = ("kind", "mode", "uid", "gid", "mtime", "size", "rdev", "inline", "object_id")
+
+    def rows_in(name: str, data: bytes | None) -> list[dict]:
+        try:
+            found = list(rows_of(decode(data or b"", algorithm)))
+        except ImageError as e:
+            return [{"image_id": name, "error": str(e)}]
+        return [{"image_id": name, "path": p, "leaf_id": k, "xattrs": list(n.xattrs.items()), "target": n.target or None} | {x: getattr(n, x) for x in plain} for p, n, k in found]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = [
-                    {"image_id": name, "path": p, "leaf_id": k, "xattrs": list(n.xattrs.items()), "target": n.target or None} | {x: getattr(n, x) for x in ("kind", "mode", "uid", "gid", "mtime", "size", "rdev", "inline", "object_id")}
-                    for p, n, k in rows_of(decode(data.as_py()))
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array([r[x] for r in rows], kinds.get(x, pa.int64())) for x in names], names)
+                rows = rows_in(name, data.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([r.get(x) for r in rows], kinds.get(x, pa.int64())) for x in names], names)
 
     return images.select(F.col(key).cast("string"), content).mapInArrow(work, ENTRY)
 
 
-def image_objects(images: DataFrame, key: str = "image_id", content: str = "content") -> DataFrame:
+def problems(images: DataFrame, key: str = "image_id", content: str = "content", algorithm: str = "sha256") -> DataFrame:
+    """(key, error) of images that can't be read."""
+    return entry_rows(images, key, content, algorithm).filter("error is not null").select(F.col("image_id").alias(key), "error")
+
+
+def image_objects(images: DataFrame, key: str = "image_id", content: str = "content", algorithm: str = "sha256") -> DataFrame:
     """(key, object_id) of the objects that images name, each once."""
-    return entry_rows(images, key, content).filter("object_id is not null").select(F.col("image_id").alias(key), "object_id").distinct()
+    return entry_rows(images, key, content, algorithm).filter("object_id is not null").select(F.col("image_id").alias(key), "object_id").distinct()
 
 
 def image_rows(entries: DataFrame, algorithm: str = "sha256") -> DataFrame:

@@ -6,6 +6,9 @@ import io
 import struct
 from collections.abc import Iterator
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 #: Fixed value: the most bytes that a reader takes for one inline chunk.
 INLINE_LIMIT = 256 << 20
 
@@ -35,3 +38,28 @@ def read(stream: io.BufferedIOBase) -> Iterator[bytes | int]:
         if len(body) < -tag:
             raise ChunkError("an inline chunk without its end")
         yield body
+
+
+def encoded(chunks: DataFrame) -> DataFrame:
+    """(stream_id, content) of chunks (stream_id, seq, inline, number): inline bytes, or the number of an external chunk. A stream is a row, so it
+    fits in memory."""
+    rows = chunks.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", "inline", "number"))).alias("c"))
+    one = F.udf(lambda parts: write([bytes(p.inline) if p.inline is not None else p.number for p in parts]), "binary", useArrow=False)
+    return rows.select("stream_id", one("c").alias("content"))
+
+
+def chunk_rows(streams: DataFrame) -> DataFrame:
+    """(stream_id, seq, inline, number, error) of streams (stream_id, content); a stream that ends early keeps what comes before, and one row says
+    why it ends."""
+
+    def one(content: bytes) -> list[tuple]:
+        out: list[tuple] = []
+        try:
+            for c in read(io.BytesIO(bytes(content))):
+                out.append((len(out), c if isinstance(c, bytes) else None, None if isinstance(c, bytes) else c, None))
+        except ChunkError as e:
+            out.append((len(out), None, None, str(e)))
+        return out
+
+    kind = "array<struct<seq: bigint, inline: binary, number: bigint, error: string>>"
+    return streams.select("stream_id", F.explode(F.udf(one, kind, useArrow=False)("content")).alias("c")).select("stream_id", "c.*")

@@ -64,11 +64,9 @@ def layers(spark: SparkSession, path: str, descriptors: list[dict], diff_ids: li
     if len(descriptors) != len(diff_ids):
         raise LayoutError(f"{len(descriptors)} layers and {len(diff_ids)} digests")
     wanted = spark.createDataFrame([(k, d["digest"], i, d.get("mediaType", ""), d.get("size", 0)) for k, (d, i) in enumerate(zip(descriptors, diff_ids, strict=True))], "position int, digest string, diff_id string, media_type string, size long")
-    # The largest first, so that no task starts a large layer last.
-    dealt = wanted.orderBy(F.desc("size"))
     files = [f"{path}/blobs/{d['digest'].replace(':', '/')}" for d in descriptors]
     found = spark.read.format("binaryFile").load(files).select(F.concat(F.lit("sha256:"), F.regexp_extract("path", r"([0-9a-f]{64})\z", 1)).alias("digest"), "content")
-    rows = dealt.join(found, "digest").withColumn("content", inflated("content", "media_type"))
+    rows = wanted.join(found, "digest").withColumn("content", inflated("content", "media_type"))
     ok: Column = F.concat(F.lit("sha256:"), F.sha2("content", 256)) == F.col("diff_id")
     return rows.select("position", "diff_id", "media_type", is_tar_media_type(F.col("media_type")).alias("is_tar"), F.when(ok, F.col("content")).alias("content"))
 

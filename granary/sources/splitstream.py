@@ -158,6 +158,20 @@ def headers(files: DataFrame, content: str = "content") -> DataFrame:
     return files.withColumn("_s", F.udf(one, kind, useArrow=False)(F.col(content))).select(*files.columns, "_s.*")
 
 
+def problems(files: DataFrame, key: str = "name", content: str = "content", size: str = "total_size") -> DataFrame:
+    """(key, error) of stream files that can't be read to their end, or whose inline bytes exceed the size in column ``size``."""
+
+    def one(data: bytes | None, total: int | None) -> str | None:
+        try:
+            s = decode(bytes(data or b""))
+        except (StreamError, zstandard.ZstdError, UnicodeDecodeError) as e:
+            return str(e)
+        inner = sum(len(c) for c in s.chunks if isinstance(c, bytes))
+        return "another size" if total is not None and (s.total_size != total or inner > total) else None
+
+    return files.select(key, F.udf(one, "string", useArrow=False)(content, size).alias("error")).filter("error is not null")
+
+
 def chunk_rows(files: DataFrame, key: str = "name", content: str = "content") -> DataFrame:
     """(stream_id, seq, kind, inline, object_id) of every chunk."""
 

@@ -105,3 +105,31 @@ def test_verity_has_no_limit_of_size(spark):
         frame = spark.range(1).select(F.repeat(F.lit("0123456789abcdef"), size // 16 + 1).substr(1, size).cast("binary").alias("data"))
         want = digest.verity_bytes((b"0123456789abcdef" * (size // 16 + 1))[:size], algorithm).hex()
         assert [r.digest for r in frame.select(digest.verity(F.col("data"), algorithm).alias("digest")).collect()] == [want]
+
+
+def test_checksums_of_any_length():
+    """In lanes as byte by byte."""
+    import random
+
+    from granary.sources import archive
+
+    def plain(data):
+        crc = (1 << 64) - 1
+        for byte in data:
+            crc = int(archive._CRC[(crc ^ byte) & 255]) ^ crc >> 8
+        return crc ^ (1 << 64) - 1
+
+    rnd = random.Random(1)
+    for n in (0, 1, 1023, 1024, 1025, 2048, 2049, 5000, 70_000):
+        data = rnd.randbytes(n)
+        assert archive.crc64(data) == plain(data)
+    assert archive.crc64(b"123456789") == 0xB90956C775A41001
+
+
+def test_labels_try_rules_from_the_last():
+    from granary.operators import label
+
+    found = tuple(label.rules(["/.* any", "/usr/bin/?x y", "/usr(/.*)? usr", r"/a\.b+ dots", "/(x|y)z -- alt", "/u{2}v rep", "/etc/.* <<none>>"]))
+    of = lambda s: label.context_of(s, found)
+    assert [of(x + "-") for x in ("/q", "/usr", "/usr/bin", "/a.b", "/a.bb", "/axb", "/xz", "/yz", "/uuv", "/etc/q")] == ["any", "usr", "usr", "dots", "dots", "any", "alt", "alt", "rep", None]
+    assert of("/xzd") == "any" and label.context_of("/binx-", tuple(label.rules(["/bi?nx one"]))) == "one"

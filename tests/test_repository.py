@@ -24,11 +24,12 @@ BASE = [("usr", DIR, b""), ("usr/bin", DIR, b""), ("usr/bin/a", REG, b"x" * 500)
 TOP = [("etc", DIR, b""), ("etc/.wh.old", REG, b""), ("etc/new", REG, b"n" * 65), ("usr/lib", DIR, b""), ("usr/lib/modules", DIR, b""), ("usr/lib/modules/6.1", DIR, b""), ("usr/lib/modules/6.1/vmlinuz", REG, b"k" * 100), ("usr/lib/os-release", LNK, "x")]
 
 
-def test_from_layers_to_image_and_back(spark, tmp_path):
-    repo = Repository.init(spark, f"file://{tmp_path}/repo")
-    assert Repository.init(spark, f"file://{tmp_path}/repo").number == repo.number
+@pytest.mark.parametrize("algorithm", ["sha256", "sha512"])
+def test_from_layers_to_image_and_back(spark, tmp_path, algorithm):
+    repo = Repository.init(spark, f"file://{tmp_path}/repo", algorithm)
+    assert Repository.init(spark, f"file://{tmp_path}/repo", algorithm).number == repo.number
     with pytest.raises(RepositoryError):
-        Repository.init(spark, f"file://{tmp_path}/repo", "sha512")
+        Repository.init(spark, f"file://{tmp_path}/repo", "sha512" if algorithm == "sha256" else "sha256")
     digest, ids, tars = image(spark, repo, "app/one:1", [BASE, TOP])
     assert bytes(repo.cat(f"oci-layer-{ids[0]}").first().data) == tars[0]
     assert repo.ls_layer(ids[1]).count() == len(TOP)
@@ -53,11 +54,11 @@ def test_from_layers_to_image_and_back(spark, tmp_path):
     assert [(r.entry_kind, r.name) for r in again.boot_resources(image_id).collect()] == [(3, "6.1")]
     assert again.write_to_path(image_id, f"file://{tmp_path}/tree") == 6
     assert (tmp_path / "tree/etc/new").read_bytes() == b"n" * 65 and (tmp_path / "tree/usr/lib/os-release").is_symlink()
-    assert json.loads(again.metadata_json())["algorithm"] == "fsverity-sha256-12"
+    assert json.loads(again.metadata_json())["algorithm"] == f"fsverity-{algorithm}-12"
     assert again.fsck().count() == 0
     assert json.loads(again.inspect("app/one:1").first().json)["config"]["os"] == "linux"
     assert again.gc(dry_run=True).first().objects_removed == 0
-    other = Repository.init(spark, f"file://{tmp_path}/other")
+    other = Repository.init(spark, f"file://{tmp_path}/other", algorithm)
     assert other.fetch(again, f"oci-layer-{ids[0]}") == 2 and other.fetch(again, f"oci-layer-{ids[0]}") == 0
     assert bytes(other.cat(f"oci-layer-{ids[0]}").first().data) == tars[0]
     again.untag("app/one:1")
@@ -97,3 +98,128 @@ def test_images_and_garbage(spark, tmp_path):
     assert tuple(counts.first())[0] == 1 and repo.table("images").count() == 1 and lost != image_id
     assert dump_lines(root) == ["/ 0 40755 2 0 0 0 0.0 - - -", f"/f 9 100000 1 0 0 0 0.0 ab/{'ab' * 31} - {'ab' * 32}", "/g 2 100000 1 0 0 0 0.0 - hi -"]
     assert FILES
+
+
+def test_imports_write_what_is_new(spark, tmp_path):
+    """An import adds a part; parts that are there stay, and collection writes anew only those that hold something dead."""
+    repo = Repository.init(spark, f"file://{tmp_path}/repo")
+    one, _, _ = image(spark, repo, "one", [BASE])
+    parts = list(repo.versions["objects"])
+    image(spark, repo, "two", [TOP])
+    assert repo.versions["objects"][: len(parts)] == parts and len(repo.versions["objects"]) > len(parts)
+    again = repo.table("objects").groupBy("object_id").count()
+    assert again.filter("count > 1").count() == 0
+    new = repo._new_objects(spark.createDataFrame([(bytearray(b"x" * 500),), (bytearray(b"new" * 50),)], "data binary"))
+    assert new.count() == 1
+    # Of the store only ids are read.
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<object_id:string>" in plan and "data:binary" not in plan.split("ReadSchema", 1)[1].split("\n")[0]
+    before = {x: repo.table("objects", [x]).select("object_id").collect() for x in repo.versions["objects"]}
+    repo.untag("two")
+    assert repo.gc().first().objects_removed > 0
+    assert [x for x in repo.versions["objects"] if x in before][: len(parts)] == parts
+    assert repo.fsck().count() == 0 and repo.oci_images().count() == 1 and one
+    # Nothing dead: nothing is written anew.
+    kept = list(repo.versions["objects"])
+    repo.gc()
+    assert repo.versions["objects"] == kept
+
+
+def test_damage_is_reported(spark, tmp_path):
+    """A stream and an image that can't be decoded are errors of their own, and hide no others."""
+    repo = Repository.init(spark, f"file://{tmp_path}/repo", "sha512")
+    image(spark, repo, "app", [BASE])
+    repo.mount_image("app")
+    assert repo.fsck().count() == 0
+    bad_stream, bad_image = b"no stream at all", b"no image at all" * 100
+    from granary.functions.digest import verity_bytes
+
+    ids = [verity_bytes(x, "sha512").hex() for x in (bad_stream, bad_image)]
+    streams = spark.createDataFrame([("odd", ids[0], 0, 5, [], {})], repo.table("streams").schema)
+    images = repo.table("images").unionByName(spark.createDataFrame([(ids[1], ids[1])], "name string, object_id string"))
+    repo._commit({"images": images}, {"objects": repo._new_objects(spark.createDataFrame([(bytearray(bad_stream),), (bytearray(bad_image),)], "data binary")), "streams": streams})
+    assert sorted((r.type, r.path) for r in repo.fsck().collect()) == [("unreadable image", f"images/{ids[1]}"), ("unreadable stream", "streams/odd")]
+    assert repo.fsck("app").count() == 0
+    with pytest.raises(Exception, match="magic|image|short"):
+        repo.entries(ids[1]).collect()
+
+
+def test_blobs_names_and_upgrades(spark, tmp_path):
+    repo = Repository.init(spark, f"file://{tmp_path}/repo")
+    digest, object_id = repo.write_blob(b"blob" * 100)
+    assert repo.write_blob(b"blob" * 100) == (digest, object_id)
+    assert repo.open_blob(digest) == repo.open_blob(digest, object_id) == b"blob" * 100
+    with pytest.raises(RepositoryError):
+        repo.open_blob("sha256:none")
+    config = "{}"
+    layers = [{"digest": digest, "mediaType": "text/plain"}, {"digest": digest, "mediaType": "application/vnd.oci.image.layer.v1.tar"}]
+    manifest = json.dumps({"config": {"mediaType": "application/x-artifact", "digest": "sha256:" + hashlib.sha256(config.encode()).hexdigest()}, "layers": layers})
+    repo.pull(manifest, config, spark.createDataFrame([], "diff_id string, content binary"), "dir/art")
+    assert repo.open_layer("dir/art", 0) == b"blob" * 100
+    for position in (1, 2):
+        with pytest.raises(RepositoryError):
+            repo.open_layer("dir/art", position)
+    assert [r.name for r in repo.names_under("streams", "oci").collect()] == ["dir%2Fart"]
+    assert repo.has_name("oci/dir%2Fart") and not repo.has_name("oci/none")
+    made = []
+    chunks = spark.createDataFrame([(0, bytearray(b"in"), None), (1, None, bytearray(b"y" * 99))], "seq long, inline binary, data binary")
+    assert repo.ensure_stream("s", 7, lambda: made.append(1) or chunks) == repo.ensure_stream("s", 7, lambda: made.append(1) or chunks)
+    assert made == [1] and bytes(repo.cat("s").first().data) == b"in" + b"y" * 99
+    repo.reset()
+    assert repo.table("streams").count() == 0 and repo.table("objects").count() > 0
+    import shutil
+
+    shutil.rmtree(tmp_path / "repo/commits")
+    opened, upgraded = Repository.open_upgrade(spark, f"file://{tmp_path}/repo")
+    assert upgraded and opened.algorithm == "sha256" and opened.table("objects").count() > 0
+    assert Repository.open_upgrade(spark, f"file://{tmp_path}/repo")[1] is False
+    with pytest.raises(RepositoryError):
+        Repository.open_upgrade(spark, f"file://{tmp_path}/none")
+
+
+def test_layer_as_dump_text(spark, tmp_path):
+    repo = Repository.init(spark, f"file://{tmp_path}/repo")
+    _, ids, _ = image(spark, repo, "app", [BASE])
+    lines = [r.value for r in repo.layer_dumpfile(ids[0]).collect()]
+    assert lines[0].startswith("/usr 0 40") and lines[2].split(" ")[0] == "/usr/bin/a" and lines[2].split(" ")[8][2] == "/"
+    assert lines[3].split(" ")[9] == "small" and lines[4] == "/usr/bin/c 0 @120000 - - - - 0.0 /usr/bin/a - -"
+
+
+def test_import_from_container_storage(spark, tmp_path):
+    """A store in a folder: layers taken apart into records and files, some of them in a layer below."""
+    import gzip
+
+    from granary.sources import archive, storage
+
+    tars = [tar_of(BASE), tar_of([("etc", DIR, b""), ("etc/new", REG, b"n" * 65)])]
+    ids = ["sha256:" + hashlib.sha256(t).hexdigest() for t in tars]
+    config = json.dumps({"architecture": "amd64", "os": "linux", "rootfs": {"diff_ids": ids}})
+    config_digest = "sha256:" + hashlib.sha256(config.encode()).hexdigest()
+    manifest = json.dumps({"config": {"mediaType": catalog.CONFIG_MEDIA_TYPE, "digest": config_digest}, "layers": [{"digest": i} for i in ids]})
+    store = tmp_path / "store"
+    (store / "overlay-layers").mkdir(parents=True)
+    (store / "overlay-images/img").mkdir(parents=True)
+    (store / "overlay-layers/layers.json").write_text(json.dumps([{"id": "low", "diff-digest": ids[0]}, {"id": "top", "parent": "low", "diff-digest": ids[1]}]))
+    (store / "overlay-images/images.json").write_text(json.dumps([{"id": "img", "names": ["host/app:latest"], "layer": "top"}]))
+    (store / "overlay-images/img/manifest").write_text(manifest)
+    (store / f"overlay-images/img/{storage.config_key(config_digest)}").write_text(config)
+    for layer, data in zip(("low", "top"), tars, strict=True):
+        with gzip.open(store / f"overlay-layers/{layer}.tar-split.gz", "wt") as f:
+            f.write("\n".join(archive.tar_split_lines(data)) + "\n")
+        for e in archive.entries(data):
+            body = e["inline"] or next((b for k, b in archive.split(data) if k == "external" and len(b) == e["size"]), None)
+            if e["kind"] == "reg" and body is not None:
+                at = store / f"overlay/{layer}/diff" / e["path"].decode().lstrip("/")
+                at.parent.mkdir(parents=True, exist_ok=True)
+                at.write_bytes(body)
+    repo = Repository.init(spark, f"file://{tmp_path}/repo")
+    digest = repo.import_storage(f"file://{store}", "app", "app:1")
+    assert digest == "sha256:" + hashlib.sha256(manifest.encode()).hexdigest() == repo.import_storage(f"file://{store}", "img")
+    assert [bytes(repo.cat(f"oci-layer-{i}").first().data) for i in ids] == tars
+    assert repo.fsck().count() == 0
+    with pytest.raises(RepositoryError):
+        repo.import_storage(f"file://{store}", "none")
+    (store / "overlay/top/diff/etc/new").write_bytes(b"m" * 65)
+    broken = Repository.init(spark, f"file://{tmp_path}/broken")
+    with pytest.raises(Exception, match="checksum"):
+        broken.import_storage(f"file://{store}", "img")
