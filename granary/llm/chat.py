@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 
 from .common import partitions
 
-
 NAMES = {"system": "System", "user": "User", "assistant": "Assistant"}
 ROLES = {v: k for k, v in NAMES.items()}
 END = "</turn>"
@@ -98,7 +97,9 @@ def parse(rendered: str, at: int = 0) -> Iterator[tuple[str, str, tuple[int, int
         at = mark.end() + 1
 
 
-def formatted(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", loss_role: str = "assistant") -> DataFrame:
+def formatted(
+    turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", loss_role: str = "assistant"
+) -> DataFrame:
     """conv_id, turn, role, text (the sort key of a turn), rendered, and loss_start and loss_end: the code points of rendered under
     the loss mask, null where there are none. A conversation's formatted text is its rendered turns joined by nothing."""
 
@@ -107,9 +108,17 @@ def formatted(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", ro
             roles, texts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             whole = [render(r, t) for r, t in zip(roles, texts, strict=True)]
             spans = [(len(header(r)), len(w) - len(TAIL)) if r == loss_role else (None, None) for r, w in zip(roles, whole, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(whole, pa.string()), pa.array([x for x, _ in spans], pa.int64()), pa.array([x for _, x in spans], pa.int64())], ["conv_id", "turn", "role", "text", "rendered", "loss_start", "loss_end"])
-
-    rows = turns.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(whole, pa.string()), pa.array([x for x, _ in spans], pa.int64()), pa.array([x for _, x in spans], pa.int64())],
+                ["conv_id", "turn", "role", "text", "rendered", "loss_start", "loss_end"],
+            )
+
+    rows = turns.select(
+        F.col(conv_id).cast("long").alias("conv_id"),
+        F.col(turn).cast("long").alias("turn"),
+        F.coalesce(F.col(role), F.lit("")).alias("role"),
+        F.coalesce(F.col(text), F.lit("")).alias("text"),
+    )
     return rows.mapInArrow(work, "conv_id long, turn long, role string, text string, rendered string, loss_start long, loss_end long")
 
 
@@ -141,7 +150,10 @@ def read_back(rows: DataFrame) -> DataFrame:
         def result(done: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*done, strict=True)) or [()] * 6
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
+            )
 
         row = lambda: (now, reader.n, reader.turns.hexdigest(), reader.loss, reader.under.hexdigest(), reader.chars)
         for batch in batches:
@@ -157,7 +169,9 @@ def read_back(rows: DataFrame) -> DataFrame:
         if reader is not None:
             yield result([row()])
 
-    order = rows.repartition(partitions(rows.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "rendered", "loss_start", "loss_end")
+    order = rows.repartition(partitions(rows.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select(
+        "conv_id", "rendered", "loss_start", "loss_end"
+    )
     return order.mapInArrow(work, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 

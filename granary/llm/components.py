@@ -21,7 +21,9 @@ def connected(edges: DataFrame) -> DataFrame:
         hooks, at = written_at(both.filter("b < a").groupBy("a").agg(F.min("b").alias("up")).withColumnRenamed("a", "node"), "hooks")
         while True:
             # Paths shorten by half.
-            nxt = hooks.alias("h").join(hooks.alias("g"), F.col("h.up") == F.col("g.node"), "left").select(F.col("h.node").alias("node"), F.coalesce("g.up", "h.up").alias("up"), F.col("g.up").isNotNull().alias("moved"))
+            nxt = hooks.alias("h").join(hooks.alias("g"), F.col("h.up") == F.col("g.node"), "left").select(
+                F.col("h.node").alias("node"), F.coalesce("g.up", "h.up").alias("up"), F.col("g.up").isNotNull().alias("moved")
+            )
             shorter, new_at = written_at(nxt, "hooks")
             moved = not shorter.filter("moved").isEmpty()
             remove(spark, at)
@@ -31,7 +33,9 @@ def connected(edges: DataFrame) -> DataFrame:
         done.append(hooks.withColumnRenamed("up", "least"))
         root = lambda name: F.coalesce(F.col(f"{name}.up"), F.col(f"e.{name}"))
         moved_edges = (
-            live.alias("e").join(hooks.withColumnRenamed("node", "node_a").alias("a"), F.col("e.a") == F.col("node_a"), "left").join(hooks.withColumnRenamed("node", "node_b").alias("b"), F.col("e.b") == F.col("node_b"), "left")
+            live.alias("e").join(hooks.withColumnRenamed("node", "node_a").alias("a"), F.col("e.a") == F.col("node_a"), "left").join(
+                hooks.withColumnRenamed("node", "node_b").alias("b"), F.col("e.b") == F.col("node_b"), "left"
+            )
         ).select(F.least(root("a"), root("b")).alias("a"), F.greatest(root("a"), root("b")).alias("b"))
         nxt_live, nxt_at = written_at(moved_edges.filter("a <> b").distinct(), "edges")
         remove(spark, live_at)
@@ -41,5 +45,7 @@ def connected(edges: DataFrame) -> DataFrame:
     out = done[0]
     for later in done[1:]:
         # A root of an earlier round may have got a root since.
-        out = out.alias("x").join(later.alias("y"), F.col("x.least") == F.col("y.node"), "left").select("x.node", F.coalesce("y.least", "x.least").alias("least")).union(later)
+        out = out.alias("x").join(later.alias("y"), F.col("x.least") == F.col("y.node"), "left").select(
+            "x.node", F.coalesce("y.least", "x.least").alias("least")
+        ).union(later)
     return out

@@ -30,7 +30,6 @@ from pyspark.sql import types as T
 
 from .common import aside
 
-
 #: Lengths in code points, densities in words.
 SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH, MAX_LINKS = 0.15, 0.30, 0.5
@@ -87,7 +86,9 @@ def hints(attributes: str) -> set[str]:
     found: set[str] = set()
     for name, value in _NAMED.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (
+            name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)
+        ):
             found.add("hidden")
         elif name in ("class", "id", "role"):
             found |= {x.lower() for x in _PART.findall(value)}

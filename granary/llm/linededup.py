@@ -104,8 +104,15 @@ class LineRuns:
 def long_lines(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
     """id, hashes of the whole text, position and hashes of the key of every line with at least min_chars."""
     t1, t2 = hash128(text_of(text))
-    lines = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), t1.alias("t1"), t2.alias("t2"), F.posexplode(F.split(text_of(text), "\n", -1)).alias("pos", "line"))
-    keyed = lines.filter(F.length("line") >= min_chars).select("id", "t1", "t2", "pos", line_key(F.col("line")).alias("key")).filter(F.length("key") >= min_chars)
+    lines = docs.select(
+        F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"),
+        t1.alias("t1"),
+        t2.alias("t2"),
+        F.posexplode(F.split(text_of(text), "\n", -1)).alias("pos", "line"),
+    )
+    keyed = lines.filter(F.length("line") >= min_chars).select("id", "t1", "t2", "pos", line_key(F.col("line")).alias("key")).filter(
+        F.length("key") >= min_chars
+    )
     h1, h2 = hash128(F.col("key"))
     return keyed.select("id", "t1", "t2", "pos", h1.alias("h1"), h2.alias("h2"))
 

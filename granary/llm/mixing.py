@@ -161,13 +161,24 @@ def calibrated(cells: dict[tuple, float], named: list[dict[str, float]], budget:
 
 def draw(doc_id: Column, seed: int) -> Column:
     """A number from 0 to 1 that depends on the id and the seed alone, so that a task that runs again draws the same."""
-    return F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    return F.conv(
+        F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 13), 16, 10
+    ).cast("double") / float(1 << 52)
 
 
-def counted(docs: DataFrame, named: list[dict[str, float]], text: str, source: str, lang: str, topics_in: str | None) -> tuple[DataFrame, list[str], dict[tuple, float]]:
+def counted(docs: DataFrame, named: list[dict[str, float]], text: str, source: str, lang: str, topics_in: str | None) -> tuple[
+    DataFrame, list[str], dict[tuple, float]
+]:
     """docs with their cells and tokens, the names of those columns, and the tokens of each cell."""
     names = free_names(docs, "mix_source", "mix_lang", "topic", "tokens")
-    rows = docs.withColumns({names[0]: value(source, named[0]), names[1]: value(lang, named[1]), names[2]: F.col(topics_in) if topics_in else topic(text_of(text)), names[3]: tokens(text_of(text))})
+    rows = docs.withColumns(
+        {
+            names[0]: value(source, named[0]),
+            names[1]: value(lang, named[1]),
+            names[2]: F.col(topics_in) if topics_in else topic(text_of(text)),
+            names[3]: tokens(text_of(text)),
+        }
+    )
     rows = rows.withColumn(names[2], value(names[2], named[2]))
     found = rows.groupBy(*names[:3]).agg(F.sum(names[3])).collect()
     return rows, names, {tuple(r[:3]): float(r[3] or 0) for r in found}
@@ -224,7 +235,9 @@ def mixed(
     rows, names, cells = counted(docs, named, text, source, lang, topics_in)
     plan = calibrated(cells, named, None if budget_share is None else budget_share * sum(cells.values())).cells
     key = F.concat_ws("\x00", *names[:3])
-    look_up = lambda k: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for cell, got in plan.items() for x in ("\x00".join(cell), got[k]))), key), F.lit(1.0)) if plan else F.lit(1.0)
+    look_up = lambda k: F.coalesce(
+        F.element_at(F.create_map(*(F.lit(x) for cell, got in plan.items() for x in ("\x00".join(cell), got[k]))), key), F.lit(1.0)
+    ) if plan else F.lit(1.0)
     sampled = draw(F.col(doc_id), seed) < look_up(1)
     if not details:
         return rows.filter(sampled).select(*docs.columns)

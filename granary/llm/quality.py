@@ -21,7 +21,6 @@ from pyspark.sql import types as T
 
 from .common import WORD, aside
 
-
 SYMBOLS = "#*$%&|<>"
 #: A text fails if words inside repeated windows of so many words hold more than this share of its word characters. Widely used
 #: published limits: the longer the window, the less of it is normal.
@@ -160,10 +159,16 @@ def keep(df: DataFrame, text: str = "text") -> DataFrame:
     return df.filter(passes)
 
 
-_WINDOWS = ", ".join(f"string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) AS w{n}" for n in WINDOW_LIMITS)
+_WINDOWS = ", ".join(
+    f"string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) AS w{n}" for n in WINDOW_LIMITS
+)
 #: A window of n words is marked if it is whole and occurs twice; a word is marked if one of the n windows that hold it is.
-_TWICE = ", ".join(f"pos <= n_words - {n - 1} AND count(*) FILTER (WHERE pos <= n_words - {n - 1}) OVER (PARTITION BY doc_id, w{n}) > 1 AS t{n}" for n in WINDOW_LIMITS)
-_MARKED = ", ".join(f"coalesce(bool_or(t{n}) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), false) AS m{n}" for n in WINDOW_LIMITS)
+_TWICE = ", ".join(
+    f"pos <= n_words - {n - 1} AND count(*) FILTER (WHERE pos <= n_words - {n - 1}) OVER (PARTITION BY doc_id, w{n}) > 1 AS t{n}" for n in WINDOW_LIMITS
+)
+_MARKED = ", ".join(
+    f"coalesce(bool_or(t{n}) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), false) AS m{n}" for n in WINDOW_LIMITS
+)
 _SHARES = ", ".join(f"coalesce(CAST(sum(length(word)) FILTER (WHERE m{n}) AS DOUBLE), 0) / sum(length(word)) AS s{n}" for n in WINDOW_LIMITS)
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),

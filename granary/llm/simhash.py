@@ -86,7 +86,9 @@ def nodes(codes: DataFrame, keep: list[int]) -> DataFrame:
             x = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             rank = signed_rank(x)
             for k, m in enumerate(keep):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), pa.array((x & np.uint64(m)).view(np.int64)), pa.array(rank)], ["mask", "pattern", "gray"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(x), k, np.int32)), pa.array((x & np.uint64(m)).view(np.int64)), pa.array(rank)], ["mask", "pattern", "gray"]
+                )
 
     rows = codes.select("code").mapInArrow(upper, "mask int, pattern long, gray long")
     return dealt(rows.select(F.xxhash64("mask", "pattern").alias("key"), "gray"))
@@ -121,7 +123,9 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_
     return _rooted(docs, doc_id, text, max_bits).select("doc_id", "fingerprint", "component_id")
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS, similar: float | None = None, exact: bool = False) -> DataFrame:
+def deduplicated(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS, similar: float | None = None, exact: bool = False
+) -> DataFrame:
     """One row of each component, that of the smallest doc_id (nulls last; ties: the smallest text hashes; of rows alike in both,
     any one); all columns as they were. similar: five-word shingles so alike link too; exact: also the few that the index leaves out."""
     key = [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h1", "h2"]

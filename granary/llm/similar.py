@@ -87,14 +87,18 @@ def stray(x: np.ndarray, y: np.ndarray, words: int) -> np.ndarray:
 
 
 def signatures(bands: int = BANDS, rows: int = ROWS):  # noqa: ANN201
-    kind = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("gray", T.LongType()), *(T.StructField(x, T.ArrayType(T.LongType())) for x in ("bands", "least"))])
+    kind = T.StructType(
+        [T.StructField("n", T.IntegerType()), T.StructField("gray", T.LongType()), *(T.StructField(x, T.ArrayType(T.LongType())) for x in ("bands", "least"))]
+    )
 
     @F.arrow_udf(kind)
     def made(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
             n, gray, names, four = zip(*(signature(x.as_py(), bands, rows) for x in batch), strict=True) if len(batch) else ((),) * 4
             whole = pa.list_(pa.int64())
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int32()), pa.array(gray, pa.int64()), pa.array(names, whole), pa.array(four, whole)], ["n", "gray", "bands", "least"])
+            yield pa.StructArray.from_arrays(
+                [pa.array(n, pa.int32()), pa.array(gray, pa.int64()), pa.array(names, whole), pa.array(four, whole)], ["n", "gray", "bands", "least"]
+            )
 
     return made
 
@@ -111,7 +115,13 @@ def neighbours(members: DataFrame, least: float) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows_of(rows: np.ndarray, near: list, edge: bool) -> pa.RecordBatch:
-            columns = [pa.array(rows["key"]), pa.array(signed_rank(rows["code"])), *(pa.array(rows[x]) for x in ("no", "n", "root")), pa.array(near, pa.int64()), pa.array(np.full(len(rows), edge))]
+            columns = [
+                pa.array(rows["key"]),
+                pa.array(signed_rank(rows["code"])),
+                *(pa.array(rows[x]) for x in ("no", "n", "root")),
+                pa.array(near, pa.int64()),
+                pa.array(np.full(len(rows), edge)),
+            ]
             return pa.RecordBatch.from_arrays(columns, ["key", "gray", "no", "n", "root", "near", "edge"])
 
         last, shown, first = np.zeros(0, kind), True, None
@@ -167,7 +177,9 @@ def texts_of(docs: DataFrame, text: str, named: DataFrame) -> DataFrame:
     """(no, text) for named: (no, no_id, id, h1, h2). Each text is taken from the one row that names it, so that of a group of copies only
     that one meets another table."""
     h1, h2 = hash128(text_of(text))
-    own = docs.select(F.col("_id").isNull().alias("no_id"), F.coalesce("_id", F.lit(0)).alias("id"), h1.alias("h1"), h2.alias("h2"), text_of(text).alias("text"))
+    own = docs.select(
+        F.col("_id").isNull().alias("no_id"), F.coalesce("_id", F.lit(0)).alias("id"), h1.alias("h1"), h2.alias("h2"), text_of(text).alias("text")
+    )
     return own.join(named.select("no", "no_id", "id", "h1", "h2"), ["no_id", "id", "h1", "h2"]).select("no", "text").dropDuplicates(["no"])
 
 
@@ -177,7 +189,9 @@ def joined(links: DataFrame, named: DataFrame, roots: DataFrame) -> DataFrame:
     more = links.join(of.select(F.col("no").alias("a"), F.col("root").alias("x")), "a").join(of.select(F.col("no").alias("b"), F.col("root").alias("y")), "b")
     # Links between roots: what was connected before is one node.
     fresh = written(connected(more.select(F.col("x").alias("a"), F.col("y").alias("b"))), "similar-roots")
-    moved = roots.alias("r").join(fresh.alias("j"), F.col("r.least") == F.col("j.node"), "left").select("r.node", F.coalesce("j.least", "r.least").alias("least"))
+    moved = roots.alias("r").join(fresh.alias("j"), F.col("r.least") == F.col("j.node"), "left").select(
+        "r.node", F.coalesce("j.least", "r.least").alias("least")
+    )
     # A root of before has no row of its own.
     return written(moved.union(fresh), "roots")
 
@@ -195,10 +209,14 @@ def checked(docs: DataFrame, text: str, named: DataFrame, found: DataFrame, root
 
 def rooted(named: DataFrame, roots: DataFrame) -> DataFrame:
     """named with the root that its fingerprint has by now."""
-    return named.drop("root").join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("least", "fingerprint")).drop("least")
+    return named.drop("root").join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn(
+        "root", F.coalesce("least", "fingerprint")
+    ).drop("least")
 
 
-def completed(docs: DataFrame, text: str, prints: DataFrame, roots: DataFrame, least: float = LEAST, reach: int = REACH, most: int = STRAY, exact: bool = False) -> DataFrame:
+def completed(
+    docs: DataFrame, text: str, prints: DataFrame, roots: DataFrame, least: float = LEAST, reach: int = REACH, most: int = STRAY, exact: bool = False
+) -> DataFrame:
     """roots (node, least) over fingerprints, with the links of all texts alike to ``least``. docs: a column _id and the text; prints: rows
     (doc_id, h1, h2, fingerprint, sketch) of the same documents. Texts of one fingerprint are connected as it is."""
     spark = docs.sparkSession
@@ -217,12 +235,16 @@ def completed(docs: DataFrame, text: str, prints: DataFrame, roots: DataFrame, l
     spread = met.filter("edge").groupBy("key").agg(F.count_distinct("no").alias("n")).filter("n > 1").select("key")
     members = met.filter("not edge").union(met.filter("edge").join(spread, "key", "left_semi").select(*met.columns)).drop("edge")
     # Nodes that are connected already say nothing more.
-    open_keys = lambda rows: rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("key", "size")
+    open_keys = lambda rows: rows.groupBy("key").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")
+    ).filter("lo < hi").select("key", "size")
     still = open_keys(members)
     sized = members.join(still, "key")
     central = sized.groupBy("no").agg(F.sum("size").alias("meets"))
     ranked = sized.join(central, "no")
-    middle = ranked.groupBy("key").agg(F.max(F.struct("meets", "no", "n", "root")).alias("mid")).select("key", "mid.*").withColumnsRenamed({"no": "b", "n": "n_b", "root": "root_b"}).drop("meets")
+    middle = ranked.groupBy("key").agg(F.max(F.struct("meets", "no", "n", "root")).alias("mid")).select("key", "mid.*").withColumnsRenamed(
+        {"no": "b", "n": "n_b", "root": "root_b"}
+    ).drop("meets")
     can = F.least("n", "n_b") >= least * F.greatest("n", "n_b") - 1e-9
     stars = sized.join(middle, "key").filter((F.col("root") != F.col("root_b")) & can).select(F.col("no").alias("a"), "b")
     near = members.filter("near is not null").select(F.col("no").alias("a"), F.col("near").alias("b"))
@@ -281,7 +303,9 @@ def prefix_pairs(docs: DataFrame, text: str, named: DataFrame, least: float, nea
     and its places leave room for enough. Sets are ordered by how many texts hold a shingle, rare ones first. near_only: only those that
     follow each other by length among the texts with one shingle, so no more pairs than rows."""
     h1, h2 = hash128(text_of(text))
-    own = docs.select(F.col("_id").isNull().alias("no_id"), F.coalesce("_id", F.lit(0)).alias("id"), h1.alias("h1"), h2.alias("h2"), sets()(text_of(text)).alias("sets"))
+    own = docs.select(
+        F.col("_id").isNull().alias("no_id"), F.coalesce("_id", F.lit(0)).alias("id"), h1.alias("h1"), h2.alias("h2"), sets()(text_of(text)).alias("sets")
+    )
     every = own.join(named.select("no_id", "id", "h1", "h2", "no", "root"), ["no_id", "id", "h1", "h2"]).dropDuplicates(["no"])
     rows = every.select("no", "root", F.size("sets").alias("n"), F.explode("sets").alias("s"))
     held = rows.groupBy("s").agg(F.count("*").alias("held"))

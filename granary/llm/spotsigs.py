@@ -32,7 +32,9 @@ ANCHORS = tuple(
 )
 
 
-def signed(df: DataFrame, text: str = "text", into: str = "signatures", anchors: tuple[str, ...] = ANCHORS, chain: int = CHAIN, stretch: int = STRETCH) -> DataFrame:
+def signed(
+    df: DataFrame, text: str = "text", into: str = "signatures", anchors: tuple[str, ...] = ANCHORS, chain: int = CHAIN, stretch: int = STRETCH
+) -> DataFrame:
     """df with the sorted array of the signatures' hashes. Steps that are used twice are columns of their own, so that each runs
     once."""
     df, [text] = aside(df, [into], [text])
@@ -119,13 +121,23 @@ def pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
     prefix = ranked.filter((F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-6) + 1) & (F.col("df") > 1))
     prefix = prefix.withColumn("part", F.floor(F.log(F.col("n").cast("double")) / -log(threshold)))
     left = prefix.select("s", "part", F.col("class_id").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("p_a"))
-    right = prefix.select("s", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"), F.col("class_id").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("p_b"))
-    alike = (F.col("a") != F.col("b")) & ((F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))) & (F.col("n_b") >= threshold * F.col("n_a"))
+    right = prefix.select(
+        "s",
+        F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"),
+        F.col("class_id").alias("b"),
+        F.col("n").alias("n_b"),
+        F.col("place").alias("p_b"),
+    )
+    alike = (F.col("a") != F.col("b")) & ((F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))) & (
+        F.col("n_b") >= threshold * F.col("n_a")
+    )
     # With the first shared signature at p_a and p_b, so much can be shared at most.
     room = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) + 1
     # A product that is whole may come out a little above.
     need = F.ceil(threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-6)
-    met = left.join(right, ["s", "part"]).filter(alike).groupBy("a", "b").agg(F.max(room).alias("room"), F.first(need).alias("need")).filter("room >= need").select("a", "b")
+    met = left.join(right, ["s", "part"]).filter(alike).groupBy("a", "b").agg(
+        F.max(room).alias("room"), F.first(need).alias("need")
+    ).filter("room >= need").select("a", "b")
     sets_a = found.select(F.col("class_id").alias("a"), F.col("signatures").alias("x"))
     sets_b = found.select(F.col("class_id").alias("b"), F.col("signatures").alias("y"))
     scored = met.join(sets_a, "a").join(sets_b, "b").select("a", "b", likeness(F.col("x"), F.col("y"), threshold).alias("similarity"))

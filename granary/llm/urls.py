@@ -28,7 +28,6 @@ from pyspark.sql import types as T
 
 from .common import LOWER, UPPER, aside, shared_dir
 
-
 SEED, MAGIC = 42, b"GRURLS01"
 DEFAULT = "allow"
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))

@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 
 from .common import met_by_key, new_path, partitions, text_of
 
-
 REVISIT_MIN, ROLL, READ, LEVEL = 100, 256 << 20, 1 << 16, 5
 VERSION = b"WARC/1.1\r\n"
 #: Fixed, so that a task that runs again writes the same bytes.
@@ -155,7 +154,9 @@ def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: st
     firsts = seen.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     later = met_by_key(seen, firsts, ["digest"], "n").filter(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "digest", "first").distinct()
     marks = later.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "first")
-    due = rows.withColumn("digest", F.sha2("html", 256)).join(marks, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
+    due = rows.withColumn("digest", F.sha2("html", 256)).join(
+        marks, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left"
+    )
     due = due.select("page_id", "url", "html", "digest", "first")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,14 +176,18 @@ def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: st
             for page, address, html_text, digest, first in zip(*batch.columns, strict=True):
                 if out is None:
                     out = files.open_output_stream(f"{folder}/{name()}", compression=None)
-                body = member(record(page.as_py(), address.as_py(), html_text.as_buffer().to_pybytes() if html_text.is_valid else b"", digest.as_py(), first.as_py()))
+                body = member(
+                    record(page.as_py(), address.as_py(), html_text.as_buffer().to_pybytes() if html_text.is_valid else b"", digest.as_py(), first.as_py())
+                )
                 out.write(body)
                 size, n = size + len(body), n + 1
                 if size >= roll:
                     finish()
         if out is not None:
             finish()
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in made], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["path", "records", "bytes"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x[k] for x in made], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["path", "records", "bytes"]
+        )
 
     listed = due.mapInArrow(work, "path string, records long, bytes long")
     listed.write.parquet(f"{root}/archives.parquet")
@@ -217,7 +222,9 @@ def read(archives: DataFrame, with_payload: bool = False) -> DataFrame:
                 yield give(rows)
 
     dealt = archives.select("path", "records").repartition(partitions(spark))
-    return dealt.mapInArrow(work, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload)
+    return dealt.mapInArrow(
+        work, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
+    )
 
 
 ORACLE = r"""

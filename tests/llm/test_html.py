@@ -100,7 +100,16 @@ def page_of(rnd, marked):
         return f"<{(t := rnd.choice(['p', 'p', 'p', 'h2', 'li', 'div']))}>{inner}</{t}>"
 
     blocks = lambda: "".join(block() for _ in range(rnd.randrange(9)))
-    away = lambda: rnd.choice(["", f"<nav>{blocks()}</nav>", f"<div class='ad'>{block()}</div>", f"<section class='comments'>{blocks()}</section>", "<script>if (a < b) x('<p>');</script>", f"<footer>{block()}</footer>"])
+    away = lambda: rnd.choice(
+        [
+            "",
+            f"<nav>{blocks()}</nav>",
+            f"<div class='ad'>{block()}</div>",
+            f"<section class='comments'>{blocks()}</section>",
+            "<script>if (a < b) x('<p>');</script>",
+            f"<footer>{block()}</footer>",
+        ]
+    )
     main = blocks() + away() + blocks()
     return f"<html><body>{away()}{blocks() if marked else ''}{f'<article>{main}</article>' if marked else main}{away()}</body></html>"
 
@@ -160,17 +169,23 @@ def test_boilerplate_goes():
 
 
 def test_an_article_needs_no_stop_words():
-    assert html.main_text("<nav>menu</nav><article><header><h1>Xyz</h1><p>by someone</p></header><p>qwr plk</p><p>" + "xkcd " * 40 + "</p></article><p>" + ARTICLE) == "Xyz\nqwr plk\n" + ("xkcd " * 40).strip()
+    assert html.main_text(
+        "<nav>menu</nav><article><header><h1>Xyz</h1><p>by someone</p></header><p>qwr plk</p><p>" + "xkcd " * 40 + "</p></article><p>" + ARTICLE
+    ) == "Xyz\nqwr plk\n" + ("xkcd " * 40).strip()
 
 
 def test_links_within_an_article():
     links = "<ul>" + "".join(f"<li><a href={k}>elsewhere {k}</a></li>" for k in range(4)) + "</ul>"
     lone = "<p><a href=1>the one source of it</a></p>"
-    assert html.main_text(f"<article><p>{ARTICLE}</p>{lone}<p>{ARTICLE}</p>{links}<p>short</p></article>") == "\n".join([ARTICLE, "the one source of it", ARTICLE, "short"])
+    assert html.main_text(f"<article><p>{ARTICLE}</p>{lone}<p>{ARTICLE}</p>{links}<p>short</p></article>") == "\n".join(
+        [ARTICLE, "the one source of it", ARTICLE, "short"]
+    )
 
 
 def test_alternatives_and_formulas_stay():
-    assert html.main_text("<article><p>a <math><mi>x</mi></math> b <noscript>c</noscript> <canvas>d</canvas><svg><text>no</text></svg></p></article>") == "a x b c d"
+    assert html.main_text(
+        "<article><p>a <math><mi>x</mi></math> b <noscript>c</noscript> <canvas>d</canvas><svg><text>no</text></svg></p></article>"
+    ) == "a x b c d"
 
 
 def test_a_named_container_counts_where_there_is_no_article():
@@ -182,7 +197,9 @@ def test_a_named_container_counts_where_there_is_no_article():
 def test_second_pass_takes_the_nearest_label():
     bad = "<p><a href=1>links and more links and more of the links that go on</a></p>"
     short = "<p>undecided</p>"
-    assert html.main_text(f"<body>{bad}{short}<p>{ARTICLE}</p>{short}{short}{short}{bad}") == "\n".join([ARTICLE, "undecided", "undecided"])  # the middle one is as near to either: what comes before counts
+    assert html.main_text(f"<body>{bad}{short}<p>{ARTICLE}</p>{short}{short}{short}{bad}") == "\n".join(  # the middle one is as near to either: what comes before counts
+        [ARTICLE, "undecided", "undecided"]
+    )
 
 
 def test_odd_pages(spark):
@@ -193,7 +210,10 @@ def test_odd_pages(spark):
     assert html.main_text("<article><p>a<p>b</div><p>c &copy") == "a\nb\nc ©"
     assert len(html.main_text("<article>" + f"<p>{ARTICLE}</p>" * 20_000)) == 20_000 * (len(ARTICLE) + 1) - 1
     assert html.main_text("<div>" * 5000 + ARTICLE) == ARTICLE
-    frame = spark.createDataFrame([(1, "u", "<p>a", "clash", "mine"), (1, "u", "<p>a", "clash", "mine"), (2, None, None, None, None)], "page_id long, url string, html string, links string, text string")
+    frame = spark.createDataFrame(
+        [(1, "u", "<p>a", "clash", "mine"), (1, "u", "<p>a", "clash", "mine"), (2, None, None, None, None)],
+        "page_id long, url string, html string, links string, text string",
+    )
     rows = html.extracted(frame).orderBy("page_id").collect()
     assert [(r.text, r.text_before) for r in rows] == [("a", "mine"), ("a", "mine"), ("", None)]
     assert [r.html for r in html.extracted(frame, into="html").orderBy("page_id").collect()] == ["a", "a", ""]

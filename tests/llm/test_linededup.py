@@ -36,13 +36,19 @@ def test_names_of_results_and_inner_columns(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, n_lines string, _lost long, _LINES string")
     out = linededup.deduplicated(frame)
     assert out.columns == ["doc_id", "text", "n_lines_before", "_lost", "_LINES", "n_lines", "n_dropped"]
-    assert sorted((r.doc_id, r.text.count("\n"), r.n_lines_before, r["_lost"], r["_LINES"], r.n_lines, r.n_dropped) for r in out.collect()) == [(k, int(k == 5), "mine", 7, "c", 2, int(k < 5)) for k in range(6)]
+    assert sorted((r.doc_id, r.text.count("\n"), r.n_lines_before, r["_lost"], r["_LINES"], r.n_lines, r.n_dropped) for r in out.collect()) == [
+        (k, int(k == 5), "mine", 7, "c", 2, int(k < 5)) for k in range(6)
+    ]
 
 
 def test_any_number_of_batches_gives_the_same(spark):
     rnd = random.Random(4)
     pool = ["Line number %d of those that are long enough to count, surely." % k for k in range(40)]
-    rows = [(rnd.randrange(300), "\n".join(rnd.choice(pool).upper() if rnd.random() < 0.3 else rnd.choice(pool) for _ in range(rnd.randrange(6)))) for _ in range(250)]
+    rows = [
+        (
+            rnd.randrange(300), "\n".join(rnd.choice(pool).upper() if rnd.random() < 0.3 else rnd.choice(pool) for _ in range(rnd.randrange(6)))
+        ) for _ in range(250)
+    ]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     for batches in (1, 3, 11):
         assert got(frame, batches=batches) == brute(rows)
@@ -61,7 +67,9 @@ def test_runs_are_levelled(spark):
 def test_runs_are_not_shuffled(spark):
     """Batches and compactions meet runs along their buckets, although nothing is small enough to broadcast."""
     runs = linededup.LineRuns(spark)
-    batch = lambda k: spark.range(k, 500 + k).selectExpr("id as h1", "id * 7 as h2", "id").groupBy("h1", "h2").agg(linededup.F.count("*").alias("n_docs"), linededup.F.max("id").alias("largest"))
+    batch = lambda k: spark.range(k, 500 + k).selectExpr("id as h1", "id * 7 as h2", "id").groupBy("h1", "h2").agg(
+        linededup.F.count("*").alias("n_docs"), linededup.F.max("id").alias("largest")
+    )
     plans = []
     put = runs._written
     runs._written = lambda rows: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), put(rows))[1]

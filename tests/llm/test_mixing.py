@@ -57,7 +57,9 @@ def test_names_that_clash_and_a_column_of_topics(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string, tokens long, _topic string, _tokens string")
     out = mixing.mixed(frame, topics_in="topic", topics={"law": 0.5, "art": 0.5})
     got = out.collect()
-    assert len(set(out.columns)) == len(out.columns) and {r.topic_before for r in got} == {"law", "art"} and {(r.tokens, r.tokens_before, r["_topic"], r["_tokens"]) for r in got} == {(5, 3, "t", "z")}
+    assert len(set(out.columns)) == len(out.columns) and {r.topic_before for r in got} == {"law", "art"} and {
+        (r.tokens, r.tokens_before, r["_topic"], r["_tokens"]) for r in got
+    } == {(5, 3, "t", "z")}
     assert {r.topic: round(r.probability, 3) for r in got} == {"law": 0.333, "art": 1.0}
     assert mixing.mixed(frame, topics_in="topic", topics={"law": 0.5, "art": 0.5}, details=False).columns == frame.columns
 
@@ -106,7 +108,11 @@ def brute_cells(rows):
     """Tokens and cell of each document, tokens of each cell, and targets over the values that there are."""
     tokens = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in rows}
     kind = lambda n: "long" if n >= 8000 else "article" if n >= 800 else "note"
-    cell_of = {r["doc_id"]: (r["source"] if r["source"] in mixing.SOURCES else "*", r["lang"] if r["lang"] in mixing.LANGUAGES else "*", kind(len(r["text"] or ""))) for r in rows}
+    cell_of = {
+        r["doc_id"]: (
+            r["source"] if r["source"] in mixing.SOURCES else "*", r["lang"] if r["lang"] in mixing.LANGUAGES else "*", kind(len(r["text"] or ""))
+        ) for r in rows
+    }
     cells = {}
     for d, c in cell_of.items():
         cells[c] = cells.get(c, 0) + tokens[d]

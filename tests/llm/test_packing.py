@@ -45,7 +45,19 @@ def test_pieces_and_places(docs, odd, empty):
 def test_word_ids_equal_the_tokenizer():
     words, tokenizer = packing.WordIds(PATH), Tokenizer.from_file(PATH)
     assert words.by_word
-    for text in ("It's DON'T we'll 12a3 a,b.c ÀÉÎ ß ÿ ×÷ µ ª º", "ſ İI ı Σ ΑΣ", "é a b\x1cc\x85d", "½ ² 3³ ¼", "<|endoftext|> x", "naïve…—“q”", "日本語 тест", "a­b", "'s 'S 'Re", " ", ""):
+    for text in (
+        "It's DON'T we'll 12a3 a,b.c ÀÉÎ ß ÿ ×÷ µ ª º",
+        "ſ İI ı Σ ΑΣ",
+        "é a b\x1cc\x85d",
+        "½ ² 3³ ¼",
+        "<|endoftext|> x",
+        "naïve…—“q”",
+        "日本語 тест",
+        "a­b",
+        "'s 'S 'Re",
+        " ",
+        "",
+    ):
         assert words.ids(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
@@ -58,23 +70,56 @@ def test_every_latin_character_alone_and_in_words():
 
 def test_place_makes_the_sum_of_squares_smallest():
     rnd = np.random.default_rng(3)
-    bins, gaps = packing.Bins(50), []
-    for length in sorted(rnd.integers(1, 51, 400).tolist(), reverse=True):
-        before = np.bincount(gaps, minlength=51)
-        fits = sorted({g for g in gaps if g >= length})
-        number, offset = bins.place(length)
-        gap = 50 - offset
-
-        def squares(g):
-            after = before.copy()
-            after[g] -= 1
-            after[g - length] += 1
-            return int((after[1:] ** 2).sum())
-
-        if fits:
-            assert squares(gap) == min(map(squares, fits))
-            gaps.remove(gap)
-        else:
-            assert offset == 0
-        if gap > length:
-            gaps.append(gap - length)
+    for fresh in (True, False):
+        bins, gaps = packing.Bins(50, fresh), []
+        opened = 0
+        for length in sorted(rnd.integers(1, 51, 400).tolist(), reverse=True):
+            before = np.bincount(gaps, minlength=51)
+            fits = sorted({g for g in gaps if g >= length})
+            _, offset = bins.place(length)
+            gap = 50 - offset
+
+            def squares(g):
+                """After the piece goes to a sequence of this gap, or to a new one."""
+                after = before.copy()
+                after[g] -= g < 50
+                after[g - length] += 1
+                return int((after[1:50] ** 2).sum())
+
+            options = fits + [50] * (fresh or not fits)
+            assert squares(gap) == min(map(squares, options)), (length, gap, fits)
+            if offset:
+                gaps.remove(gap)
+            else:
+                opened += bool(fits)
+            if gap > length:
+                gaps.append(gap - length)
+        assert (opened > 0) == fresh
+
+
+def test_places_fill_what_the_first_pass_leaves_open():
+    rnd = np.random.default_rng(4)
+    for _ in range(20):
+        lengths = sorted(rnd.integers(1, 200, 800).tolist(), reverse=True)
+        found = packing.places(lengths, 200)
+        inside = defaultdict(list)
+        for length, (number, at) in zip(lengths, found, strict=True):
+            inside[number].append((at, length))
+        for parts in inside.values():
+            end = 0
+            for at, length in sorted(parts):
+                assert at == end
+                end += length
+            assert end <= 200
+        alone = packing.Bins(200)
+        for x in lengths:
+            alone.place(x)
+        assert len(inside) <= alone.made and len(inside) <= 1.05 * sum(lengths) / 200 + 1
+    assert packing.places([], 200) == []
+
+
+def test_names_that_clash(spark):
+    parts = spark.createDataFrame([(1, 0, 30, "mine", 7)], "doc_id long, piece int, length long, sequence_id string, Offset int")
+    out = packing.pack(parts, 50)
+    assert out.columns == ["doc_id", "piece", "length", "sequence_id_before", "offset_before", "sequence_id", "offset"]
+    assert [(r.sequence_id_before, r.offset_before, r.offset) for r in out.collect()] == [("mine", 7, 0)]

@@ -76,5 +76,7 @@ def test_keep_leaves_columns_and_good_labels(docs, odd, empty, spark):
     assert kept.columns == odd.columns
     assert quality.keep(empty).count() == 0 and quality.judged(empty).count() == 0
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    good = quality.judged(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), into="q").join(labels.filter("quality = 1"), "doc_id").filter("q.n_words >= 50")
+    good = quality.judged(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), into="q").join(
+        labels.filter("quality = 1"), "doc_id"
+    ).filter("q.n_words >= 50")
     assert good.filter("not q.kept").count() <= 0.01 * good.count()

@@ -33,7 +33,15 @@ def hashed(spark):
 
 
 def test_signatures_equal_brute_force(spark, hashed, odd):
-    texts = [r.text for r in odd.collect() if len(r.text or "") < 5000] + ["The dog of the house and a cat in Spain.", "one two three four five six seven eight", "alpha | beta | gamma | delta | eps | zeta | the | eta theta", "le chat est sur la table ronde", "!!!", "the the of", "the dog"]
+    texts = [r.text for r in odd.collect() if len(r.text or "") < 5000] + [
+        "The dog of the house and a cat in Spain.",
+        "one two three four five six seven eight",
+        "alpha | beta | gamma | delta | eps | zeta | the | eta theta",
+        "le chat est sur la table ronde",
+        "!!!",
+        "the the of",
+        "the dog",
+    ]
     frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, text string")
     for r in spotsigs.signed(frame).collect():
         assert r.signatures == hashed(brute(r.text)), r.text
@@ -120,7 +128,9 @@ def test_links_of_a_table_equal_brute_force(spark, docs):
 def test_buckets_of_any_number(spark):
     frame = spark.range(5000).selectExpr("id * 37 % 5000 as place")
     for rows in (1, 7, 300, 10_000):
-        got = spotsigs.bucketed(frame, "place", "bucket", rows).groupBy("bucket").agg(spotsigs.F.min("place").alias("lo"), spotsigs.F.max("place").alias("hi"), spotsigs.F.count("*").alias("n")).orderBy("bucket").collect()
+        got = spotsigs.bucketed(frame, "place", "bucket", rows).groupBy("bucket").agg(
+            spotsigs.F.min("place").alias("lo"), spotsigs.F.max("place").alias("hi"), spotsigs.F.count("*").alias("n")
+        ).orderBy("bucket").collect()
         assert all(a.hi < b.lo for a, b in zip(got, got[1:], strict=False)) and sum(r.n for r in got) == 5000
         assert max(r.n for r in got) <= 3 * rows + 5
 

@@ -18,7 +18,24 @@ def brute(url, rules):
     return host, path, best[1], best[2]
 
 
-URLS = [None, "", "no scheme", "http://EXAMPLE.net/en/x?q#f", "https://a.example.net/en", "https://a.example.net/en/", "x://net/", "x://net", "x://.net/", "ftp://example.com/de/#", "a://b://org/fr/", "http://forg/fr/", "http://x.org/fr/é?/", "http://É.ORG/fr/", "http://example.com:80/de/", "://net/a"]
+URLS = [
+    None,
+    "",
+    "no scheme",
+    "http://EXAMPLE.net/en/x?q#f",
+    "https://a.example.net/en",
+    "https://a.example.net/en/",
+    "x://net/",
+    "x://net",
+    "x://.net/",
+    "ftp://example.com/de/#",
+    "a://b://org/fr/",
+    "http://forg/fr/",
+    "http://x.org/fr/é?/",
+    "http://É.ORG/fr/",
+    "http://example.com:80/de/",
+    "://net/a",
+]
 
 
 def test_verdicts_equal_brute_force(spark):

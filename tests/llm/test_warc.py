@@ -24,7 +24,18 @@ def brute(rows):
 
 def test_round_trip(spark):
     big = "x" * 99
-    rows = [(5, "http://a/é b\n", big + "y"), (3, "http://a", big + "y"), (3, "http://a", big + "y"), (9, None, big), (10, "u", big), (11, "u", None), (12, "u", ""), (None, "u", big + "y"), (13, "u", "é" * 300_000), (14, "u", "\r\n\r\nWARC/1.1\r\n" * 20)]
+    rows = [
+        (5, "http://a/é b\n", big + "y"),
+        (3, "http://a", big + "y"),
+        (3, "http://a", big + "y"),
+        (9, None, big),
+        (10, "u", big),
+        (11, "u", None),
+        (12, "u", ""),
+        (None, "u", big + "y"),
+        (13, "u", "é" * 300_000),
+        (14, "u", "\r\n\r\nWARC/1.1\r\n" * 20),
+    ]
     frame = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, digest string")
     archives = warc.write(frame, roll=2000)
     got = warc.read(archives, with_payload=True).collect()
@@ -42,7 +53,12 @@ def test_round_trip(spark):
 def test_damage_is_found():
     body = warc.record(1, "u", b"payload", hashlib.sha256(b"payload").hexdigest(), None)
     assert warc.checked(body)[6] == b"payload"
-    for bad in (body.replace(b"payload\r\n\r\n", b"paylaod\r\n\r\n"), body[:-1], body.replace(b"WARC/1.1", b"WARC/0.1"), body.replace(b"Content-Length: 8", b"Content-Length: 9", 1)):
+    for bad in (
+        body.replace(b"payload\r\n\r\n", b"paylaod\r\n\r\n"),
+        body[:-1],
+        body.replace(b"WARC/1.1", b"WARC/0.1"),
+        body.replace(b"Content-Length: 8", b"Content-Length: 9", 1),
+    ):
         if bad != body:
             with pytest.raises(warc.WarcError):
                 warc.checked(bad)
