@@ -80,7 +80,9 @@ def image_argument(digest: Column, insecure: Column, prefix: str) -> Column:
 def key_values(content: Column) -> Column:
     """KEY=value lines as a map; comments and lines without a key don't count, and the last of a key wins."""
     lines = F.filter(F.split(content, "\n"), lambda x: x.rlike(r"\A[^#=][^=]*=") & ~x.startswith("#"))
-    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("key"), F.trim(F.regexp_replace(x, r"\A[^=]*=", "")).alias("value")))
+    pairs = F.transform(
+        lines, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("key"), F.trim(F.regexp_replace(x, r"\A[^=]*=", "")).alias("value"))
+    )
     # The last of a key: pairs from the end, first come first kept.
     keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"]))

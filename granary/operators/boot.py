@@ -60,14 +60,19 @@ os_release = F.udf(release_fields, T.StructType([T.StructField(x, T.StringType()
 def text_entries(tree: DataFrame) -> DataFrame:
     """(entry_id, key, position, value) of /boot/loader/entries/*.conf: every line of a key and a value."""
     mine = tree.filter((paths.parent(F.col("path")) == ENTRIES) & F.col("path").endswith(".conf") & (F.col("kind") == "reg"))
-    lines = mine.select(F.regexp_replace(paths.name(F.col("path")), r"\.conf\z", "").alias("entry_id"), F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("position", "line"))
+    lines = mine.select(
+        F.regexp_replace(paths.name(F.col("path")), r"\.conf\z", "").alias("entry_id"),
+        F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("position", "line"),
+    )
     pair = lines.withColumns({"key": F.regexp_extract("line", r"\A([^\s#]\S*)\s+", 1), "value": F.trim(F.regexp_replace("line", r"\A\S+\s+", ""))})
     return pair.filter("key <> ''").select("entry_id", "key", "position", "value")
 
 
 def entry_files(entries: DataFrame, tree: DataFrame) -> DataFrame:
     """Text entries' linux, initrd and efi files with what the tree has at their path, null where it has none."""
-    wanted = entries.filter(F.col("key").isin("linux", "initrd", "efi")).select("entry_id", "key", F.when(F.col("value").startswith("/boot/"), F.col("value")).otherwise(F.concat(F.lit("/boot"), "value")).alias("path"))
+    wanted = entries.filter(F.col("key").isin("linux", "initrd", "efi")).select(
+        "entry_id", "key", F.when(F.col("value").startswith("/boot/"), F.col("value")).otherwise(F.concat(F.lit("/boot"), "value")).alias("path")
+    )
     return wanted.join(tree, "path", "left")
 
 
@@ -76,7 +81,9 @@ def unified_images(tree: DataFrame) -> DataFrame:
     are add-ons."""
     path = F.col("path")
     efi = tree.filter((F.col("kind") == "reg") & path.endswith(".efi"))
-    esp = efi.filter(path.startswith(UKI_ROOTS[0] + "/")).select("path", F.lit(None).cast("string").alias("kernel_version"), (F.size(paths.parts(path)) > 4).alias("is_addon"))
+    esp = efi.filter(path.startswith(UKI_ROOTS[0] + "/")).select(
+        "path", F.lit(None).cast("string").alias("kernel_version"), (F.size(paths.parts(path)) > 4).alias("is_addon")
+    )
     kernels = efi.filter(path.startswith(MODULES + "/") & (F.size(paths.parts(path)) > 4))
     return esp.unionAll(kernels.select("path", F.get(paths.parts(path), 3).alias("kernel_version"), (F.size(paths.parts(path)) > 5).alias("is_addon")))
 
@@ -84,7 +91,9 @@ def unified_images(tree: DataFrame) -> DataFrame:
 def kernels(tree: DataFrame) -> DataFrame:
     """(kernel_version, vmlinuz, initramfs, os_release): the kernels under /usr/lib/modules and, where there are, their initramfs and the tree's os-release."""
     path = F.col("path")
-    files = tree.filter(path.startswith(MODULES + "/") & (F.size(paths.parts(path)) == 5) & (F.col("kind") == "reg")).select(F.get(paths.parts(path), 3).alias("kernel_version"), paths.name(path).alias("name"), "path")
+    files = tree.filter(path.startswith(MODULES + "/") & (F.size(paths.parts(path)) == 5) & (F.col("kind") == "reg")).select(
+        F.get(paths.parts(path), 3).alias("kernel_version"), paths.name(path).alias("name"), "path"
+    )
     have = lambda name, column: files.filter(F.col("name") == name).select("kernel_version", F.col("path").alias(column))
     release = tree.filter(path == "/usr/lib/os-release").agg(F.first(F.col("content").cast("string"))).scalar()
     return have("vmlinuz", "vmlinuz").join(have("initramfs.img", "initramfs"), "kernel_version", "left").withColumn("os_release", release)
@@ -102,7 +111,13 @@ def kernel_entries(found: DataFrame, entry_id: str | None = None, options: str =
     name = F.lit(entry_id) if entry_id else F.col("kernel_version")
     title = F.coalesce(os_release("os_release")["label"], F.concat(F.lit("Linux "), "kernel_version"))
     folder = F.concat(F.lit("/"), name, F.lit("/"))
-    lines = [F.concat(F.lit("title "), title), F.concat(F.lit("version "), "kernel_version"), F.concat(F.lit("linux "), folder, F.lit("vmlinuz")), F.concat(F.lit("initrd "), folder, F.lit("initramfs.img")), F.lit(f"options {options}".rstrip())]
+    lines = [
+        F.concat(F.lit("title "), title),
+        F.concat(F.lit("version "), "kernel_version"),
+        F.concat(F.lit("linux "), folder, F.lit("vmlinuz")),
+        F.concat(F.lit("initrd "), folder, F.lit("initramfs.img")),
+        F.lit(f"options {options}".rstrip()),
+    ]
     return found.filter("initramfs is not null").select(name.alias("entry_id"), F.concat(F.array_join(F.array(*lines), "\n"), F.lit("\n")).alias("text"))
 
 

@@ -52,19 +52,28 @@ def names_under(refs: DataFrame, category: str, prefix: str = "") -> DataFrame:
     """(name, target) of refs one level below a prefix, by the part of their name after it; an empty prefix lists the top."""
     head = prefix.strip("/") + "/" if prefix.strip("/") else ""
     rest = F.substring("name", len(head) + 1, 1 << 20)
-    return refs.filter((F.col("category") == category) & F.col("name").startswith(head) & (rest != "") & ~rest.contains("/")).select(rest.alias("name"), "target")
+    return refs.filter((F.col("category") == category) & F.col("name").startswith(head) & (rest != "") & ~rest.contains("/")).select(
+        rest.alias("name"), "target"
+    )
 
 
 def known_names(wanted: DataFrame, refs: DataFrame, streams: DataFrame) -> DataFrame:
     """wanted (name) with known: there is a ref of that name and the stream that it leads to."""
-    sound = refs.filter(F.col("category") == "streams").join(streams.select(F.col("name").alias("target")), "target", "left_semi").select("name", F.lit(True).alias("known")).distinct()
+    sound = refs.filter(F.col("category") == "streams").join(streams.select(F.col("name").alias("target")), "target", "left_semi").select(
+        "name", F.lit(True).alias("known")
+    ).distinct()
     return wanted.join(sound, "name", "left").select(*wanted.columns, F.coalesce("known", F.lit(False)).alias("known"))
 
 
 def layer_at(manifests: DataFrame, position: int) -> DataFrame:
     """(digest, layer_digest, media_type, is_blob) of the layer at a position; a layer that is an archive is no blob. Null where there is none."""
     layer = F.get(F.from_json("json", "layers array<struct<digest: string, mediaType: string>>")["layers"], position)
-    return manifests.select("digest", layer["digest"].alias("layer_digest"), layer["mediaType"].alias("media_type"), (~text.is_tar_media_type(F.coalesce(layer["mediaType"], F.lit("")))).alias("is_blob"))
+    return manifests.select(
+        "digest",
+        layer["digest"].alias("layer_digest"),
+        layer["mediaType"].alias("media_type"),
+        (~text.is_tar_media_type(F.coalesce(layer["mediaType"], F.lit("")))).alias("is_blob"),
+    )
 
 
 def rewritten(streams: DataFrame, changes: DataFrame) -> DataFrame:
@@ -79,14 +88,20 @@ def is_container(config_media_type: Column) -> Column:
 
 def images(refs: DataFrame, manifests: DataFrame, configs: DataFrame, referrers: DataFrame) -> DataFrame:
     """A row for each tag whose manifest and configuration can be read."""
-    counts = referrers.join(manifests.select(F.col("digest").alias("artifact")), "artifact", "left_semi").distinct().groupBy(F.col("subject").alias("digest")).agg(F.count("*").alias("n"))
+    counts = referrers.join(
+        manifests.select(F.col("digest").alias("artifact")), "artifact", "left_semi"
+    ).distinct().groupBy(F.col("subject").alias("digest")).agg(F.count("*").alias("n"))
     parsed = configs.select(F.col("digest").alias("config_digest"), F.from_json("json", CONFIG).alias("c"))
     rows = tags(refs).join(manifests, "digest").join(parsed, "config_digest").join(counts, "digest", "left")
     blank = F.lit("")
     container = is_container(F.col("config_media_type"))
     return rows.select(
-        "name", F.col("digest").alias("manifest_digest"), container.alias("is_container"), F.when(container, F.coalesce("c.architecture", blank)).otherwise(blank).alias("architecture"),
-        F.when(container, F.coalesce("c.os", blank)).otherwise(blank).alias("os"), F.when(container, F.col("c.created")).alias("created"), F.size("layer_digests").alias("layer_count"), F.coalesce("n", F.lit(0)).alias("referrer_count"),
+        "name", F.col("digest").alias("manifest_digest"), container.alias("is_container"), F.when(
+            container, F.coalesce("c.architecture", blank)
+        ).otherwise(blank).alias("architecture"),
+        F.when(container, F.coalesce("c.os", blank)).otherwise(blank).alias("os"), F.when(
+            container, F.col("c.created")
+        ).alias("created"), F.size("layer_digests").alias("layer_count"), F.coalesce("n", F.lit(0)).alias("referrer_count"),
     )
 
 
@@ -116,7 +131,9 @@ def with_image(configs: DataFrame, images_made: DataFrame, boot: bool = False) -
     key = BOOT_REF if boot else IMAGE_REF
     rows = configs.join(images_made.withColumn("_hit", F.lit(True)), "digest", "left")
     bare = F.map_filter("named_refs", lambda k, v: k != key)
-    refs = F.when(F.col("_hit").isNull(), F.col("named_refs")).when(F.col("image_id").isNull(), bare).otherwise(F.map_concat(bare, F.create_map(F.lit(key), F.col("image_id"))))
+    refs = F.when(F.col("_hit").isNull(), F.col("named_refs")).when(F.col("image_id").isNull(), bare).otherwise(
+        F.map_concat(bare, F.create_map(F.lit(key), F.col("image_id")))
+    )
     return rows.withColumn("named_refs", refs).drop("image_id", "_hit")
 
 
@@ -146,10 +163,14 @@ def dangling_referrers(referrers: DataFrame, manifests: DataFrame) -> tuple[Data
 def inspected(manifests: DataFrame, configs: DataFrame, referrers: DataFrame) -> DataFrame:
     """(digest, json): manifest, configuration and referrers in one document."""
     found = referrers_of(referrers, manifests).groupBy(F.col("subject").alias("digest")).agg(F.sort_array(F.collect_list("artifact")).alias("artifacts"))
-    rows = manifests.join(configs.select(F.col("digest").alias("config_digest"), F.col("json").alias("config_json")), "config_digest", "left").join(found, "digest", "left")
+    rows = manifests.join(configs.select(F.col("digest").alias("config_digest"), F.col("json").alias("config_json")), "config_digest", "left").join(
+        found, "digest", "left"
+    )
     listed = F.transform(F.coalesce("artifacts", F.array().cast("array<string>")), lambda a: F.struct(a.alias("digest")))
     # The two documents go in as they are.
-    body = F.concat(F.lit('{"manifest":'), "json", F.lit(',"config":'), F.coalesce("config_json", F.lit("null")), F.lit(',"referrers":'), F.to_json(listed), F.lit("}"))
+    body = F.concat(
+        F.lit('{"manifest":'), "json", F.lit(',"config":'), F.coalesce("config_json", F.lit("null")), F.lit(',"referrers":'), F.to_json(listed), F.lit("}")
+    )
     return rows.select("digest", body.alias("json"))
 
 

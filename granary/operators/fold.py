@@ -26,7 +26,9 @@ def events(entries: DataFrame) -> DataFrame:
     kind = F.when(name == OPAQUE, "opaque").when(name.startswith(WHITEOUT), "whiteout").otherwise("put")
     rows = entries.withColumns({"seq": F.struct("layer_idx", "entry_idx"), "event": kind})
     # A bare ".wh." names nothing and so removes nothing.
-    return rows.withColumn("about", F.when(F.col("event") == "opaque", above).when((F.col("event") == "whiteout") & (name != WHITEOUT), beside).otherwise(F.col("path")))
+    return rows.withColumn(
+        "about", F.when(F.col("event") == "opaque", above).when((F.col("event") == "whiteout") & (name != WHITEOUT), beside).otherwise(F.col("path"))
+    )
 
 
 def kills(found: DataFrame) -> DataFrame:
@@ -62,7 +64,9 @@ def invalid(entries: DataFrame) -> DataFrame:
     # What an entry does itself comes after it has been looked at.
     order = Window.partitionBy("dir").orderBy("seq", F.col("path").isNull())
     seen = rows.withColumn("last", F.last("state", ignorenulls=True).over(order)).filter("path is not null")
-    orphans = seen.filter(F.coalesce("last", F.lit("gone")) != "dir").select("seq.layer_idx", "seq.entry_idx", "path", F.lit("no parent directory").alias("error"))
+    orphans = seen.filter(F.coalesce("last", F.lit("gone")) != "dir").select(
+        "seq.layer_idx", "seq.entry_idx", "path", F.lit("no parent directory").alias("error")
+    )
     root = found.filter("path = '/' and item <> 'dir'").select("layer_idx", "entry_idx", "path", F.lit("the root is a directory").alias("error"))
     return orphans.unionByName(root)
 

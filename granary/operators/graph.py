@@ -62,7 +62,9 @@ def live_objects(refs: DataFrame, streams: DataFrame, images: DataFrame, image_o
     return of_images.union(of_streams).distinct()
 
 
-def gc(objects: DataFrame, refs: DataFrame, streams: DataFrame, images: DataFrame, image_objects: DataFrame, extra: list[str] | DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def gc(
+    objects: DataFrame, refs: DataFrame, streams: DataFrame, images: DataFrame, image_objects: DataFrame, extra: list[str] | DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Objects, streams and images that stay, and one row of counts. Streams and images whose object goes are pruned."""
     live = cut(live_objects(refs, streams, images, image_objects, extra))
     stays = lambda df: df.join(live, "object_id", "left_semi")

@@ -103,7 +103,11 @@ def substitutions(lines: list[str]) -> dict[str, str]:
 
 def load_policy(tree: DataFrame) -> tuple[list[tuple[str, str]], dict[str, str]] | None:
     """Rules and aliases of the policy that a tree (path, content) holds; None where it has none. A handful of named files are read."""
-    text_of = lambda *at: {r.path: bytes(r.content).decode() if isinstance(r.content, bytes | bytearray) else r.content for r in tree.filter(F.col("path").isin(*at) & F.col("content").isNotNull()).select("path", "content").collect()}
+    text_of = lambda *at: {
+        r.path: bytes(r.content).decode() if isinstance(r.content, bytes | bytearray) else r.content for r in tree.filter(
+            F.col("path").isin(*at) & F.col("content").isNotNull()
+        ).select("path", "content").collect()
+    }
     name = selinux_type(text_of("/etc/selinux/config").get("/etc/selinux/config", ""))
     if name is None:
         return None
@@ -124,6 +128,13 @@ def relabelled(entries: DataFrame, found: list[tuple[str, str]] | None, aliases:
     if found is None:
         return entries.withColumn("xattrs", bare)
     rows = entries.withColumn("_label", label(aliased(F.col("path"), aliases or {}), F.col("kind"), found))
-    last = rows.filter("leaf_id is not null").groupBy("leaf_id").agg(F.max_by(F.struct("_label"), F.filter(F.split("path", "/"), lambda x: x != "")).alias("_last"))
+    last = rows.filter("leaf_id is not null").groupBy("leaf_id").agg(
+        F.max_by(F.struct("_label"), F.filter(F.split("path", "/"), lambda x: x != "")).alias("_last")
+    )
     rows = rows.join(last, "leaf_id", "left").withColumn("_label", F.when(F.col("_last").isNotNull(), F.col("_last._label")).otherwise(F.col("_label")))
-    return rows.withColumn("xattrs", F.when(F.col("_label").isNull(), bare).otherwise(F.map_concat(bare, F.create_map(F.lit(xattr).cast(kind.keyType), F.col("_label").cast(kind.valueType))))).drop("_label", "_last")
+    return rows.withColumn(
+        "xattrs",
+        F.when(F.col("_label").isNull(), bare).otherwise(
+            F.map_concat(bare, F.create_map(F.lit(xattr).cast(kind.keyType), F.col("_label").cast(kind.valueType)))
+        ),
+    ).drop("_label", "_last")

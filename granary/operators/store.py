@@ -40,7 +40,12 @@ def import_stats(methods: DataFrame, *by: str, size: str = "size") -> DataFrame:
     """Objects and bytes by what happened to them. Present objects count, their bytes don't."""
     new = F.col("method") != "present"
     one = methods.groupBy(*by) if by else methods.groupBy()
-    return one.agg(F.count_if(new).alias("new_objects"), F.coalesce(F.sum(F.when(new, F.col(size))), F.lit(0)).cast("long").alias("new_bytes"), F.count_if(~new).alias("present_objects"), F.count("*").alias("total_objects"))
+    return one.agg(
+        F.count_if(new).alias("new_objects"),
+        F.coalesce(F.sum(F.when(new, F.col(size))), F.lit(0)).cast("long").alias("new_bytes"),
+        F.count_if(~new).alias("present_objects"),
+        F.count("*").alias("total_objects"),
+    )
 
 
 def merged_stats(stats: DataFrame) -> DataFrame:
@@ -71,7 +76,9 @@ def coalesced(chunks: DataFrame, stream: str = "stream_id", seq: str = "seq", in
     starts = external | F.coalesce(F.lag(external).over(order), F.lit(True))
     runs = chunks.withColumn("_starts", starts.cast("int")).withColumn("run", F.sum("_starts").over(order))
     joined = F.expr(f"listagg(`{inline}`) within group (order by `{seq}`)")
-    return runs.groupBy(stream, "run").agg(F.min(seq).alias("first_seq"), F.max(seq).alias("last_seq"), F.first("object_id").alias("object_id"), joined.alias(inline))
+    return runs.groupBy(stream, "run").agg(
+        F.min(seq).alias("first_seq"), F.max(seq).alias("last_seq"), F.first("object_id").alias("object_id"), joined.alias(inline)
+    )
 
 
 def reassembled(chunks: DataFrame, objects: DataFrame, stream: str = "stream_id", seq: str = "seq", inline: str = "inline") -> DataFrame:

@@ -33,10 +33,19 @@ SELECT sha256(text) AS object_id, substr(sha256(text), 1, 2) || '/' || substr(sh
 FROM documents GROUP BY 1, 2""")
 def content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = objects(spark, sf_dir).groupBy("object_id").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"), F.max("size").alias("size"))
-    return rows.select("object_id", digest.object_path(F.col("object_id")).alias("object_path"), "copies", "first_doc", "size", ((F.col("copies") - 1) * F.col("size")).alias("saved_bytes"))
+    return rows.select(
+        "object_id",
+        digest.object_path(F.col("object_id")).alias("object_path"),
+        "copies",
+        "first_doc",
+        "size",
+        ((F.col("copies") - 1) * F.col("size")).alias("saved_bytes"),
+    )
 
 
-@query("SELECT DISTINCT substr(sha256(text), 1, 2) || '/' || substr(sha256(text), 3) AS object_path, 'sha256:' || sha256(text) AS id, sha256(text) AS back FROM documents")
+@query(
+    "SELECT DISTINCT substr(sha256(text), 1, 2) || '/' || substr(sha256(text), 3) AS object_path, 'sha256:' || sha256(text) AS id, sha256(text) AS back FROM documents"
+)
 def object_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = objects(spark, sf_dir).select("object_id").distinct()
     path = digest.object_path(F.col("object_id"))
@@ -80,7 +89,9 @@ def xattr_sharing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.shared_values(pairs, ["name", "value"])
 
 
-@query("SELECT event_type, first_seq, row_number() OVER (ORDER BY first_seq) - 1 AS idx FROM (SELECT event_type, min(event_id) AS first_seq FROM events GROUP BY 1)")
+@query(
+    "SELECT event_type, first_seq, row_number() OVER (ORDER BY first_seq) - 1 AS idx FROM (SELECT event_type, min(event_id) AS first_seq FROM events GROUP BY 1)"
+)
 def dictionary_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.dictionary(table(spark, sf_dir, "events"), "event_type", "event_id")
 
@@ -94,20 +105,31 @@ SELECT user_id, CAST(run AS BIGINT) AS run, min(event_id) AS first_seq, max(even
 FROM r GROUP BY ALL""")
 def coalesce_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     external = F.col("event_type").isin("purchase", "signup")
-    chunks = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(~external, F.col("event_type").cast("binary")).alias("inline"), F.when(external, F.col("event_type")).alias("object_id"))
+    chunks = table(spark, sf_dir, "events").select(
+        "user_id", "event_id", F.when(~external, F.col("event_type").cast("binary")).alias("inline"), F.when(external, F.col("event_type")).alias("object_id")
+    )
     rows = store.coalesced(chunks, "user_id", "event_id")
     return rows.withColumn("inline", F.col("inline").cast("string")).withColumn("run", F.col("run").cast("long"))
 
 
-@query("SELECT conv_id, count(*) AS chunks, CAST(sum(octet_length(encode(text))) AS BIGINT) AS size, sha256(string_agg(text, '' ORDER BY turn)) AS object_id FROM conversations GROUP BY 1")
+@query(
+    "SELECT conv_id, count(*) AS chunks, CAST(sum(octet_length(encode(text))) AS BIGINT) AS size, sha256(string_agg(text, '' ORDER BY turn)) AS object_id FROM conversations GROUP BY 1"
+)
 def stream_reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
-    chunks = turns.select("conv_id", "turn", F.when(F.octet_length("text") <= 64, F.col("text").cast("binary")).alias("inline"), digest.content_id(F.col("text")).alias("object_id"))
+    chunks = turns.select(
+        "conv_id",
+        "turn",
+        F.when(F.octet_length("text") <= 64, F.col("text").cast("binary")).alias("inline"),
+        digest.content_id(F.col("text")).alias("object_id"),
+    )
     large = turns.filter(F.octet_length("text") > 64)
     held = large.select(digest.content_id(F.col("text")).alias("object_id"), F.col("text").cast("binary").alias("data")).dropDuplicates(["object_id"])
     whole = store.reassembled(chunks, held, "conv_id", "turn")
     counts = turns.groupBy("conv_id").agg(F.count("*").alias("chunks"))
-    return whole.join(counts, "conv_id").select("conv_id", "chunks", F.octet_length("data").cast("long").alias("size"), digest.content_id(F.col("data")).alias("object_id"))
+    return whole.join(counts, "conv_id").select(
+        "conv_id", "chunks", F.octet_length("data").cast("long").alias("size"), digest.content_id(F.col("data")).alias("object_id")
+    )
 
 
 def geography(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +139,9 @@ def geography(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.concat(r, F.lit("/"), "n_name")
     named = F.broadcast(nation.join(region, nation["n_regionkey"] == region["r_regionkey"]))
     customers = customer.join(named, customer["c_nationkey"] == named["n_nationkey"])
-    rows = spark.range(1).select(F.lit("/").alias("path")).unionAll(region.select(r)).unionAll(named.select(n)).unionAll(customers.select(F.concat(n, F.lit("/"), "c_name")))
+    rows = spark.range(1).select(F.lit("/").alias("path")).unionAll(region.select(r)).unionAll(named.select(n)).unionAll(
+        customers.select(F.concat(n, F.lit("/"), "c_name"))
+    )
     return rows.select("path", F.lit("dir").alias("kind"))
 
 
@@ -165,9 +189,13 @@ def layer_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as changes to /user/kind: errors are opaque marks, signups whiteouts of the user's view, the rest are files."""
     user = F.concat(F.lit("/u"), "user_id")
     kind = F.col("event_type")
-    path = F.when(kind == "error", F.concat(user, F.lit("/.wh..wh..opq"))).when(kind == "signup", F.concat(user, F.lit("/.wh.view"))).otherwise(F.concat(user, F.lit("/"), kind))
+    path = F.when(kind == "error", F.concat(user, F.lit("/.wh..wh..opq"))).when(kind == "signup", F.concat(user, F.lit("/.wh.view"))).otherwise(
+        F.concat(user, F.lit("/"), kind)
+    )
     return table(spark, sf_dir, "events").select(
-        F.datediff("ts", F.lit("2024-01-01")).alias("layer_idx"), F.col("event_id").alias("entry_idx"), path.alias("path"), F.lit("leaf").alias("item"), F.lit(None).cast("string").alias("target"), "value"
+        F.datediff(
+            "ts", F.lit("2024-01-01")
+        ).alias("layer_idx"), F.col("event_id").alias("entry_idx"), path.alias("path"), F.lit("leaf").alias("item"), F.lit(None).cast("string").alias("target"), "value"
     )
 
 
@@ -185,7 +213,9 @@ def layer_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Foreign keys from the region down to the orders."""
     pair = lambda t, a, x, b, y: table(spark, sf_dir, t).select(F.concat(F.lit(a), x).alias("src"), F.concat(F.lit(b), y).alias("dst"))
-    return pair("nation", "r", "n_regionkey", "n", "n_nationkey").unionAll(pair("customer", "n", "c_nationkey", "c", "c_custkey")).unionAll(pair("orders", "c", "o_custkey", "o", "o_orderkey"))
+    return pair("nation", "r", "n_regionkey", "n", "n_nationkey").unionAll(pair("customer", "n", "c_nationkey", "c", "c_custkey")).unionAll(
+        pair("orders", "c", "o_custkey", "o", "o_orderkey")
+    )
 
 
 _EDGES = """e(src, dst) AS (SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer
@@ -203,8 +233,12 @@ WITH RECURSIVE {_LIVE}, o AS (SELECT 'region' AS category, 'r' || r_regionkey AS
   UNION ALL SELECT 'customer', 'c' || c_custkey, length(c_name) FROM customer UNION ALL SELECT 'orders', 'o' || o_orderkey, length(o_orderpriority) FROM orders)
 SELECT category, count(*) AS objects_removed, CAST(sum(bytes) AS BIGINT) AS objects_bytes FROM o WHERE node NOT IN (SELECT node FROM live) GROUP BY 1""")
 def gc_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    of = lambda t, a, key, text_of: table(spark, sf_dir, t).select(F.lit(t).alias("category"), F.concat(F.lit(a), key).alias("node"), F.length(text_of).cast("long").alias("bytes"))
-    every = of("region", "r", "r_regionkey", "r_name").unionAll(of("nation", "n", "n_nationkey", "n_name")).unionAll(of("customer", "c", "c_custkey", "c_name")).unionAll(of("orders", "o", "o_orderkey", "o_orderpriority"))
+    of = lambda t, a, key, text_of: table(spark, sf_dir, t).select(
+        F.lit(t).alias("category"), F.concat(F.lit(a), key).alias("node"), F.length(text_of).cast("long").alias("bytes")
+    )
+    every = of("region", "r", "r_regionkey", "r_name").unionAll(
+        of("nation", "n", "n_nationkey", "n_name")
+    ).unionAll(of("customer", "c", "c_custkey", "c_name")).unionAll(of("orders", "o", "o_orderkey", "o_orderpriority"))
     return graph.sweep(every, gc_live_set(spark, sf_dir)).groupBy("category").agg(F.count("*").alias("objects_removed"), F.sum("bytes").alias("objects_bytes"))
 
 
@@ -214,8 +248,12 @@ UNION ALL SELECT 'order', o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT
 UNION ALL SELECT 'customer', c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
 def dangling_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels, orders, customer = (table(spark, sf_dir, x) for x in ("documents", "labels", "orders", "customer"))
-    missing = lambda kind, links, targets, a, b, key: graph.dangling(links, targets, a, b).select(F.lit(kind).alias("kind"), F.col(key).alias("id"))
-    return missing("document", docs.select("doc_id"), labels, "doc_id", "doc_id", "doc_id").unionAll(missing("order", orders, customer, "o_custkey", "c_custkey", "o_orderkey")).unionAll(missing("customer", customer, orders, "c_custkey", "o_custkey", "c_custkey"))
+    missing = lambda kind, links, targets, a, b, key: graph.dangling(links, targets, a, b).select(
+        F.lit(kind).alias("kind"), F.col(key).alias("id")
+    )
+    return missing(
+        "document", docs.select("doc_id"), labels, "doc_id", "doc_id", "doc_id"
+    ).unionAll(missing("order", orders, customer, "o_custkey", "c_custkey", "o_orderkey")).unionAll(missing("customer", customer, orders, "c_custkey", "o_custkey", "c_custkey"))
 
 
 @query("""
@@ -225,12 +263,23 @@ SELECT n_nationkey, CASE WHEN a IS NOT NULL THEN 0 WHEN b IS NOT NULL THEN 1 WHE
 def first_store_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier, customer = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
     held = lambda rows, nation, name: rows.groupBy(F.col(nation).alias("n_nationkey")).agg(F.min(name).alias("holder"))
-    stores = [held(supplier.filter("s_acctbal > 9000"), "s_nationkey", "s_name"), held(customer.filter("c_acctbal > 9900"), "c_nationkey", "c_name"), held(customer, "c_nationkey", "c_name")]
+    stores = [
+        held(supplier.filter("s_acctbal > 9000"), "s_nationkey", "s_name"),
+        held(customer.filter("c_acctbal > 9900"), "c_nationkey", "c_name"),
+        held(customer, "c_nationkey", "c_name"),
+    ]
     return store.first_store_wins(table(spark, sf_dir, "nation").select("n_nationkey"), stores, "n_nationkey", "holder")
 
 
 _RULES = ("/.* any_t", "/PROMO(/.*)? promo_t", r"/.*/small\s.* small_t", "/[A-M].*/.*ring -- ring_t", "/ECONOMY/.*bolt <<none>>", "/LARGE/old.* -d old_t")
-_CASES = [(r"/.*.", "any_t"), (r"/PROMO(/.*)?.", "promo_t"), (r"/.*/small .*.", "small_t"), (r"/[A-M].*/.*ring-", "ring_t"), (r"/ECONOMY/.*bolt.", "<<none>>"), (r"/LARGE/old.*d", "old_t")]
+_CASES = [
+    (r"/.*.", "any_t"),
+    (r"/PROMO(/.*)?.", "promo_t"),
+    (r"/.*/small .*.", "small_t"),
+    (r"/[A-M].*/.*ring-", "ring_t"),
+    (r"/ECONOMY/.*bolt.", "<<none>>"),
+    (r"/LARGE/old.*d", "old_t"),
+]
 
 
 @query("""
@@ -255,7 +304,9 @@ def alias_substitution(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT page_id, replace(replace(url, '%', '%25'), '/', '%2F') AS encoded, url AS decoded, NOT starts_with(url, '@') AS valid FROM pages")
 def tag_encode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = text.encode_tag(F.col("url"))
-    return table(spark, sf_dir, "pages").select("page_id", encoded.alias("encoded"), text.decode_tag(encoded).alias("decoded"), text.valid_ref_name(F.col("url")).alias("valid"))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", encoded.alias("encoded"), text.decode_tag(encoded).alias("decoded"), text.valid_ref_name(F.col("url")).alias("valid")
+    )
 
 
 @query("""
@@ -264,13 +315,23 @@ SELECT page_id, path, len(string_split(path, '/')) - 1 AS depth, regexp_extract(
        CASE WHEN regexp_extract(path, '^(.*)/[^/]*$', 1) = '' THEN '/' ELSE regexp_extract(path, '^(.*)/[^/]*$', 1) END AS parent FROM p""")
 def split_path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").select("page_id", paths.absolute(F.regexp_extract("url", r"\A[a-z]+://([^?#]*)", 1)).alias("path"))
-    return rows.select("page_id", "path", F.size(paths.parts(F.col("path"))).cast("long").alias("depth"), paths.name(F.col("path")).alias("name"), paths.parent(F.col("path")).alias("parent"))
+    return rows.select(
+        "page_id",
+        "path",
+        F.size(paths.parts(F.col("path"))).cast("long").alias("depth"),
+        paths.name(F.col("path")).alias("name"),
+        paths.parent(F.col("path")).alias("parent"),
+    )
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, coalesce(json_extract_string(props, '$.missing'), 'none') AS other FROM events")
+@query(
+    "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, coalesce(json_extract_string(props, '$.missing'), 'none') AS other FROM events"
+)
 def key_value_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     props = F.from_json("props", "map<string, string>")
-    return table(spark, sf_dir, "events").select("event_id", text.first_of(props, ["absent", "k"]).cast("long").alias("k"), F.coalesce(props["missing"], F.lit("none")).alias("other"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", text.first_of(props, ["absent", "k"]).cast("long").alias("k"), F.coalesce(props["missing"], F.lit("none")).alias("other")
+    )
 
 
 @query(r"""
@@ -284,7 +345,9 @@ def verity_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", digest.verity(F.col("text").cast("binary")).alias("digest"))
 
 
-@query("SELECT doc_id, sha256(text) AS object_id FROM documents d WHERE doc_id = (SELECT min(doc_id) FROM documents x WHERE x.text = d.text) AND NOT EXISTS (SELECT 1 FROM documents y JOIN labels USING (doc_id) WHERE y.text = d.text)")
+@query(
+    "SELECT doc_id, sha256(text) AS object_id FROM documents d WHERE doc_id = (SELECT min(doc_id) FROM documents x WHERE x.text = d.text) AND NOT EXISTS (SELECT 1 FROM documents y JOIN labels USING (doc_id) WHERE y.text = d.text)"
+)
 def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents against a store that holds the labelled ones: the first row of each object that the store lacks."""
     docs = objects(spark, sf_dir).select("doc_id", "object_id")
@@ -293,12 +356,22 @@ def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.absent(first, held).select("doc_id", "object_id")
 
 
-@query("SELECT CAST(conv_id AS VARCHAR) AS stream_id, CAST(sum(octet_length(encode(text))) AS BIGINT) AS size, sha256(string_agg(text, '' ORDER BY turn)) AS content FROM conversations GROUP BY 1")
+@query(
+    "SELECT CAST(conv_id AS VARCHAR) AS stream_id, CAST(sum(octet_length(encode(text))) AS BIGINT) AS size, sha256(string_agg(text, '' ORDER BY turn)) AS content FROM conversations GROUP BY 1"
+)
 def stream_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as stream files, long turns as objects; decoded and put together again."""
-    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("seq"), F.col("text").cast("binary").alias("data"))
+    turns = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("seq"), F.col("text").cast("binary").alias("data")
+    )
     long = F.octet_length("data") > 64
-    chunks = turns.select("stream_id", "seq", F.when(~long, F.col("data")).alias("inline"), F.when(long, F.sha2("data", 256)).alias("object_id"), F.octet_length("data").cast("long").alias("size"))
+    chunks = turns.select(
+        "stream_id",
+        "seq",
+        F.when(~long, F.col("data")).alias("inline"),
+        F.when(long, F.sha2("data", 256)).alias("object_id"),
+        F.octet_length("data").cast("long").alias("size"),
+    )
     files = splitstream.encoded(chunks)
     held = turns.filter(long).select(F.sha2("data", 256).alias("object_id"), "data").dropDuplicates(["object_id"])
     back = store.reassembled(splitstream.chunk_rows(files.withColumnRenamed("stream_id", "name")), held)
@@ -312,7 +385,9 @@ WITH f AS ({formats.FILES}) SELECT owner AS archive, row_number() OVER (PARTITIO
 def archive_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tar archive of each customer's orders, and its entries read back."""
     tars = formats.archives(spark, sf_dir)
-    return archive.entry_rows(tars).select("archive", "entry_idx", F.col("path").cast("string").alias("path"), "kind", "size", F.col("inline").cast("string").alias("inline"))
+    return archive.entry_rows(tars).select(
+        "archive", "entry_idx", F.col("path").cast("string").alias("path"), "kind", "size", F.col("inline").cast("string").alias("inline")
+    )
 
 
 @query(f"""
@@ -321,7 +396,13 @@ UNION ALL SELECT DISTINCT owner, '/', 'dir', NULL, 0 FROM f""")
 def image_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file system image of each customer's orders, encoded and decoded."""
     back = erofs.entry_rows(formats.images(spark, sf_dir))
-    return back.select("image_id", F.col("path").cast("string").alias("path"), "kind", "object_id", F.when(F.col("inline").isNotNull(), F.octet_length("inline").cast("long")).otherwise(F.col("size")).alias("size"))
+    return back.select(
+        "image_id",
+        F.col("path").cast("string").alias("path"),
+        "kind",
+        "object_id",
+        F.when(F.col("inline").isNotNull(), F.octet_length("inline").cast("long")).otherwise(F.col("size")).alias("size"),
+    )
 
 
 @query("SELECT p_partkey AS line_no, '/' || p_type || '/' || p_name AS path, p_size AS uid, p_brand || '=x' AS content, 33188 AS mode FROM part")
@@ -329,7 +410,12 @@ def dump_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as dump lines, parsed."""
     part = table(spark, sf_dir, "part")
     path = F.replace(F.concat(F.lit("/"), "p_type", F.lit("/"), "p_name"), F.lit(" "), F.lit("\\x20"))
-    lines = part.select(F.col("p_partkey").alias("line_no"), F.concat_ws(" ", path, F.lit("0 100644 1"), "p_size", F.lit("0 0 1000.0 -"), F.concat("p_brand", F.lit("=x")), F.lit("-")).alias("value"))
-    return dumpfile.parsed(lines).filter("error is null").select("line_no", F.col("path").cast("string").alias("path"), F.col("uid").cast("int").alias("uid"), F.col("content").cast("string").alias("content"), "mode")
+    lines = part.select(
+        F.col("p_partkey").alias("line_no"),
+        F.concat_ws(" ", path, F.lit("0 100644 1"), "p_size", F.lit("0 0 1000.0 -"), F.concat("p_brand", F.lit("=x")), F.lit("-")).alias("value"),
+    )
+    return dumpfile.parsed(lines).filter("error is null").select(
+        "line_no", F.col("path").cast("string").alias("path"), F.col("uid").cast("int").alias("uid"), F.col("content").cast("string").alias("content"), "mode"
+    )
 
 

@@ -18,7 +18,9 @@ def customer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, name, body) of a customer's orders as small files: few for each customer."""
     orders = table(spark, sf_dir, "orders")
     body = F.repeat(F.concat("o_orderpriority", F.lit("|")), (F.col("o_orderkey") % 12).cast("int"))
-    return orders.select(F.col("o_custkey").cast("string").alias("image_id"), F.col("o_orderkey").cast("string").alias("name"), body.cast("binary").alias("body"))
+    return orders.select(
+        F.col("o_custkey").cast("string").alias("image_id"), F.col("o_orderkey").cast("string").alias("name"), body.cast("binary").alias("body")
+    )
 
 
 FILES = "SELECT CAST(o_custkey AS VARCHAR) AS owner, CAST(o_orderkey AS VARCHAR) AS name, repeat(o_orderpriority || '|', CAST(o_orderkey % 12 AS INTEGER)) AS body FROM orders"
@@ -48,8 +50,24 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     stat = [F.lit(0o644).alias("mode"), F.lit(0).cast("long").alias("uid"), F.lit(0).cast("long").alias("gid"), F.lit(1000).cast("long").alias("mtime")]
     path = F.concat(F.lit("/"), "name").cast("binary").alias("path")
     size = F.octet_length("body").cast("long").alias("size")
-    leaves = files.select("image_id", path, F.lit("reg").alias("kind"), *stat, size, F.when(~long, F.col("body")).alias("inline"), F.when(long, F.sha2("body", 256)).alias("object_id"))
-    roots = files.select("image_id").distinct().select("image_id", F.lit("/").cast("binary").alias("path"), F.lit("dir").alias("kind"), *stat, F.lit(0).cast("long").alias("size"), nothing.alias("inline"), F.lit(None).cast("string").alias("object_id"))
+    leaves = files.select(
+        "image_id",
+        path,
+        F.lit("reg").alias("kind"),
+        *stat,
+        size,
+        F.when(~long, F.col("body")).alias("inline"),
+        F.when(long, F.sha2("body", 256)).alias("object_id"),
+    )
+    roots = files.select("image_id").distinct().select(
+        "image_id",
+        F.lit("/").cast("binary").alias("path"),
+        F.lit("dir").alias("kind"),
+        *stat,
+        F.lit(0).cast("long").alias("size"),
+        nothing.alias("inline"),
+        F.lit(None).cast("string").alias("object_id"),
+    )
     return erofs.image_rows(leaves.unionByName(roots))
 
 
@@ -70,6 +88,11 @@ executable = F.udf(_executable, T.BinaryType(), useArrow=False)
 def chunk_streams(turns: DataFrame) -> DataFrame:
     """(stream_id, chunks, external) of conversations' turns written as chunk streams and read back; long turns are external."""
     long = F.octet_length("text") > 64
-    chunks = turns.select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("seq"), F.when(~long, F.col("text").cast("binary")).alias("inline"), F.when(long, F.col("turn")).alias("number"))
+    chunks = turns.select(
+        F.col("conv_id").cast("string").alias("stream_id"),
+        F.col("turn").alias("seq"),
+        F.when(~long, F.col("text").cast("binary")).alias("inline"),
+        F.when(long, F.col("turn")).alias("number"),
+    )
     back = fdstream.chunk_rows(fdstream.encoded(chunks))
     return back.groupBy("stream_id").agg(F.count("*").alias("chunks"), F.count("number").alias("external"))

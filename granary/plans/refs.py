@@ -30,9 +30,21 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = ('{"architecture":"', "arch", '","os":"linux","config":{"Labels":{"segment":"', "c_mktsegment", '"}},"rootfs":{"diff_ids":["', "layer", '"]}}')
     rows = rows.withColumn("config_json", F.concat(*(F.lit(x) if k % 2 == 0 else F.col(x) for k, x in enumerate(parts))))
     rows = rows.withColumn("config_digest", sha("config_json"))
-    parts = ('{"config":{"mediaType":"', "media", '","digest":"', "config_digest", '"},"layers":[{"digest":"', "layer", '","mediaType":"text/plain"}],"of":"', "c_name", '"}')
+    parts = (
+        '{"config":{"mediaType":"',
+        "media",
+        '","digest":"',
+        "config_digest",
+        '"},"layers":[{"digest":"',
+        "layer",
+        '","mediaType":"text/plain"}],"of":"',
+        "c_name",
+        '"}',
+    )
     rows = rows.withColumn("json", F.concat(*(F.lit(x) if k % 2 == 0 else F.col(x) for k, x in enumerate(parts))))
-    return rows.withColumn("digest", sha("json")).select("c_custkey", "c_mktsegment", "name", "arch", "media", "layer", "config_json", "config_digest", "json", "digest")
+    return rows.withColumn("digest", sha("json")).select(
+        "c_custkey", "c_mktsegment", "name", "arch", "media", "layer", "config_json", "config_digest", "json", "digest"
+    )
 
 
 _CUSTOMERS = f"""c AS (SELECT c_custkey, c_mktsegment, c_name || '/v%1' AS name, c_name, CASE WHEN c_custkey % 2 = 0 THEN 'amd64' ELSE 'arm64' END AS arch,
@@ -44,26 +56,46 @@ m AS (SELECT *, 'sha256:' || sha256(json) AS digest FROM mj)"""
 
 
 def manifests_of(rows: DataFrame) -> DataFrame:
-    return rows.select("digest", F.sha2(F.col("json").cast("binary"), 256).alias("object_id"), "json", "config_digest", F.array("layer").alias("layer_digests"), F.col("media").alias("config_media_type"))
+    return rows.select(
+        "digest",
+        F.sha2(F.col("json").cast("binary"), 256).alias("object_id"),
+        "json",
+        "config_digest",
+        F.array("layer").alias("layer_digests"),
+        F.col("media").alias("config_media_type"),
+    )
 
 
 def configs_of(rows: DataFrame) -> DataFrame:
     """Configurations of one architecture name an image, those of one segment an image for booting too."""
     each = rows.select("config_digest", "config_json", "layer", "arch", "c_mktsegment").distinct()
     refs = F.create_map("layer", F.concat(F.lit("object of "), "c_mktsegment"))
-    refs = F.when(F.col("arch") == "amd64", F.map_concat(refs, F.create_map(F.lit(catalog.IMAGE_REF), F.concat(F.lit("image of "), "c_mktsegment")))).otherwise(refs)
-    return each.select(F.col("config_digest").alias("digest"), F.sha2(F.col("config_json").cast("binary"), 256).alias("object_id"), F.col("config_json").alias("json"), refs.alias("named_refs"))
+    refs = F.when(
+        F.col("arch") == "amd64", F.map_concat(refs, F.create_map(F.lit(catalog.IMAGE_REF), F.concat(F.lit("image of "), "c_mktsegment")))
+    ).otherwise(refs)
+    return each.select(
+        F.col("config_digest").alias("digest"),
+        F.sha2(F.col("config_json").cast("binary"), 256).alias("object_id"),
+        F.col("config_json").alias("json"),
+        refs.alias("named_refs"),
+    )
 
 
 def tags_of(rows: DataFrame) -> DataFrame:
     """A tag for two of three customers, and refs that are no tags."""
-    tagged = rows.filter("c_custkey % 3 <> 0").select(F.lit("streams").alias("category"), F.concat(F.lit(catalog.TAG_PREFIX), text.encode_tag(F.col("name"))).alias("name"), F.concat(text.identifier("manifest", F.col("digest"))).alias("target"))
+    tagged = rows.filter("c_custkey % 3 <> 0").select(
+        F.lit("streams").alias("category"),
+        F.concat(F.lit(catalog.TAG_PREFIX), text.encode_tag(F.col("name"))).alias("name"),
+        F.concat(text.identifier("manifest", F.col("digest"))).alias("target"),
+    )
     return tagged.unionAll(rows.filter("c_custkey % 3 = 0").select(F.lit("images"), F.col("name"), F.col("digest")))
 
 
 def referrers_of(rows: DataFrame) -> DataFrame:
     """Each customer refers to the tenth before, and every fifth to a subject that is gone."""
-    ten = rows.select((F.col("c_custkey") - 10).alias("c_custkey"), F.col("digest").alias("artifact")).join(rows.select("c_custkey", F.col("digest").alias("subject")), "c_custkey").select("subject", "artifact")
+    ten = rows.select(
+        (F.col("c_custkey") - 10).alias("c_custkey"), F.col("digest").alias("artifact")
+    ).join(rows.select("c_custkey", F.col("digest").alias("subject")), "c_custkey").select("subject", "artifact")
     return ten.unionAll(rows.filter("c_custkey % 5 = 0").select(sha(F.concat(F.lit("gone "), "name")).alias("subject"), F.col("digest").alias("artifact")))
 
 
@@ -80,7 +112,9 @@ def referrer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All tagged images with what their manifests, configurations and referrers say."""
     rows = customers(spark, sf_dir)
     found = catalog.images(tags_of(rows), manifests_of(rows), configs_of(rows), referrers_of(rows))
-    return found.select("name", "manifest_digest", "is_container", "architecture", "os", F.col("layer_count").cast("long").alias("layer_count"), "referrer_count")
+    return found.select(
+        "name", "manifest_digest", "is_container", "architecture", "os", F.col("layer_count").cast("long").alias("layer_count"), "referrer_count"
+    )
 
 
 @query(f"""
@@ -149,7 +183,9 @@ def images_of_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     arm = rows.filter("arch = 'arm64'").select(F.col("config_digest").alias("digest"), F.lit("booted").alias("image_id")).distinct()
     gone = rows.filter("c_mktsegment = 'MACHINERY'").select(F.col("config_digest").alias("digest"), F.lit(None).cast("string").alias("image_id")).distinct()
     booted = catalog.with_image(configs, arm, boot=True)
-    return of("image", catalog.image_of(manifests, booted)).unionAll(of("boot", catalog.image_of(manifests, booted, True))).unionAll(of("left", catalog.image_of(manifests, catalog.with_image(booted, gone))))
+    return of("image", catalog.image_of(manifests, booted)).unionAll(of("boot", catalog.image_of(manifests, booted, True))).unionAll(
+        of("left", catalog.image_of(manifests, catalog.with_image(booted, gone)))
+    )
 
 
 @query(f"""
@@ -160,7 +196,9 @@ UNION ALL SELECT 'one', name FROM s WHERE stage = 'layer missing' AND name = (SE
 def staged_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first check that each tagged image fails, each image in one stage alone; and the check of one tag."""
     rows = customers(spark, sf_dir)
-    manifests = manifests_of(rows.filter("c_custkey % 7 <> 1").withColumn("json", F.when(F.col("c_custkey") % 11 == 1, F.concat("json", F.lit(" "))).otherwise(F.col("json"))))
+    manifests = manifests_of(
+        rows.filter("c_custkey % 7 <> 1").withColumn("json", F.when(F.col("c_custkey") % 11 == 1, F.concat("json", F.lit(" "))).otherwise(F.col("json")))
+    )
     configs = configs_of(rows.filter("c_mktsegment <> 'FURNITURE'"))
     configs = configs.withColumn("json", F.when(F.col("json").contains("AUTOMOBILE"), F.concat("json", F.lit(" "))).otherwise(F.col("json")))
     held = rows.filter("c_mktsegment <> 'MACHINERY'").select(F.concat(F.lit("object of "), "c_mktsegment").alias("object_id")).distinct()
@@ -180,10 +218,18 @@ def inspect_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest, configuration and referrers of each image in one document; what is read back from it is compared."""
     rows = customers(spark, sf_dir)
     made = catalog.inspected(manifests_of(rows), configs_of(rows), referrers_of(rows))
-    back = F.from_json("json", "manifest struct<config: struct<mediaType: string>>, config struct<architecture: string>, referrers array<struct<digest: string>>")
+    back = F.from_json(
+        "json", "manifest struct<config: struct<mediaType: string>>, config struct<architecture: string>, referrers array<struct<digest: string>>"
+    )
     read = made.select("digest", back.alias("x"))
     least = F.array_min(F.transform("x.referrers", lambda r: r["digest"]))
-    return read.select("digest", F.col("x.manifest.config.mediaType").alias("media_type"), F.col("x.config.architecture").alias("architecture"), F.size("x.referrers").cast("long").alias("referrers"), least.alias("first_referrer"))
+    return read.select(
+        "digest",
+        F.col("x.manifest.config.mediaType").alias("media_type"),
+        F.col("x.config.architecture").alias("architecture"),
+        F.size("x.referrers").cast("long").alias("referrers"),
+        least.alias("first_referrer"),
+    )
 
 
 @query("""
@@ -193,11 +239,15 @@ FROM lineitem GROUP BY 1""")
 def layer_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as layers: lines of a larger quantity are objects, others bytes within the stream."""
     items = table(spark, sf_dir, "lineitem").withColumn("stream_id", F.col("l_orderkey").cast("string"))
-    chunks = items.select("stream_id", F.when(F.col("l_quantity") > 10, F.col("l_partkey").cast("string")).alias("object_id"), F.col("l_quantity").cast("long").alias("size"))
+    chunks = items.select(
+        "stream_id", F.when(F.col("l_quantity") > 10, F.col("l_partkey").cast("string")).alias("object_id"), F.col("l_quantity").cast("long").alias("size")
+    )
     return catalog.layer_info(chunks, items.select(F.col("stream_id").alias("archive")))
 
 
-@query("SELECT l_partkey % 97 AS subject_of, count(*) AS removed FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) l WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size > 10) GROUP BY 1")
+@query(
+    "SELECT l_partkey % 97 AS subject_of, count(*) AS removed FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) l WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size > 10) GROUP BY 1"
+)
 def cleanup_orphan_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers refer to parts; edges to parts that are gone are cleaned up."""
     edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("subject"), F.col("l_suppkey").alias("artifact")).distinct()
@@ -213,7 +263,11 @@ UNION ALL SELECT 'layer', digest, layer FROM m""")
 def names_and_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Refs one level below a prefix, names with and without a stream, and the layer at a position."""
     rows = customers(spark, sf_dir)
-    refs = rows.select(F.lit("streams").alias("category"), F.concat_ws("/", F.substring_index("name", "/", 1), F.lit("v%251")).alias("name"), F.substring_index("name", "/", 1).alias("target"))
+    refs = rows.select(
+        F.lit("streams").alias("category"),
+        F.concat_ws("/", F.substring_index("name", "/", 1), F.lit("v%251")).alias("name"),
+        F.substring_index("name", "/", 1).alias("target"),
+    )
     below = catalog.names_under(refs, "streams", "Customer#000000007").select(F.lit("below").alias("kind"), "name", F.col("target").alias("value"))
     streams = rows.filter("c_custkey % 2 = 0").select(F.col("digest").alias("name"))
     named = rows.select(F.lit("streams").alias("category"), "name", F.col("digest").alias("target"))
@@ -230,14 +284,31 @@ def store_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = docs.select("doc_id", digest.content_id(F.col("text")).alias("object_id"))
     objects = docs.select(digest.content_id(F.col("text")).alias("object_id"), F.octet_length("text").cast("long").alias("size")).distinct()
-    key = lambda rows, by, name: rows.join(ids.select(F.col("doc_id").alias("_k"), F.col("object_id").alias(name)), F.expr(by) == F.col("_k"), "left").drop("_k").withColumn(name, F.coalesce(name, F.concat(F.lit("gone "), F.expr(by).cast("string"))))
+    key = lambda rows, by, name: rows.join(
+        ids.select(F.col("doc_id").alias("_k"), F.col("object_id").alias(name)), F.expr(by) == F.col("_k"), "left"
+    ).drop("_k").withColumn(name, F.coalesce(name, F.concat(F.lit("gone "), F.expr(by).cast("string"))))
     streams = table(spark, sf_dir, "customer").select("c_custkey")
     streams = key(key(key(streams, "c_custkey", "object_id"), "c_custkey + 1", "one"), "c_custkey * 2 + 3", "next")
-    streams = streams.select(F.concat(F.lit("s"), "c_custkey").alias("name"), "object_id", F.array("one").alias("object_refs"), F.create_map(F.lit("next"), "next").alias("named_refs"))
-    images = key(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey * 5", "object_id").select(F.concat(F.lit("i"), "s_suppkey").alias("name"), "object_id")
-    named = key(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey * 7 + 1", "object_id").select(F.concat(F.lit("i"), "s_suppkey").alias("name"), "object_id")
-    refs = table(spark, sf_dir, "customer").filter("c_custkey % 50 = 0").select(F.lit("streams").alias("category"), F.concat(F.lit("n"), "c_custkey").alias("name"), F.concat(F.lit("s"), F.col("c_custkey") + 1).alias("target"))
-    refs = refs.unionAll(table(spark, sf_dir, "supplier").filter("s_suppkey % 4 = 0").select(F.lit("images"), F.concat(F.lit("m"), "s_suppkey"), F.concat(F.lit("i"), F.col("s_suppkey") * 2)))
+    streams = streams.select(
+        F.concat(F.lit("s"), "c_custkey").alias("name"),
+        "object_id",
+        F.array("one").alias("object_refs"),
+        F.create_map(F.lit("next"), "next").alias("named_refs"),
+    )
+    images = key(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey * 5", "object_id").select(
+        F.concat(F.lit("i"), "s_suppkey").alias("name"), "object_id"
+    )
+    named = key(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey * 7 + 1", "object_id").select(
+        F.concat(F.lit("i"), "s_suppkey").alias("name"), "object_id"
+    )
+    refs = table(spark, sf_dir, "customer").filter("c_custkey % 50 = 0").select(
+        F.lit("streams").alias("category"), F.concat(F.lit("n"), "c_custkey").alias("name"), F.concat(F.lit("s"), F.col("c_custkey") + 1).alias("target")
+    )
+    refs = refs.unionAll(
+        table(spark, sf_dir, "supplier").filter("s_suppkey % 4 = 0").select(
+            F.lit("images"), F.concat(F.lit("m"), "s_suppkey"), F.concat(F.lit("i"), F.col("s_suppkey") * 2)
+        )
+    )
     return objects, refs, streams, images, named
 
 
@@ -291,7 +362,14 @@ def damaged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     odd = docs.filter("doc_id % 50 = 9").select(F.concat(F.lit("zz"), "doc_id").alias("object_id"), nothing)
     odd = odd.unionAll(docs.filter("doc_id % 50 = 11").select(F.sha2(F.concat(F.lit("lost "), "doc_id").cast("binary"), 256), nothing))
     known = objects.select("object_id")
-    found = [check.objects(odd), check.links("streams", streams, known), check.links("images", images, known), check.refs(refs, streams, images), check.stream_refs(streams, known), check.image_objects(named, known)]
+    found = [
+        check.objects(odd),
+        check.links("streams", streams, known),
+        check.links("images", images, known),
+        check.refs(refs, streams, images),
+        check.stream_refs(streams, known),
+        check.image_objects(named, known),
+    ]
     return check.union(*found), odd
 
 
@@ -317,7 +395,11 @@ def object_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short contents under their Merkle digest, every ninth with a byte more than it had when it was named."""
     body = F.concat(F.lit("/"), "o_orderpriority", F.lit("/"), "o_orderstatus")
     rows = table(spark, sf_dir, "orders").select("o_orderkey", body.cast("binary").alias("body"))
-    held = store.identified(rows, "body", "sha256").select("object_id", F.when(F.col("o_orderkey") % 9 == 4, F.concat(F.col("body"), F.lit("x").cast("binary"))).otherwise(F.col("body")).alias("data"), "o_orderkey")
+    held = store.identified(rows, "body", "sha256").select(
+        "object_id",
+        F.when(F.col("o_orderkey") % 9 == 4, F.concat(F.col("body"), F.lit("x").cast("binary"))).otherwise(F.col("body")).alias("data"),
+        "o_orderkey",
+    )
     wrong = check.objects(held.select("object_id", "data")).select("object_id", "type").distinct()
     return held.filter("o_orderkey % 9 = 4").join(wrong, "object_id").select("type", "o_orderkey")
 
@@ -330,7 +412,9 @@ def feature_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kinds of a user's events of a high value as feature flags of metadata: what access they leave, and what is wrong with the metadata."""
     kinds = table(spark, sf_dir, "events").filter("value >= 200").groupBy("user_id").agg(F.collect_set("event_type").alias("f"))
     only = lambda *names: F.array_intersect("f", F.array(*map(F.lit, names)))
-    rows = kinds.withColumn("features", F.struct(only("view", "click").alias("compatible"), only("signup").alias("read-only-compatible"), only("error").alias("incompatible")))
+    rows = kinds.withColumn(
+        "features", F.struct(only("view", "click").alias("compatible"), only("signup").alias("read-only-compatible"), only("error").alias("incompatible"))
+    )
     algorithm = F.when(F.col("user_id") % 10 == 3, "md5").otherwise("fsverity-sha512-12")
     made = F.to_json(F.struct(F.when(F.col("user_id") % 10 == 2, 2).otherwise(1).alias("version"), algorithm.alias("algorithm"), "features"))
     rows = rows.withColumn("json", F.when(F.col("user_id") % 10 == 1, "{").otherwise(made))
@@ -349,12 +433,16 @@ def storage_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains of layers, sizes of images, layers in the first store that has them, and files in the nearest layer of a chain."""
     customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
     ids = customer.filter("c_custkey < 100").select("c_custkey")
-    layers = ids.select(F.col("c_custkey").cast("string").alias("id"), F.when(F.col("c_custkey") > 0, F.floor(F.col("c_custkey") / 2).cast("string")).alias("parent"))
+    layers = ids.select(
+        F.col("c_custkey").cast("string").alias("id"), F.when(F.col("c_custkey") > 0, F.floor(F.col("c_custkey") / 2).cast("string")).alias("parent")
+    )
     chained = storage.chain(layers, "97")
     wanted = orders.select(F.col("o_custkey").cast("string").alias("image_id"), F.col("o_orderkey").cast("string").alias("layer_id"))
     known = orders.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderkey").alias("diff_size"))
     sizes = storage.image_size(wanted, known)
-    of = lambda rank, name, every: customer.filter(f"c_custkey % {every} = 0").select(F.concat(F.lit(name), "c_custkey").alias("id"), F.concat(F.lit("d"), "c_custkey").alias("diff_digest"), F.lit(rank).alias("store_rank"))
+    of = lambda rank, name, every: customer.filter(f"c_custkey % {every} = 0").select(
+        F.concat(F.lit(name), "c_custkey").alias("id"), F.concat(F.lit("d"), "c_custkey").alias("diff_digest"), F.lit(rank).alias("store_rank")
+    )
     asked = customer.select(F.col("c_custkey").alias("position"), F.concat(F.lit("d"), "c_custkey").alias("diff_digest"))
     found = storage.resolved(asked, of(0, "a", 4).unionAll(of(1, "b", 3)))
     files = ids.select(F.col("c_custkey").cast("string").alias("layer_id"), F.concat(F.lit("p"), F.col("c_custkey") % 5).alias("path"))
@@ -395,9 +483,15 @@ SELECT CAST(a.l_orderkey AS VARCHAR) AS image_id, a.pos AS position, CAST(a.l_pa
 UNION ALL SELECT DISTINCT CAST(l_orderkey AS VARCHAR), NULL, NULL, NULL, '3 layers and 2 digests' FROM a WHERE n = 3""")
 def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two lists of each order paired by position; lists of different lengths are an error. Orders of three lines lose one on one side."""
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("a"), F.sort_array(F.collect_list("l_suppkey")).alias("b"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("a"), F.sort_array(F.collect_list("l_suppkey")).alias("b")
+    )
     short = F.when(F.size("b") == 3, F.slice("b", 1, 2)).otherwise(F.col("b"))
-    lists = rows.select(F.col("l_orderkey").cast("string").alias("image_id"), F.col("a.l_partkey").cast("array<string>").alias("layer_ids"), short.cast("array<string>").alias("diff_ids"))
+    lists = rows.select(
+        F.col("l_orderkey").cast("string").alias("image_id"),
+        F.col("a.l_partkey").cast("array<string>").alias("layer_ids"),
+        short.cast("array<string>").alias("diff_ids"),
+    )
     return storage.zipped(lists).withColumn("position", F.col("position").cast("long"))
 
 
@@ -407,7 +501,13 @@ SELECT CAST(c_custkey AS VARCHAR) AS id, coalesce(array_to_string(list_transform
 def storage_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists of lower layers, short links and configurations' digests, taken apart."""
     rows = table(spark, sf_dir, "customer").select("c_custkey")
-    lower = F.array_join(F.concat(F.array(F.lit("x/none")), F.transform(F.sequence(F.lit(0), (F.col("c_custkey") % 4 - 1).cast("int")), lambda k: F.concat(F.lit("l/L"), k.cast("string")))), ":")
+    lower = F.array_join(
+        F.concat(
+            F.array(F.lit("x/none")),
+            F.transform(F.sequence(F.lit(0), (F.col("c_custkey") % 4 - 1).cast("int")), lambda k: F.concat(F.lit("l/L"), k.cast("string"))),
+        ),
+        ":",
+    )
     lower = F.when(F.col("c_custkey") % 4 == 0, "x/none").otherwise(lower)
     config = F.concat(F.lit('{"rootfs":{"diff_ids":["sha256:aa'), "c_custkey", F.lit('","bb"]}}'))
     return rows.select(
@@ -430,7 +530,9 @@ def resolve_ref_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
         (nation.select("n_nationkey", "n_name", "n_regionkey"), "c_nationkey", "n_nationkey"),
         (region, "n_regionkey", "r_regionkey"),
     ]
-    return graph.led_on(items.select("l_orderkey", "l_linenumber", "l_partkey"), hops).select("l_orderkey", "l_linenumber", "l_partkey", "c_name", "n_name", "r_name")
+    return graph.led_on(items.select("l_orderkey", "l_linenumber", "l_partkey"), hops).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "c_name", "n_name", "r_name"
+    )
 
 
 @query("SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents ORDER BY size DESC, doc_id LIMIT 25")

@@ -22,7 +22,12 @@ def hex_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = F.when(F.col("doc_id") % 4 == 1, F.substring(h, 2, 100)).when(F.col("doc_id") % 4 == 2, F.upper(h)).otherwise(h)
     name = F.when(F.col("doc_id") % 3 == 0, "fsverity-sha256-12").when(F.col("doc_id") % 3 == 1, "fsverity-sha512-12").otherwise("fsverity-sha256-13")
     file = F.when(F.col("doc_id") % 2 == 0, F.substring(h, 3, 62)).otherwise(F.substring(h, 4, 60))
-    return table(spark, sf_dir, "documents").select("doc_id", F.lower(F.hex(digest.from_hex(written))).alias("back"), digest.algorithm_name(name)["hash"].alias("hash"), digest.algorithm_of_name(file).alias("by_length"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.lower(F.hex(digest.from_hex(written))).alias("back"),
+        digest.algorithm_name(name)["hash"].alias("hash"),
+        digest.algorithm_of_name(file).alias("by_length"),
+    )
 
 
 @query("""
@@ -33,10 +38,14 @@ def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of streams by their kind, media types of archives, and references of container storage."""
     d = F.concat(F.lit("sha256:"), digest.content_id(F.col("o_orderkey").cast("string")))
     key = F.col("o_orderkey")
-    media = F.when(key % 3 == 0, "application/vnd.oci.image.layer.v1.tar+gzip").when(key % 3 == 1, "application/vnd.oci.image.layer.v1.tar").otherwise("application/json")
+    media = F.when(key % 3 == 0, "application/vnd.oci.image.layer.v1.tar+gzip").when(
+        key % 3 == 1, "application/vnd.oci.image.layer.v1.tar"
+    ).otherwise("application/json")
     reference = F.concat(F.when(key % 2 == 0, "containers-storage:").otherwise("docker://"), F.lit("host/app:"), key.cast("string"))
     kinds = [text.identifier(x, d).alias(x) for x in ("manifest", "config", "layer", "blob")]
-    return table(spark, sf_dir, "orders").select("o_orderkey", *kinds, text.is_tar_media_type(media).alias("is_tar"), text.storage_reference(reference).alias("stored"))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", *kinds, text.is_tar_media_type(media).alias("is_tar"), text.storage_reference(reference).alias("stored")
+    )
 
 
 @query(r"""
@@ -62,7 +71,9 @@ def cmdline_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(r"""SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS tokens, nullif(regexp_extract(text, '(?:^|[\x20\x09-\x0D])(th[^\x20\x09-\x0D]*)', 1), '') AS value FROM documents""")
+@query(
+    r"""SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS tokens, nullif(regexp_extract(text, '(?:^|[\x20\x09-\x0D])(th[^\x20\x09-\x0D]*)', 1), '') AS value FROM documents"""
+)
 def first_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = text.split_words(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.size(tokens).cast("long").alias("tokens"), text.first_with_prefix(tokens, "th").alias("value"))
@@ -76,12 +87,21 @@ SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'Linux ''for'' "' || c_name |
 def os_release_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names and versions from texts of shell assignments, with quotes, comments, keys that come twice and values that don't end."""
     key = F.col("c_custkey")
-    name = F.when(key % 4 == 0, F.concat(F.lit('PRETTY_NAME="Linux \'for\' \\"'), "c_name", F.lit('\\""'))).when(key % 4 == 1, F.concat(F.lit("PRETTY_NAME='"), "c_name", F.lit("'"))).otherwise(F.lit('PRETTY_NAME="no end'))
+    name = F.when(
+        key % 4 == 0, F.concat(F.lit('PRETTY_NAME="Linux \'for\' \\"'), "c_name", F.lit('\\""'))
+    ).when(key % 4 == 1, F.concat(F.lit("PRETTY_NAME='"), "c_name", F.lit("'"))).otherwise(F.lit('PRETTY_NAME="no end'))
     version = F.when(key % 3 == 0, F.lit("# VERSION_ID=9")).otherwise(F.concat(F.lit("VERSION_ID=1\nVERSION_ID="), "c_nationkey"))
     content = F.concat_ws("\n", F.lit("# names"), name, version, F.concat(F.lit("ID=id"), key.cast("string")), F.concat(F.lit("SEGMENT= "), "c_mktsegment"))
     facts = boot.os_release(content)
     quoted = F.when(key % 4 == 0, F.lit("a' 'b")).when(key % 4 == 1, F.lit('"a b"')).when(key % 4 == 2, F.lit("a\\ b")).otherwise(F.lit("'a b"))
-    return table(spark, sf_dir, "customer").select(key, facts["pretty_name"].alias("pretty_name"), facts["version"].alias("version"), facts["label"].alias("label"), text.first_of(text.key_values(content), ["NONE", "SEGMENT"]).alias("segment"), boot.dequoted(quoted).alias("dequoted"))
+    return table(spark, sf_dir, "customer").select(
+        key,
+        facts["pretty_name"].alias("pretty_name"),
+        facts["version"].alias("version"),
+        facts["label"].alias("label"),
+        text.first_of(text.key_values(content), ["NONE", "SEGMENT"]).alias("segment"),
+        boot.dequoted(quoted).alias("dequoted"),
+    )
 
 
 def boot_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +117,9 @@ def boot_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     addons = of(part.filter("p_size = 2 and p_partkey % 2 = 0"), F.concat(F.lit("/boot/EFI/Linux/u"), key, F.lit(".efi.extra.d/a.efi")), empty)
     kernels = of(part.filter("p_size = 3"), F.concat(F.lit("/usr/lib/modules/6."), key, F.lit("/vmlinuz")), empty)
     initramfs = of(part.filter("p_size = 3 and p_partkey % 2 = 1"), F.concat(F.lit("/usr/lib/modules/6."), key, F.lit("/initramfs.img")), empty)
-    release = spark.createDataFrame([("/usr/lib/os-release", "reg", bytearray(b'PRETTY_NAME="The OS"\nVERSION_ID=4\n'))], "path string, kind string, content binary")
+    release = spark.createDataFrame(
+        [("/usr/lib/os-release", "reg", bytearray(b'PRETTY_NAME="The OS"\nVERSION_ID=4\n'))], "path string, kind string, content binary"
+    )
     return texts.unionAll(found).unionAll(unified).unionAll(addons).unionAll(kernels).unionAll(initramfs).unionAll(release)
 
 
@@ -121,9 +143,13 @@ def boot_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What text entries say and which of their files are there, paths moved and renamed, and kernels written as text entries."""
     found = boot_tree(spark, sf_dir)
     entries = boot.text_entries(found)
-    said = found.filter(F.col("path").endswith(".conf")).select(F.regexp_extract("path", r"(e\d+)\.conf", 1).alias("entry"), F.col("content").cast("string").alias("c"))
+    said = found.filter(F.col("path").endswith(".conf")).select(
+        F.regexp_extract("path", r"(e\d+)\.conf", 1).alias("entry"), F.col("content").cast("string").alias("c")
+    )
     title = said.select(F.lit("title").alias("what"), "entry", F.get(text.ble_values(F.col("c"), "title"), 0).alias("value"))
-    initrd = said.select("entry", F.posexplode(text.ble_values(F.col("c"), "initrd")).alias("n", "value")).select(F.concat(F.lit("initrd "), F.col("n").cast("string")), "entry", "value")
+    initrd = said.select("entry", F.posexplode(text.ble_values(F.col("c"), "initrd")).alias("n", "value")).select(
+        F.concat(F.lit("initrd "), F.col("n").cast("string")), "entry", "value"
+    )
     lines = entries.groupBy("entry_id").agg(F.count("*").cast("string").alias("n")).select(F.lit("lines"), "entry_id", "n")
     files = boot.entry_files(entries, found).select(F.concat(F.lit("file "), "path"), "entry_id", "kind")
     moved = entries.filter("key = 'linux'").select(F.lit("moved"), "entry_id", boot.relocated(F.col("value"), "e", "sub"))
@@ -170,7 +196,9 @@ def archive_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = rows.filter("kind = 'external'").select("object_id", "data").dropDuplicates(["object_id"])
     back = store.reassembled(splitstream.chunk_rows(files), held)
     same = back.join(tars.withColumnRenamed("path", "stream_id"), "stream_id").select("stream_id", (F.col("data") == F.col("content")).alias("same"))
-    of = lambda what, found, value: found.select(F.lit(what).alias("what"), F.col("stream_id").alias("owner"), F.col(value).cast("string").alias("value"))
+    of = lambda what, found, value: found.select(
+        F.lit(what).alias("what"), F.col("stream_id").alias("owner"), F.col(value).cast("string").alias("value")
+    )
     return of("chunks", counts, "n").unionAll(of("objects", counts.filter("objects > 0"), "objects")).unionAll(of("whole", same, "same"))
 
 
@@ -182,7 +210,9 @@ def stream_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = splitstream.encoded(archive.split_rows(formats.archives(spark, sf_dir))).withColumnRenamed("stream_id", "name")
     sized = splitstream.headers(files).select("name", "content", "total_size")
     n = F.col("name").cast("long") % 4
-    body = F.when(n == 1, F.substring("content", F.lit(1), F.octet_length("content") - 9)).when(n == 2, F.concat(F.lit("x").cast("binary"), F.substring("content", 2, 1 << 30))).otherwise(F.col("content"))
+    body = F.when(n == 1, F.substring("content", F.lit(1), F.octet_length("content") - 9)).when(
+        n == 2, F.concat(F.lit("x").cast("binary"), F.substring("content", 2, 1 << 30))
+    ).otherwise(F.col("content"))
     broken = sized.select("name", body.alias("content"), F.when(n == 3, F.col("total_size") + 1).otherwise(F.col("total_size")).alias("total_size"))
     kind = F.when(n == 1, "cut").when(n == 2, "magic").otherwise("size")
     return splitstream.problems(broken).select("name", kind.alias("damage"))

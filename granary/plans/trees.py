@@ -18,15 +18,53 @@ def parts_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     Parts of one size and name share a leaf."""
     part = table(spark, sf_dir, "part")
     nothing = F.create_map().cast(_BINARY)
-    xattrs = F.create_map(F.lit("user.brand").cast("binary"), F.col("p_brand").cast("binary"), F.lit("security.selinux").cast("binary"), F.lit("old_t").cast("binary"))
-    columns = lambda path, kind, leaf, mode, uid, mtime, size, x: [path.alias("path"), kind.alias("kind"), leaf.cast("long").alias("leaf_id"), F.lit(mode).alias("mode"), uid.cast("long").alias("uid"), F.lit(0).cast("long").alias("gid"), mtime.cast("long").alias("mtime"), size.cast("long").alias("size"), x.alias("xattrs")]  # noqa: E731, E501
+    xattrs = F.create_map(
+        F.lit("user.brand").cast("binary"), F.col("p_brand").cast("binary"), F.lit("security.selinux").cast("binary"), F.lit("old_t").cast("binary")
+    )
+    columns = lambda path, kind, leaf, mode, uid, mtime, size, x: [  # noqa: E731, E501
+        path.alias("path"),
+        kind.alias("kind"),
+        leaf.cast("long").alias("leaf_id"),
+        F.lit(mode).alias("mode"),
+        uid.cast("long").alias("uid"),
+        F.lit(0).cast("long").alias("gid"),
+        mtime.cast("long").alias("mtime"),
+        size.cast("long").alias("size"),
+        x.alias("xattrs"),
+    ]
     zero = F.lit(0)
-    files = part.select(*columns(F.concat(F.lit("/usr/"), "p_type", F.lit("/"), F.replace(F.col("p_name"), F.lit(" "), F.lit("-")), F.lit("-"), "p_partkey"), F.lit("reg"), F.floor(F.col("p_partkey") / 2), 0o644, F.col("p_size"), F.col("p_partkey"), F.col("p_size"), xattrs))
+    files = part.select(
+        *columns(
+            F.concat(F.lit("/usr/"), "p_type", F.lit("/"), F.replace(F.col("p_name"), F.lit(" "), F.lit("-")), F.lit("-"), "p_partkey"),
+            F.lit("reg"),
+            F.floor(F.col("p_partkey") / 2),
+            0o644,
+            F.col("p_size"),
+            F.col("p_partkey"),
+            F.col("p_size"),
+            xattrs,
+        )
+    )
     dirs = part.select(F.concat(F.lit("/usr/"), "p_type").alias("path")).distinct()
     dirs = dirs.unionAll(spark.createDataFrame([(x,) for x in ("/", "/usr", "/run", "/boot", "/sysroot", "/run/lock")], "path string"))
-    own = dirs.select(*columns(F.col("path"), F.lit("dir"), F.lit(None), 0o755, F.when(F.col("path") == "/usr", 7).otherwise(0), F.when(F.col("path") == "/usr", 1234).otherwise(1), zero, nothing))
-    run = part.filter("p_size = 1").select(*columns(F.concat(F.lit("/run/lock/"), "p_partkey"), F.lit("reg"), F.col("p_partkey") + 1_000_000, 0o600, zero, zero, zero, nothing))
-    boot = part.filter("p_size = 2").select(*columns(F.concat(F.lit("/boot/"), "p_partkey"), F.lit("reg"), F.col("p_partkey") + 2_000_000, 0o600, zero, zero, zero, nothing))
+    own = dirs.select(
+        *columns(
+            F.col("path"),
+            F.lit("dir"),
+            F.lit(None),
+            0o755,
+            F.when(F.col("path") == "/usr", 7).otherwise(0),
+            F.when(F.col("path") == "/usr", 1234).otherwise(1),
+            zero,
+            nothing,
+        )
+    )
+    run = part.filter("p_size = 1").select(
+        *columns(F.concat(F.lit("/run/lock/"), "p_partkey"), F.lit("reg"), F.col("p_partkey") + 1_000_000, 0o600, zero, zero, zero, nothing)
+    )
+    boot = part.filter("p_size = 2").select(
+        *columns(F.concat(F.lit("/boot/"), "p_partkey"), F.lit("reg"), F.col("p_partkey") + 2_000_000, 0o600, zero, zero, zero, nothing)
+    )
     return files.unionAll(own).unionAll(run).unionAll(boot)
 
 
@@ -87,7 +125,12 @@ def tree_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = parts_tree(spark, sf_dir)
     wanted = rows.filter("size = 5").select("path").unionAll(rows.filter("size = 6").select(F.concat("path", F.lit("/none"))))
     of = lambda what, found, value: found.select(F.lit(what).alias("what"), "path", F.col(value).alias("value"))
-    parts = [of("lookup", tree.lookup(rows, wanted), "kind"), of("child", tree.children(rows, "/usr"), "name"), of("below", tree.below(rows, "/run"), "kind"), of("cleared", tree.cleared(rows, ["/run", "/usr"]), "kind")]
+    parts = [
+        of("lookup", tree.lookup(rows, wanted), "kind"),
+        of("child", tree.children(rows, "/usr"), "name"),
+        of("below", tree.below(rows, "/run"), "kind"),
+        of("cleared", tree.cleared(rows, ["/run", "/usr"]), "kind"),
+    ]
     return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
 
 
@@ -138,7 +181,9 @@ def policy_from_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id % 500 AS dev_ino, arg_min('/u' || user_id || '/' || event_id, ['u' || user_id, CAST(event_id AS VARCHAR)]) AS path FROM events GROUP BY 1""")
 def scanned_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the paths of one inode the first in tree order."""
-    rows = table(spark, sf_dir, "events").select(F.lit(1).alias("dev"), (F.col("event_id") % 500).alias("ino"), F.concat(F.lit("/u"), "user_id", F.lit("/"), "event_id").alias("path"))
+    rows = table(spark, sf_dir, "events").select(
+        F.lit(1).alias("dev"), (F.col("event_id") % 500).alias("ino"), F.concat(F.lit("/u"), "user_id", F.lit("/"), "event_id").alias("path")
+    )
     return tree.scanned_once(rows).select(F.col("ino").alias("dev_ino"), "path")
 
 
@@ -147,12 +192,22 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     whiteouts of the view. Folders of users are put by every tenth event."""
     user = F.concat(F.lit("/u"), "user_id")
     kind = F.col("event_type")
-    name = F.create_map(*(F.lit(x) for pair in {"view": "view", "purchase": "purchase", "signup": "signup", "error": ".wh..wh..opq", "click": ".wh.view"}.items() for x in pair))
+    name = F.create_map(
+        *(F.lit(x) for pair in {"view": "view", "purchase": "purchase", "signup": "signup", "error": ".wh..wh..opq", "click": ".wh.view"}.items() for x in pair)
+    )
     target = F.when(kind == "purchase", F.concat(user, F.lit("/view"))).when(kind == "signup", F.concat(user, F.lit("/purchase")))
     events = table(spark, sf_dir, "events")
     layer = F.datediff("ts", F.lit("2024-01-01")).alias("layer_idx")
-    rows = events.select(layer, (F.col("event_id") * 2).alias("entry_idx"), F.concat(user, F.lit("/"), F.element_at(name, kind)).alias("path"), F.when(target.isNotNull(), "hardlink").otherwise("leaf").alias("item"), target.alias("target"))
-    dirs = events.filter("event_id % 10 = 0").select(layer, (F.col("event_id") * 2 + 1).alias("entry_idx"), user.alias("path"), F.lit("dir").alias("item"), F.lit(None).cast("string").alias("target"))
+    rows = events.select(
+        layer,
+        (F.col("event_id") * 2).alias("entry_idx"),
+        F.concat(user, F.lit("/"), F.element_at(name, kind)).alias("path"),
+        F.when(target.isNotNull(), "hardlink").otherwise("leaf").alias("item"),
+        target.alias("target"),
+    )
+    dirs = events.filter("event_id % 10 = 0").select(
+        layer, (F.col("event_id") * 2 + 1).alias("entry_idx"), user.alias("path"), F.lit("dir").alias("item"), F.lit(None).cast("string").alias("target")
+    )
     return rows.unionAll(dirs)
 
 
@@ -184,16 +239,32 @@ def tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     name = F.when(kind == "click", ".wh.x").when(kind == "error", ".wh..wh..opq").when(kind == "view", ".wh.").otherwise("x.wh.")
     device = F.when(kind == "signup", "chr").otherwise("reg")
-    xattrs = F.create_map(F.when(kind == "error", F.lit("trusted.overlay.opaque")).otherwise("user.x").cast("binary"), F.when(F.col("user_id") % 3 == 0, F.lit("y")).otherwise("x").cast("binary"))
-    return table(spark, sf_dir, "events").select("event_id", fold.whiteout(name).alias("removes"), fold.stored_whiteout(device, F.col("user_id") % 2).alias("stored"), fold.opaque(xattrs).alias("hides"))
+    xattrs = F.create_map(
+        F.when(kind == "error", F.lit("trusted.overlay.opaque")).otherwise("user.x").cast("binary"),
+        F.when(F.col("user_id") % 3 == 0, F.lit("y")).otherwise("x").cast("binary"),
+    )
+    return table(spark, sf_dir, "events").select(
+        "event_id", fold.whiteout(name).alias("removes"), fold.stored_whiteout(device, F.col("user_id") % 2).alias("stored"), fold.opaque(xattrs).alias("hides")
+    )
 
 
-@query("SELECT user_id, event_id, event_type FROM (SELECT *, max(event_id) FILTER (WHERE event_type = 'error') OVER (PARTITION BY user_id) AS mark FROM events) WHERE mark IS NULL OR event_id > mark")
+@query(
+    "SELECT user_id, event_id, event_type FROM (SELECT *, max(event_id) FILTER (WHERE event_type = 'error') OVER (PARTITION BY user_id) AS mark FROM events) WHERE mark IS NULL OR event_id > mark"
+)
 def opaque_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as files of their user, errors as marks that hide all files of the user before them."""
     user = F.concat(F.lit("/u"), "user_id")
     path = F.when(F.col("event_type") == "error", F.concat(user, F.lit("/.wh..wh..opq"))).otherwise(F.concat(user, F.lit("/"), "event_id"))
-    entries = table(spark, sf_dir, "events").select(F.lit(0).alias("layer_idx"), F.col("event_id").alias("entry_idx"), path.alias("path"), F.lit("leaf").alias("item"), F.lit(None).cast("string").alias("target"), "user_id", "event_id", "event_type")
+    entries = table(spark, sf_dir, "events").select(
+        F.lit(0).alias("layer_idx"),
+        F.col("event_id").alias("entry_idx"),
+        path.alias("path"),
+        F.lit("leaf").alias("item"),
+        F.lit(None).cast("string").alias("target"),
+        "user_id",
+        "event_id",
+        "event_type",
+    )
     return fold.folded(entries).select("user_id", "event_id", "event_type")
 
 
@@ -202,7 +273,9 @@ SELECT CAST(user_id % 4 AS VARCHAR) AS image_id, event_type AS kind, count(*) AS
        round(100.0 * sum(length(props)) / sum(sum(length(props))) OVER (PARTITION BY user_id % 4), 6) AS percent FROM events GROUP BY user_id % 4, event_type""")
 def space_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The space of each kind of segment in each image."""
-    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 4).cast("string").alias("image_id"), F.col("event_type").alias("kind"), F.length("props").cast("long").alias("size"))
+    rows = table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 4).cast("string").alias("image_id"), F.col("event_type").alias("kind"), F.length("props").cast("long").alias("size")
+    )
     return debug.space(rows).select("image_id", "kind", "n", "bytes", F.round("percent", 6).alias("percent"))
 
 
@@ -213,7 +286,9 @@ SELECT before, after, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM w W
 def gap_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Padding by what lies on its two sides."""
     kind = F.when(F.col("event_type") == "error", "padding").otherwise(F.col("event_type"))
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("image_id"), F.col("event_id").alias("offset"), kind.alias("kind"), F.length("props").cast("long").alias("size"))
+    rows = table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("image_id"), F.col("event_id").alias("offset"), kind.alias("kind"), F.length("props").cast("long").alias("size")
+    )
     return debug.padding_between(rows)
 
 
@@ -280,10 +355,16 @@ def dump_tree_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     link = F.col("p_partkey") % 10 == 3
     target = F.when(F.col("p_partkey") % 20 == 3, F.lit("/none")).otherwise(F.lit("/first"))
-    value = F.when(link, F.concat(F.lit("/"), "p_type", F.lit("/k"), "p_partkey", F.lit(" 0 @120000 - - - - 0.0 "), target, F.lit(" - -"))).otherwise(F.concat(F.lit("/"), "p_type", F.lit("/k"), "p_partkey", F.lit(" 0 100644 1 0 0 0 1.0 - - -")))
+    value = F.when(link, F.concat(F.lit("/"), "p_type", F.lit("/k"), "p_partkey", F.lit(" 0 @120000 - - - - 0.0 "), target, F.lit(" - -"))).otherwise(
+        F.concat(F.lit("/"), "p_type", F.lit("/k"), "p_partkey", F.lit(" 0 100644 1 0 0 0 1.0 - - -"))
+    )
     rows = part.select((F.col("p_partkey") + 100).alias("line_no"), value.alias("value"))
     types = sorted(r.p_type for r in part.select("p_type").distinct().collect())
-    head = [(0, "/ 0 40755 2 0 0 0 1.0 - - -"), (1, "/first 0 100644 1 0 0 0 1.0 - - -"), *((2 + k, f"/{t} 0 40755 2 0 0 0 1.0 - - -") for k, t in enumerate(types) if t != "PROMO")]
+    head = [
+        (0, "/ 0 40755 2 0 0 0 1.0 - - -"),
+        (1, "/first 0 100644 1 0 0 0 1.0 - - -"),
+        *((2 + k, f"/{t} 0 40755 2 0 0 0 1.0 - - -") for k, t in enumerate(types) if t != "PROMO"),
+    ]
     return dumpfile.tree_errors(dumpfile.parsed(rows.unionAll(spark.createDataFrame(head, "line_no long, value string"))))
 
 
@@ -295,11 +376,21 @@ def path_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folders above a path, the way from it to another, and whether a path is canonical."""
     path = F.concat(F.lit("/"), "p_type", F.lit("/"), F.replace(F.col("p_name"), F.lit(" "), F.lit("/")))
     odd = F.when(F.col("p_partkey") % 8 == 0, F.concat(path, F.lit("/../x"))).when(F.col("p_partkey") % 8 == 4, F.concat(path, F.lit("//x"))).otherwise(path)
-    return table(spark, sf_dir, "part").select("p_partkey", path.alias("path"), F.array_join(paths.ancestors(path), " ").alias("above"), paths.relative_to(F.lit("/x/y"), path).alias("relative"), paths.canonical(odd).alias("canonical"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        path.alias("path"),
+        F.array_join(paths.ancestors(path), " ").alias("above"),
+        paths.relative_to(F.lit("/x/y"), path).alias("relative"),
+        paths.canonical(odd).alias("canonical"),
+    )
 
 
-@query("SELECT event_id, epoch_us(ts) AS us, CAST(((user_id + 4095) // 4096) * 4096 AS BIGINT) AS blocks, CASE WHEN event_type <> 'view' THEN event_type END AS kind FROM events")
+@query(
+    "SELECT event_id, epoch_us(ts) AS us, CAST(((user_id + 4095) // 4096) * 4096 AS BIGINT) AS blocks, CASE WHEN event_type <> 'view' THEN event_type END AS kind FROM events"
+)
 def number_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times as microseconds, sizes rounded up to blocks, and dashes that stand for nothing."""
     kind = F.when(F.col("event_type") == "view", "-").otherwise(F.col("event_type"))
-    return table(spark, sf_dir, "events").select("event_id", text.micros(F.col("ts")).alias("us"), text.round_up(F.col("user_id"), 4096).alias("blocks"), text.optional(kind).alias("kind"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", text.micros(F.col("ts")).alias("us"), text.round_up(F.col("user_id"), 4096).alias("blocks"), text.optional(kind).alias("kind")
+    )

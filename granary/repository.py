@@ -188,7 +188,9 @@ class Repository:
         have = self.table("streams").select("name")
         fresh = files.withColumn("name", F.concat(F.lit("oci-layer-"), "diff_id")).join(have, "name", "left_anti").dropDuplicates(["name"])
         rows = archive.split_rows(fresh.select("name", "content"), "name", algorithm=self.algorithm).persist()
-        names = fresh.select(F.col("name").alias("stream_id"), F.lit(LAYER_TYPE).alias("content_type"), F.lit(None).cast("map<string, string>").alias("named_refs"))
+        names = fresh.select(
+            F.col("name").alias("stream_id"), F.lit(LAYER_TYPE).alias("content_type"), F.lit(None).cast("map<string, string>").alias("named_refs")
+        )
         encoded = splitstream.encoded(rows, names, self.algorithm)
         heads = store.identified(splitstream.headers(encoded), "content", self.algorithm).drop("content").persist()
         broken = heads.filter("error is not null or object_refs is null").select("stream_id", "error").first()
@@ -213,7 +215,13 @@ class Repository:
         if row is not None:
             return row.object_id
         made = store.identified(make(), "data", self.algorithm).withColumn("stream_id", F.lit(name))
-        chunks = made.select("stream_id", "seq", "inline", F.when(F.col("inline").isNull(), F.col("object_id")).alias("object_id"), F.coalesce(F.octet_length("inline"), "size").cast("long").alias("size"))
+        chunks = made.select(
+            "stream_id",
+            "seq",
+            "inline",
+            F.when(F.col("inline").isNull(), F.col("object_id")).alias("object_id"),
+            F.coalesce(F.octet_length("inline"), "size").cast("long").alias("size"),
+        )
         refs = self.spark.createDataFrame([(name, content_type, named_refs or {})], "stream_id string, content_type long, named_refs map<string, string>")
         heads = store.identified(splitstream.headers(splitstream.encoded(chunks, refs, self.algorithm)), "content", self.algorithm)
         head = heads.first()
@@ -292,7 +300,9 @@ class Repository:
 
     def layer_info(self, diff_id: str) -> DataFrame:
         name = f"oci-layer-{diff_id}"
-        sized = self.stream(name).join(self.table("objects").select("object_id", F.col("size").alias("object_size")), "object_id", "left").withColumn("size", F.coalesce("object_size", F.octet_length("inline")))
+        sized = self.stream(name).join(self.table("objects").select("object_id", F.col("size").alias("object_size")), "object_id", "left").withColumn(
+            "size", F.coalesce("object_size", F.octet_length("inline"))
+        )
         return catalog.layer_info(sized, self.ls_layer(diff_id))
 
     # Images.
@@ -306,7 +316,14 @@ class Repository:
         if layers is None:
             raise RepositoryError("no layers")
         text_path = F.when(F.octet_length("path") == 0, "/").otherwise(F.col("path").cast("string"))
-        entries = layers.withColumns({"path": text_path, "item": F.when(F.col("kind") == "dir", "dir").when(F.col("kind") == "hardlink", "hardlink").otherwise("leaf"), "target_bytes": F.col("target"), "target": F.col("target").cast("string")})
+        entries = layers.withColumns(
+            {
+                "path": text_path,
+                "item": F.when(F.col("kind") == "dir", "dir").when(F.col("kind") == "hardlink", "hardlink").otherwise("leaf"),
+                "target_bytes": F.col("target"),
+                "target": F.col("target").cast("string"),
+            }
+        )
         if not fold.invalid(entries).isEmpty():
             raise RepositoryError("an entry without its directory")
         merged = fold.folded(entries)
@@ -325,10 +342,17 @@ class Repository:
         flat = tree.transform_for_oci(flat)
         if for_boot:
             # Labels come from the policy in the tree itself; without one, all labels go.
-            known = flat.join(self.table("objects").select("object_id", "data"), "object_id", "left").select("path", F.coalesce("inline", "data").alias("content"))
+            known = flat.join(self.table("objects").select("object_id", "data"), "object_id", "left").select(
+                "path", F.coalesce("inline", "data").alias("content")
+            )
             policy = label.load_policy(known)
             flat = label.relabelled(tree.emptied_for_boot(flat), *(policy or (None,)))
-        made = flat.select(F.lit("image").alias("image_id"), F.col("path").cast("binary").alias("path"), "leaf_id", *(F.col(x).alias("target") if x == "target_bytes" else F.col(x) for x in values))
+        made = flat.select(
+            F.lit("image").alias("image_id"),
+            F.col("path").cast("binary").alias("path"),
+            "leaf_id",
+            *(F.col(x).alias("target") if x == "target_bytes" else F.col(x) for x in values),
+        )
         return bytes(erofs.image_rows(made, self.algorithm).first().content)
 
     def create_image(self, root: erofs.Node, name: str | None = None) -> str:
@@ -349,7 +373,9 @@ class Repository:
         return image_id
 
     def images(self) -> DataFrame:
-        return self.table("images").join(self.table("objects").select("object_id", F.col("data").alias("content")), "object_id").select(F.col("name").alias("image_id"), "content")
+        return self.table("images").join(self.table("objects").select("object_id", F.col("data").alias("content")), "object_id").select(
+            F.col("name").alias("image_id"), "content"
+        )
 
     def image_objects(self, image_id: str | None = None) -> DataFrame:
         """(image_id, object_id) of what images' metadata name."""
@@ -371,7 +397,9 @@ class Repository:
         lost = [bytes(r.path).decode(errors="replace") for r in rows.filter("kind is null").collect()]
         if lost:
             raise RepositoryError(f"no such paths: {lost}")
-        return rows.select("path", F.concat(F.substring("object_id", 1, 2), F.lit("/"), F.substring("object_id", 3, 1 << 20)).alias("backing_path")) if backing_path_only else rows
+        return rows.select(
+            "path", F.concat(F.substring("object_id", 1, 2), F.lit("/"), F.substring("object_id", 3, 1 << 20)).alias("backing_path")
+        ) if backing_path_only else rows
 
     # Catalog.
 
@@ -405,7 +433,9 @@ class Repository:
         ]
         # A configuration that is there keeps the images that it names.
         whole = {
-            "configs": store.upsert(config_row, self.table("configs").join(config_row.select("digest"), "digest", "left_semi"), ["digest"]).unionByName(self.table("configs").join(config_row.select("digest"), "digest", "left_anti")),
+            "configs": store.upsert(config_row, self.table("configs").join(config_row.select("digest"), "digest", "left_semi"), ["digest"]).unionByName(
+                self.table("configs").join(config_row.select("digest"), "digest", "left_anti")
+            ),
             "manifests": store.upsert(self.table("manifests"), manifest_row, ["digest"]),
         }
         new_streams = self.spark.createDataFrame(stream_rows, SCHEMAS["streams"]).join(self.table("streams").select("name"), "name", "left_anti")
@@ -479,7 +509,9 @@ class Repository:
     def boot_resources(self, image_id: str) -> DataFrame:
         """The boot entries of an image's tree."""
         stored = self.table("objects").select("object_id", "data")
-        rows = self.entries(image_id).join(stored, "object_id", "left").select(F.col("path").cast("string").alias("path"), "kind", F.coalesce("inline", "data").alias("content"))
+        rows = self.entries(image_id).join(stored, "object_id", "left").select(
+            F.col("path").cast("string").alias("path"), "kind", F.coalesce("inline", "data").alias("content")
+        )
         return boot.resources(rows)
 
     # Upkeep.
@@ -490,7 +522,9 @@ class Repository:
         named = self.table("configs").select(F.explode(F.map_values(images)).alias("name"))
         named = named.unionAll(self.spark.createDataFrame([(x,) for x in extra or []], "name string"))
         streams = self.table("streams")
-        kept, kept_streams, kept_images, counts = graph.gc(self.table("objects"), self._plain_refs(), streams, self.table("images"), self.image_objects().withColumnRenamed("image_id", "name"), named)
+        kept, kept_streams, kept_images, counts = graph.gc(
+            self.table("objects"), self._plain_refs(), streams, self.table("images"), self.image_objects().withColumnRenamed("image_id", "name"), named
+        )
         found = counts.toPandas()
         if not dry_run:
             ids = kept.select("object_id")
@@ -501,7 +535,9 @@ class Repository:
                 "configs": self.table("configs").join(ids, "object_id", "left_semi"),
                 "referrers": catalog.dangling_referrers(self.table("referrers"), manifests)[0],
             }
-            self._commit(whole, parts={"objects": self._without_dead("objects", ids, "object_id"), "streams": self._without_dead("streams", kept_streams, "name")})
+            self._commit(
+                whole, parts={"objects": self._without_dead("objects", ids, "object_id"), "streams": self._without_dead("streams", kept_streams, "name")}
+            )
         return self.spark.createDataFrame(found)
 
     def _plain_refs(self) -> DataFrame:
@@ -558,5 +594,20 @@ def dump_lines(root: erofs.Node) -> list[str]:
         nlink = 2 + sum(c.kind == "dir" for c in n.children.values()) if n.kind == "dir" else links[leaf]
         size = n.size if n.object_id is not None else len(n.inline or b"") if n.kind == "reg" else len(n.target) if n.kind == "lnk" else 0
         payload = f"{n.object_id[:2]}/{n.object_id[2:]}".encode() if n.object_id is not None else n.target
-        out.append(dumpfile.line(path, erofs.TYPES[n.kind][1] | n.mode, size, nlink, n.uid, n.gid, n.rdev, n.mtime, payload, n.inline or b"" if n.kind == "reg" else b"", n.object_id, n.xattrs))
+        out.append(
+            dumpfile.line(
+                path,
+                erofs.TYPES[n.kind][1] | n.mode,
+                size,
+                nlink,
+                n.uid,
+                n.gid,
+                n.rdev,
+                n.mtime,
+                payload,
+                n.inline or b"" if n.kind == "reg" else b"",
+                n.object_id,
+                n.xattrs,
+            )
+        )
     return out

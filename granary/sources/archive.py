@@ -20,7 +20,17 @@ from ..functions.digest import verity_bytes
 from ..schemas import INLINE_MAX
 
 XATTR = "SCHILY.xattr."
-_TYPES = {tarfile.REGTYPE: "reg", tarfile.AREGTYPE: "reg", tarfile.CONTTYPE: "reg", tarfile.DIRTYPE: "dir", tarfile.LNKTYPE: "hardlink", tarfile.SYMTYPE: "lnk", tarfile.CHRTYPE: "chr", tarfile.BLKTYPE: "blk", tarfile.FIFOTYPE: "fifo"}
+_TYPES = {
+    tarfile.REGTYPE: "reg",
+    tarfile.AREGTYPE: "reg",
+    tarfile.CONTTYPE: "reg",
+    tarfile.DIRTYPE: "dir",
+    tarfile.LNKTYPE: "hardlink",
+    tarfile.SYMTYPE: "lnk",
+    tarfile.CHRTYPE: "chr",
+    tarfile.BLKTYPE: "blk",
+    tarfile.FIFOTYPE: "fifo",
+}
 
 
 class ArchiveError(ValueError):
@@ -102,7 +112,9 @@ ENTRY = "archive string, entry_idx long, path binary, kind string, mode int, uid
 def entry_rows(files: DataFrame, key: str = "path", content: str = "content", algorithm: str = "sha256") -> DataFrame:
     """Entries of archives in (key, content)."""
     names = [x.strip().split(" ")[0] for x in ENTRY.replace("map<binary, binary>", "map").split(",")]
-    kinds = dict.fromkeys(("archive", "kind", "object_id"), pa.string()) | dict.fromkeys(("path", "target", "inline"), pa.binary()) | {"mode": pa.int32(), "xattrs": pa.map_(pa.binary(), pa.binary())}
+    kinds = dict.fromkeys(("archive", "kind", "object_id"), pa.string()) | dict.fromkeys(("path", "target", "inline"), pa.binary()) | {
+        "mode": pa.int32(), "xattrs": pa.map_(pa.binary(), pa.binary())
+    }
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,10 +136,14 @@ def split_rows(files: DataFrame, key: str = "path", content: str = "content", al
                 rows = []
                 for k, (kind, part) in enumerate(split(body.as_py())):
                     inner = kind == "inline"
-                    rows.append((name, k, kind, part if inner else None, None if inner else verity_bytes(part, algorithm).hex(), len(part), None if inner else part))
+                    rows.append(
+                        (name, k, kind, part if inner else None, None if inner else verity_bytes(part, algorithm).hex(), len(part), None if inner else part)
+                    )
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
-    return files.select(F.col(key).cast("string"), content).mapInArrow(work, "stream_id string, seq long, kind string, inline binary, object_id string, size long, data binary")
+    return files.select(F.col(key).cast("string"), content).mapInArrow(
+        work, "stream_id string, seq long, kind string, inline binary, object_id string, size long, data binary"
+    )
 
 
 # Records of archives taken apart: NDJSON lines, type 1 for a file and type 2 for a segment of bytes.
@@ -203,7 +219,9 @@ def tar_split_lines(data: bytes) -> Iterator[str]:
         yield segment(data[at : m.offset_data])
         at = m.offset_data
         body = data[at : at + m.size] if m.isreg() else b""
-        line = {"type": 1, "name": m.name, "position": position} | ({"size": len(body), "crc64": base64.b64encode(crc64(body).to_bytes(8, "big")).decode()} if body else {})
+        line = {"type": 1, "name": m.name, "position": position} | (
+            {"size": len(body), "crc64": base64.b64encode(crc64(body).to_bytes(8, "big")).decode()} if body else {}
+        )
         position += 1
         yield json.dumps(line)
         at += len(body)

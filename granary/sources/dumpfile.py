@@ -134,9 +134,37 @@ def parse(line: str) -> dict:
     return out
 
 
-def line(path: bytes, mode: int, size: int, nlink: int, uid: int, gid: int, rdev: int, mtime: int, payload: bytes = b"", content: bytes = b"", digest: str | None = None, xattrs: dict[bytes, bytes] | None = None) -> str:
+def line(
+    path: bytes,
+    mode: int,
+    size: int,
+    nlink: int,
+    uid: int,
+    gid: int,
+    rdev: int,
+    mtime: int,
+    payload: bytes = b"",
+    content: bytes = b"",
+    digest: str | None = None,
+    xattrs: dict[bytes, bytes] | None = None,
+) -> str:
     attributes = [f"{escape(k, True, False)}={escape(v, True, False)}" for k, v in sorted((xattrs or {}).items())]
-    return " ".join([escape(path), str(size), f"{mode:o}", str(nlink), str(uid), str(gid), str(rdev), f"{mtime}.0", escape(payload), escape(content), digest or "-", *attributes])
+    return " ".join(
+        [
+            escape(path),
+            str(size),
+            f"{mode:o}",
+            str(nlink),
+            str(uid),
+            str(gid),
+            str(rdev),
+            f"{mtime}.0",
+            escape(payload),
+            escape(content),
+            digest or "-",
+            *attributes,
+        ]
+    )
 
 
 def link_line(path: bytes, target: bytes) -> str:
@@ -176,17 +204,38 @@ def tree_errors(rows: DataFrame) -> DataFrame:
     text = rows.withColumn("p", F.col("path").cast("string")).filter("error is null")
     is_dir = ~F.col("hardlink") & (F.shiftright("mode", 12) == 4)
     known = text.select(F.col("p").alias("known"), F.col("line_no").alias("known_line"), is_dir.alias("known_dir"))
-    first = text.agg(F.min_by("p", "line_no").alias("p"), F.min("line_no").alias("line_no")).filter("p <> '/'").select("line_no", F.lit("the first line is not the root").alias("error"))
+    first = text.agg(F.min_by("p", "line_no").alias("p"), F.min("line_no").alias("line_no")).filter("p <> '/'").select(
+        "line_no", F.lit("the first line is not the root").alias("error")
+    )
     need = text.filter("p <> '/'").withColumn("above", paths.parent(F.col("p")))
-    ok = need.join(known.filter("known_dir"), (F.col("above") == F.col("known")) & (F.col("known_line") < F.col("line_no")), "left_anti").select("line_no", F.lit("no parent directory").alias("error"))
+    ok = need.join(known.filter("known_dir"), (F.col("above") == F.col("known")) & (F.col("known_line") < F.col("line_no")), "left_anti").select(
+        "line_no", F.lit("no parent directory").alias("error")
+    )
     links = text.filter("hardlink").withColumn("target", F.col("payload").cast("string"))
-    lost = links.join(known.filter("not known_dir"), (F.col("target") == F.col("known")) & (F.col("known_line") < F.col("line_no")), "left_anti").select("line_no", F.lit("no target").alias("error"))
+    lost = links.join(known.filter("not known_dir"), (F.col("target") == F.col("known")) & (F.col("known_line") < F.col("line_no")), "left_anti").select(
+        "line_no", F.lit("no target").alias("error")
+    )
     return rows.filter("error is not null").select("line_no", "error").unionAll(first).unionAll(ok).unionAll(lost)
 
 
 def lines_of(rows: DataFrame) -> Column:
     """The line of each row of DUMP's columns, as a string column."""
-    make = F.udf(lambda r: link_line(bytes(r.path), bytes(r.payload)) if r.hardlink else line(bytes(r.path), r.mode, r.size, r.nlink, r.uid, r.gid, r.rdev, r.mtime_sec, bytes(r.payload or b""), bytes(r.content or b""), r.digest, {bytes(k): bytes(v) for k, v in (r.xattrs or {}).items()}), "string")
+    make = F.udf(
+        lambda r: link_line(bytes(r.path), bytes(r.payload)) if r.hardlink else line(
+            bytes(r.path),
+            r.mode,
+            r.size,
+            r.nlink,
+            r.uid,
+            r.gid,
+            r.rdev,
+            r.mtime_sec,
+            bytes(r.payload or b""),
+            bytes(r.content or b""),
+            r.digest,
+            {bytes(k): bytes(v) for k, v in (r.xattrs or {}).items()},
+        ), "string"
+    )
     return make(F.struct(*rows.columns))
 
 

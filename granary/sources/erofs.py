@@ -29,7 +29,9 @@ DIRENT, XATTR, XATTR_HEAD = struct.Struct("<QHBB"), struct.Struct("<BBH"), struc
 PLAIN, INLINE, CHUNKED, EXTENDED = 0, 4, 8, 1
 PREFIXES = (b"", b"user.", b"system.posix_acl_access", b"system.posix_acl_default", b"trusted.", b"lustre.", b"security.")
 FILTER_SEED = 0x25BBE08F
-TYPES = {"reg": (1, 0o100000), "dir": (2, 0o040000), "chr": (3, 0o020000), "blk": (4, 0o060000), "fifo": (5, 0o010000), "sock": (6, 0o140000), "lnk": (7, 0o120000)}
+TYPES = {
+    "reg": (1, 0o100000), "dir": (2, 0o040000), "chr": (3, 0o020000), "blk": (4, 0o060000), "fifo": (5, 0o010000), "sock": (6, 0o140000), "lnk": (7, 0o120000)
+}
 METACOPY, REDIRECT, OVERLAY = b"trusted.overlay.metacopy", b"trusted.overlay.redirect", b"trusted.overlay."
 IMAGE_MAX, DEPTH_MAX = 1 << 30, 2048
 
@@ -197,7 +199,9 @@ def encode(root: Node, algorithm: str = "sha256") -> bytes:
     # Bytes.
     out = bytearray(at)
     struct.pack_into("<IIII", out, 0, HEADER_MAGIC, HEADER_VERSION, 0, LAYOUT_VERSION)
-    SUPER.pack_into(out, 1024, MAGIC, 0, MTIME | XATTR_FILTER, 12, 0, inodes[0].at // NID, len(inodes), 0, 0, at // BLOCK, 0, 0, b"", b"", 0, 0, 0, 0, 0, 0, 0, 0, 0, b"")
+    SUPER.pack_into(
+        out, 1024, MAGIC, 0, MTIME | XATTR_FILTER, 12, 0, inodes[0].at // NID, len(inodes), 0, 0, at // BLOCK, 0, 0, b"", b"", 0, 0, 0, 0, 0, 0, 0, 0, 0, b""
+    )
 
     def attribute(x: tuple[int, bytes, bytes]) -> bytes:
         prefix, suffix, value = x
@@ -213,14 +217,20 @@ def encode(root: Node, algorithm: str = "sha256") -> bytes:
 
     for i in inodes:
         n, meta = i.node, i.meta_size()
-        u = i.block_at // BLOCK if n.kind == "dir" and (i.blocks or not i.tail) else 31 if i.layout == CHUNKED else n.rdev & 0xFFFFFFFF if n.kind in ("chr", "blk") else 0
+        u = i.block_at // BLOCK if n.kind == "dir" and (
+            i.blocks or not i.tail
+        ) else 31 if i.layout == CHUNKED else n.rdev & 0xFFFFFFFF if n.kind in ("chr", "blk") else 0
         count = 1 + (meta - XATTR_HEAD.size) // 4 if meta else 0
-        body = INODE.pack(EXTENDED | i.layout, count, TYPES[n.kind][1] | n.mode & 0xFFFF, 0, i.size, u, i.at // NID, n.uid, n.gid, n.mtime & (1 << 64) - 1, 0, i.nlink, b"")
+        body = INODE.pack(
+            EXTENDED | i.layout, count, TYPES[n.kind][1] | n.mode & 0xFFFF, 0, i.size, u, i.at // NID, n.uid, n.gid, n.mtime & (1 << 64) - 1, 0, i.nlink, b""
+        )
         if meta:
             bits = 0
             for prefix, suffix, _ in i.xattrs:
                 bits |= filter_bit(prefix, suffix)
-            body += XATTR_HEAD.pack(~bits & 0xFFFFFFFF, len(i.shared), b"") + b"".join(struct.pack("<I", places[k] // 4) for k in i.shared) + b"".join(map(attribute, i.local))
+            body += XATTR_HEAD.pack(~bits & 0xFFFFFFFF, len(i.shared), b"") + b"".join(struct.pack("<I", places[k] // 4) for k in i.shared) + b"".join(
+                map(attribute, i.local)
+            )
         body += entries_of(i.tail) if n.kind == "dir" else b"\xff" * 4 if i.layout == CHUNKED else n.target if n.kind == "lnk" else n.inline or b"" if n.kind == "reg" else b""
         out[i.at : i.at + len(body)] = body
         for k, part in enumerate(i.blocks):
@@ -276,7 +286,20 @@ class Image:
         name = next((k for k, v in TYPES.items() if v[1] == mode & 0o170000), None)
         if name is None:
             raise ImageError("a file type")
-        return {"nid": nid, "kind": name, "mode": mode & 0o7777, "size": size, "u": u, "uid": uid, "gid": gid, "mtime": mtime - (1 << 64) if mtime >> 63 else mtime, "nlink": nlink, "layout": layout, "meta": (start, meta), "tail_at": start + meta}
+        return {
+            "nid": nid,
+            "kind": name,
+            "mode": mode & 0o7777,
+            "size": size,
+            "u": u,
+            "uid": uid,
+            "gid": gid,
+            "mtime": mtime - (1 << 64) if mtime >> 63 else mtime,
+            "nlink": nlink,
+            "layout": layout,
+            "meta": (start, meta),
+            "tail_at": start + meta,
+        }
 
     def _attribute(self, at: int) -> tuple[bytes, bytes, int]:
         n, prefix, size = XATTR.unpack(self.part(at, XATTR.size))
@@ -452,7 +475,9 @@ ENTRY = "image_id string, path binary, kind string, leaf_id long, mode int, uid
 def entry_rows(images: DataFrame, key: str = "image_id", content: str = "content", algorithm: str = "sha256") -> DataFrame:
     """The entries of images in (key, content). An image that can't be read is one row with an error."""
     names = [x.strip().split(" ")[0] for x in ENTRY.replace("map<binary, binary>", "map").split(",")]
-    kinds = dict.fromkeys(("image_id", "kind", "object_id", "error"), pa.string()) | dict.fromkeys(("path", "target", "inline"), pa.binary()) | {"mode": pa.int32(), "xattrs": pa.map_(pa.binary(), pa.binary())}
+    kinds = dict.fromkeys(("image_id", "kind", "object_id", "error"), pa.string()) | dict.fromkeys(("path", "target", "inline"), pa.binary()) | {
+        "mode": pa.int32(), "xattrs": pa.map_(pa.binary(), pa.binary())
+    }
 
     plain = ("kind", "mode", "uid", "gid", "mtime", "size", "rdev", "inline", "object_id")
 
@@ -461,7 +486,11 @@ def entry_rows(images: DataFrame, key: str = "image_id", content: str = "content
             found = list(rows_of(decode(data or b"", algorithm)))
         except ImageError as e:
             return [{"image_id": name, "error": str(e)}]
-        return [{"image_id": name, "path": p, "leaf_id": k, "xattrs": list(n.xattrs.items()), "target": n.target or None} | {x: getattr(n, x) for x in plain} for p, n, k in found]
+        return [
+            {"image_id": name, "path": p, "leaf_id": k, "xattrs": list(n.xattrs.items()), "target": n.target or None} | {
+                x: getattr(n, x) for x in plain
+            } for p, n, k in found
+        ]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -488,7 +517,10 @@ def image_rows(entries: DataFrame, algorithm: str = "sha256") -> DataFrame:
 
     def one(rows: list) -> bytes:
         plain = lambda v: bytes(v) if isinstance(v, bytearray) else v
-        return encode(tree_of([{k: {bytes(a): bytes(b) for a, b in v.items()} if k == "xattrs" and v else plain(v) for k, v in r.asDict().items()} for r in rows]), algorithm)
+        return encode(
+            tree_of([{k: {bytes(a): bytes(b) for a, b in v.items()} if k == "xattrs" and v else plain(v) for k, v in r.asDict().items()} for r in rows]),
+            algorithm,
+        )
 
     grouped = entries.groupBy("image_id").agg(F.collect_list(F.struct(*fields)).alias("rows"))
     return grouped.select("image_id", F.udf(one, "binary", useArrow=False)("rows").alias("content"))

@@ -37,7 +37,22 @@ def row(full: bytes, path: bytes) -> tuple:
         xattrs = {os.fsencode(n): os.getxattr(full, n, follow_symlinks=False) for n in os.listxattr(full, follow_symlinks=False)}
     except OSError:
         xattrs = {}
-    return (path, kind, stat.S_IMODE(st.st_mode), st.st_uid, st.st_gid, int(st.st_mtime // 1), st.st_size if kind in ("reg", "lnk") else 0, st.st_rdev if kind in ("chr", "blk") else 0, st.st_dev, st.st_ino, target, inline, object_id, xattrs)
+    return (
+        path,
+        kind,
+        stat.S_IMODE(st.st_mode),
+        st.st_uid,
+        st.st_gid,
+        int(st.st_mtime // 1),
+        st.st_size if kind in ("reg", "lnk") else 0,
+        st.st_rdev if kind in ("chr", "blk") else 0,
+        st.st_dev,
+        st.st_ino,
+        target,
+        inline,
+        object_id,
+        xattrs,
+    )
 
 
 def walk(root: bytes, below: bytes) -> Iterator[tuple]:

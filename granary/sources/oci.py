@@ -29,7 +29,9 @@ def blobs(spark: SparkSession, path: str) -> DataFrame:
 def blob(spark: SparkSession, path: str, digest: str) -> bytes:
     """One small blob, such as a manifest; its digest must hold."""
     kind, _, name = digest.partition(":")
-    row = spark.read.format("binaryFile").load(f"{path}/blobs/{kind}/{name}").select("content", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("real")).first()
+    row = spark.read.format("binaryFile").load(f"{path}/blobs/{kind}/{name}").select(
+        "content", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("real")
+    ).first()
     if row is None or row.real != digest:
         raise LayoutError(f"{digest} has another digest")
     return bytes(row.content)
@@ -63,12 +65,19 @@ def layers(spark: SparkSession, path: str, descriptors: list[dict], diff_ids: li
     of digests go together by position; a layer whose decompressed digest is another is an error row, with a null content."""
     if len(descriptors) != len(diff_ids):
         raise LayoutError(f"{len(descriptors)} layers and {len(diff_ids)} digests")
-    wanted = spark.createDataFrame([(k, d["digest"], i, d.get("mediaType", ""), d.get("size", 0)) for k, (d, i) in enumerate(zip(descriptors, diff_ids, strict=True))], "position int, digest string, diff_id string, media_type string, size long")
+    wanted = spark.createDataFrame(
+        [(k, d["digest"], i, d.get("mediaType", ""), d.get("size", 0)) for k, (d, i) in enumerate(zip(descriptors, diff_ids, strict=True))],
+        "position int, digest string, diff_id string, media_type string, size long",
+    )
     files = [f"{path}/blobs/{d['digest'].replace(':', '/')}" for d in descriptors]
-    found = spark.read.format("binaryFile").load(files).select(F.concat(F.lit("sha256:"), F.regexp_extract("path", r"([0-9a-f]{64})\z", 1)).alias("digest"), "content")
+    found = spark.read.format("binaryFile").load(files).select(
+        F.concat(F.lit("sha256:"), F.regexp_extract("path", r"([0-9a-f]{64})\z", 1)).alias("digest"), "content"
+    )
     rows = wanted.join(found, "digest").withColumn("content", inflated("content", "media_type"))
     ok: Column = F.concat(F.lit("sha256:"), F.sha2("content", 256)) == F.col("diff_id")
-    return rows.select("position", "diff_id", "media_type", is_tar_media_type(F.col("media_type")).alias("is_tar"), F.when(ok, F.col("content")).alias("content"))
+    return rows.select(
+        "position", "diff_id", "media_type", is_tar_media_type(F.col("media_type")).alias("is_tar"), F.when(ok, F.col("content")).alias("content")
+    )
 
 
 def image(spark: SparkSession, path: str, name: str | None = None) -> tuple[str, str, DataFrame]:

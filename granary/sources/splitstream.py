@@ -178,9 +178,15 @@ def chunk_rows(files: DataFrame, key: str = "name", content: str = "content") ->
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = [(name, k, "inline" if isinstance(c, bytes) else "external", c if isinstance(c, bytes) else None, None if isinstance(c, bytes) else c) for k, c in enumerate(decode(data.as_py()).chunks)]
+                rows = [
+                    (
+                        name, k, "inline" if isinstance(c, bytes) else "external", c if isinstance(c, bytes) else None, None if isinstance(c, bytes) else c
+                    ) for k, c in enumerate(decode(data.as_py()).chunks)
+                ]
                 kinds = (pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["stream_id", "seq", "kind", "inline", "object_id"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["stream_id", "seq", "kind", "inline", "object_id"]
+                )
 
     return files.select(F.col(key).cast("string"), content).mapInArrow(work, "stream_id string, seq long, kind string, inline binary, object_id string")
 
@@ -188,7 +194,9 @@ def chunk_rows(files: DataFrame, key: str = "name", content: str = "content") ->
 def encoded(chunks: DataFrame, names: DataFrame | None = None, algorithm: str = "sha256") -> DataFrame:
     """(stream_id, content): a file for each stream of (stream_id, seq, inline, object_id, size); names (stream_id, content_type, named_refs)."""
     rows = chunks.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", "inline", "object_id"))).alias("c"), F.sum("size").alias("total"))
-    rows = rows.join(names, "stream_id", "left") if names is not None else rows.withColumns({"content_type": F.lit(0).cast("long"), "named_refs": F.lit(None).cast("map<string, string>")})
+    rows = rows.join(names, "stream_id", "left") if names is not None else rows.withColumns(
+        {"content_type": F.lit(0).cast("long"), "named_refs": F.lit(None).cast("map<string, string>")}
+    )
 
     def one(parts: list, total: int, kind: int | None, named: dict | None) -> bytes:
         return encode(Stream(kind or 0, [bytes(p.inline) if p.inline is not None else p.object_id for p in parts], named or {}, total or 0, algorithm))

@@ -21,12 +21,16 @@ from . import archive
 def layers(spark: SparkSession, store: str) -> DataFrame:
     """id, parent, diff_digest, diff_size and compressed_size of a store's layers.json."""
     rows = spark.read.schema(LAYERS_JSON).option("multiLine", True).json(f"{store}/overlay-layers/layers.json")
-    return rows.select("id", "parent", F.col("diff-digest").alias("diff_digest"), F.col("diff-size").alias("diff_size"), F.col("compressed-size").alias("compressed_size"))
+    return rows.select(
+        "id", "parent", F.col("diff-digest").alias("diff_digest"), F.col("diff-size").alias("diff_size"), F.col("compressed-size").alias("compressed_size")
+    )
 
 
 def images(spark: SparkSession, store: str) -> DataFrame:
     """id and names of a store's images.json; without names, an empty list."""
-    return spark.read.schema(IMAGES_JSON).option("multiLine", True).json(f"{store}/overlay-images/images.json").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+    return spark.read.schema(IMAGES_JSON).option("multiLine", True).json(f"{store}/overlay-images/images.json").withColumn(
+        "names", F.coalesce("names", F.array().cast("array<string>"))
+    )
 
 
 def every_store(spark: SparkSession, stores: list[str], table=layers) -> DataFrame:  # noqa: ANN001
@@ -46,12 +50,19 @@ def additional_stores(options: str) -> list[str]:
 def config(content: str) -> dict:
     """A storage configuration's driver, roots and additional stores."""
     storage = tomllib.loads(content).get("storage", {})
-    return {"driver": storage.get("driver"), "graphroot": storage.get("graphroot"), "runroot": storage.get("runroot"), "stores": storage.get("options", {}).get("additionalimagestores", [])}
+    return {
+        "driver": storage.get("driver"),
+        "graphroot": storage.get("graphroot"),
+        "runroot": storage.get("runroot"),
+        "stores": storage.get("options", {}).get("additionalimagestores", []),
+    }
 
 
 def diff_ids(config_json: Column) -> Column:
     """A configuration's layer digests without the name of their hash."""
-    return F.transform(F.from_json(config_json, "rootfs struct<diff_ids: array<string>>")["rootfs"]["diff_ids"], lambda x: F.regexp_replace(x, r"\Asha256:", ""))
+    return F.transform(
+        F.from_json(config_json, "rootfs struct<diff_ids: array<string>>")["rootfs"]["diff_ids"], lambda x: F.regexp_replace(x, r"\Asha256:", "")
+    )
 
 
 def config_key(name: str) -> str:
@@ -78,7 +89,9 @@ def named(found: DataFrame, name: str) -> DataFrame:
 
 def image_size(wanted: DataFrame, known: DataFrame) -> DataFrame:
     """(image_id, size): the sum of the sizes of an image's layers, those without a size counting nothing."""
-    return wanted.join(known.select(F.col("id").alias("layer_id"), "diff_size"), "layer_id", "left").groupBy("image_id").agg(F.sum(F.coalesce("diff_size", F.lit(0))).alias("size"))
+    return wanted.join(known.select(F.col("id").alias("layer_id"), "diff_size"), "layer_id", "left").groupBy("image_id").agg(
+        F.sum(F.coalesce("diff_size", F.lit(0))).alias("size")
+    )
 
 
 def chain(known: DataFrame, start: str, depth: int = 500) -> DataFrame:
@@ -91,7 +104,9 @@ def chain(known: DataFrame, start: str, depth: int = 500) -> DataFrame:
 def first_in_chain(files: DataFrame, chained: DataFrame) -> DataFrame:
     """Of files (layer_id, path, ...) the one nearest to the start of the chain for each path."""
     values = [x for x in files.columns if x != "path"]
-    return files.join(chained.withColumnRenamed("id", "layer_id"), "layer_id").groupBy("path").agg(F.min_by(F.struct(*values), "depth").alias("hit"), F.min("depth").alias("depth")).select("path", "depth", "hit.*")
+    return files.join(
+        chained.withColumnRenamed("id", "layer_id"), "layer_id"
+    ).groupBy("path").agg(F.min_by(F.struct(*values), "depth").alias("hit"), F.min("depth").alias("depth")).select("path", "depth", "hit.*")
 
 
 def lower_links(lower: Column) -> Column:
@@ -126,7 +141,9 @@ def zipped(images: DataFrame) -> DataFrame:
     x, y = F.size("layer_ids"), F.size("diff_ids")
     error = F.when(x != y, F.concat(x.cast("string"), F.lit(" layers and "), y.cast("string"), F.lit(" digests")))
     pairs = F.when(error.isNull(), F.arrays_zip("layer_ids", "diff_ids"))
-    return images.select("image_id", error.alias("error"), F.posexplode_outer(pairs).alias("position", "pair")).select("image_id", "position", F.col("pair.layer_ids").alias("layer_id"), F.col("pair.diff_ids").alias("diff_id"), "error")
+    return images.select("image_id", error.alias("error"), F.posexplode_outer(pairs).alias("position", "pair")).select(
+        "image_id", "position", F.col("pair.layer_ids").alias("layer_id"), F.col("pair.diff_ids").alias("diff_id"), "error"
+    )
 
 
 def layer_archives(wanted: DataFrame, store: str) -> DataFrame:
@@ -164,7 +181,9 @@ def image_layers(spark: SparkSession, store: str, image_id: str) -> tuple[str, s
     manifest = read("manifest")
     config_json = read(config_key(json.loads(manifest)["config"]["digest"]))
     wanted = json.loads(config_json).get("rootfs", {}).get("diff_ids", [])
-    top = spark.read.schema("id string, layer string").option("multiLine", True).json(f"{store}/overlay-images/images.json").filter(F.col("id") == image_id).first()
+    top = spark.read.schema("id string, layer string").option("multiLine", True).json(f"{store}/overlay-images/images.json").filter(
+        F.col("id") == image_id
+    ).first()
     known = layers(spark, store)
     chained = [r.id for r in chain(known, top.layer).orderBy("depth").collect()] if top and top.layer else []
     # The chain begins with the top layer, the digests with the lowest one.

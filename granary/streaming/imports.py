@@ -16,7 +16,9 @@ def into_store(path: str, data: str = "data", algorithm: str | None = None) -> C
 
     def add(batch: DataFrame, _: int) -> None:
         spark: SparkSession = batch.sparkSession
-        rows = store.identified(batch, data, algorithm).selectExpr("object_id", "size", f"cast(`{data}` as binary) as data", "substring(object_id, 1, 2) as fan")
+        rows = store.identified(batch, data, algorithm).selectExpr(
+            "object_id", "size", f"cast(`{data}` as binary) as data", "substring(object_id, 1, 2) as fan"
+        )
         try:
             held = spark.read.schema("object_id string, size long, data binary, fan string").parquet(path)
             new = store.absent(rows, held, ("fan", "object_id"))

@@ -31,11 +31,23 @@ def any_tree(rnd):
 
     def stat():
         names = [b"user.a", b"security.capability", b"trusted.overlay.opaque", b"odd", b"user." + rnd.randbytes(3).replace(b"\0", b"x")]
-        return {"mode": rnd.randrange(0o10000), "uid": rnd.randrange(1 << 32), "gid": rnd.randrange(1 << 32), "mtime": rnd.randrange(-5, 1 << 34), "xattrs": {rnd.choice(names): rnd.choice([b"", b"v", rnd.randbytes(rnd.randrange(900))]) for _ in range(rnd.randrange(4))}}
+        return {
+            "mode": rnd.randrange(0o10000),
+            "uid": rnd.randrange(1 << 32),
+            "gid": rnd.randrange(1 << 32),
+            "mtime": rnd.randrange(-5, 1 << 34),
+            "xattrs": {rnd.choice(names): rnd.choice([b"", b"v", rnd.randbytes(rnd.randrange(900))]) for _ in range(rnd.randrange(4))},
+        }
 
     def leaf():
         kind = rnd.choice(["reg", "reg", "big", "lnk", "chr", "blk", "fifo", "sock"])
-        extra = {"reg": {"inline": rnd.randbytes(rnd.randrange(65))}, "big": {"object_id": rnd.randbytes(32).hex(), "size": rnd.randrange(1 << 40)}, "lnk": {"target": rnd.randbytes(rnd.randrange(1, 1025))}, "chr": {"rdev": rnd.randrange(1 << 32)}, "blk": {"rdev": 0}}.get(kind, {})
+        extra = {
+            "reg": {"inline": rnd.randbytes(rnd.randrange(65))},
+            "big": {"object_id": rnd.randbytes(32).hex(), "size": rnd.randrange(1 << 40)},
+            "lnk": {"target": rnd.randbytes(rnd.randrange(1, 1025))},
+            "chr": {"rdev": rnd.randrange(1 << 32)},
+            "blk": {"rdev": 0},
+        }.get(kind, {})
         leaves.append(Node("reg" if kind == "big" else kind, **stat(), **extra))
         return leaves[-1]
 
@@ -52,7 +64,23 @@ def any_tree(rnd):
 
 
 def shape(root):
-    return [(p, k, n.kind, n.mode, n.uid, n.gid, n.mtime, n.xattrs, n.inline if n.kind == "reg" else None, n.object_id, n.size if n.object_id else 0, n.rdev, n.target) for p, n, k in erofs.rows_of(root)]
+    return [
+        (
+            p,
+            k,
+            n.kind,
+            n.mode,
+            n.uid,
+            n.gid,
+            n.mtime,
+            n.xattrs,
+            n.inline if n.kind == "reg" else None,
+            n.object_id,
+            n.size if n.object_id else 0,
+            n.rdev,
+            n.target,
+        ) for p, n, k in erofs.rows_of(root)
+    ]
 
 
 def test_trees_come_back():

@@ -112,7 +112,14 @@ def test_cases(spark, name):
 
 
 def test_invalid_entries_are_found(spark):
-    rows = [(0, 0, "/a", "leaf", None), (0, 1, "/a/b", "leaf", None), (0, 2, "/c", "dir", None), (0, 3, "/.wh.c", "leaf", None), (1, 0, "/c/d", "leaf", None), (1, 1, "/", "leaf", None)]
+    rows = [
+        (0, 0, "/a", "leaf", None),
+        (0, 1, "/a/b", "leaf", None),
+        (0, 2, "/c", "dir", None),
+        (0, 3, "/.wh.c", "leaf", None),
+        (1, 0, "/c/d", "leaf", None),
+        (1, 1, "/", "leaf", None),
+    ]
     frame = spark.createDataFrame(rows, "layer_idx int, entry_idx long, path string, item string, target string")
     assert sorted((r.layer_idx, r.entry_idx) for r in fold.invalid(frame).collect()) == [(0, 1), (1, 0), (1, 1)]
 

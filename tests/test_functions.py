@@ -35,7 +35,9 @@ def test_paths(spark):
     assert column(spark, given, paths.name) == ["", "a", "b", "c"]
     assert column(spark, given, lambda c: paths.ancestors(c, itself=True)) == [["/"], ["/", "/a"], ["/", "/a", "/a/b"], ["/", "/a-b", "/a-b/c"]]
     assert column(spark, ["a/b/", "/a", "/", "", "./x"], paths.absolute) == ["/a/b", "/a", "", "", "/./x"]
-    assert column(spark, ["/", "/a/b", "a", "/a/", "//a", "/a/./b", "/..", "/" + "x" * 4096], paths.canonical) == [True, True, False, False, False, False, False, False]
+    assert column(spark, ["/", "/a/b", "a", "/a/", "//a", "/a/./b", "/..", "/" + "x" * 4096], paths.canonical) == [
+        True, True, False, False, False, False, False, False
+    ]
     frame = spark.createDataFrame([("/images/x", "/images/refs/a/b")], "t string, l string")
     assert frame.select(paths.relative_to(F.col("t"), F.col("l"))).first()[0] == "../../../images/x"
 
@@ -77,11 +79,28 @@ def test_numbers_and_bytes(spark):
 
 def test_labels(spark):
     rules = label.rules(["# comment", "", "/.* -- any_file", "/.* -d any_dir", "/etc(/.*)? etc_t", "/etc/shadow -- shadow_t", "/run/.* <<none>>"])
-    frame = spark.createDataFrame([("/x", "reg"), ("/x", "dir"), ("/etc", "dir"), ("/etc/shadow", "reg"), ("/etc/shadow", "lnk"), ("/run/a", "reg"), ("/dev/null", "chr"), ("/a\nb", "reg")], "path string, kind string")
+    frame = spark.createDataFrame(
+        [
+            ("/x", "reg"),
+            ("/x", "dir"),
+            ("/etc", "dir"),
+            ("/etc/shadow", "reg"),
+            ("/etc/shadow", "lnk"),
+            ("/run/a", "reg"),
+            ("/dev/null", "chr"),
+            ("/a\nb", "reg"),
+        ],
+        "path string, kind string",
+    )
     got = frame.select(label.label(F.col("path"), F.col("kind"), rules).alias("l")).collect()
     assert [r.l for r in got] == ["any_file", "any_dir", "etc_t", "shadow_t", "etc_t", None, None, "any_file"]
-    assert column(spark, ["/lib64/x/y", "/a/b", "/", "/lib64"], lambda c: label.aliased(c, {"/lib64": "/usr/lib", "/usr/lib/x": "/z"})) == ["/z/y", "/a/b", "/", "/usr/lib"]
-    tree = spark.createDataFrame([("/a", "reg", 1, {}), ("/etc/b", "reg", 1, {"security.selinux": "old", "k": "v"}), ("/etc", "dir", None, {})], "path string, kind string, leaf_id long, xattrs map<string, string>")
+    assert column(spark, ["/lib64/x/y", "/a/b", "/", "/lib64"], lambda c: label.aliased(c, {"/lib64": "/usr/lib", "/usr/lib/x": "/z"})) == [
+        "/z/y", "/a/b", "/", "/usr/lib"
+    ]
+    tree = spark.createDataFrame(
+        [("/a", "reg", 1, {}), ("/etc/b", "reg", 1, {"security.selinux": "old", "k": "v"}), ("/etc", "dir", None, {})],
+        "path string, kind string, leaf_id long, xattrs map<string, string>",
+    )
     got = {r.path: r.xattrs for r in label.relabelled(tree, rules).collect()}
     assert got == {"/a": {"security.selinux": "etc_t"}, "/etc/b": {"k": "v", "security.selinux": "etc_t"}, "/etc": {"security.selinux": "etc_t"}}
     assert {r.path: r.xattrs for r in label.relabelled(tree, None).collect()} == {"/a": {}, "/etc/b": {"k": "v"}, "/etc": {}}
@@ -131,5 +150,7 @@ def test_labels_try_rules_from_the_last():
 
     found = tuple(label.rules(["/.* any", "/usr/bin/?x y", "/usr(/.*)? usr", r"/a\.b+ dots", "/(x|y)z -- alt", "/u{2}v rep", "/etc/.* <<none>>"]))
     of = lambda s: label.context_of(s, found)
-    assert [of(x + "-") for x in ("/q", "/usr", "/usr/bin", "/a.b", "/a.bb", "/axb", "/xz", "/yz", "/uuv", "/etc/q")] == ["any", "usr", "usr", "dots", "dots", "any", "alt", "alt", "rep", None]
+    assert [of(x + "-") for x in ("/q", "/usr", "/usr/bin", "/a.b", "/a.bb", "/axb", "/xz", "/yz", "/uuv", "/etc/q")] == [
+        "any", "usr", "usr", "dots", "dots", "any", "alt", "alt", "rep", None
+    ]
     assert of("/xzd") == "any" and label.context_of("/binx-", tuple(label.rules(["/bi?nx one"]))) == "one"

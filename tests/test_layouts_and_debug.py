@@ -24,7 +24,10 @@ def layout(at, tag="app:1", spoil=False):
         return {"digest": f"sha256:{name}", "size": len(body)}
 
     tars = [tar_of(BASE), tar_of(TOP)]
-    layers = [put(gzip.compress(tars[0])) | {"mediaType": "application/vnd.oci.image.layer.v1.tar+gzip"}, put(zstandard.compress(tars[1])) | {"mediaType": "application/vnd.oci.image.layer.v1.tar+zstd"}]
+    layers = [
+        put(gzip.compress(tars[0])) | {"mediaType": "application/vnd.oci.image.layer.v1.tar+gzip"},
+        put(zstandard.compress(tars[1])) | {"mediaType": "application/vnd.oci.image.layer.v1.tar+zstd"},
+    ]
     ids = ["sha256:" + hashlib.sha256(t).hexdigest() for t in tars]
     config = put(json.dumps({"architecture": "amd64", "rootfs": {"diff_ids": ids[::-1] if spoil else ids}}).encode())
     manifest = put(json.dumps({"config": config | {"mediaType": catalog.CONFIG_MEDIA_TYPE}, "layers": layers}).encode())
@@ -73,7 +76,12 @@ def test_hexdump():
 
 
 def test_policies_are_loaded_from_a_tree(spark):
-    files = {"/etc/selinux/config": "# x\nselinuxtype = mine\nSELINUXTYPE=other\n", "/etc/selinux/mine/contexts/files/file_contexts": "/.* any\n", "/etc/selinux/mine/contexts/files/file_contexts.local": "/a mine\n", "/etc/selinux/mine/contexts/files/file_contexts.subs": "/x /y\n"}
+    files = {
+        "/etc/selinux/config": "# x\nselinuxtype = mine\nSELINUXTYPE=other\n",
+        "/etc/selinux/mine/contexts/files/file_contexts": "/.* any\n",
+        "/etc/selinux/mine/contexts/files/file_contexts.local": "/a mine\n",
+        "/etc/selinux/mine/contexts/files/file_contexts.subs": "/x /y\n",
+    }
     tree = spark.createDataFrame(list(files.items()), "path string, content string")
     rules, aliases = label.load_policy(tree)
     assert [c for _, c in rules] == ["any", "mine"] and aliases == {"/x": "/y"}

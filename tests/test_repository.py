@@ -14,14 +14,38 @@ def image(spark, repo, tag, layers):
     tars = [tar_of(x) for x in layers]
     ids = ["sha256:" + hashlib.sha256(t).hexdigest() for t in tars]
     config = json.dumps({"architecture": "arm64", "os": "linux", "rootfs": {"type": "layers", "diff_ids": ids}})
-    manifest = json.dumps({"config": {"mediaType": catalog.CONFIG_MEDIA_TYPE, "digest": "sha256:" + hashlib.sha256(config.encode()).hexdigest()}, "layers": [{"digest": i} for i in ids]})
+    manifest = json.dumps(
+        {
+            "config": {"mediaType": catalog.CONFIG_MEDIA_TYPE, "digest": "sha256:" + hashlib.sha256(config.encode()).hexdigest()},
+            "layers": [{"digest": i} for i in ids],
+        }
+    )
     frame = spark.createDataFrame(list(zip(ids, map(bytearray, tars), strict=True)), "diff_id string, content binary")
     return repo.pull(manifest, config, frame, tag), ids, tars
 
 
 DIR, REG, LNK, HARD = tarfile.DIRTYPE, tarfile.REGTYPE, tarfile.SYMTYPE, tarfile.LNKTYPE
-BASE = [("usr", DIR, b""), ("usr/bin", DIR, b""), ("usr/bin/a", REG, b"x" * 500), ("usr/bin/b", REG, b"small"), ("usr/bin/c", HARD, "usr/bin/a"), ("run", DIR, b""), ("run/x", REG, b"gone"), ("etc", DIR, b""), ("etc/old", REG, b"o")]
-TOP = [("etc", DIR, b""), ("etc/.wh.old", REG, b""), ("etc/new", REG, b"n" * 65), ("usr/lib", DIR, b""), ("usr/lib/modules", DIR, b""), ("usr/lib/modules/6.1", DIR, b""), ("usr/lib/modules/6.1/vmlinuz", REG, b"k" * 100), ("usr/lib/os-release", LNK, "x")]
+BASE = [
+    ("usr", DIR, b""),
+    ("usr/bin", DIR, b""),
+    ("usr/bin/a", REG, b"x" * 500),
+    ("usr/bin/b", REG, b"small"),
+    ("usr/bin/c", HARD, "usr/bin/a"),
+    ("run", DIR, b""),
+    ("run/x", REG, b"gone"),
+    ("etc", DIR, b""),
+    ("etc/old", REG, b"o"),
+]
+TOP = [
+    ("etc", DIR, b""),
+    ("etc/.wh.old", REG, b""),
+    ("etc/new", REG, b"n" * 65),
+    ("usr/lib", DIR, b""),
+    ("usr/lib/modules", DIR, b""),
+    ("usr/lib/modules/6.1", DIR, b""),
+    ("usr/lib/modules/6.1/vmlinuz", REG, b"k" * 100),
+    ("usr/lib/os-release", LNK, "x"),
+]
 
 
 @pytest.mark.parametrize("algorithm", ["sha256", "sha512"])
@@ -45,7 +69,22 @@ def test_from_layers_to_image_and_back(spark, tmp_path, algorithm):
     assert again.mount_image("app/one:1") == image_id == again.mount_image("@" + digest)
     lines = again.create_dumpfile(image_id)
     listed = [x.split(" ")[0] for x in lines]
-    assert listed == ["/", "/etc", "/etc/new", "/run", "/usr", "/usr/bin", "/usr/bin/a", "/usr/bin/b", "/usr/bin/c", "/usr/lib", "/usr/lib/modules", "/usr/lib/modules/6.1", "/usr/lib/modules/6.1/vmlinuz", "/usr/lib/os-release"]
+    assert listed == [
+        "/",
+        "/etc",
+        "/etc/new",
+        "/run",
+        "/usr",
+        "/usr/bin",
+        "/usr/bin/a",
+        "/usr/bin/b",
+        "/usr/bin/c",
+        "/usr/lib",
+        "/usr/lib/modules",
+        "/usr/lib/modules/6.1",
+        "/usr/lib/modules/6.1/vmlinuz",
+        "/usr/lib/os-release",
+    ]
     assert lines[8] == "/usr/bin/c 0 @120000 - - - - 0.0 /usr/bin/a - -"
     assert again.image_objects(image_id).count() == 3
     assert again.dump_files(image_id, ["/usr/bin/a"], True).first().backing_path[2] == "/"
@@ -71,8 +110,21 @@ def test_from_layers_to_image_and_back(spark, tmp_path, algorithm):
 
 def test_boot_entries_and_labels(spark, tmp_path):
     repo = Repository.init(spark, f"file://{tmp_path}/repo")
-    policy = [("etc/selinux", DIR, b""), ("etc/selinux/config", REG, b"SELINUXTYPE=p\n"), *((f"etc/selinux/p{x}", DIR, b"") for x in ("", "/contexts", "/contexts/files")), ("etc/selinux/p/contexts/files/file_contexts", REG, b"/.* any_t\n/usr/bin/.* -- bin_t\n")]
-    extra = [("usr/lib/modules/6.1/initramfs.img", REG, b"i"), ("boot", DIR, b""), ("boot/loader", DIR, b""), ("boot/loader/entries", DIR, b""), ("boot/loader/entries/x.conf", REG, b"title A b\nlinux /v\n# no\ninitrd /i1\ninitrd /i2\n"), ("boot/v", REG, b"v"), ("sysroot", DIR, b"")]
+    policy = [
+        ("etc/selinux", DIR, b""),
+        ("etc/selinux/config", REG, b"SELINUXTYPE=p\n"),
+        *((f"etc/selinux/p{x}", DIR, b"") for x in ("", "/contexts", "/contexts/files")),
+        ("etc/selinux/p/contexts/files/file_contexts", REG, b"/.* any_t\n/usr/bin/.* -- bin_t\n"),
+    ]
+    extra = [
+        ("usr/lib/modules/6.1/initramfs.img", REG, b"i"),
+        ("boot", DIR, b""),
+        ("boot/loader", DIR, b""),
+        ("boot/loader/entries", DIR, b""),
+        ("boot/loader/entries/x.conf", REG, b"title A b\nlinux /v\n# no\ninitrd /i1\ninitrd /i2\n"),
+        ("boot/v", REG, b"v"),
+        ("sysroot", DIR, b""),
+    ]
     image(spark, repo, "app", [BASE, TOP + policy + extra])
     plain = repo.mount_image("app")
     assert [tuple(r) for r in repo.boot_resources(plain).collect()] == [(1, "x"), (3, "6.1")]
@@ -137,7 +189,10 @@ def test_damage_is_reported(spark, tmp_path):
     ids = [verity_bytes(x, "sha512").hex() for x in (bad_stream, bad_image)]
     streams = spark.createDataFrame([("odd", ids[0], 0, 5, [], {})], repo.table("streams").schema)
     images = repo.table("images").unionByName(spark.createDataFrame([(ids[1], ids[1])], "name string, object_id string"))
-    repo._commit({"images": images}, {"objects": repo._new_objects(spark.createDataFrame([(bytearray(bad_stream),), (bytearray(bad_image),)], "data binary")), "streams": streams})
+    repo._commit(
+        {"images": images},
+        {"objects": repo._new_objects(spark.createDataFrame([(bytearray(bad_stream),), (bytearray(bad_image),)], "data binary")), "streams": streams},
+    )
     assert sorted((r.type, r.path) for r in repo.fsck().collect()) == [("unreadable image", f"images/{ids[1]}"), ("unreadable stream", "streams/odd")]
     assert repo.fsck("app").count() == 0
     with pytest.raises(Exception, match="magic|image|short"):
@@ -153,7 +208,9 @@ def test_blobs_names_and_upgrades(spark, tmp_path):
         repo.open_blob("sha256:none")
     config = "{}"
     layers = [{"digest": digest, "mediaType": "text/plain"}, {"digest": digest, "mediaType": "application/vnd.oci.image.layer.v1.tar"}]
-    manifest = json.dumps({"config": {"mediaType": "application/x-artifact", "digest": "sha256:" + hashlib.sha256(config.encode()).hexdigest()}, "layers": layers})
+    manifest = json.dumps(
+        {"config": {"mediaType": "application/x-artifact", "digest": "sha256:" + hashlib.sha256(config.encode()).hexdigest()}, "layers": layers}
+    )
     repo.pull(manifest, config, spark.createDataFrame([], "diff_id string, content binary"), "dir/art")
     assert repo.open_layer("dir/art", 0) == b"blob" * 100
     for position in (1, 2):

@@ -55,7 +55,9 @@ def test_bad_lines_are_errors(line):
 
 
 def test_lines_that_do_not_fit_together(spark):
-    lines = ["/a 0 100644 1 0 0 0 0.0 - - -", "/a/b 0 100644 1 0 0 0 0.0 - - -", "/l 0 @120000 - - - - 0.0 /later - -", "/later 0 100644 1 0 0 0 0.0 - - -", "bad"]
+    lines = [
+        "/a 0 100644 1 0 0 0 0.0 - - -", "/a/b 0 100644 1 0 0 0 0.0 - - -", "/l 0 @120000 - - - - 0.0 /later - -", "/later 0 100644 1 0 0 0 0.0 - - -", "bad"
+    ]
     rows = dumpfile.parsed(spark.createDataFrame(list(enumerate(lines)), "line_no long, value string"))
     errors = sorted((r.line_no, r.error) for r in dumpfile.tree_errors(rows).collect())
     assert (0, "the first line is not the root") in errors and (1, "no parent directory") in errors and (2, "no target") in errors and errors[-1][0] == 4
@@ -81,7 +83,16 @@ def test_streams_come_back():
 
 def test_damaged_streams_are_refused():
     data = splitstream.encode(splitstream.Stream(5, [b"abc", "0" * 64], {"n": "1" * 64}, 3))
-    for bad in (b"", data[:31], b"X" + data[1:], data[:11] + b"\1" + data[12:], data[:14] + b"\2" + data[15:], data[:15] + b"\x10" + data[16:], data[:40], data[:16] + b"\xff" * 16 + data[32:]):
+    for bad in (
+        b"",
+        data[:31],
+        b"X" + data[1:],
+        data[:11] + b"\1" + data[12:],
+        data[:14] + b"\2" + data[15:],
+        data[:15] + b"\x10" + data[16:],
+        data[:40],
+        data[:16] + b"\xff" * 16 + data[32:],
+    ):
         with pytest.raises(splitstream.StreamError):
             splitstream.decode(bad)
     with pytest.raises(splitstream.StreamError):
@@ -103,7 +114,14 @@ def tar_of(files):
     return out.getvalue()
 
 
-FILES = [("d/", tarfile.DIRTYPE, b""), *((f"d/f{n}" + "x" * (n % 150), tarfile.REGTYPE, bytes(n % 251 for _ in range(n))) for n in (0, 1, 63, 64, 65, 511, 512, 513, 1025, 100_000)), ("d/s", tarfile.SYMTYPE, "../t"), ("d/h", tarfile.LNKTYPE, "d/f65"), ("p", tarfile.FIFOTYPE, ""), ("same", tarfile.REGTYPE, b"\1" * 513)]
+FILES = [
+    ("d/", tarfile.DIRTYPE, b""),
+    *((f"d/f{n}" + "x" * (n % 150), tarfile.REGTYPE, bytes(n % 251 for _ in range(n))) for n in (0, 1, 63, 64, 65, 511, 512, 513, 1025, 100_000)),
+    ("d/s", tarfile.SYMTYPE, "../t"),
+    ("d/h", tarfile.LNKTYPE, "d/f65"),
+    ("p", tarfile.FIFOTYPE, ""),
+    ("same", tarfile.REGTYPE, b"\1" * 513),
+]
 
 
 def test_archives_split_and_come_back(spark):
@@ -161,13 +179,17 @@ def test_storage(spark, tmp_path):
         base = tmp_path / f"s{rank}"
         (base / "overlay-layers").mkdir(parents=True)
         (base / "overlay-images").mkdir()
-        (base / "overlay-layers/layers.json").write_text(json.dumps([{"id": x, "parent": f"l{int(x[1]) - 1}" if x != "l1" else None, "diff-digest": f"sha256:{x}", "diff-size": 10 + rank} for x in ids]))
+        (base / "overlay-layers/layers.json").write_text(
+            json.dumps([{"id": x, "parent": f"l{int(x[1]) - 1}" if x != "l1" else None, "diff-digest": f"sha256:{x}", "diff-size": 10 + rank} for x in ids])
+        )
         (base / "overlay-images/images.json").write_text(json.dumps([{"id": "i1", "names": ["docker.io/library/busybox:latest"]}, {"id": "i2"}]))
     layers = storage.every_store(spark, [f"{tmp_path}/s0", f"{tmp_path}/s1"])
     wanted = spark.createDataFrame([(0, "sha256:l2"), (1, "sha256:no"), (2, "sha256:l3")], "position int, diff_digest string")
     assert [(r.id, r.store_rank) for r in storage.resolved(wanted, layers).orderBy("position").collect()] == [("l2", 0), (None, None), ("l3", 1)]
     images = storage.images(spark, f"{tmp_path}/s0")
-    assert [storage.named(images, n).first().id for n in ("docker.io/library/busybox:latest", "busybox:latest", "busybox")] == ["i1"] * 3 and storage.named(images, "box").isEmpty()
+    assert [
+        storage.named(images, n).first().id for n in ("docker.io/library/busybox:latest", "busybox:latest", "busybox")
+    ] == ["i1"] * 3 and storage.named(images, "box").isEmpty()
     chained = storage.chain(layers, "l3")
     assert {r.id: r.depth for r in chained.collect()} == {"l3": 0, "l2": 1, "l1": 2}
     files = spark.createDataFrame([("l1", "/a", 1), ("l2", "/a", 2), ("l1", "/b", 3)], "layer_id string, path string, size int")
@@ -185,4 +207,6 @@ def test_directories_are_scanned(spark, tmp_path):
     spark.dataSource.register(TreeSource)
     rows = {bytes(r.path): r for r in spark.read.format("granary_tree").load(f"{tmp_path}/t").collect()}
     assert set(rows) == {b"/", b"/a", b"/a/small", b"/a-big", b"/link", b"/sym"}
-    assert bytes(rows[b"/a/small"].inline) == b"x" * 64 and rows[b"/a-big"].inline is None and rows[b"/a-big"].ino == rows[b"/link"].ino and bytes(rows[b"/sym"].target) == b"a"
+    assert bytes(
+        rows[b"/a/small"].inline
+    ) == b"x" * 64 and rows[b"/a-big"].inline is None and rows[b"/a-big"].ino == rows[b"/link"].ino and bytes(rows[b"/sym"].target) == b"a"
