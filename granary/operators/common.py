@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 def ensure_checkpoints(spark: SparkSession) -> None:
     """Uses the cluster's checkpoint folder; sets one only where there is none, as in local tests."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="granary-"))
 
 

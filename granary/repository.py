@@ -24,7 +24,8 @@ from . import schemas
 from .functions.digest import object_path as digest_path
 from .functions.digest import verity_bytes
 from .operators import boot, catalog, check, fold, graph, label, store, tree
-from .sources import archive, dumpfile, erofs, filesystem, oci, splitstream, storage
+from .operators.common import cut
+from .sources import archive, dumpfile, erofs, filesystem, mirror, oci, splitstream, storage
 
 ORDER = ("objects", "streams", "images", "manifests", "configs", "referrers", "refs")
 SCHEMAS = {
@@ -559,6 +560,66 @@ class Repository:
         lost_images = erofs.problems(self.images(), algorithm=self.algorithm).withColumnRenamed("image_id", "name")
         return check.union(found, check.unreadable("streams", splitstream.problems(bodies)), check.unreadable("images", lost_images), tagged)
 
+    def pull_registry(self, base: str, repository: str, reference: str, name: str | None = None, headers: dict[str, str] | None = None) -> str:
+        """Imports an image from a registry; the manifest's digest."""
+        return self.pull(*mirror.image(self.spark, base, repository, reference, headers), name)
+
+    def fetch_http(self, base: str, stream: str) -> int:
+        """Copies a stream and all that it reaches from a mirror of a repository; objects that are there stay. How many were new. Each round
+        fetches the streams that the last one named; then come the objects, and contents are checked against the digests that name them."""
+        spark, held = self.spark, self.table("objects").select("object_id")
+        root, body = mirror.stream(base, stream)
+        root = root or verity_bytes(body, self.algorithm).hex()
+        frontier, seen, heads, new = spark.createDataFrame([(root,)], "object_id string"), None, None, None
+        names = spark.createDataFrame([], "node string, name string")
+        while not frontier.isEmpty():
+            there = self.table("objects").join(frontier, "object_id", "left_semi").select("object_id", F.col("data").alias("content"), F.lit(False).alias("new"))
+            came = mirror.objects(frontier.join(held, "object_id", "left_anti"), base).withColumn("new", F.lit(True))
+            bodies = cut(there.unionByName(came))
+            self._refuse_wrong(bodies)
+            read = cut(splitstream.headers(bodies).select("object_id", "new", "content", "content_type", "total_size", "object_refs", "named_refs", "error"))
+            broken = read.filter("error is not null").first()
+            if broken is not None:
+                raise RepositoryError(f"the stream {broken.object_id}: {broken.error}")
+            heads = read if heads is None else heads.unionByName(read)
+            names = names.unionByName(read.select(F.explode("named_refs").alias("name", "node")).select("node", "name")).distinct()
+            seen = frontier if seen is None else seen.union(frontier)
+            frontier = cut(read.select(F.explode(F.map_values("named_refs")).alias("object_id")).distinct().join(seen, "object_id", "left_anti"))
+        two = graph.conflicts(names).first()
+        if two is not None:
+            raise RepositoryError(f"the stream {two.node} has the names {list(two.names)}")
+        ids = heads.select(F.explode("object_refs").alias("object_id")).distinct().join(heads.select("object_id"), "object_id", "left_anti")
+        parts = cut(mirror.objects(ids.join(held, "object_id", "left_anti"), base))
+        self._refuse_wrong(parts)
+        every = heads.filter("new").select("object_id", "content").unionByName(parts)
+        objects = every.select("object_id", F.octet_length("content").cast("long").alias("size"), F.col("content").alias("data"))
+        # Streams that others name are known by the digest of what they hold.
+        known = self.table("objects").select("object_id", "data").unionByName(objects.select("object_id", "data"))
+        named = heads.join(names.withColumnRenamed("node", "object_id"), "object_id")
+        whole = store.reassembled(splitstream.chunk_rows(named.select("name", "content")), known)
+        wrong = whole.filter(F.col("stream_id").startswith("sha256:") & (F.concat(F.lit("sha256:"), F.sha2("data", 256)) != F.col("stream_id"))).first()
+        if wrong is not None:
+            raise RepositoryError(f"the content of {wrong.stream_id} has another digest")
+        columns = ["name", "object_id", "content_type", "total_size", "object_refs", "named_refs"]
+        streams = named.withColumn("name", F.concat(F.lit("oci-layer-"), "name")).select(*columns).unionByName(heads.filter(F.col("object_id") == root).withColumn("name", F.lit(stream)).select(*columns))
+        n = objects.count()
+        self._commit(more={"objects": objects, "streams": streams.join(self.table("streams").select("name"), "name", "left_anti")})
+        return n
+
+    def _refuse_wrong(self, rows: DataFrame) -> None:
+        """rows (object_id, content) whose content has another digest are an error."""
+        wrong = store.verified(rows.select("object_id", "content"), "content", self.algorithm).select("named").first()
+        if wrong is not None:
+            raise RepositoryError(f"the content of {wrong.named} has another digest")
+
+    def write_boot(self, image_id: str, path: str, prefix: str, insecure: bool = False, subdir: str | None = None) -> int:
+        """Writes an image's boot entries below a folder that the executors share: files first, then the entries, whose kernels get the image's
+        id as an argument of this prefix. Unified images are written if they name the image. How many files were written."""
+        stored = self.table("objects").select("object_id", "data")
+        tree_rows = self.entries(image_id).join(stored, "object_id", "left").select(F.col("path").cast("string").alias("path"), "kind", F.coalesce("inline", "data").alias("content"))
+        files = boot.boot_files(tree_rows, image_id, prefix, insecure, subdir)
+        return filesystem.write_rows(boot.with_folders(files), path)
+
     def fetch(self, other: Repository, stream: str) -> int:
         """Copies a stream and all that it reaches from another repository; objects that are there stay. How many were new."""
         theirs = other.table("streams")

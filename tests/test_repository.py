@@ -280,3 +280,95 @@ def test_import_from_container_storage(spark, tmp_path):
     broken = Repository.init(spark, f"file://{tmp_path}/broken")
     with pytest.raises(Exception, match="checksum"):
         broken.import_storage(f"file://{store}", "img")
+
+
+@pytest.fixture
+def served(tmp_path):
+    """A folder over HTTP: files below streams are links to objects."""
+    import functools
+    import http.server
+    import threading
+
+    root = tmp_path / "www"
+    root.mkdir()
+
+    class Handler(http.server.SimpleHTTPRequestHandler):
+        def guess_type(self, path):
+            return "text/x-symlink-target" if "/streams/" in str(path) else "application/octet-stream"
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), functools.partial(Handler, directory=str(root)))
+    thread = threading.Thread(target=server.serve_forever, daemon=True)
+    thread.start()
+    yield root, f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_fetch_from_a_mirror(spark, tmp_path, served):
+    root, url = served
+    repo = Repository.init(spark, f"file://{tmp_path}/repo")
+    _, ids, tars = image(spark, repo, "app", [BASE, TOP])
+    refs = {i: r.object_id for i in ids for r in repo.table("streams").filter(f"name = 'oci-layer-{i}'").collect()}
+    body = spark.createDataFrame([(0, bytearray(b"top"), None)], "seq long, inline binary, data binary")
+    top = repo.ensure_stream("top", 7, lambda: body, refs)
+    for r in repo.table("objects").collect():
+        at = root / "objects" / r.object_id[:2] / r.object_id[2:]
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_bytes(bytes(r.data))
+    (root / "streams").mkdir()
+    (root / "streams/top").write_text(f"../objects/{top[:2]}/{top[2:]}")
+    other = Repository.init(spark, f"file://{tmp_path}/other")
+    assert other.fetch_http(url, "top") > 3 and other.fetch_http(url, "top") == 0
+    assert [bytes(other.cat(f"oci-layer-{i}").first().data) for i in ids] == tars and bytes(other.cat("top").first().data) == b"top"
+    assert other.fsck().count() == 0
+    external = next(r.object_id for r in repo.table("objects").filter("size = 500").collect())
+    (root / "objects" / external[:2] / external[2:]).write_bytes(b"y" * 500)
+    third = Repository.init(spark, f"file://{tmp_path}/third")
+    with pytest.raises(RepositoryError, match="another digest"):
+        third.fetch_http(url, "top")
+    with pytest.raises(Exception, match="404"):
+        third.fetch_http(url, "none")
+
+
+def test_pull_from_a_registry(spark, tmp_path, served):
+    import gzip
+
+    root, url = served
+    tars = [tar_of(BASE), tar_of(TOP)]
+    ids = ["sha256:" + hashlib.sha256(t).hexdigest() for t in tars]
+    packed = [gzip.compress(t, mtime=0) for t in tars]
+    digests = ["sha256:" + hashlib.sha256(t).hexdigest() for t in packed]
+    config = json.dumps({"architecture": "amd64", "os": "linux", "rootfs": {"diff_ids": ids}})
+    config_digest = "sha256:" + hashlib.sha256(config.encode()).hexdigest()
+    layers = [{"digest": d, "mediaType": "application/vnd.oci.image.layer.v1.tar+gzip"} for d in digests]
+    manifest = json.dumps({"config": {"mediaType": catalog.CONFIG_MEDIA_TYPE, "digest": config_digest}, "layers": layers})
+    at = root / "v2/team/app"
+    (at / "manifests").mkdir(parents=True)
+    (at / "blobs").mkdir()
+    (at / "manifests/1").write_text(manifest)
+    (at / "manifests" / ("sha256:" + "0" * 64)).write_text(manifest)
+    (at / "blobs" / config_digest).write_text(config)
+    for d, body in zip(digests, packed, strict=True):
+        (at / "blobs" / d).write_bytes(body)
+    repo = Repository.init(spark, f"file://{tmp_path}/repo")
+    assert repo.pull_registry(url, "team/app", "1", "app:1") == "sha256:" + hashlib.sha256(manifest.encode()).hexdigest()
+    assert [bytes(repo.cat(f"oci-layer-{i}").first().data) for i in ids] == tars and repo.oci_images().first().layer_count == 2
+    with pytest.raises(ValueError, match="not sha256:000"):
+        repo.pull_registry(url, "team/app", "sha256:" + "0" * 64)
+    (at / "blobs" / digests[0]).write_bytes(packed[1])
+    with pytest.raises(Exception, match="a layer is not"):
+        Repository.init(spark, f"file://{tmp_path}/new").pull_registry(url, "team/app", "1")
+
+
+def test_boot_partition(spark, tmp_path):
+    repo = Repository.init(spark, f"file://{tmp_path}/repo")
+    extra = [("usr/lib/modules/6.1/initramfs.img", REG, b"i"), ("boot", DIR, b""), ("boot/loader", DIR, b""), ("boot/loader/entries", DIR, b""), ("boot/loader/entries/x.conf", REG, b"title A\nlinux /v\noptions quiet img=old ro\n"), ("boot/v", REG, b"kernel")]
+    image(spark, repo, "app", [BASE, TOP + extra])
+    image_id = repo.mount_image("app")
+    assert repo.write_boot(image_id, f"file://{tmp_path}/esp", "img=", subdir="os") == 5
+    at = tmp_path / "esp/os"
+    assert (at / "loader/entries/x.conf").read_text() == f"title A\nlinux /v\noptions quiet ro img={image_id}\n"
+    assert (at / "v").read_bytes() == b"kernel" and (at / "6.1/vmlinuz").read_bytes() == b"k" * 100 and (at / "6.1/initramfs.img").read_bytes() == b"i"
+    assert (at / "loader/entries/6.1.conf").read_text().endswith(f"options img={image_id}\n")
