@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,14 +26,38 @@ def shared_dir(spark: SparkSession) -> str:
     folder is made and set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="granary-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: What this process has written to the shared folder, in order.
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/granary/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/granary/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes at its end what was written to the shared folder within it, but for the paths in the list that it gives. What was planned on those
+    tables must have been written or collected by then."""
+    start, keep = len(_made), []
+    try:
+        yield keep
+    finally:
+        inside = _made[start:]
+        del _made[start:]
+        _made.extend(x for x in inside if x in keep)
+        for path in inside:
+            if path not in keep:
+                remove(spark, path)
 
 
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
