@@ -6,7 +6,7 @@ from public_tokenizers import path as tokenizer
 from pyspark.sql import DataFrame, SparkSession
 
 from granary.llm import linededup, mixing, packing, quality, simhash
-from granary.llm.common import session, table, written
+from granary.llm.common import remove, scratch, session, table, written_at
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +50,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, "stage-" + name.replace(" ", "-"))
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        # What a stage writes on its way goes when its result is there.
+        with scratch(spark) as keep:
+            docs, path = written_at(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+            keep.append(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
