@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, html, linededup, mixing, packing, quality, simhash, spotsigs, urls, warc
-from .common import session, text_of
+from . import chat, html, linededup, mixing, packing, quality, simhash, simhash_sql, spotsigs, spotsigs_sql, urls, warc
+from .common import WORD, session, text_of
 from .common import table as read_table
 
 
@@ -109,6 +109,9 @@ def oracle_sql() -> dict[str, str]:
         "op1_chat_formatting": chat.ORACLE,
         "op2_url_filter": urls.ORACLE,
         "op5_line_dedup": linededup.ORACLE,
+        "op6_spotsigs": spotsigs_sql.oracle(spotsigs.ANCHORS, spotsigs.CHAIN, spotsigs.STRETCH),
+        "spotsigs_links": spotsigs_sql.links_oracle(spotsigs.ANCHORS, spotsigs.CHAIN, spotsigs.STRETCH, spotsigs.THRESHOLD),
         "op7_warc": warc.ORACLE,
+        "op8_simhash_near_dedup": simhash_sql.oracle(simhash.SEED, simhash.SHINGLE, simhash.MAX_BITS, WORD),
         "op9_quality_rules": quality.ORACLE,
     }

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash128, remove, text_of, written, written_at
+from .common import hash128, met_by_key, remove, text_of, written, written_at
 from .components import connected
 from .grayindex import arrays, dealt, pairs, signed_rank
 
@@ -234,27 +234,28 @@ def completed(
     # An edge row that is alone in its task is a member if its node has rows in others.
     spread = met.filter("edge").groupBy("key").agg(F.count_distinct("no").alias("n")).filter("n > 1").select("key")
     members = met.filter("not edge").union(met.filter("edge").join(spread, "key", "left_semi").select(*met.columns)).drop("edge")
+    members, members_at = written_at(members, "similar-nodes")
     # Nodes that are connected already say nothing more.
-    open_keys = lambda rows: rows.groupBy("key").agg(
-        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")
-    ).filter("lo < hi").select("key", "size")
-    still = open_keys(members)
-    sized = members.join(still, "key")
+    still, still_at = written_at(open_nodes(members), "similar-open")
+    sized = met_by_key(members, still, ["key"], "size")
     central = sized.groupBy("no").agg(F.sum("size").alias("meets"))
-    ranked = sized.join(central, "no")
-    middle = ranked.groupBy("key").agg(F.max(F.struct("meets", "no", "n", "root")).alias("mid")).select("key", "mid.*").withColumnsRenamed(
-        {"no": "b", "n": "n_b", "root": "root_b"}
-    ).drop("meets")
+    middle = sized.join(central, "no").groupBy("key", "size").agg(F.max(F.struct("meets", "no", "n", "root")).alias("mid"))
+    middle = middle.select("key", "size", F.col("mid.no").alias("b"), F.col("mid.n").alias("n_b"), F.col("mid.root").alias("root_b"))
+    middle, middle_at = written_at(middle, "similar-middle")
     can = F.least("n", "n_b") >= least * F.greatest("n", "n_b") - 1e-9
-    stars = sized.join(middle, "key").filter((F.col("root") != F.col("root_b")) & can).select(F.col("no").alias("a"), "b")
+    stars = met_by_key(members, middle, ["key"], "size").filter((F.col("root") != F.col("root_b")) & can).select(F.col("no").alias("a"), "b")
     near = members.filter("near is not null").select(F.col("no").alias("a"), F.col("near").alias("b"))
     roots = checked(docs, text, named, near.union(edges).union(stars), roots, least)
+    for path in (still_at, middle_at):
+        remove(spark, path)
     # Second round: what is still apart, with its shingles.
     named = rooted(each, roots)
     words = words_of(BANDS * ROWS)
     four = [F.get("sketch.least", F.lit(k)).alias(f"m{k}") for k in range(words)]
-    now = members.select("key", "gray", "no", "n").distinct().join(named.select("no", "root", *four), "no")
-    now = now.join(open_keys(now), "key", "left_semi").select("key", "gray", "no", "n", "root", *(f"m{k}" for k in range(words)))
+    apart = members.select("key", "gray", "no", "n").distinct().join(named.select("no", "root"), "no")
+    apart, apart_at = written_at(apart, "similar-apart")
+    now = met_by_key(apart, open_nodes(apart), ["key"], "size").join(named.select("no", *four), "no")
+    now = now.select("key", "gray", "no", "n", "root", *(f"m{k}" for k in range(words)))
 
     def hit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         near = (np.bitwise_count(x["code"] ^ y["code"]) <= reach) & (x["root"] != y["root"]) & fits(x["n"], y["n"], least)
@@ -270,7 +271,7 @@ def completed(
     sets, sets_at = written_at(sets, "similar-sets")
     extra = {"no": "i8", "n": "i4", "root": "i8"} | {f"m{k}": "u8" for k in range(words)}
     roots = joined(pairs(dealt(now.join(sets, "no")), extra, reach, hit, "no", same, SET_BLOCK), named, roots)
-    for path in (met_at, now_at, sets_at):
+    for path in (met_at, members_at, apart_at, now_at, sets_at):
         remove(spark, path)
     if exact:
         for near_only in (True, False):
@@ -298,6 +299,12 @@ def sets():  # noqa: ANN201
     return made
 
 
+def open_nodes(rows: DataFrame) -> DataFrame:
+    """(key, size) of nodes whose rows (key, root) are not all connected."""
+    found = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"))
+    return found.filter("lo < hi").select("key", "size")
+
+
 def prefix_pairs(docs: DataFrame, text: str, named: DataFrame, least: float, near_only: bool) -> DataFrame:
     """All pairs of texts (a, b) that may be alike to ``least`` and are not connected: they share a shingle of their prefixes, and their lengths
     and its places leave room for enough. Sets are ordered by how many texts hold a shingle, rare ones first. near_only: only those that

@@ -20,9 +20,11 @@ from math import ceil, log, sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import aside, free_names, text_of, written
+from .common import aside, free_names, partitions, text_of, written
 
 CHAIN, STRETCH, THRESHOLD = 2, 6, 0.8
+#: Buckets of rows for a task.
+TASK_BUCKETS = 8
 #: Common words of English, German, French and Spanish.
 ANCHORS = tuple(
     """a an the and or of to in on at by for from with as is are was be it this that
@@ -66,21 +68,22 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when(F.least(x, y) < least * F.greatest(x, y), F.lit(0.0)).otherwise(full) if least else full
 
 
-def bucketed(base: DataFrame, place: str, into: str, rows: int, most: int = 1 << 20) -> DataFrame:
-    """base with a column ``into``: the number of its bucket in the order of ``place``, of about ``rows`` rows each. Quantiles of the whole table
+def bucketed(base: DataFrame, place: str, into: str, rows: int, most: int = 1 << 20) -> tuple[DataFrame, int]:
+    """base with a column ``into``: the number of its bucket in the order of ``place``, of about ``rows`` rows each; and about how many buckets
+    there are. Quantiles of the whole table
     and, within each part that they cut, quantiles of the part are what rows are compared with: ``most`` numbers at most, 8 MB, whatever
     the table's size."""
     k = min(most, max(1, base.count() // rows))
     width = ceil(sqrt(k))
     if width < 2:
-        return base.withColumn(into, F.lit(0).cast("long"))
+        return base.withColumn(into, F.lit(0).cast("long")), 1
     at = [x / width for x in range(1, width)]
     cuts = sorted(set(base.select(F.percentile_approx(place, at, 10_000)).first()[0] or []))
     part, inner = free_names(base, "part", "inner")
     above = lambda edges: F.size(F.filter(edges, lambda x: x <= F.col(place))).cast("long")
     base = base.withColumn(part, above(F.array(*map(F.lit, cuts))))
     fine = base.groupBy(part).agg(F.array_distinct(F.percentile_approx(place, at, 10_000)).alias(inner))
-    return base.join(F.broadcast(fine), part).withColumn(into, F.col(part) * width + above(F.col(inner))).drop(part, inner)
+    return base.join(F.broadcast(fine), part).withColumn(into, F.col(part) * width + above(F.col(inner))).drop(part, inner), k
 
 
 def followed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = 500) -> DataFrame:
@@ -88,7 +91,7 @@ def followed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows:
     first, ties by text hash; after the last row comes the first. Quantiles of doc_id cut the rows into buckets of about ``rows``
     rows, so no task orders the whole table. The first row of each bucket goes to the bucket before too, the very first to the last."""
     base = docs.select(F.coalesce(F.col(doc_id), F.lit(-(1 << 63))).alias("place"), F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
-    base = bucketed(base, "place", "bucket", rows)
+    base, k = bucketed(base, "place", "bucket", rows)
     # One row a bucket, so one task can order them.
     starts = base.groupBy("bucket").agg(F.min("place").alias("place"))
     every = Window.partitionBy(F.lit(0)).orderBy("bucket")
@@ -98,7 +101,8 @@ def followed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows:
     heads = base.join(F.broadcast(starts), ["bucket", "place"]).withColumn("row", F.row_number().over(tie)).filter("row = 1")
     heads = heads.select(F.col("to").alias("bucket"), "place", "doc_id", "text", F.lit(True).alias("head"))
     both = base.select("bucket", "place", "doc_id", "text", F.lit(False).alias("head")).unionAll(heads)
-    # Each text is signed once, where it meets the next one.
+    # Tasks grow in number with the buckets, not in size. Each text is signed once, where it meets the next one.
+    both = both.repartition(max(partitions(docs.sparkSession), k // TASK_BUCKETS), "bucket")
     order = Window.partitionBy("bucket").orderBy("head", "place", F.xxhash64("text"))
     ranked = signed(both.withColumn("next_text", F.lead("text").over(order))).withColumn("next_signatures", F.lead("signatures").over(order))
     return ranked.filter("not head").select("doc_id", "text", "signatures", "next_text", "next_signatures")

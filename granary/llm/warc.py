@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import met_by_key, new_path, partitions, text_of
+from .common import met_by_key, new_path, partitions, text_of, written
 
 REVISIT_MIN, ROLL, READ, LEVEL = 100, 256 << 20, 1 << 16, 5
 VERSION = b"WARC/1.1\r\n"
@@ -153,7 +153,8 @@ def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: st
     seen = rows.filter(F.octet_length("html") >= REVISIT_MIN).select("page_id", F.sha2("html", 256).alias("digest"))
     firsts = seen.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     later = met_by_key(seen, firsts, ["digest"], "n").filter(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "digest", "first").distinct()
-    marks = later.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "first")
+    # Written first, so that its size is known: where it is small, it goes to the pages rather than the pages to it.
+    marks = written(later.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "first"), "warc-marks")
     due = rows.withColumn("digest", F.sha2("html", 256)).join(
         marks, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left"
     )
@@ -189,7 +190,8 @@ def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: st
             [pa.array([x[k] for x in made], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["path", "records", "bytes"]
         )
 
-    listed = due.mapInArrow(work, "path string, records long, bytes long")
+    # The list has a row for each archive: few files hold it.
+    listed = due.mapInArrow(work, "path string, records long, bytes long").repartition(max(1, partitions(spark) // 64), "path")
     listed.write.parquet(f"{root}/archives.parquet")
     return spark.read.schema("path string, records long, bytes long").parquet(f"{root}/archives.parquet")
 
