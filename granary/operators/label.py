@@ -7,7 +7,7 @@ import re
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,3 +138,14 @@ def relabelled(entries: DataFrame, found: list[tuple[str, str]] | None, aliases:
             F.map_concat(bare, F.create_map(F.lit(xattr).cast(kind.keyType), F.col("_label").cast(kind.valueType)))
         ),
     ).drop("_label", "_last")
+
+
+def policy_in(spark: SparkSession, folder: str) -> tuple[list[tuple[str, str]], dict[str, str]] | None:
+    """Rules and aliases of the policy in the folder of a root file system; None where it has none."""
+    at = f"{folder.rstrip('/')}/etc/selinux"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(at)
+    inside = F.concat(F.lit("/etc/selinux"), F.substring_index("path", "/etc/selinux", -1))
+    return load_policy(files.select(inside.alias("path"), F.col("content").cast("string").alias("content")))

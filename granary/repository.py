@@ -308,8 +308,9 @@ class Repository:
 
     # Images.
 
-    def image_of(self, diff_ids: list[str], for_boot: bool = False) -> bytes:
-        """The file system image of layers, the lowest first: folded, made canonical, encoded."""
+    def image_of(self, diff_ids: list[str], for_boot: bool = False) -> DataFrame:
+        """(data) of the file system image of layers, the lowest first: folded, made canonical, encoded. An image is one value, so the task that
+        encodes it holds its tree; the driver does not."""
         layers = None
         for k, diff_id in enumerate(diff_ids):
             rows = self.ls_layer(diff_id).withColumn("layer_idx", F.lit(k))
@@ -328,7 +329,10 @@ class Repository:
         if not fold.invalid(entries).isEmpty():
             raise RepositoryError("an entry without its directory")
         merged = fold.folded(entries)
-        links = fold.origins(entries)
+        links = cut(fold.origins(entries))
+        lost = merged.filter("item = 'hardlink'").join(links, ["layer_idx", "entry_idx"], "left_anti").select("path").first()
+        if lost is not None:
+            raise RepositoryError(f"the hard link {lost.path} leads nowhere")
         # A hard link is the leaf that it leads to.
         values = ["kind", "mode", "uid", "gid", "mtime", "size", "rdev", "target_bytes", "inline", "object_id", "xattrs"]
         puts = entries.select(F.col("layer_idx").alias("origin_layer"), F.col("entry_idx").alias("origin_entry"), *(F.col(x).alias(f"o_{x}") for x in values))
@@ -354,7 +358,7 @@ class Repository:
             "leaf_id",
             *(F.col(x).alias("target") if x == "target_bytes" else F.col(x) for x in values),
         )
-        return bytes(erofs.image_rows(made, self.algorithm).first().content)
+        return erofs.image_rows(made, self.algorithm).select(F.col("content").alias("data"))
 
     def create_image(self, root: erofs.Node, name: str | None = None) -> str:
         """Stores the image of a tree; its id."""
@@ -365,12 +369,17 @@ class Repository:
 
     def import_image(self, data: bytes, name: str | None = None) -> str:
         """Stores an image's bytes; with a name, a ref to it."""
-        image_id = verity_bytes(data, self.algorithm).hex()
+        return self._import_image(self._one_row(data), name)
+
+    def _import_image(self, rows: DataFrame, name: str | None = None) -> str:
+        """Stores the image in the one row (data); of it the driver learns the id."""
+        rows = cut(rows)
+        image_id = store.identified(rows, "data", self.algorithm).select("object_id").first().object_id
         row = self.spark.createDataFrame([(image_id, image_id)], SCHEMAS["images"])
         whole = {"images": store.upsert(self.table("images"), row, ["name"])}
         if name:
             whole["refs"] = store.upsert(self.table("refs"), self.spark.createDataFrame([("images", name, image_id)], SCHEMAS["refs"]), ["category", "name"])
-        self._commit(whole, {"objects": self._new_objects(self._one_row(data))})
+        self._commit(whole, {"objects": self._new_objects(rows)})
         return image_id
 
     def images(self) -> DataFrame:
@@ -503,7 +512,7 @@ class Repository:
             return have.image_id
         config = self.table("configs").filter(F.col("digest") == manifest.config_digest)
         diff_ids = [r.diff_id for r in catalog.layer_diff_ids(config).orderBy("position").collect()]
-        image_id = self.import_image(self.image_of(diff_ids, for_boot))
+        image_id = self._import_image(self.image_of(diff_ids, for_boot))
         self._name_image(manifest.config_digest, image_id, for_boot)
         return image_id
 
@@ -585,9 +594,7 @@ class Repository:
             names = names.unionByName(read.select(F.explode("named_refs").alias("name", "node")).select("node", "name")).distinct()
             seen = frontier if seen is None else seen.union(frontier)
             frontier = cut(read.select(F.explode(F.map_values("named_refs")).alias("object_id")).distinct().join(seen, "object_id", "left_anti"))
-        two = graph.conflicts(names).first()
-        if two is not None:
-            raise RepositoryError(f"the stream {two.node} has the names {list(two.names)}")
+        self._refuse_two_names(names)
         ids = heads.select(F.explode("object_refs").alias("object_id")).distinct().join(heads.select("object_id"), "object_id", "left_anti")
         parts = cut(mirror.objects(ids.join(held, "object_id", "left_anti"), base))
         self._refuse_wrong(parts)
@@ -606,6 +613,12 @@ class Repository:
         self._commit(more={"objects": objects, "streams": streams.join(self.table("streams").select("name"), "name", "left_anti")})
         return n
 
+    def _refuse_two_names(self, names: DataFrame) -> None:
+        """names (node, name): a stream that others know by two names is an error, as one of them must be wrong."""
+        two = graph.conflicts(names).first()
+        if two is not None:
+            raise RepositoryError(f"the stream {two.node} has the names {list(two.names)}")
+
     def _refuse_wrong(self, rows: DataFrame) -> None:
         """rows (object_id, content) whose content has another digest are an error."""
         wrong = store.verified(rows.select("object_id", "content"), "content", self.algorithm).select("named").first()
@@ -627,6 +640,7 @@ class Repository:
         start = theirs.filter(F.col("name") == stream).select(F.col("object_id").alias("node"))
         reached = graph.closure(edges, start).select(F.col("node").alias("object_id"))
         wanted = theirs.join(reached, "object_id", "left_semi")
+        self._refuse_two_names(wanted.select(F.explode("named_refs").alias("name", "node")).select("node", "name").distinct())
         ids = reached.union(wanted.select(F.explode("object_refs"))).distinct()
         new = ids.join(self.table("objects").select("object_id"), "object_id", "left_anti")
         rows = other.table("objects").join(new, "object_id", "left_semi").select("object_id", "size", "data")

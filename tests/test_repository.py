@@ -372,3 +372,20 @@ def test_boot_partition(spark, tmp_path):
     assert (at / "loader/entries/x.conf").read_text() == f"title A\nlinux /v\noptions quiet ro img={image_id}\n"
     assert (at / "v").read_bytes() == b"kernel" and (at / "6.1/vmlinuz").read_bytes() == b"k" * 100 and (at / "6.1/initramfs.img").read_bytes() == b"i"
     assert (at / "loader/entries/6.1.conf").read_text().endswith(f"options img={image_id}\n")
+
+
+def test_links_that_lead_nowhere_and_policies_in_folders(spark, tmp_path):
+    from granary.operators import label
+
+    repo = Repository.init(spark, f"file://{tmp_path}/repo")
+    image(spark, repo, "app", [[("usr", DIR, b""), ("usr/a", HARD, "usr/none")]])
+    with pytest.raises(RepositoryError, match="leads nowhere"):
+        repo.mount_image("app")
+    assert label.policy_in(spark, f"file://{tmp_path}") is None
+    at = tmp_path / "root/etc/selinux/p/contexts/files"
+    at.mkdir(parents=True)
+    (tmp_path / "root/etc/selinux/config").write_text("SELINUXTYPE=p\n")
+    (at / "file_contexts").write_text("/.* any_t\n")
+    (at / "file_contexts.subs").write_text("/a /b\n")
+    found, aliases = label.policy_in(spark, f"file://{tmp_path}/root")
+    assert [x[1] for x in found] == ["any_t"] and aliases == {"/a": "/b"}
