@@ -62,7 +62,12 @@ def xxh64_steps(seed: int) -> list[tuple[str, str]]:
         ("b", "SELECT shingle, hex(encode(shingle)) AS hx, octet_length(encode(shingle)) AS n FROM (SELECT DISTINCT shingle FROM s)"),
         ("long", "SELECT *, " + ", ".join(f"{run(k)} AS v{k}" for k in range(4)) + " FROM b WHERE n >= 32"),
         ("whole", f"SELECT shingle, hx, n, {merged(merged(merged(merged(four, 'v0'), 'v1'), 'v2'), 'v3')} AS acc FROM long"),
-        ("begun", f"SELECT shingle, hx, n, {added('acc', 'n::UHUGEINT')} AS acc FROM (SELECT * FROM whole UNION ALL SELECT shingle, hx, n, {number(seed + P5)} FROM b WHERE n < 32)"),
+        (
+            "begun",
+            f"SELECT shingle, hx, n, {
+                added('acc', 'n::UHUGEINT')
+            } AS acc FROM (SELECT * FROM whole UNION ALL SELECT shingle, hx, n, {number(seed + P5)} FROM b WHERE n < 32)",
+        ),
         ("eights", f"SELECT shingle, hx, n, {reduced('acc', words, mixed('a', round_of('0::UHUGEINT', 'b'), 27, P1, P4))} AS acc FROM begun"),
         ("fours", f"SELECT shingle, hx, n, {reduced('acc', halves, mixed('a', times('b', P1), 23, P2, P3))} AS acc FROM eights"),
         ("ones", f"SELECT shingle, {reduced('acc', single, mixed('a', times('b', P5), 11, P1, 0))} AS acc FROM fours"),

@@ -1,15 +1,16 @@
 """URL filters over a sorted digest array.
 
 A rule is a host and a path, such as example.net/en/, with a verdict. The index is one file: the rules' 64-bit xxhash keys in
-ascending order, the places of the rules' strings, their verdicts, and the strings. The driver writes it to the shared folder and
-Spark ships it to every executor, whose tasks map it into memory, so all workers of an executor share one copy and a lost executor's
+ascending order, the places of the rules' strings, their verdicts, and the strings. The driver writes it to the shared folder, from a
+list or, a piece at a time, from a table of rules that tasks have sorted, and Spark ships it to every executor, whose tasks map it into memory, so all workers of an executor share one copy and a lost executor's
 successor fetches it anew. A url's candidates are the suffixes of its host at label borders with each path length that rules have;
 their keys are probed by one vectorised binary search per batch, every run of equal keys is followed, and the stored string
 must equal the candidate, so colliding keys cannot give a wrong answer. Urls never leave their partition.
 
 Defined cases: a null url, or one without "://", has an empty host and path and fits no rule; a url that no rule fits is allowed;
-of the rules that fit, the longest wins, and of equal strings the last one given; equal strings differ in nothing but the verdict; repeated rows
-are judged alike; an empty table or rule list is fine; extra columns pass through, one that has the result's name under another (``aside``).
+of the rules that fit, the longest wins, of equally long ones that with the longer host, and of equal strings the last one given, in a table
+of rules the one that blocks; repeated rows are judged alike; an empty table or rule list is fine; extra columns pass through, one that has
+the result's name under another (``aside``).
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import SparkFiles
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, aside, shared_dir
+from .common import LOWER, UPPER, aside, partitions, remove, shared_dir, written_at
 
 SEED, MAGIC = 42, b"GRURLS01"
 DEFAULT = "allow"
@@ -113,11 +114,10 @@ def judge(index: DigestArray, urls: list[str | None], default: str = DEFAULT) ->
     place: dict[str, int] = {}
     of = [[place.setdefault(h + path[:n], len(place)) for h in suffixes(host) for n in index.path_lengths if n <= len(path)] for host, path in split]
     found = index.find(list(place))
-    length = np.diff(index.offsets)
     out = []
     for (host, path), candidates in zip(split, of, strict=True):
         hits = [int(found[k]) for k in candidates if found[k] >= 0]
-        best = max(hits, key=lambda at: (len(index.text(at)), length[at]), default=None)
+        best = max(hits, key=lambda at: len(index.text(at)), default=None)
         out.append((host, path, None, default) if best is None else (host, path, index.text(best), VERDICTS[index.verdicts[best]]))
     return out
 
@@ -125,27 +125,75 @@ def judge(index: DigestArray, urls: list[str | None], default: str = DEFAULT) ->
 _open: dict[str, DigestArray] = {}
 
 
-def shipped(spark: SparkSession, rules: list[tuple[str, str]] | tuple) -> str:
+def index_parts(rules: DataFrame) -> Iterator[bytes]:
+    """The bytes of ``index_bytes`` for rules (rule, verdict), piece by piece. Tasks sort and pack the rules by ranges of their keys; the driver
+    holds one range's column at a time. Of a rule that comes twice, block counts."""
+    spark = rules.sparkSession
+    once = rules.groupBy("rule").agg(F.max("verdict").alias("verdict"))
+    # Spark's xxhash64 is the index's key; turning the top bit makes the order of signed integers that of unsigned ones.
+    signed = once.select(F.expr(f"xxhash64(rule) ^ {-(1 << 63)}").alias("turned"), "rule", "verdict")
+    order = ["turned", F.col("rule").cast("binary")]
+    dealt = signed.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sizes, verdicts, texts, n = [], [], [], [], 0
+        paths: set[int] = set()
+        for batch in batches:
+            n += batch.num_rows
+            keys.append((batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) ^ np.uint64(1 << 63)).astype("<u8").tobytes())
+            rows = batch.column(1).to_pylist()
+            whole = [r.encode("utf-8", "surrogatepass") for r in rows]
+            sizes.append(np.array([len(x) for x in whole], "<i8").tobytes())
+            texts.append(b"".join(whole))
+            verdicts.append(np.array([VERDICTS.index(x) for x in batch.column(2).to_pylist()], "<i8").tobytes())
+            paths |= {len(r) - r.find("/") if "/" in r else 0 for r in rows}
+        if n:
+            columns = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64()), pa.array([sorted(paths)], pa.list_(pa.int64()))]
+            columns += [pa.array([b"".join(x)], pa.binary()) for x in (keys, sizes, verdicts, texts)]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "n", "paths", "keys", "sizes", "verdicts", "texts"])
+
+    kind = "part int, n long, paths array<long>, keys binary, sizes binary, verdicts binary, texts binary"
+    made, at = written_at(dealt.mapInArrow(pack, kind), "url-rules")
+    column = lambda name: (bytes(r[0]) for r in made.orderBy("part").select(name).toLocalIterator())
+    total = made.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    lengths = np.array(sorted(r[0] for r in made.select(F.explode("paths")).distinct().collect()), "<i8")
+    yield MAGIC + np.array([total, len(lengths)], "<i8").tobytes() + lengths.tobytes()
+    yield from column("keys")
+    end = 0
+    yield np.zeros(1, "<i8").tobytes()
+    for sizes in column("sizes"):
+        ends = end + np.cumsum(np.frombuffer(sizes, "<i8"), dtype=np.int64)
+        end = int(ends[-1])
+        yield ends.astype("<i8").tobytes()
+    yield from column("verdicts")
+    yield from column("texts")
+    remove(spark, at)
+
+
+def shipped(spark: SparkSession, rules: list[tuple[str, str]] | tuple | DataFrame) -> str:
     """Writes the index to the shared folder, ships it to the executors and returns its file name there."""
-    body = index_bytes(rules)
-    name = f"granary-urls-{hashlib.sha256(body).hexdigest()[:32]}.bin"
-    to = f"{shared_dir(spark)}/granary/{name}"
-    path, draft = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (to, f"{to}.{uuid.uuid4().hex}"))
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        out = files.create(draft, True)
-        for at in range(0, len(body), 1 << 20):
-            out.write(bytearray(body[at : at + (1 << 20)]))
-        out.close()
-        # Its name tells its content, so whoever comes first has written the same.
-        if not files.rename(draft, path):
-            files.delete(draft, False)
+    folder = f"{shared_dir(spark)}/granary"
+    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/urls-{uuid.uuid4().hex}.draft")
+    files = draft.getFileSystem(spark._jsc.hadoopConfiguration())
+    out, digest = files.create(draft, True), hashlib.sha256()
+    for part in index_parts(rules) if isinstance(rules, DataFrame) else [index_bytes(rules)]:
+        digest.update(part)
+        for at in range(0, len(part), 1 << 20):
+            out.write(bytearray(part[at : at + (1 << 20)]))
+    out.close()
+    # Its name tells its content, so whoever comes first has written the same.
+    name = f"granary-urls-{digest.hexdigest()[:32]}.bin"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    if files.exists(path) or not files.rename(draft, path):
+        files.delete(draft, False)
     spark.sparkContext.addFile(files.makeQualified(path).toString())
     return name
 
 
-def filtered(df: DataFrame, url: str = "url", rules: list[tuple[str, str]] | tuple = RULES, into: str = "judged", default: str = DEFAULT) -> DataFrame:
-    """df with a struct column of host, path, rule and verdict."""
+def filtered(
+    df: DataFrame, url: str = "url", rules: list[tuple[str, str]] | tuple | DataFrame = RULES, into: str = "judged", default: str = DEFAULT
+) -> DataFrame:
+    """df with a struct column of host, path, rule and verdict. rules: a list, or a table (rule, verdict) of any length."""
     df, [url] = aside(df, [into], [url])
     name = shipped(df.sparkSession, rules)
     kind = T.StructType([T.StructField(x, T.StringType()) for x in ("host", "path", "rule", "verdict")])

@@ -61,3 +61,18 @@ def test_keys_are_sorted_and_the_last_verdict_of_a_rule_counts(tmp_path):
     index = urls.DigestArray(str(tmp_path / "index"))
     assert (index.keys[1:] >= index.keys[:-1]).all() and len(index.keys) == 2
     assert urls.judge(index, ["x://a/"]) == [("a", "/", "a/", "block")]
+
+
+def test_rules_from_a_table(spark):
+    """The same index as from a list, packed by tasks."""
+    rnd = random.Random(8)
+    rules = {f"{rnd.choice('abcé')}{k % 700}.{rnd.choice(['org', 'net'])}/{'x' * rnd.randrange(5)}": rnd.choice(urls.VERDICTS) for k in range(2000)}
+    frame = spark.createDataFrame(list(rules.items()), "rule string, verdict string").repartition(5)
+    assert b"".join(urls.index_parts(frame)) == urls.index_bytes(list(rules.items()))
+    twice = spark.createDataFrame([("a/", "allow"), ("a/", "block")], frame.schema)
+    assert b"".join(urls.index_parts(twice)) == urls.index_bytes([("a/", "block")])
+    asked = spark.createDataFrame([(f"http://{r.partition('/')[0]}/xxxxx",) for r in list(rules)[:50]] + [(None,)], "url string")
+    for r in urls.filtered(asked, rules=frame).collect():
+        assert tuple(r.judged) == brute(r.url, list(rules.items()))
+    empty = spark.createDataFrame([], frame.schema)
+    assert {r.judged.verdict for r in urls.filtered(asked, rules=empty).collect()} == {"allow"}
