@@ -202,22 +202,41 @@ def boot_files(tree: DataFrame, image_id: str, prefix: str, insecure: bool = Fal
     argument = F.lit(f"{prefix}{'?' if insecure else ''}{image_id}")
     below = F.lit(f"/{subdir.strip('/')}" if subdir else "")
     own = tree.filter((paths.parent(F.col("path")) == ENTRIES) & F.col("path").endswith(".conf") & (F.col("kind") == "reg"))
-    entries = own.select(F.concat(below, F.regexp_replace("path", r"\A/boot", "")).alias("path"), adjusted(F.col("content"), argument).cast("binary").alias("content"))
+    entries = own.select(
+        F.concat(below, F.regexp_replace("path", r"\A/boot", "")).alias("path"), adjusted(F.col("content"), argument).cast("binary").alias("content")
+    )
     named = entry_files(text_entries(tree), tree).filter("kind = 'reg'")
-    files = named.select(F.concat(below, F.regexp_replace("path", r"\A/boot", "")).alias("path"), F.col("content").cast("binary").alias("content")).dropDuplicates(["path"])
+    files = named.select(
+        F.concat(below, F.regexp_replace("path", r"\A/boot", "")).alias("path"), F.col("content").cast("binary").alias("content")
+    ).dropDuplicates(["path"])
     found = kernels(tree).filter("initramfs is not null")
-    texts = kernel_entries(found).select(F.concat(below, F.lit("/loader/entries/"), "entry_id", F.lit(".conf")).alias("path"), adjusted(F.col("text"), argument).cast("binary").alias("content"))
+    texts = kernel_entries(found).select(
+        F.concat(below, F.lit("/loader/entries/"), "entry_id", F.lit(".conf")).alias("path"), adjusted(F.col("text"), argument).cast("binary").alias("content")
+    )
     parts = found.select("kernel_version", F.explode(F.array("vmlinuz", "initramfs")).alias("from"))
     moved = parts.join(tree.select(F.col("path").alias("from"), "content"), "from")
-    moved = moved.select(F.concat(below, F.lit("/"), "kernel_version", F.lit("/"), paths.name(F.col("from"))).alias("path"), F.col("content").cast("binary").alias("content"))
+    moved = moved.select(
+        F.concat(below, F.lit("/"), "kernel_version", F.lit("/"), paths.name(F.col("from"))).alias("path"), F.col("content").cast("binary").alias("content")
+    )
     unified = writable(unified_images(tree).filter("not is_addon").select("path").join(tree.select("path", "content"), "path"), image_id, prefix)
     unified = unified.select(F.concat(below, F.lit("/EFI/Linux/"), paths.name(F.col("path"))).alias("path"), F.col("content").cast("binary").alias("content"))
     every = entries.unionAll(files).unionAll(texts).unionAll(moved).unionAll(unified)
-    return every.select(F.col("path").cast("binary").alias("path"), F.lit("reg").alias("kind"), F.lit(0o644).alias("mode"), F.lit(None).cast("binary").alias("target"), "content")
+    return every.select(
+        F.col("path").cast("binary").alias("path"),
+        F.lit("reg").alias("kind"),
+        F.lit(0o644).alias("mode"),
+        F.lit(None).cast("binary").alias("target"),
+        "content",
+    )
 
 
 def with_folders(files: DataFrame) -> DataFrame:
     """files with the folders above them."""
     above = files.select(F.explode(paths.ancestors(F.col("path").cast("string"))).alias("path")).distinct()
-    dirs = above.select(F.col("path").cast("binary"), F.lit("dir").alias("kind"), F.lit(0o755).alias("mode"), *(F.lit(None).cast("binary").alias(x) for x in ("target", "content")))
+    dirs = above.select(
+        F.col("path").cast("binary"),
+        F.lit("dir").alias("kind"),
+        F.lit(0o755).alias("mode"),
+        *(F.lit(None).cast("binary").alias(x) for x in ("target", "content")),
+    )
     return dirs.unionAll(files)

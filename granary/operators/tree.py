@@ -151,3 +151,49 @@ def plain_xattrs(entries: DataFrame, column: str = "xattrs") -> DataFrame:
     """entries without the attribute that marks a directory as one with whiteouts in another form."""
     marks = ("trusted.overlay.opaque", "user.overlay.opaque")
     return entries.withColumn(column, F.map_filter(column, lambda k, v: ~(k.cast("string").isin(*marks) & (v.cast("string") == "x"))))
+
+
+#: What a look-up can want.
+ANYTHING, DIRECTORY, LEAF, REGULAR = "anything", "directory", "leaf", "regular"
+
+
+def resolved(entries: DataFrame, wanted: DataFrame, what: str = ANYTHING) -> DataFrame:
+    """wanted (path) with the entry's kind and leaf_id and an error: an invalid name, a path below something that is no directory, one that isn't
+    there, or an entry of another kind than is wanted. Paths meet their entry and those above it by equality."""
+    kinds = entries.select("path", "kind", "leaf_id")
+    parts = F.split(F.substring("path", 2, 1 << 20), "/")
+    odd = (F.col("path") != "/") & (~F.col("path").startswith("/") | F.exists(parts, lambda x: x.isin("", ".", "..")))
+    asked = wanted.select("path").distinct().withColumn("invalid", odd)
+    above = asked.filter("not invalid").select("path", F.explode(paths.ancestors(F.col("path"))).alias("above"))
+    met = above.join(kinds.select(F.col("path").alias("above"), F.col("kind").alias("above_kind")), "above", "left")
+    # The first thing on the way that isn't a directory decides.
+    depth = F.size(paths.parts(F.col("above")))
+    blocked = met.filter("above_kind is null or above_kind <> 'dir'").groupBy("path").agg(
+        F.min_by(F.coalesce("above_kind", F.lit("none")), depth).alias("stop")
+    )
+    rows = asked.join(blocked, "path", "left").join(kinds, "path", "left")
+    is_dir = F.col("kind") == "dir"
+    wrong = {ANYTHING: F.lit(False), DIRECTORY: ~is_dir, LEAF: is_dir, REGULAR: F.col("kind") != "reg"}[what]
+    error = (
+        F.when(F.col("invalid"), "invalid name")
+        .when(F.col("stop") == "none", "not found")
+        .when(F.col("stop").isNotNull(), "not a directory")
+        .when(F.col("kind").isNull(), "not found")
+        .when(wrong & (F.lit(what) == DIRECTORY), "not a directory")
+        .when(wrong & is_dir, "a directory")
+        .when(wrong, "not a regular file")
+    )
+    found = rows.select(
+        "path", F.when(error.isNull(), F.col("kind")).alias("kind"), F.when(error.isNull(), F.col("leaf_id")).alias("leaf_id"), error.alias("error")
+    )
+    return wanted.join(found, "path", "left")
+
+
+def inserted(entries: DataFrame, new: DataFrame) -> DataFrame:
+    """entries with new ones, each in place of what was at its path, a directory with all in it included."""
+    return without(entries, new.select("path")).unionByName(new)
+
+
+def popped(entries: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """What was at a path, with all below it, and the tree without it."""
+    return below(entries, path), without(entries, entries.sparkSession.createDataFrame([(path,)], "path string"))

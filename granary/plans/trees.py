@@ -394,3 +394,34 @@ def number_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         "event_id", text.micros(F.col("ts")).alias("us"), text.round_up(F.col("user_id"), 4096).alias("blocks"), text.optional(kind).alias("kind")
     )
+
+
+@query(f"""
+WITH {_TREE}, w AS (SELECT path, 'sound' AS sort FROM t WHERE kind = 'reg' AND size = 5 UNION ALL SELECT path || '/x', 'below a file' FROM t WHERE kind = 'reg' AND size = 6
+  UNION ALL SELECT '/usr/' || p_type || '/none', 'gone' FROM part WHERE p_size = 7 UNION ALL SELECT '/none/' || p_partkey, 'gone' FROM part WHERE p_size = 8
+  UNION ALL SELECT '/usr/../' || p_partkey, 'odd' FROM part WHERE p_size = 9 UNION ALL SELECT '/usr/' || p_type, 'dir' FROM part WHERE p_size = 10)
+SELECT path, CASE WHEN sort = 'sound' THEN 'reg' END AS kind, CASE sort WHEN 'below a file' THEN 'not a directory' WHEN 'gone' THEN 'not found' WHEN 'odd' THEN 'invalid name' WHEN 'dir' THEN 'a directory' END AS error FROM w""")
+def path_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regular files looked up by path, and why a path leads to none."""
+    rows = parts_tree(spark, sf_dir)
+    part = table(spark, sf_dir, "part")
+    of = lambda frame, path: frame.select(path.alias("path"))
+    wanted = of(rows.filter("kind = 'reg' and size = 5"), F.col("path")).unionAll(of(rows.filter("kind = 'reg' and size = 6"), F.concat("path", F.lit("/x"))))
+    wanted = wanted.unionAll(of(part.filter("p_size = 7"), F.concat(F.lit("/usr/"), "p_type", F.lit("/none"))))
+    wanted = wanted.unionAll(of(part.filter("p_size = 8"), F.concat(F.lit("/none/"), "p_partkey"))).unionAll(
+        of(part.filter("p_size = 9"), F.concat(F.lit("/usr/../"), "p_partkey"))
+    )
+    wanted = wanted.unionAll(of(part.filter("p_size = 10"), F.concat(F.lit("/usr/"), "p_type")))
+    return tree.resolved(rows, wanted, tree.REGULAR).select("path", "kind", "error")
+
+
+@query(f"""
+WITH {_TREE}, n AS (SELECT DISTINCT '/usr/' || p_type AS path FROM part WHERE p_type < 'M')
+SELECT 'left' AS what, path, kind FROM t WHERE NOT EXISTS (SELECT 1 FROM n WHERE t.path = n.path OR starts_with(t.path, n.path || '/')) UNION ALL SELECT 'left', path, 'lnk' FROM n
+UNION ALL SELECT 'taken', path, kind FROM t WHERE path = '/usr/PROMO' OR starts_with(path, '/usr/PROMO/')""")
+def tree_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links put in place of folders with all in them, and a folder taken out."""
+    rows = parts_tree(spark, sf_dir).select("path", "kind")
+    new = table(spark, sf_dir, "part").filter("p_type < 'M'").select(F.concat(F.lit("/usr/"), "p_type").alias("path"), F.lit("lnk").alias("kind")).distinct()
+    taken, _ = tree.popped(rows, "/usr/PROMO")
+    return tree.inserted(rows, new).select(F.lit("left").alias("what"), "path", "kind").unionAll(taken.select(F.lit("taken"), "path", "kind"))

@@ -489,6 +489,39 @@ class Repository:
         changed = configs.filter(F.col("digest") == config_digest).select(F.concat(F.lit("oci-config-"), "digest").alias("name"), "named_refs")
         self._commit({"configs": configs, "streams": catalog.rewritten(self.table("streams"), changed)})
 
+    def _catalogued(self, reference: str) -> tuple[str, str, str, dict[str, str]]:
+        """Digest and text of a reference's manifest, and of its configuration the text and its references; both texts must have their digest."""
+        row = catalog.resolve(self.table("refs"), self.table("manifests"), reference).first()
+        config = row and self.table("configs").filter(F.col("digest") == row.config_digest).first()
+        if row is None or config is None:
+            raise RepositoryError(f"no image {reference}, or none with a configuration")
+        for digest, body in ((row.digest, row.json), (row.config_digest, config.json)):
+            if archive.sha256_id(body.encode()) != digest:
+                raise RepositoryError(f"the content of {digest} has another digest")
+        return row.digest, row.json, config.json, config.named_refs or {}
+
+    def manifest_json(self, reference: str) -> str:
+        return self._catalogued(reference)[1]
+
+    def config_json(self, reference: str) -> str:
+        return self._catalogued(reference)[2]
+
+    def open_config(self, reference: str) -> tuple[dict, dict[str, str]]:
+        """A reference's configuration and the objects of its layers by digest, without the names of images made from it."""
+        _, _, config, refs = self._catalogued(reference)
+        return json.loads(config), {k: v for k, v in refs.items() if k not in (catalog.IMAGE_REF, catalog.BOOT_REF)}
+
+    def label(self, reference: str, key: str) -> str | None:
+        """The value of a label of a reference's configuration."""
+        return ((self.open_config(reference)[0].get("config") or {}).get("Labels") or {}).get(key)
+
+    def name_stream(self, stream: str, name: str) -> None:
+        """Sets a ref to a stream that is there."""
+        if self.table("streams").filter(F.col("name") == stream).isEmpty():
+            raise RepositoryError(f"no stream {stream}")
+        row = self.spark.createDataFrame([("streams", name, stream)], SCHEMAS["refs"])
+        self._commit({"refs": store.upsert(self.table("refs"), row, ["category", "name"])})
+
     def oci_images(self) -> DataFrame:
         return catalog.images(self.table("refs"), self.table("manifests"), self.table("configs"), self.table("referrers"))
 
@@ -582,7 +615,9 @@ class Repository:
         frontier, seen, heads, new = spark.createDataFrame([(root,)], "object_id string"), None, None, None
         names = spark.createDataFrame([], "node string, name string")
         while not frontier.isEmpty():
-            there = self.table("objects").join(frontier, "object_id", "left_semi").select("object_id", F.col("data").alias("content"), F.lit(False).alias("new"))
+            there = self.table("objects").join(frontier, "object_id", "left_semi").select(
+                "object_id", F.col("data").alias("content"), F.lit(False).alias("new")
+            )
             came = mirror.objects(frontier.join(held, "object_id", "left_anti"), base).withColumn("new", F.lit(True))
             bodies = cut(there.unionByName(came))
             self._refuse_wrong(bodies)
@@ -608,7 +643,9 @@ class Repository:
         if wrong is not None:
             raise RepositoryError(f"the content of {wrong.stream_id} has another digest")
         columns = ["name", "object_id", "content_type", "total_size", "object_refs", "named_refs"]
-        streams = named.withColumn("name", F.concat(F.lit("oci-layer-"), "name")).select(*columns).unionByName(heads.filter(F.col("object_id") == root).withColumn("name", F.lit(stream)).select(*columns))
+        streams = named.withColumn("name", F.concat(F.lit("oci-layer-"), "name")).select(*columns).unionByName(
+            heads.filter(F.col("object_id") == root).withColumn("name", F.lit(stream)).select(*columns)
+        )
         n = objects.count()
         self._commit(more={"objects": objects, "streams": streams.join(self.table("streams").select("name"), "name", "left_anti")})
         return n
@@ -629,7 +666,9 @@ class Repository:
         """Writes an image's boot entries below a folder that the executors share: files first, then the entries, whose kernels get the image's
         id as an argument of this prefix. Unified images are written if they name the image. How many files were written."""
         stored = self.table("objects").select("object_id", "data")
-        tree_rows = self.entries(image_id).join(stored, "object_id", "left").select(F.col("path").cast("string").alias("path"), "kind", F.coalesce("inline", "data").alias("content"))
+        tree_rows = self.entries(image_id).join(stored, "object_id", "left").select(
+            F.col("path").cast("string").alias("path"), "kind", F.coalesce("inline", "data").alias("content")
+        )
         files = boot.boot_files(tree_rows, image_id, prefix, insecure, subdir)
         return filesystem.write_rows(boot.with_folders(files), path)
 

@@ -234,9 +234,17 @@ def test_blobs_names_and_upgrades(spark, tmp_path):
         Repository.open_upgrade(spark, f"file://{tmp_path}/none")
 
 
-def test_layer_as_dump_text(spark, tmp_path):
+def test_layer_as_dump_text_and_configurations(spark, tmp_path):
     repo = Repository.init(spark, f"file://{tmp_path}/repo")
-    _, ids, _ = image(spark, repo, "app", [BASE])
+    digest, ids, _ = image(spark, repo, "app", [BASE])
+    config, refs = repo.open_config("app")
+    assert config["architecture"] == "arm64" and list(refs) == ids and json.loads(repo.config_json("@" + digest)) == config
+    assert json.loads(repo.manifest_json("app"))["layers"] == [{"digest": ids[0]}] and repo.label("app", "k") is None
+    repo.name_stream(f"oci-layer-{ids[0]}", "mine")
+    assert repo.has_name("mine") and {r.target for r in repo.names_under("streams").filter("name = 'mine'").collect()} == {f"oci-layer-{ids[0]}"}
+    for wrong in (lambda: repo.name_stream("none", "x"), lambda: repo.open_config("none")):
+        with pytest.raises(RepositoryError):
+            wrong()
     lines = [r.value for r in repo.layer_dumpfile(ids[0]).collect()]
     assert lines[0].startswith("/usr 0 40") and lines[2].split(" ")[0] == "/usr/bin/a" and lines[2].split(" ")[8][2] == "/"
     assert lines[3].split(" ")[9] == "small" and lines[4] == "/usr/bin/c 0 @120000 - - - - 0.0 /usr/bin/a - -"
@@ -364,7 +372,14 @@ def test_pull_from_a_registry(spark, tmp_path, served):
 
 def test_boot_partition(spark, tmp_path):
     repo = Repository.init(spark, f"file://{tmp_path}/repo")
-    extra = [("usr/lib/modules/6.1/initramfs.img", REG, b"i"), ("boot", DIR, b""), ("boot/loader", DIR, b""), ("boot/loader/entries", DIR, b""), ("boot/loader/entries/x.conf", REG, b"title A\nlinux /v\noptions quiet img=old ro\n"), ("boot/v", REG, b"kernel")]
+    extra = [
+        ("usr/lib/modules/6.1/initramfs.img", REG, b"i"),
+        ("boot", DIR, b""),
+        ("boot/loader", DIR, b""),
+        ("boot/loader/entries", DIR, b""),
+        ("boot/loader/entries/x.conf", REG, b"title A\nlinux /v\noptions quiet img=old ro\n"),
+        ("boot/v", REG, b"kernel"),
+    ]
     image(spark, repo, "app", [BASE, TOP + extra])
     image_id = repo.mount_image("app")
     assert repo.write_boot(image_id, f"file://{tmp_path}/esp", "img=", subdir="os") == 5
