@@ -64,8 +64,10 @@ def verity(data: Column, algorithm: str = "sha256") -> Column:
     """Digest of a binary column as lower-case hex."""
     number, size, bits = ALGORITHMS[algorithm]
     one, fan = F.octet_length(data), BLOCK // size
-    root, level = F.when(one == 0, F.unhex(F.lit("00" * size))), data
-    for depth in range(levels_of(algorithm)):
+    # Most contents are one block, which takes no list of blocks.
+    block = F.unhex(F.sha2(F.rpad(data, F.lit(BLOCK), F.unhex(F.lit("00"))), bits))
+    root, level = F.when(one == 0, F.unhex(F.lit("00" * size))).when(one <= BLOCK, block), _level(data, bits)
+    for depth in range(1, levels_of(algorithm)):
         level = _level(level, bits)
         root = root.when(one <= BLOCK * fan**depth, level)
     big_endian = F.unhex(F.lpad(F.hex(one.cast("long")), 16, "0"))

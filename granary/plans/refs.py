@@ -388,20 +388,15 @@ def fsck_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check.counts(odd, streams, images, found)
 
 
-@query("""
-WITH x AS (SELECT o_orderkey, '/' || o_orderpriority || '/' || o_orderstatus AS body FROM orders)
-SELECT 'object digest' AS type, o_orderkey FROM x WHERE o_orderkey % 9 = 4""")
+@query("SELECT 'object digest' AS type, c_custkey FROM customer WHERE c_custkey % 9 = 4")
 def object_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short contents under their Merkle digest, every ninth with a byte more than it had when it was named."""
-    body = F.concat(F.lit("/"), "o_orderpriority", F.lit("/"), "o_orderstatus")
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", body.cast("binary").alias("body"))
-    held = store.identified(rows, "body", "sha256").select(
-        "object_id",
-        F.when(F.col("o_orderkey") % 9 == 4, F.concat(F.col("body"), F.lit("x").cast("binary"))).otherwise(F.col("body")).alias("data"),
-        "o_orderkey",
-    )
+    body = F.concat(F.lit("/"), "c_mktsegment", F.lit("/"), "c_name")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", body.cast("binary").alias("body"))
+    more = F.when(F.col("c_custkey") % 9 == 4, F.concat(F.col("body"), F.lit("x").cast("binary"))).otherwise(F.col("body"))
+    held = store.identified(rows, "body", "sha256").select("object_id", more.alias("data"), "c_custkey")
     wrong = check.objects(held.select("object_id", "data")).select("object_id", "type").distinct()
-    return held.filter("o_orderkey % 9 = 4").join(wrong, "object_id").select("type", "o_orderkey")
+    return held.join(wrong, "object_id").select("type", "c_custkey")
 
 
 @query("""
