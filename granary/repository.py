@@ -326,6 +326,8 @@ class Repository:
                 "target": F.col("target").cast("string"),
             }
         )
+        # Archives are read once; entries hold no contents but small ones.
+        entries = cut(entries)
         if not fold.invalid(entries).isEmpty():
             raise RepositoryError("an entry without its directory")
         merged = fold.folded(entries)
@@ -341,6 +343,7 @@ class Repository:
         rows = rows.withColumns({x: F.when(linked, F.col(f"o_{x}")).otherwise(F.col(x)) for x in values})
         leaf = F.when(F.col("kind") != "dir", F.xxhash64(F.coalesce("origin_layer", "layer_idx"), F.coalesce("origin_entry", "entry_idx")))
         flat = rows.select("path", leaf.alias("leaf_id"), *values)
+        flat = cut(flat)
         if flat.filter("path = '/'").isEmpty():
             usr = flat.filter("path = '/usr'").limit(1).withColumn("path", F.lit("/"))
             flat = flat.unionByName(usr)
