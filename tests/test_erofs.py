@@ -122,3 +122,13 @@ def test_rows_to_images_and_back(spark):
     entries = erofs.entry_rows(files)
     assert {r.image_id: bytes(r.content) for r in erofs.image_rows(entries).collect()} == {k: erofs.encode(t) for k, t in trees.items()}
     assert [r.object_id for r in erofs.image_objects(files).filter("image_id = 'simple'").collect()] == ["5a" * 32]
+
+
+def test_images_cut_within_their_padding_are_errors(spark):
+    image = erofs.encode(Node("dir", 0o755, children={b"small": Node("reg", inline=b"x")}))
+    assert not image[1500:].strip(b"\0")
+    for bad in (image[:1500], image[:-1]):
+        with pytest.raises(ImageError):
+            erofs.decode(bad)
+    files = spark.createDataFrame([("whole", image), ("cut", image[:1500])], "image_id string, content binary")
+    assert [r.image_id for r in erofs.problems(files).collect()] == ["cut"]
