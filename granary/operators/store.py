@@ -83,7 +83,9 @@ def coalesced(chunks: DataFrame, stream: str = "stream_id", seq: str = "seq", in
 
 def reassembled(chunks: DataFrame, objects: DataFrame, stream: str = "stream_id", seq: str = "seq", inline: str = "inline") -> DataFrame:
     """(stream, data): the chunks' bytes in order, external ones from the objects. Streams are rows, so they fit in one."""
-    full = chunks.join(objects.select("object_id", "data"), "object_id", "left").withColumn("_bytes", F.coalesce(F.col(inline), F.col("data")))
+    # Contents are shuffled whatever the planner guesses of their size: broadcast, they would pass through the driver.
+    held = objects.select("object_id", "data").hint("merge")
+    full = chunks.join(held, "object_id", "left").withColumn("_bytes", F.coalesce(F.col(inline), F.col("data")))
     return full.groupBy(stream).agg(F.expr(f"listagg(`_bytes`) within group (order by `{seq}`)").alias("data"))
 
 

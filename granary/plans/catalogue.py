@@ -376,7 +376,7 @@ def stream_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = turns.filter(long).select(F.sha2("data", 256).alias("object_id"), "data").dropDuplicates(["object_id"])
     back = store.reassembled(splitstream.chunk_rows(files.withColumnRenamed("stream_id", "name")), held)
     sizes = splitstream.headers(files).select("stream_id", F.col("total_size").alias("size"))
-    return back.join(sizes, "stream_id").select("stream_id", "size", F.sha2("data", 256).alias("content"))
+    return back.join(sizes.hint("merge"), "stream_id").select("stream_id", "size", F.sha2("data", 256).alias("content"))
 
 
 @query(f"""

@@ -195,7 +195,8 @@ def archive_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = splitstream.encoded(rows, algorithm="sha512").withColumnRenamed("stream_id", "name")
     held = rows.filter("kind = 'external'").select("object_id", "data").dropDuplicates(["object_id"])
     back = store.reassembled(splitstream.chunk_rows(files), held)
-    same = back.join(tars.withColumnRenamed("path", "stream_id"), "stream_id").select("stream_id", (F.col("data") == F.col("content")).alias("same"))
+    # Whole archives on both sides: neither may be broadcast through the driver.
+    same = back.join(tars.withColumnRenamed("path", "stream_id").hint("merge"), "stream_id").select("stream_id", (F.col("data") == F.col("content")).alias("same"))
     of = lambda what, found, value: found.select(
         F.lit(what).alias("what"), F.col("stream_id").alias("owner"), F.col(value).cast("string").alias("value")
     )
