@@ -2,6 +2,9 @@
 
 manifests: (digest, object_id, json, config_digest, layer_digests array, config_media_type, layer_refs map); configs: (digest, object_id,
 json, named_refs map). JSON columns hold the exact bytes as text; they are read, never written anew.
+
+Manifests, references and referrers meet by merge joins: the planner takes digests and what is read from texts for far less than they are, and would
+broadcast whole tables through the driver. Configurations are left to the planner, as many manifests may share one.
 """
 
 from __future__ import annotations
@@ -59,10 +62,10 @@ def names_under(refs: DataFrame, category: str, prefix: str = "") -> DataFrame:
 
 def known_names(wanted: DataFrame, refs: DataFrame, streams: DataFrame) -> DataFrame:
     """wanted (name) with known: there is a ref of that name and the stream that it leads to."""
-    sound = refs.filter(F.col("category") == "streams").join(streams.select(F.col("name").alias("target")), "target", "left_semi").select(
+    sound = refs.filter(F.col("category") == "streams").join(streams.select(F.col("name").alias("target")).hint("merge"), "target", "left_semi").select(
         "name", F.lit(True).alias("known")
     ).distinct()
-    return wanted.join(sound, "name", "left").select(*wanted.columns, F.coalesce("known", F.lit(False)).alias("known"))
+    return wanted.join(sound.hint("merge"), "name", "left").select(*wanted.columns, F.coalesce("known", F.lit(False)).alias("known"))
 
 
 def layer_at(manifests: DataFrame, position: int) -> DataFrame:
@@ -89,10 +92,10 @@ def is_container(config_media_type: Column) -> Column:
 def images(refs: DataFrame, manifests: DataFrame, configs: DataFrame, referrers: DataFrame) -> DataFrame:
     """A row for each tag whose manifest and configuration can be read."""
     counts = referrers.join(
-        manifests.select(F.col("digest").alias("artifact")), "artifact", "left_semi"
+        manifests.select(F.col("digest").alias("artifact")).hint("merge"), "artifact", "left_semi"
     ).distinct().groupBy(F.col("subject").alias("digest")).agg(F.count("*").alias("n"))
     parsed = configs.select(F.col("digest").alias("config_digest"), F.from_json("json", CONFIG).alias("c"))
-    rows = tags(refs).join(manifests, "digest").join(parsed, "config_digest").join(counts, "digest", "left")
+    rows = tags(refs).join(manifests.hint("merge"), "digest").join(parsed, "config_digest").join(counts.hint("merge"), "digest", "left")
     blank = F.lit("")
     container = is_container(F.col("config_media_type"))
     return rows.select(
@@ -140,7 +143,8 @@ def with_image(configs: DataFrame, images_made: DataFrame, boot: bool = False) -
 def referrers_of(referrers: DataFrame, manifests: DataFrame, subject: str | None = None) -> DataFrame:
     """(subject, artifact, object_id) of artifacts that are still there."""
     mine = referrers if subject is None else referrers.filter(F.col("subject") == subject)
-    return mine.distinct().join(manifests.select(F.col("digest").alias("artifact"), "object_id"), "artifact").select("subject", "artifact", "object_id")
+    there = manifests.select(F.col("digest").alias("artifact"), "object_id").hint("merge")
+    return mine.distinct().join(there, "artifact").select("subject", "artifact", "object_id")
 
 
 def add_referrer(referrers: DataFrame, subject: str, artifact: str) -> DataFrame:
@@ -156,7 +160,7 @@ def remove_referrer(referrers: DataFrame, subject: str, artifact: str | None = N
 
 def dangling_referrers(referrers: DataFrame, manifests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges that stay, and those whose subject is gone."""
-    known = manifests.select(F.col("digest").alias("subject"))
+    known = manifests.select(F.col("digest").alias("subject")).hint("merge")
     return referrers.join(known, "subject", "left_semi"), referrers.join(known, "subject", "left_anti")
 
 
@@ -164,7 +168,7 @@ def inspected(manifests: DataFrame, configs: DataFrame, referrers: DataFrame) ->
     """(digest, json): manifest, configuration and referrers in one document."""
     found = referrers_of(referrers, manifests).groupBy(F.col("subject").alias("digest")).agg(F.sort_array(F.collect_list("artifact")).alias("artifacts"))
     rows = manifests.join(configs.select(F.col("digest").alias("config_digest"), F.col("json").alias("config_json")), "config_digest", "left").join(
-        found, "digest", "left"
+        found.hint("merge"), "digest", "left"
     )
     listed = F.transform(F.coalesce("artifacts", F.array().cast("array<string>")), lambda a: F.struct(a.alias("digest")))
     # The two documents go in as they are.
@@ -187,9 +191,9 @@ def layer_info(chunks: DataFrame, entries: DataFrame) -> DataFrame:
 def upgrade_outcomes(refs: DataFrame, manifests: DataFrame, configs: DataFrame) -> DataFrame:
     """Tagged manifests by what an upgrade does: images that lack their file system get one, those that have it stay, artifacts are
     skipped."""
-    tagged = manifests.join(tags(refs).select("digest").distinct(), "digest", "left_semi")
+    tagged = manifests.join(tags(refs).select("digest").distinct().hint("merge"), "digest", "left_semi")
     have = image_of(manifests, configs).select(F.col("manifest_digest").alias("digest"), F.lit(True).alias("has"))
-    rows = tagged.join(have, "digest", "left")
+    rows = tagged.join(have.hint("merge"), "digest", "left")
     outcome = F.when(~is_container(F.col("config_media_type")), "skipped").when(F.col("has").isNull(), "upgraded").otherwise("current")
     return rows.select("digest", outcome.alias("outcome"))
 

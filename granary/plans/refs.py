@@ -95,7 +95,7 @@ def referrers_of(rows: DataFrame) -> DataFrame:
     """Each customer refers to the tenth before, and every fifth to a subject that is gone."""
     ten = rows.select(
         (F.col("c_custkey") - 10).alias("c_custkey"), F.col("digest").alias("artifact")
-    ).join(rows.select("c_custkey", F.col("digest").alias("subject")), "c_custkey").select("subject", "artifact")
+    ).join(rows.select("c_custkey", F.col("digest").alias("subject")).hint("merge"), "c_custkey").select("subject", "artifact")
     return ten.unionAll(rows.filter("c_custkey % 5 = 0").select(sha(F.concat(F.lit("gone "), "name")).alias("subject"), F.col("digest").alias("artifact")))
 
 

@@ -19,3 +19,7 @@ def test_archives_and_contents_are_not_broadcast(spark):
     chunks = spark.createDataFrame([("s", 0, b"a", None), ("s", 1, None, "o")], "stream_id string, seq long, inline binary, object_id string")
     whole = store.reassembled(chunks, spark.createDataFrame([("o", b"b")], "object_id string, data binary"))
     assert not re.search("Broadcast", plan_of(whole)) and [bytes(r.data) for r in whole.collect()] == [b"ab"]
+
+
+def test_manifests_and_referrers_are_not_broadcast(spark):
+    assert not re.search("Broadcast", plan_of(catalogue.queries()["referrer_edges"](spark, AT)))
