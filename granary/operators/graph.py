@@ -17,7 +17,8 @@ def closure(edges: DataFrame, roots: DataFrame, node: str = "node", depth: int |
     while (depth is None or step < depth) and not frontier.isEmpty():
         step += 1
         reached = edges.join(frontier, edges["src"] == frontier["node"]).select(F.col("dst").alias("node")).distinct()
-        frontier = cut(reached.join(seen, "node", "left_anti").withColumn("depth", F.lit(step)))
+        # What was seen grows with the table, and the planner doesn't know.
+        frontier = cut(reached.join(seen.hint("merge"), "node", "left_anti").withColumn("depth", F.lit(step)))
         seen = seen.unionAll(frontier)
     return seen
 
@@ -55,9 +56,10 @@ def live_objects(refs: DataFrame, streams: DataFrame, images: DataFrame, image_o
     of_images = kept_images.select("object_id").union(image_objects.join(kept_images.select("name"), "name", "left_semi").select("object_id"))
     links = streams.select("object_id", F.explode(F.map_values("named_refs")).alias("dst"))
     start = streams.join(roots("streams"), "name", "left_semi").select(F.col("object_id").alias("node"))
-    onward = links.join(streams.select(F.col("object_id").alias("dst")).distinct(), "dst", "left_semi").select(F.col("object_id").alias("src"), "dst")
-    walked = closure(onward, start).select(F.col("node").alias("object_id"))
-    met = streams.join(walked, "object_id", "left_semi")
+    onward = links.join(streams.select(F.col("object_id").alias("dst")).distinct().hint("merge"), "dst", "left_semi")
+    # Every round of the walk reads the links: they are made once, and those of the same two ends are one.
+    walked = closure(cut(onward.select(F.col("object_id").alias("src"), "dst").distinct()), start).select(F.col("node").alias("object_id"))
+    met = streams.join(walked.hint("merge"), "object_id", "left_semi")
     of_streams = met.select("object_id").union(met.select(F.explode("object_refs"))).union(met.select(F.explode(F.map_values("named_refs"))))
     return of_images.union(of_streams).distinct()
 
@@ -66,7 +68,7 @@ def gc(
     objects: DataFrame, refs: DataFrame, streams: DataFrame, images: DataFrame, image_objects: DataFrame, extra: list[str] | DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Objects, streams and images that stay, and one row of counts. Streams and images whose object goes are pruned."""
-    live = cut(live_objects(refs, streams, images, image_objects, extra))
+    live = cut(live_objects(refs, streams, images, image_objects, extra)).hint("merge")
     stays = lambda df: df.join(live, "object_id", "left_semi")
     gone = objects.join(live, "object_id", "left_anti")
     size = lambda df, name: df.join(live, "object_id", "left_anti").agg(F.count("*").alias(name))

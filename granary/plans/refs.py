@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import digest, text
 from ..operators import catalog, check, graph, store
+from ..operators.common import cut
 from ..sources import storage
 from .registry import query, table
 
@@ -280,20 +281,23 @@ def names_and_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def store_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
-    """Objects, refs, streams, images and what images name. Objects' ids are plain digests."""
+    """Objects, refs, streams, images and what images name. Objects' ids are plain digests. Texts are hashed once and streams put together once,
+    as every round of a walk reads them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = docs.select("doc_id", digest.content_id(F.col("text")).alias("object_id"))
-    objects = docs.select(digest.content_id(F.col("text")).alias("object_id"), F.octet_length("text").cast("long").alias("size")).distinct()
+    ids = cut(docs.select("doc_id", digest.content_id(F.col("text")).alias("object_id"), F.octet_length("text").cast("long").alias("size")))
+    objects = ids.select("object_id", "size").distinct()
     key = lambda rows, by, name: rows.join(
-        ids.select(F.col("doc_id").alias("_k"), F.col("object_id").alias(name)), F.expr(by) == F.col("_k"), "left"
+        ids.select(F.col("doc_id").alias("_k"), F.col("object_id").alias(name)).hint("merge"), F.expr(by) == F.col("_k"), "left"
     ).drop("_k").withColumn(name, F.coalesce(name, F.concat(F.lit("gone "), F.expr(by).cast("string"))))
     streams = table(spark, sf_dir, "customer").select("c_custkey")
     streams = key(key(key(streams, "c_custkey", "object_id"), "c_custkey + 1", "one"), "c_custkey * 2 + 3", "next")
-    streams = streams.select(
-        F.concat(F.lit("s"), "c_custkey").alias("name"),
-        "object_id",
-        F.array("one").alias("object_refs"),
-        F.create_map(F.lit("next"), "next").alias("named_refs"),
+    streams = cut(
+        streams.select(
+            F.concat(F.lit("s"), "c_custkey").alias("name"),
+            "object_id",
+            F.array("one").alias("object_refs"),
+            F.create_map(F.lit("next"), "next").alias("named_refs"),
+        )
     )
     images = key(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey * 5", "object_id").select(
         F.concat(F.lit("i"), "s_suppkey").alias("name"), "object_id"

@@ -2,7 +2,7 @@
 
 import re
 
-from granary.operators import store
+from granary.operators import graph, store
 from granary.plans import catalogue
 
 AT = "/root/testdata/sf0.001"
@@ -23,3 +23,11 @@ def test_archives_and_contents_are_not_broadcast(spark):
 
 def test_manifests_and_referrers_are_not_broadcast(spark):
     assert not re.search("Broadcast", plan_of(catalogue.queries()["referrer_edges"](spark, AT)))
+
+
+def test_a_walk_reads_links_made_once(spark, monkeypatch):
+    read = []
+    walk = graph.closure
+    monkeypatch.setattr(graph, "closure", lambda edges, *a: read.append(plan_of(edges)) or walk(edges, *a))
+    plan = plan_of(catalogue.queries()["gc_plan"](spark, AT))
+    assert "sha2" not in plan and len(read) == 1 and "Scan ExistingRDD" in read[0] and "Join" not in read[0]
