@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import io
 import struct
-import tarfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources import erofs, fdstream
+from ..sources import archive, erofs, fdstream
 from .registry import table
 
 
@@ -26,20 +26,20 @@ def customer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 FILES = "SELECT CAST(o_custkey AS VARCHAR) AS owner, CAST(o_orderkey AS VARCHAR) AS name, repeat(o_orderpriority || '|', CAST(o_orderkey % 12 AS INTEGER)) AS body FROM orders"
 
 
-def _tar(files: list) -> bytes:
-    out = io.BytesIO()
-    with tarfile.open(fileobj=out, mode="w", format=tarfile.PAX_FORMAT) as tar:
-        for f in sorted(files, key=lambda f: f.name):
-            member = tarfile.TarInfo(f"orders/{f.name}")
-            member.size = len(f.body)
-            tar.addfile(member, io.BytesIO(bytes(f.body)))
-    return out.getvalue()
-
-
 def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content): a tar archive of each customer's orders."""
     made = customer_files(spark, sf_dir).groupBy("image_id").agg(F.collect_list(F.struct("name", "body")).alias("files"))
-    return made.select(F.col("image_id").alias("path"), F.udf(_tar, "binary", useArrow=False)("files").alias("content"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for owner, files in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                names, bodies = (files.values.field(k).to_pylist() for k in range(2))
+                yield owner, archive.written((f"orders/{name}", body) for name, body in sorted(zip(names, bodies, strict=True), key=lambda f: f[0]))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return archive.batched(rows(batches), {"path": pa.string(), "content": pa.binary()})
+
+    return made.mapInArrow(work, "path string, content binary")
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -210,3 +210,26 @@ def test_directories_are_scanned(spark, tmp_path):
     assert bytes(
         rows[b"/a/small"].inline
     ) == b"x" * 64 and rows[b"/a-big"].inline is None and rows[b"/a-big"].ino == rows[b"/link"].ino and bytes(rows[b"/sym"].target) == b"a"
+
+
+def test_plain_archives_are_written_and_read_without_tarfile(monkeypatch):
+    files = [("orders/1", b""), ("orders/2", b"x" * 512), ("a" * 100, b"y" * 65), ("b" * 101, b"z"), ("ü", b"u")]
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w", format=tarfile.PAX_FORMAT) as tar:
+        for name, body in files:
+            member = tarfile.TarInfo(name)
+            member.size = len(body)
+            tar.addfile(member, io.BytesIO(body))
+    assert archive.written(files) == out.getvalue()
+    assert [e["path"].decode() for e in archive.entries(out.getvalue())] == [f"/{name}" for name, _ in files]
+    plain = archive.written(files[:3])
+    bad = bytearray(plain)
+    bad[100] ^= 1
+    with pytest.raises(archive.ArchiveError):
+        list(archive.entries(bytes(bad)))
+    monkeypatch.setattr(tarfile, "open", None)
+    assert [(e["path"].decode(), e["size"]) for e in archive.entries(plain)] == [(f"/{name}", len(body)) for name, body in files[:3]]
+    assert b"".join(part for _, part in archive.split(plain)) == plain
+    rows = [(k, b"x" * 1000) for k in range(20_000)]
+    sizes = [b.num_rows for b in archive.batched(iter(rows), {"k": archive.pa.int64(), "v": archive.pa.binary()})]
+    assert sum(sizes) == 20_000 and max(sizes) <= 8192 and len(sizes) < 10
