@@ -31,3 +31,7 @@ def test_a_walk_reads_links_made_once(spark, monkeypatch):
     monkeypatch.setattr(graph, "closure", lambda edges, *a: read.append(plan_of(edges)) or walk(edges, *a))
     plan = plan_of(catalogue.queries()["gc_plan"](spark, AT))
     assert "sha2" not in plan and len(read) == 1 and "Scan ExistingRDD" in read[0] and "Join" not in read[0]
+
+
+def test_streams_are_not_pickled(spark):
+    assert "BatchEvalPython" not in plan_of(catalogue.queries()["stream_problems"](spark, AT))
