@@ -119,11 +119,16 @@ def pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
     classes = written(classes, "spot-classes")
     members = named.select("doc_id", "name").join(classes.select("name", "class_id"), "name").select("doc_id", "class_id")
     found = classes.filter(F.size("signatures") > 0).select("class_id", "signatures", F.size("signatures").alias("n"))
+    # Signatures are shuffled once, to be counted where they lie; only those of several sets go on to be ranked. A set's others are its rarest, so
+    # that their number alone tells the places of the rest.
     spread = found.select("class_id", "n", F.explode("signatures").alias("s"))
-    rarity = spread.groupBy("s").agg(F.count("*").alias("df"))
-    ranked = spread.join(rarity, "s").withColumn("place", F.row_number().over(Window.partitionBy("class_id").orderBy("df", "s")))
-    prefix = ranked.filter((F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-6) + 1) & (F.col("df") > 1))
+    shared = spread.withColumn("df", F.count("*").over(Window.partitionBy("s"))).filter("df > 1")
+    inside = Window.partitionBy("class_id")
+    before = F.col("n") - F.count("*").over(inside)
+    ranked = shared.withColumn("place", before + F.row_number().over(inside.orderBy("df", "s")))
+    prefix = ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-6) + 1)
     prefix = prefix.withColumn("part", F.floor(F.log(F.col("n").cast("double")) / -log(threshold)))
+    prefix = written(prefix.select("s", "part", "class_id", "n", "place"), "spot-prefixes")
     left = prefix.select("s", "part", F.col("class_id").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("p_a"))
     right = prefix.select(
         "s",
@@ -139,11 +144,15 @@ def pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
     room = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) + 1
     # A product that is whole may come out a little above.
     need = F.ceil(threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-6)
-    met = left.join(right, ["s", "part"]).filter(alike).groupBy("a", "b").agg(
+    met = left.join(right.hint("merge"), ["s", "part"]).filter(alike).groupBy("a", "b").agg(
         F.max(room).alias("room"), F.first(need).alias("need")
     ).filter("room >= need").select("a", "b")
-    sets_a = found.select(F.col("class_id").alias("a"), F.col("signatures").alias("x"))
-    sets_b = found.select(F.col("class_id").alias("b"), F.col("signatures").alias("y"))
+    met = written(met, "spot-candidates")
+    # The sets of candidates alone move to meet each other.
+    ends = met.select(F.col("a").alias("class_id")).unionAll(met.select("b")).distinct()
+    sets = written(found.select("class_id", "signatures").join(ends, "class_id", "left_semi"), "spot-sets")
+    sets_a = sets.select(F.col("class_id").alias("a"), F.col("signatures").alias("x"))
+    sets_b = sets.select(F.col("class_id").alias("b"), F.col("signatures").alias("y"))
     scored = met.join(sets_a, "a").join(sets_b, "b").select("a", "b", likeness(F.col("x"), F.col("y"), threshold).alias("similarity"))
     return scored.filter(F.col("similarity") >= threshold), members
 

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from granary.llm import queries
+from granary.llm import queries, spotsigs
 
 AT = "/root/testdata/sf0.001"
 
@@ -30,3 +30,13 @@ def test_scans_read_what_they_need(spark):
 def test_no_query_limits_its_table(spark):
     for name in ("op1_chat_formatting", "op2_url_filter", "op4_html_extraction", "op9_quality_rules"):
         assert not re.search("Limit|Sample", plan_of(queries.queries()[name](spark, AT)))
+
+
+def test_signatures_are_shuffled_once(spark, monkeypatch):
+    plans = {}
+    write = spotsigs.written
+    monkeypatch.setattr(spotsigs, "written", lambda df, name, *a: plans.setdefault(name, plan_of(df)) and write(df, name, *a))
+    queries.spotsigs_links(spark, AT)
+    ranked = plans["spot-prefixes"]
+    assert len(re.findall(r"Exchange hashpartitioning\(s#", ranked)) == 1 and "Join" not in ranked
+    assert "signatures" not in plans["spot-candidates"]
